@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from .jaccard_join import op3_ngram_jaccard_join
+from .language_id import op7_language_id
+from .quality_rules import OP10_SQL, op10_quality_rules
+from .vector_dedup import op8_embedding_near_dedup
 
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op7_language_id": op7_language_id,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_quality_rules": OP10_SQL,
+}
