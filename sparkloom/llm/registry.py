@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from .jaccard_join import op3_ngram_jaccard_join
 from .language_id import op7_language_id
+from .quality_model import op9_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .sentencepiece_codec import op6_sentencepiece
+from .url_filter import op1_sql, op1_url_filter
 from .vector_dedup import op8_embedding_near_dedup
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": op1_sql(),
     "op10_quality_rules": OP10_SQL,
 }
