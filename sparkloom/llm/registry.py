@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from .chat_format import OP4_SQL, op4_chat_format
 from .jaccard_join import op3_ngram_jaccard_join
 from .language_id import op7_language_id
+from .pii import op5_pii_surrogates
 from .quality_model import op9_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentencepiece_codec import op6_sentencepiece
+from .source_mix import op2_source_mix
 from .url_filter import op1_sql, op1_url_filter
 from .vector_dedup import op8_embedding_near_dedup
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_source_mix": op2_source_mix,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_chat_format": op4_chat_format,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
@@ -22,5 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": op1_sql(),
+    "op4_chat_format": OP4_SQL,
     "op10_quality_rules": OP10_SQL,
 }
