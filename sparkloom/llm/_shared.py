@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; every other character belongs to a word.
@@ -37,6 +39,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made(column: Column, make: Callable[[pd.Series], pd.DataFrame], schema: str) -> Column:
+    """A struct column that ``make`` computes from batches of ``column``.
+
+    Only that column goes through pandas; the others, such as nullable ids, stay as they are.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield make(batch)
+
+    return F.pandas_udf(run, schema)(column)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small, iterated table."""
     shared_dir(df.sparkSession)

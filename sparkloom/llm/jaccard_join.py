@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, shingle_set, stored
+from ._shared import connected_components, made, shingle_set, stored
 
 #: Hash groups of a point; its coordinates.
 GROUPS = 256
@@ -77,19 +77,18 @@ def directory_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _points(k: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, node, keys = [], [], []
-            for text in pdf["text"]:
-                s = shingle_set(text, k)
-                n.append(len(s))
-                if len(s):
-                    node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    keys.append(directory_keys(s, percent))
-                else:
-                    node.append(None)
-                    keys.append(None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "n": n, "node": pd.array(node, "Int64"), "keys": keys})
+    def run(texts: pd.Series) -> pd.DataFrame:
+        n, node, keys = [], [], []
+        for text in texts:
+            s = shingle_set(text, k)
+            n.append(len(s))
+            if len(s):
+                node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                keys.append(directory_keys(s, percent))
+            else:
+                node.append(None)
+                keys.append(None)
+        return pd.DataFrame({"n": n, "node": pd.array(node, "Int64"), "keys": keys})
 
     return run
 
@@ -212,7 +211,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(text_col).alias("th"))
-    points = stored(rows.mapInPandas(_points(k, percent), "doc_id long, th string, n long, node long, keys array<long>"))
+    point = made(F.col("text"), _points(k, percent), "n long, node long, keys array<long>")
+    points = stored(rows.select("doc_id", "th", point.alias("p")).select("doc_id", "th", "p.*"))
     classes = (
         points.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
     )

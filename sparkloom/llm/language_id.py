@@ -20,9 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import made
+
 #: Columns of a presence row.
 SIZE = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -132,32 +134,25 @@ def identify(docs: DataFrame, model: StringKernelModel, text_col: str = "text",
     texts of a model without languages. Repeated rows get equal predictions;
     equal scores go to the first language by code point.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lang, score = shared.value.predict([None if t is None or t != t else t for t in pdf.pop(text_col)])
-            yield pdf.assign(**{lang_out: lang, score_out: score})
+    found = _predicted(docs, model, F.col(text_col))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, lang_out, score_out)]
+    return docs.select(*kept, found.alias("_found")).select(*kept, F.col("_found.lang").alias(lang_out), F.col("_found.score").alias(score_out))
 
-    from pyspark.sql import types as T
 
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, lang_out, score_out)]
-    frame = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col))
-    schema = T.StructType([*kept, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    return frame.mapInPandas(run, schema)
+def _predicted(docs: DataFrame, model: StringKernelModel, text: Column) -> Column:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def run(texts: pd.Series) -> pd.DataFrame:
+        lang, score = shared.value.predict(texts.to_list())
+        return pd.DataFrame({"lang": lang, "score": score})
 
-def reject_unknown(docs: DataFrame, model: StringKernelModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text has a language; rows of ``und`` go."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return made(text, run, "lang string, score double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lang, _ = shared.value.predict([None if t is None or t != t else t for t in pdf[text_col]])
-            yield pdf[[x != UNKNOWN for x in lang]]
 
-    return docs.mapInPandas(run, docs.schema)
+def reject_unknown(docs: DataFrame, model: StringKernelModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text has a language; rows of ``und`` go."""
+    found = docs.withColumn("_found", _predicted(docs, model, F.col(text_col)))
+    return found.where(F.col("_found.lang") != UNKNOWN).drop("_found")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

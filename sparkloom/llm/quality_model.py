@@ -16,8 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ._shared import made
 from .language_id import held_out
 
 FEATURES = (
@@ -159,15 +159,12 @@ def score(docs: DataFrame, model: BoostedTrees, threshold: float = 0.3, text_col
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf.pop(text_col)
-            p = shared.value.score(np.stack([statistics(t) for t in texts])) if len(texts) else np.zeros(0)
-            yield pdf.assign(score=p, predicted=(p >= threshold).astype(np.int32))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        p = shared.value.score(np.stack([statistics(t) for t in texts])) if len(texts) else np.zeros(0)
+        return pd.DataFrame({"score": p, "predicted": (p >= threshold).astype(np.int32)})
 
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, "score", "predicted")]
-    frame = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col))
-    return frame.mapInPandas(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "score", "predicted")]
+    return docs.select(*kept, made(F.col(text_col), run, "score double, predicted int").alias("_found")).select(*kept, "_found.*")
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import made
+
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 96
@@ -356,19 +358,16 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for pdf in batches:
-            texts = pdf["text"].to_list()
-            for part in _batches(texts):
-                ids = m.encode(texts[part])
-                back = [None if t is None else m.decode(i.tolist()) == t for t, i in zip(texts[part], ids, strict=True)]
-                yield pd.DataFrame(
-                    {"doc_id": pdf["doc_id"].iloc[part], "ids": ids, "n_ids": [len(i) for i in ids], "round_trip": back}
-                )
-
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return frame.mapInPandas(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+    def run(series: pd.Series) -> pd.DataFrame:
+        m, texts, out = shared.value, series.to_list(), []
+        for part in _batches(texts):
+            ids = m.encode(texts[part])
+            back = [None if t is None else m.decode(i.tolist()) == t for t, i in zip(texts[part], ids, strict=True)]
+            out += zip(ids, map(len, ids), back, strict=True)
+        return pd.DataFrame(out, columns=["ids", "n_ids", "round_trip"])
+
+    found = made(F.col(text_col), run, "ids array<int>, n_ids long, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("_found")).select("doc_id", "_found.*")
 
 
 def decode_documents(encoded: DataFrame, model: PieceModel, ids_col: str = "ids", text_out: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, stored
+from ._shared import connected_components, made, stored
 
 BLOCK = 512
 
@@ -59,14 +59,13 @@ def unit(values) -> np.ndarray | None:
     return x / math.sqrt(float(x @ x))
 
 
-def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        node, vec = [], []
-        for values in pdf["embedding"]:
-            x = unit(values)
-            node.append(None if x is None else xxhash.xxh3_64_intdigest((x + 0.0).tobytes()) - (1 << 63))
-            vec.append(None if x is None else x.tobytes())
-        yield pd.DataFrame({"vec_id": pdf["vec_id"], "node": pd.array(node, "Int64"), "vec": vec})
+def _classes(vectors: pd.Series) -> pd.DataFrame:
+    node, vec = [], []
+    for values in vectors:
+        x = unit(values)
+        node.append(None if x is None else xxhash.xxh3_64_intdigest((x + 0.0).tobytes()) - (1 << 63))
+        vec.append(None if x is None else x.tobytes())
+    return pd.DataFrame({"node": pd.array(node, "Int64"), "vec": vec})
 
 
 def bucket_keys(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
@@ -178,7 +177,7 @@ def near_vectors(
     ``width`` is the half width of the confidence bounds in standard errors.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))
-    points = stored(rows.mapInPandas(_classes, "vec_id long, node long, vec binary"))
+    points = stored(rows.select("vec_id", made(F.col("embedding"), _classes, "node long, vec binary").alias("p")).select("vec_id", "p.*"))
     classes = stored(
         points.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     )
