@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,11 @@ from pyspark.sql import functions as F
 from ._shared import connected_components, made, stored
 
 BLOCK = 512
+#: Rows of small buckets that share a group, about.
+SLICE = 1000
 
 
+@lru_cache(maxsize=16)
 def rotations(dim: int, count: int, seed: int) -> np.ndarray:
     """``count`` random rotations of ``dim`` axes, side by side: (dim, count * dim)."""
     rng = np.random.default_rng([seed, dim])
@@ -104,34 +108,54 @@ class Codes:
         spread = (1 / self.factor**2 - 1).mean(1) / max(1, self.dim - 1)
         self.error = np.sqrt(spread / self.count)
 
-    def upper(self, other: Codes, width: float) -> np.ndarray:
-        """Upper confidence bounds of all inner products with ``other``."""
-        return self.scaled @ other.turned.T + width * self.error[:, None]
+
+def _near_pairs(codes: Codes, left: list[np.ndarray], right: list[np.ndarray], same: bool, threshold: float, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, bucket by bucket, whose upper bound reaches the threshold: large buckets as matrices, small ones together."""
+    few: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in zip(left, right, strict=True):
+        if len(a) * len(b) >= 4096:
+            near = codes.scaled[a] @ codes.turned[b].T + width * codes.error[a][:, None] >= threshold
+            i, j = np.nonzero(np.triu(near, 1) if same else near)
+            out.append((a[i], b[j]))
+        else:
+            i, j = np.triu_indices(len(a), 1) if same else np.indices((len(a), len(b))).reshape(2, -1)
+            few.append((a[i], b[j]))
+    i, j = (np.concatenate(x) if few else np.empty(0, np.int64) for x in (zip(*few, strict=True) if few else ((), ())))
+    for at in range(0, len(i), 16384):
+        p, q = i[at : at + 16384], j[at : at + 16384]
+        near = np.einsum("ij,ij->i", codes.scaled[p], codes.turned[q]) + width * codes.error[p] >= threshold
+        out.append((p[near], q[near]))
+    return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((), ())))
 
 
 def _bucket_links(threshold: float, seed: int, width: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, bi, bj = (int(pdf[c].iloc[0]) for c in ("t", "bi", "bj"))
-        pdf = pdf.drop_duplicates("node")
-        node, copies = pdf["node"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
-        x = np.stack([np.frombuffer(v) for v in pdf["vec"]])
+        node, copies, bucket, mine = (pdf[c].to_numpy(np.int64) for c in ("node", "copies", "key", "block"))
         keys = np.stack(pdf["keys"].to_list())
-        mine = pdf["block"].to_numpy()
-        left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-        near = Codes(x[left], seed).upper(Codes(x[right], seed), width) >= threshold
-        if bi == bj:
-            near = np.triu(near, 1)
-        i, j = np.nonzero(near)
-        i, j = left[i], right[j]
-        exact = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, max(1, len(i)), 65536)])
-        i, j = i[exact >= threshold], j[exact >= threshold]
-        for a in range(t):  # met before in another table
-            if not len(i):
-                break
-            new = keys[i, a] != keys[j, a]
-            i, j = i[new], j[new]
-        links = np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
-        up = np.arange(len(x))
+        dims = np.array([len(v) for v in pdf["vec"]])
+        found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for dim in np.unique(dims):  # a bucket holds one dimension
+            own = np.flatnonzero(dims == dim)
+            x = np.stack([np.frombuffer(pdf["vec"].iloc[r]) for r in own])
+            order = np.lexsort((node[own], bucket[own]))
+            cuts = np.flatnonzero(np.diff(bucket[own][order])) + 1
+            groups = np.split(order, cuts)
+            left = [g[mine[own[g]] == bi] for g in groups]
+            right = left if bi == bj else [g[mine[own[g]] == bj] for g in groups]
+            i, j = _near_pairs(Codes(x, seed), left, right, bi == bj, threshold, width)
+            exact = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, max(1, len(i)), 65536)])
+            i, j = own[i[exact >= threshold]], own[j[exact >= threshold]]
+            for a in range(t):  # met before in another table
+                if not len(i):
+                    break
+                new = keys[i, a] != keys[j, a]
+                i, j = i[new], j[new]
+            found_i.append(i), found_j.append(j)
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        links = np.bincount(i, weights=copies[j], minlength=len(node)) + np.bincount(j, weights=copies[i], minlength=len(node))
+        up = np.arange(len(node))
         tree = []
 
         def root(v: int) -> int:
@@ -160,7 +184,7 @@ def _bucket_links(threshold: float, seed: int, width: float):
 def near_vectors(
     vectors: DataFrame,
     threshold: float = 0.95,
-    tables: int = 32,
+    tables: int = 40,
     seed: int = 7,
     width: float = 4.0,
     id_col: str = "vec_id",
@@ -182,19 +206,25 @@ def near_vectors(
         points.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     )
     count = classes.count()
-    bits = max(6, min(40, math.ceil(math.log2(max(2, count))) + 1))
+    bits = max(6, min(40, math.ceil(math.log2(max(2, count))) + 4))
     keyed = stored(classes.select("node", "copies", "vec").mapInPandas(_keys(tables, bits, seed), "node long, copies long, vec binary, keys array<long>"))
     probes = keyed.select("node", F.posexplode("keys").alias("t", "key"))
     buckets = (
-        probes.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
+        probes.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
     )
-    met = probes.join(buckets, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    buckets = stored(buckets)
+    held = int(buckets.where("n_blocks = 1").agg(F.sum("n")).first()[0] or 0)
+    slices = max(1, held // (tables * SLICE))
+    # small buckets share a task's group; a large one has groups of its own
+    part = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(slices))).otherwise(F.col("key"))
+    met = probes.join(buckets.drop("n"), ["t", "key"]).withColumn("part", part)
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     paired = (
         met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("t", "key", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+        .select("t", "part", "key", "n_blocks", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
         .join(keyed, "node")
     )
-    found = stored(paired.groupBy("t", "key", "bi", "bj").applyInPandas(_bucket_links(threshold, seed, width), "a long, b long, links long"))
+    found = stored(paired.groupBy("t", "part", F.col("n_blocks") > 1, "bi", "bj").applyInPandas(_bucket_links(threshold, seed, width), "a long, b long, links long"))
     linked = connected_components(found.where("b is not null").select("a", "b"))
     least = linked.join(classes, "node").groupBy("root").agg(F.min("least").alias("component"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
