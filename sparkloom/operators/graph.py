@@ -2,14 +2,19 @@
 
 Edges are kept once per pair with their multiplicity ``n``; sums of it stand
 for the multigraph. Traversal is breadth first, a join and an anti-join per
-hop over distinct nodes, so it never enumerates walks.
+hop over distinct nodes, so it never enumerates walks; the nodes of a hop are
+checkpointed, so no hop plans the ones before it again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import cut
+
 
 def link_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """``calls`` with callee_id: the namesake in the caller's file, else the smallest id, else null.
@@ -69,14 +74,17 @@ def reach(edges: DataFrame, roots: DataFrame, direction: str = "backward", depth
         return one[0].unionByName(one[1])
     step = _step(edges, direction)
     first = roots.select("root", F.col("root").alias("node")).join(step, "node").select("root", F.col("next").alias("node"), "n")
-    first = first.groupBy("root", "node").agg(F.lit(1).alias("hop"), F.sum("n").alias("edge_count"))
-    seen = first.select("root", "node").unionByName(roots.select("root", F.col("root").alias("node"))).distinct()
-    found, frontier = first, first.where("node <> root")
+    first = cut(first.groupBy("root", "node").agg(F.lit(1).alias("hop"), F.sum("n").alias("edge_count")))
+    found, frontier = [first], first.where("node <> root")
+    seen = first.select("root", "node").unionByName(roots.select("root", F.col("root").alias("node")))
     for hop in range(2, depth + 1):
         new = frontier.select("root", "node").join(step.select("node", "next"), "node").select("root", F.col("next").alias("node")).distinct()
         frontier = new.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("hop"), F.lit(None).cast("long").alias("edge_count"))
-        found, seen = found.unionByName(frontier), seen.unionByName(frontier.select("root", "node"))
-    return found
+        if hop < depth:
+            frontier = cut(frontier)
+        found.append(frontier)
+        seen = seen.unionByName(frontier.select("root", "node"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def degrees(linked: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -128,13 +136,13 @@ def random_walks(edges: DataFrame, root: int, walks: int = 1000, steps: int = 10
     spark = edges.sparkSession
     w = Window.partitionBy("src").orderBy("dst")
     lots = edges.withColumns({"hi": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy("src"))})
-    lots = lots.select("src", "dst", (F.col("hi") - F.col("n")).alias("lo"), "hi", "all").persist()
+    lots = lots.select("src", "dst", (F.col("hi") - F.col("n")).alias("lo"), "hi", "all")
     at = spark.range(walks).select(F.col("id").alias("walk"), F.lit(root).cast("long").alias("node"))
     seen = at
     for step in range(steps):
         chance = F.pmod(F.xxhash64(F.lit(seed), "walk", F.lit(2 * step)), F.lit(1 << 20)) / float(1 << 20)
         pick = F.pmod(F.xxhash64(F.lit(seed), "walk", F.lit(2 * step + 1)), F.col("all"))
         live = at if step == 0 else at.where(chance <= go_on)
-        at = live.join(lots, F.col("node") == F.col("src")).where((pick >= F.col("lo")) & (pick < F.col("hi"))).select("walk", F.col("dst").alias("node"))
+        at = cut(live.join(lots, F.col("node") == F.col("src")).where((pick >= F.col("lo")) & (pick < F.col("hi"))).select("walk", F.col("dst").alias("node")))
         seen = seen.unionByName(at)
     return seen.groupBy("node").agg(F.count("*").alias("visits"))

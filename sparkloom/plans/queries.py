@@ -20,7 +20,8 @@ def _linked(s: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.build_edges(_linked(s, d))
+    """The call graph, kept between queries like the index it stands for."""
+    return graph.build_edges(_linked(s, d)).persist()
 
 
 def _roots(s: SparkSession, *ids: int) -> DataFrame:
