@@ -323,7 +323,7 @@ FROM (SELECT *, trim(CASE WHEN instr(s, '。') > 1 THEN split_part(s, '。', 1)
         "SELECT id, '- [' || content || '] **' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '**: ' || category || ' (' || entity || ') ' || act AS line FROM memos ORDER BY id DESC LIMIT 100"
     ),
     "box_overlaps": _with(
-        """SELECT a.file_id, a.symbol_id AS first, b.symbol_id AS second, round((least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start)) * 1.0 * (1.5 - abs(a.symbol_id % 3 - b.symbol_id % 3)), 2) AS area
+        """SELECT a.file_id, a.symbol_id AS first, b.symbol_id AS second, round((least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start)) * CAST(1.5 - abs(a.symbol_id % 3 - b.symbol_id % 3) AS DOUBLE), 2) AS area
 FROM symbols a JOIN symbols b ON a.file_id = b.file_id AND a.symbol_id < b.symbol_id
 WHERE a.file_id < 40 AND least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start) > 0.05 AND 1.5 - abs(a.symbol_id % 3 - b.symbol_id % 3) > 0.05"""
     ),
