@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,21 +34,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: no lineage, survives lost executors."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored(df)`` and its path, for ``removed``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more, and lets Spark drop the shuffles of finished plans."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
-def made(column: Column, make: Callable[[pd.Series], pd.DataFrame], schema: str) -> Column:
-    """A struct column that ``make`` computes from batches of ``column``.
+def made(column: Column, make: Callable[[pd.Series], pd.DataFrame | Iterator[pd.DataFrame]], schema: str) -> Column:
+    """A struct column that ``make`` computes from batches of ``column``, at once or part by part.
 
     Only that column goes through pandas; the others, such as nullable ids, stay as they are.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield make(batch)
+            done = make(batch)
+            if isinstance(done, pd.DataFrame):
+                yield done
+            else:
+                yield from done
 
     return F.pandas_udf(run, schema)(column)
 

@@ -10,9 +10,11 @@ R-tree over the points discards boxes and pairs before any set is compared.
 A tree over all points can't be shared out: boxes of unlike texts don't prune.
 Its top level is therefore a directory with an exact guarantee. Two sets whose
 similarity reaches the threshold differ in at most d shingles; dealt into more
-than d groups by hash range, some group is the same in both. Classes that share
-a group's signature (within a band of sizes) belong to one family, so links
-never leave a family. Each family is indexed and joined by itself, large ones
+than d groups by hash range, some group is the same in both, and with spare
+groups several are, so that each class may leave out those that are empty and
+its most common ones. Classes that share a group's signature (within a band of
+sizes) meet in a bucket; those whose bound reaches the threshold belong to one
+family, so links never leave a family. Each family is indexed and joined by itself, large ones
 in pairs of blocks of bounded size. Links that would join what is already
 connected are not verified again.
 
@@ -32,63 +34,84 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, made, shingle_set, stored
+from ._shared import connected_components, made, removed, shingle_set, stored, stored_at
 
 #: Hash groups of a point; its coordinates.
 GROUPS = 256
-#: Spare groups beyond the d + 1 that the guarantee needs; so many may be empty.
-SPARE = 2
+#: Spare groups beyond the d + 1 that the guarantee needs, and one more for each so many: that many may be empty or common.
+SPARE, SPARE_PART = 2, 12
+#: Rows of small buckets that share a task's group, about.
+SLICE = 2000
+#: Ratio of the sizes between which a level lies; over 100/percent for the thresholds in use.
+LEVEL = 1.6
 #: Points of a tree leaf, and leaves of an inner box.
 FANOUT = 16
 #: Points and shingles of a block at most (a single point may exceed the latter).
-BLOCK_POINTS, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK_POINTS, BLOCK_SHINGLES = 512, 1 << 21
 
 
-def _base(percent: int) -> float:
-    return math.log(100 / percent) * (1 + 1e-9)
+def _bands(n: int, percent: int) -> list[tuple[int, int]]:
+    """(band, largest size in it) of the bands of a set of ``n``: its own, and the one below if it reaches into it.
+
+    A band starts where its level does and ends 100/percent beyond the level's
+    end, so two sets within the threshold always share one.
+    """
+    level, out = int(math.log(n) / math.log(LEVEL)), []
+    for band in (level - 1, level):
+        largest = LEVEL ** (band + 1) * 100 / percent * (1 + 1e-9)
+        if band == level or n <= largest:
+            out.append((band, int(largest) + 1))
+    return out
 
 
-def directory_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys such that two sets whose similarity reaches ``percent`` share at least one.
+def directory_keys(s: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[int]]:
+    """For each band of the set its keys, and how many of them may be common and left out.
 
-    A set of level L is dealt out for bands L and L + 1; two sets within the
-    threshold are at most a level apart and so meet in a band.
+    Two sets whose similarity reaches ``percent`` share a key that is not
+    common, unless in both more are common than may be; then they share a key
+    of all.
     """
     n = len(s)
     if (n + n * 100 / percent) * (100 - percent) / (100 + percent) < 1:
-        return np.empty(0, np.int64)  # too small to be like any other set
-    out, base = [], _base(percent)
-    level = int(math.log(n) / base)
+        return [], []  # too small to be like any other set
+    out, spare = [], []
     total = np.concatenate([[np.uint64(0)], np.cumsum(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)), dtype=np.uint64)])
-    for band in (level, level + 1):
-        largest = int(math.exp(base * (band + 1))) + 1
-        m = 2 * largest * (100 - percent) // (100 + percent) + 1 + SPARE
+    for band, largest in _bands(n, percent):
+        m = 2 * largest * (100 - percent) // (100 + percent) + 1
+        more = SPARE + m // SPARE_PART
+        m += more
         edge = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(s, edge), [n]])
         full = np.diff(at) > 0
-        if m - full.sum() > SPARE:
+        empty = m - int(full.sum())
+        if empty > more:
             full[:] = True
         with np.errstate(over="ignore"):
             sig = total[at[1:]] - total[at[:-1]]
-            key = (sig ^ np.uint64(band * 0x1F123BB5)) * np.uint64(0xD6E8FEB86659FD93) + np.arange(m, dtype=np.uint64) * np.uint64(0xCA5A826395121157)
+            key = (sig ^ np.uint64((band + 1) * 0x1F123BB5)) * np.uint64(0xD6E8FEB86659FD93) + np.arange(m, dtype=np.uint64) * np.uint64(0xCA5A826395121157)
             key = key ^ (key >> np.uint64(32))
-        out.append(key[full])
-    return np.unique(np.concatenate(out)).view(np.int64)
+        out.append(key[full].view(np.int64))
+        spare.append(more - empty)
+    return out, spare
 
 
 def _points(k: int, percent: int):
     def run(texts: pd.Series) -> pd.DataFrame:
-        n, node, keys = [], [], []
+        n, node, bands, vec, extra = [], [], [], [], []
         for text in texts:
             s = shingle_set(text, k)
             n.append(len(s))
+            count = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+            vec.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+            extra.append(int(np.maximum(count - 255, 0).sum()))
             if len(s):
                 node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                keys.append(directory_keys(s, percent))
+                keys, spare = directory_keys(s, percent)
+                bands.append([{"keys": k, "spare": v} for k, v in zip(keys, spare, strict=True)])
             else:
                 node.append(None)
-                keys.append(None)
-        return pd.DataFrame({"n": n, "node": pd.array(node, "Int64"), "keys": keys})
+                bands.append(None)
+        return pd.DataFrame({"n": n, "node": pd.array(node, "Int64"), "bands": bands, "vec": vec, "extra": extra})
 
     return run
 
@@ -198,6 +221,87 @@ def _block_links(percent: int):
     return run
 
 
+def _families(points: DataFrame, percent: int) -> DataFrame:
+    """(node, root): classes connected by shared keys and bounds that reach the threshold.
+
+    Common passages give keys that many unlike classes share. Each class leaves
+    out as many of its most common keys as the guarantee spares; the rarest key
+    that two similar classes share is never among them. Within the buckets of
+    the other keys the bounds decide.
+
+    The keys are shuffled once, for the aggregate and for the join with it. A
+    class has hundreds of keys, so a key that many classes share stays a small
+    part of all rows. Large buckets are cut into blocks, which meet in pairs.
+    """
+    spark = points.sparkSession
+    banded = points.where("size(bands) > 0").select("node", F.posexplode("bands").alias("band", "b"))
+    keyed = banded.select("node", "band", F.col("b.spare").alias("spare"), F.explode("b.keys").alias("key"))
+    packed = keyed.select("node", "key", (F.col("spare") * 2 + F.col("band")).alias("tag")).repartition("key")
+    shared = packed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a < z").select("key", "n")
+    met, met_path = stored_at(packed.join(shared, "key").distinct())
+    common = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("n"), "key"))
+    kept, kept_path = stored_at(met.withColumn("common", common).where(F.col("common") > F.shiftright("tag", 1)).select("node", "key").distinct())
+    buckets = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_POINTS).cast("int").alias("n_blocks"))
+    slices = max(1, kept.count() // SLICE)
+    part = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(slices))).otherwise(F.col("key"))
+    placed = kept.join(buckets, "key").withColumns({"part": part, "block": F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")})
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "part", "key", "n_blocks", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
+    )
+    vectors = points.where("size(bands) > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("extra").alias("extra"))
+    near = paired.join(vectors, "node").groupBy("part", F.col("n_blocks") > 1, "bi", "bj").applyInPandas(_bucket_edges(percent), "a long, b long")
+    family = connected_components(near)
+    removed(spark, met_path, kept_path)
+    return family
+
+
+def _bucket_edges(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+        node, key, mine, size, extra = (pdf[c].to_numpy(np.int64) for c in ("node", "key", "block", "n", "extra"))
+        vec = np.stack([np.frombuffer(v, np.uint8) for v in pdf["vec"]])
+        few, found = [], []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            bound = np.minimum(vec[i], vec[j]).sum(-1, dtype=np.int64) + np.minimum(extra[i], extra[j])
+            ok = _reaches(bound, size[i], size[j], percent)
+            found.append((i[ok], j[ok]))
+
+        order = np.argsort(key, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            a = rows[mine[rows] == bi]
+            b = a if bi == bj else rows[mine[rows] == bj]
+            if len(a) * len(b) < 1024:
+                i, j = np.triu_indices(len(a), 1) if bi == bj else np.indices((len(a), len(b))).reshape(2, -1)
+                few.append((a[i], b[j]))
+            else:
+                for x in range(len(a)):
+                    right = b[x + 1 :] if bi == bj else b
+                    keep(np.full(len(right), a[x]), right)
+        if few:
+            i, j = (np.concatenate(v) for v in zip(*few, strict=True))
+            for at in range(0, len(i), 16384):
+                keep(i[at : at + 16384], j[at : at + 16384])
+        up, name = {}, node.tolist()
+
+        def root(x: int) -> int:
+            while (p := up.get(x, x)) != x:
+                up[x] = up.get(p, p)
+                x = p
+            return x
+
+        links = []
+        for i, j in found:
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                rx, ry = root(name[x]), root(name[y])
+                if rx != ry:
+                    up[max(rx, ry)] = min(rx, ry)
+                    links.append((name[x], name[y]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -211,15 +315,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(text_col).alias("th"))
-    point = made(F.col("text"), _points(k, percent), "n long, node long, keys array<long>")
-    points = stored(rows.select("doc_id", "th", point.alias("p")).select("doc_id", "th", "p.*"))
+    point = made(F.col("text"), _points(k, percent), "n long, node long, bands array<struct<keys:array<long>,spare:int>>, vec binary, extra long")
+    found, path = stored_at(rows.select("doc_id", "th", point.alias("p")).select("doc_id", "th", "p.*"))
+    points = stored(found.drop("bands", "vec", "extra"))
     classes = (
         points.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
     )
-    keyed = points.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    star = keyed.join(shared, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    family = connected_components(star)
+    family = _families(found, percent)
+    removed(spark, path)
     sized = family.join(classes.select("node", "rep", "n"), "node")
     blocks = sized.groupBy("root").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_POINTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
@@ -254,19 +357,18 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Texts without words are all kept; of rows that repeat an id and its text one stays.
     Rows with a null id stay only if their whole group has none.
     """
-    comp = jaccard_components(docs, k, percent, id_col, text_col)
+    comp = stored(jaccard_components(docs, k, percent, id_col, text_col))
     gone = (
         comp.where("n_shingles > 0 and (doc_id <> component_id or doc_id is null and component_id is not null)")
         .select(F.col("doc_id").alias("_gone"))
         .distinct()
     )
-    once = Window.partitionBy(id_col, F.md5(text_col)).orderBy(id_col)
-    return (
-        docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-        .withColumn("_copy", F.row_number().over(once))
-        .where(F.col("_copy") == 1)
-        .drop("_copy")
-    )
+    left = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    often = comp.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_often"))
+    if often.isEmpty():
+        return left
+    many = docs[id_col].eqNullSafe(F.col("_often"))
+    return left.join(often, many, "left_anti").unionByName(left.join(often, many, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
