@@ -178,17 +178,15 @@ def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str
     Rows that repeat id, source and text are one document here.
     """
     plan = mix_plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), "_th", "_source", "shards").distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
-    once = keyed.join(
-        plan,
-        keyed[id_col].cast("long").eqNullSafe(plan["_id"]) & keyed["_text_hash"].eqNullSafe(plan["_th"]) & keyed[source_col].eqNullSafe(plan["_source"]),
-    ).withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_th", "_source").orderBy(F.lit(0))))
-    out = once.where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns], "_id", "_th", F.posexplode("shards").alias("_pass", "_shard"))
-    n = options.get("shards", 16)
-    return (
-        out.repartition(n, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 2), "_id", "_th", "_pass")).select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    plan = plan.select(F.col("doc_id").alias("__mix_id"), F.col("_th").alias("__mix_th"), F.col("_source").alias("__mix_source"), F.col("shards").alias("__mix_shards")).distinct()
+    keyed = docs.withColumn("__mix_hash", F.xxhash64(F.col(text_col)))
+    same = keyed[id_col].cast("long").eqNullSafe(plan["__mix_id"]) & keyed["__mix_hash"].eqNullSafe(plan["__mix_th"]) & keyed[source_col].eqNullSafe(plan["__mix_source"])
+    each = Window.partitionBy("__mix_id", "__mix_th", "__mix_source").orderBy(F.lit(0))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = keyed.join(plan, same).withColumn("__mix_copy", F.row_number().over(each)).where(F.col("__mix_copy") == 1)
+    out = once.select(*columns, "__mix_id", "__mix_th", F.posexplode("__mix_shards").alias("__mix_pass", "__mix_shard"))
+    place = F.xxhash64(F.lit(seed + 2), "__mix_id", "__mix_th", "__mix_pass")
+    return out.repartition(options.get("shards", 16), "__mix_shard").sortWithinPartitions("__mix_shard", place).select(*columns)
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
