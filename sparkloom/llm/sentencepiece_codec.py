@@ -34,8 +34,10 @@ from ._shared import made
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 96
+#: Characters of the words that advance together.
+MATRIX = 100_000
 #: Distinct words that a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 _P = np.uint64(0x100000001B3)
 _SPREAD, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(47)
 _NONE, _ODD = -1, -2
@@ -103,10 +105,11 @@ class PieceModel:
         self.tied = None
         if not self.unigram:
             self._merge_trees(own)
-        self.remembered: dict[str, list[int]] = {}
+        self._forget()
 
     def __getstate__(self):
-        return self.__dict__ | {"remembered": {}}  # workers start afresh
+        fresh = {"remembered": {}, "flat": [np.empty(0, np.int32)], "counts": [np.empty(0, np.int64)]}
+        return self.__dict__ | fresh  # workers start afresh
 
     @staticmethod
     def _prefix(code: np.ndarray) -> np.ndarray:
@@ -222,8 +225,8 @@ class PieceModel:
             open_ = open_[~early & (undo_l | undo_r)]
         return apart
 
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Segmentations of words of one length."""
+    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Segmentations of words of one length: numbers of pieces, and all pieces word by word."""
         code = _codes(words)
         n, size = code.shape
         h = self._prefix(code)
@@ -231,32 +234,34 @@ class PieceModel:
         spans = [np.empty((0, 0), np.int32)] + [self._find(h[:, k:] - h[:, : size + 1 - k] * self.power[k]) for k in range(1, longest + 1)]
         last = np.full((n, size + 1), _NONE, np.int64)
         step = np.zeros((n, size + 1), np.int16)
-        best = np.zeros((n, size + 1)) if self.unigram else None
+        best = np.zeros((n, size + 1), np.float32) if self.unigram else None
         for end in range(1, size + 1):
             if self.unigram:
                 self._best_sum(spans, code, best, last, step, end)
             else:
                 self._admissible(spans, code, last, step, end)
-        out: list[list[int]] = [[] for _ in words]
-        at = np.full(n, size, np.int64)
-        rows = np.arange(n)
+        # backpointers, all words at once: pieces and how many from the end they are
+        at, rows = np.full(n, size, np.int64), np.arange(n)
+        of, piece, place = [], [], []
         while len(rows):
             here = at[rows]
-            for r, v in zip(rows.tolist(), last[rows, here].tolist(), strict=True):
-                out[r].append(v)
+            of.append(rows), piece.append(last[rows, here]), place.append(np.full(len(rows), len(place)))
             at[rows] = here = here - step[rows, here]
             rows = rows[here > 0]
-        for x in out:
-            x.reverse()
-        return out
+        of, piece, place = (np.concatenate(x) for x in (of, piece, place))
+        order = np.lexsort((-place, of))
+        return np.bincount(of, minlength=n), piece[order]
 
     def _best_sum(self, spans, code, best, last, step, end: int) -> None:
-        """Unigram: the piece with the best sum of scores up to ``end``; a character without a piece costs 10 more than any."""
-        lowest = self.lowest
+        """Unigram: the piece with the best sum of scores up to ``end``; a character without a piece costs 10 more than any.
+
+        Of equal sums the longer last piece wins; sums are single precision, as the library's.
+        """
+        lowest, score = np.float32(self.lowest), self.score.astype(np.float32)
         best[:, end] = -np.inf
-        for k in range(1, min(end, self.longest) + 1):
+        for k in range(min(end, self.longest), 0, -1):
             piece = spans[k][:, end - k]
-            gain = np.where(piece == _NONE, lowest if k == 1 else -np.inf, self.score[piece])
+            gain = np.where(piece == _NONE, lowest if k == 1 else np.float32(-np.inf), score[piece])
             value = best[:, end - k] + gain
             better = value > best[:, end]
             best[better, end], step[better, end] = value[better], k
@@ -287,8 +292,7 @@ class PieceModel:
                     break
 
     def _finished(self, ids: list[int]) -> list[int]:
-        if min(ids) >= 0:
-            return ids
+        """Ids with characters without a piece as bytes, or as one unknown piece a run."""
         out: list[int] = []
         for i in ids:
             if i >= 0:
@@ -299,18 +303,40 @@ class PieceModel:
                 out.append(self.unknown)
         return out
 
+    def _remember(self, words: list[str], count: np.ndarray, ids: np.ndarray) -> None:
+        if (ids < 0).any():
+            word = np.repeat(np.arange(len(words)), count)
+            odd = np.zeros(len(words), bool)
+            odd[word[ids < 0]] = True
+            start = np.cumsum(count) - count
+            for w in np.flatnonzero(odd):
+                done = np.array(self._finished(ids[start[w] : start[w] + count[w]].tolist()), np.int64)
+                self._remember([words[w]], np.array([len(done)]), done)
+            words = [w for w, o in zip(words, odd.tolist(), strict=True) if not o]
+            count, ids = count[~odd], ids[~odd[word]]
+        first = len(self.remembered)
+        self.remembered.update(zip(words, range(first, first + len(words)), strict=True))
+        self.flat.append(ids.astype(np.int32))
+        self.counts.append(count)
+
+    def _forget(self) -> None:
+        self.remembered, self.flat, self.counts = {}, [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+
     def _learn(self, words: set[str]) -> None:
         by_size: dict[int, list[str]] = {}
         for w in words:
             if self.unigram or len(w) <= LONG and not (self.tied and self.tied.search(w)):
                 by_size.setdefault(len(w), []).append(w)
             else:
-                self.remembered[w] = self._finished(self._merged(w)[0])
-        for group in by_size.values():
-            for a in range(0, len(group), 16384):
-                part = group[a : a + 16384]
-                for w, ids in zip(part, self._viterbi(part), strict=True):
-                    self.remembered[w] = self._finished(ids)
+                ids = np.array(self._merged(w)[0], np.int64)
+                self._remember([w], np.array([len(ids)]), ids)
+        for size, group in by_size.items():
+            rows = max(64, MATRIX // size)
+            for a in range(0, len(group), rows):
+                part = group[a : a + rows]
+                self._remember(part, *self._viterbi(part))
+        self.flat, self.counts = [np.concatenate(self.flat)], [np.concatenate(self.counts)]
+        self.starts = np.cumsum(self.counts[0]) - self.counts[0]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text, as the library gives them; no ids for null or empty texts."""
@@ -320,11 +346,19 @@ class PieceModel:
             here.update(words)
         new = here.difference(self.remembered)
         if len(new) + len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
+            self._forget()
             new = here
-        self._learn(new)
-        ids_of = self.remembered.__getitem__
-        return [np.fromiter(chain.from_iterable(map(ids_of, words)), np.int32) for words in split]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.remembered.__getitem__, chain.from_iterable(split)), np.int64)
+        ends = np.cumsum([0, *map(len, split)])
+        if not len(at):
+            return [np.empty(0, np.int32) for _ in texts]
+        size, first = self.counts[0][at], self.starts[at]
+        stop = np.cumsum(size)
+        ids = self.flat[0][np.arange(stop[-1]) + np.repeat(first - (stop - size), size)]
+        cuts = np.concatenate([[0], stop])[ends]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -336,7 +370,7 @@ def load(path: str = MODEL) -> PieceModel:
         return PieceModel(f.read())
 
 
-def _batches(texts: list, limit: int = 2_000_000) -> Iterator[slice]:
+def _batches(texts: list, limit: int = 1_000_000) -> Iterator[slice]:
     """Slices of at most ``limit`` characters, or one text."""
     start = total = 0
     for i, t in enumerate(texts):
@@ -358,13 +392,12 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(series: pd.Series) -> pd.DataFrame:
-        m, texts, out = shared.value, series.to_list(), []
+    def run(series: pd.Series) -> Iterator[pd.DataFrame]:
+        m, texts = shared.value, series.to_list()
         for part in _batches(texts):
             ids = m.encode(texts[part])
             back = [None if t is None else m.decode(i.tolist()) == t for t, i in zip(texts[part], ids, strict=True)]
-            out += zip(ids, map(len, ids), back, strict=True)
-        return pd.DataFrame(out, columns=["ids", "n_ids", "round_trip"])
+            yield pd.DataFrame({"ids": ids, "n_ids": [len(i) for i in ids], "round_trip": back})
 
     found = made(F.col(text_col), run, "ids array<int>, n_ids long, round_trip boolean")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("_found")).select("doc_id", "_found.*")
