@@ -1,6 +1,6 @@
 import numpy as np
 
-from sparkloom.llm.vector_dedup import Codes, near_vectors
+from sparkloom.llm.vector_dedup import FOUND, Codes, bucket_keys, key_plan, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, node string, copies int"
 
@@ -43,3 +43,31 @@ def test_estimates_are_unbiased_and_bounded():
     off = ~np.eye(len(x), dtype=bool)
     assert abs((estimate - true)[off].mean()) < 0.01
     assert (np.abs(estimate - true) <= 4 * c.error[:, None] + 1e-9)[off].mean() > 0.999
+
+
+def pairs_at(cosine, n, dim, seed):
+    """``n`` unit vectors and their partners at exactly ``cosine``."""
+    r = np.random.default_rng(seed)
+    a, b = r.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def test_long_keys_keep_recall():
+    a, b = pairs_at(0.95, 3000, 64, 3)
+    for wanted in (20, 28, 31, 40):  # 31 is for about 1e8 rows, 30 GB of 64 floats
+        bits, tables = key_plan(wanted, 0.95, 40)
+        assert bits == wanted
+        met = np.concatenate([(bucket_keys(a[i : i + 500], tables, bits, 7) == bucket_keys(b[i : i + 500], tables, bits, 7)).any(1) for i in range(0, 3000, 500)])
+        assert met.mean() >= FOUND - 0.004, (bits, tables, met.mean())
+    assert key_plan(18, 0.95, 40) == (18, 40) and key_plan(40, 1.0, 40) == (40, 40)
+    assert key_plan(31, 0.5, 40)[0] < 31
+
+
+def test_long_keys_find_pairs(spark):
+    a, b = pairs_at(0.951, 300, 64, 5)
+    rows = [(i, [float(v) for v in x], "", 0) for i, x in enumerate(np.concatenate([a, b]))]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA), bits=31).where("n_links > 0").count()
+    assert got >= 0.97 * 600
