@@ -37,3 +37,9 @@ def test_walks_stay_in_reach(spark, sf_dir):
     again = {r.node: r.visits for r in graph.random_walks(edges, ROOT, walks=200, steps=4).collect()}
     near = {r.node for r in graph.reach(edges, _roots(spark), "forward", depth=4).collect()} | {ROOT}
     assert seen == again and set(seen) <= near and seen[ROOT] >= 200
+
+
+def test_log_shows_newest(spark, tmp_path):
+    events = spark.range(999_900, 1_000_200).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 7 AS user_id", "'view' AS event_type", "0.0D AS value", "'{}' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.id for r in QUERIES["log_projection"](spark, str(tmp_path)).collect()) == list(range(1_000_100, 1_000_200))
