@@ -47,8 +47,8 @@ TYPES = (
     ("ipv6", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     ("name", rf"(?<!\p{{L}})(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s{_NAME}(?:\s{_NAME})?"),
 )
-#: A text without any of these has no entity.
-_HINT = rf"[0-9]{{3}}|@|[=:]|PRIVATE KEY|[0-9a-fA-F]{{32}}|(?<!\p{{L}})(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s"
+#: A text without any of these has no entity: each type's pattern needs one of them.
+_HINT = rf"[0-9]{{3}}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|@|[=:]|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|sk-|[0-9a-fA-F]{{32}}|(?<!\p{{L}})(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s"
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
 
 #: Names for surrogates, by script and gender.
