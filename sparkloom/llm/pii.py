@@ -16,6 +16,9 @@ Equal entities get equal surrogates everywhere, as they depend on the key and
 the entity alone. A corpus-wide check then looks for surrogates that two
 entities share or that are entities of the corpus themselves; such entities are
 drawn again, with the number of the attempt in the key, until none is left.
+Surnames get longer with each attempt, so there are enough of them. The other
+types keep their format; where the corpus itself fills one, so that an entity
+still collides after many attempts, an error names it.
 
 The main path scans texts twice, shuffles distinct entities only, and replaces
 inside the row. Repeatedly drawn entities, normally none, are joined back by row.
@@ -166,7 +169,13 @@ def _surname(word: Column, script: str, key: Column, attempt: Column) -> Column:
     base = F.concat_ws("|", key, F.lower(word))
     one = F.concat(_pick(stems, _number(base)), _pick(ends, _number(base, 13)))
     two = F.concat(_pick(stems, _number(base, 25)), _pick(ends, _number(base, 37)))
-    return _let(F.when(attempt == 0, one).otherwise(F.concat(one, F.lit("-"), two)), lambda n: F.when(word == F.upper(word), F.upper(n)).otherwise(n))
+
+    def more(i: Column) -> Column:
+        further = F.concat_ws("|", base, i.cast("string"))
+        return F.concat(F.lit("-"), _pick(stems, _number(further)), _pick(ends, _number(further, 13)))
+
+    longer = F.when(attempt > 1, F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(attempt, F.lit(2))), more), "")).otherwise("")
+    return _let(F.when(attempt == 0, one).otherwise(F.concat(one, F.lit("-"), two, longer)), lambda n: F.when(word == F.upper(word), F.upper(n)).otherwise(n))
 
 
 def _name_words(e: Column) -> Column:
@@ -214,12 +223,12 @@ def found_entities(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0))
 
 
-def drawn_again(docs: DataFrame, key: str, text_col: str, most: int = 20) -> DataFrame:
-    """(entity, attempt): the entities whose first surrogate collides, with an attempt that doesn't."""
+def drawn_again(docs: DataFrame, key: str, text_col: str, most: int = 100) -> DataFrame:
+    """(entity, attempt): the entities whose first surrogate collides, with an attempt that doesn't; an error if ``most`` attempts leave a collision."""
     entities = stored(docs.select(F.explode(found_entities(F.col(text_col))).alias("entity")).distinct())
     state = entities.withColumn("attempt", F.lit(0))
     again = None
-    for _ in range(most):
+    for tried in range(most + 1):
         drawn = stored(state.withColumn("new", surrogate(F.col("entity"), key, F.col("attempt"))))
         real = drawn.join(entities.select(F.col("entity").alias("new")), "new", "left_semi").select("entity")
         kept = drawn.groupBy("new").agg(F.min("entity").alias("keeps"), F.count("*").alias("n")).where("n > 1")
@@ -227,6 +236,9 @@ def drawn_again(docs: DataFrame, key: str, text_col: str, most: int = 20) -> Dat
         bad = stored(real.unionByName(shared).distinct())
         if bad.isEmpty():
             break
+        if tried == most:
+            kinds = sorted(r[0] for r in bad.select(entity_type(F.col("entity"))).distinct().collect())
+            raise ValueError(f"no surrogates of their own for some entities after {most} attempts: {', '.join(kinds)}")
         state = drawn.join(bad.withColumn("bad", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
         again = state = stored(state)
     return (again if again is not None else state).where("attempt > 0")

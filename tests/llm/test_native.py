@@ -159,3 +159,15 @@ def test_entity_alone(spark, entity):
     df = spark.createDataFrame([(1, f"the thing {entity} here")], "doc_id long, text string")
     assert df.select(pii.found_entities(F.col("text"))).first()[0] == [entity]
     assert entity not in pii.with_surrogates(df).first().text
+
+
+def test_names_never_run_out(spark):
+    word = F.translate(F.format_string("%05d", F.col("id")), "0123456789", "абвгдежзик")
+    df = spark.range(12000).select("id", F.concat(F.lit("Г-н Я"), word).alias("text"))
+    assert pii.with_surrogates(df, text_col="text").select("text").distinct().count() == 12000
+
+
+def test_full_format_is_an_error(spark):
+    df = spark.range(26).select("id", F.concat(F.chr(F.col("id") + 97), F.lit("@example.com")).alias("text"))
+    with pytest.raises(ValueError, match="email"):
+        pii.drawn_again(df, "k", "text", most=2)
