@@ -72,6 +72,17 @@ def made(column: Column, make: Callable[[pd.Series], pd.DataFrame | Iterator[pd.
     return F.pandas_udf(run, schema)(column)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores before them until they differ from all columns of ``df``, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small, iterated table."""
     shared_dir(df.sparkSession)

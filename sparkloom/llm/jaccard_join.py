@@ -8,110 +8,153 @@ the upper corners of two boxes bounds every pair of points in them, so an
 R-tree over the points discards boxes and pairs before any set is compared.
 
 A tree over all points can't be shared out: boxes of unlike texts don't prune.
-Its top level is therefore a directory with an exact guarantee. Two sets whose
-similarity reaches the threshold differ in at most d shingles; dealt into more
-than d groups by hash range, some group is the same in both, and with spare
-groups several are, so that each class may leave out those that are empty and
-its most common ones. Classes that share a group's signature (within a band of
-sizes) meet in a bucket; those whose bound reaches the threshold belong to one
-family, so links never leave a family. Each family is indexed and joined by itself, large ones
-in pairs of blocks of bounded size. Links that would join what is already
-connected are not verified again.
+Its top level is therefore a directory with an exact guarantee. A union is at
+least as large as the larger set, so two sets of a similarity of percent/100
+overlap in percent/100 of either at least; under any order of all shingles,
+that both share, they have one in common among the first n - ceil(percent * n /
+100) + 1 of each. The order puts rare shingles first, by counts over all texts
+in a table of fixed size; a count that is too high through hash collisions
+changes the cost, never the result. Classes with a directory key in common meet
+in a bucket; of keys that the very same classes share one is enough. Those whose
+bound reaches the threshold belong to one family, so links never leave a family.
+Each family is indexed and joined by itself, large ones in pairs of blocks of
+bounded size. Unless links are to be counted, pairs that are already connected
+are not verified again.
 
 Signatures and shingles are 64-bit hashes; apart from collisions of these the
-join is exact. Skew: copies collapse into classes before the join, families
-are cut into blocks, and every grouping ahead of that is a partial aggregate.
+join is exact. Skew: each task sends the keys of a class once, however many of
+its rows repeat it, so a class arrives as often as there are tasks at most;
+large buckets and families are cut into blocks; everything else that is grouped
+is a partial aggregate, and joins are such that Spark can split a hot key.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, made, removed, shingle_set, stored, stored_at
+from ._shared import connected_components, removed, shingle_set, stored, stored_at, unused
 
 #: Hash groups of a point; its coordinates.
 GROUPS = 256
-#: Spare groups beyond the d + 1 that the guarantee needs, and one more for each so many: that many may be empty or common.
-SPARE, SPARE_PART = 2, 12
+#: Counters in each of the two rows of the table of counts, as a power of two; slices in which it travels; tables added up by a task.
+COUNTER_BITS, SLICES, FAN_IN = 16, 32, 256
 #: Rows of small buckets that share a task's group, about.
 SLICE = 2000
-#: Ratio of the sizes between which a level lies; over 100/percent for the thresholds in use.
-LEVEL = 1.6
 #: Points of a tree leaf, and leaves of an inner box.
 FANOUT = 16
 #: Points and shingles of a block at most (a single point may exceed the latter).
 BLOCK_POINTS, BLOCK_SHINGLES = 512, 1 << 21
 
+_POINTS = pa.schema(
+    [("doc_id", pa.int64()), ("th", pa.string()), ("n", pa.int64()), ("node", pa.int64()), ("vec", pa.binary()), ("extra", pa.int64()), ("task", pa.int64()), ("slice", pa.int64()), ("counts", pa.binary())]
+)
 
-def _bands(n: int, percent: int) -> list[tuple[int, int]]:
-    """(band, largest size in it) of the bands of a set of ``n``: its own, and the one below if it reaches into it.
 
-    A band starts where its level does and ends 100/percent beyond the level's
-    end, so two sets within the threshold always share one.
-    """
-    level, out = int(math.log(n) / math.log(LEVEL)), []
-    for band in (level - 1, level):
-        largest = LEVEL ** (band + 1) * 100 / percent * (1 + 1e-9)
-        if band == level or n <= largest:
-            out.append((band, int(largest) + 1))
-    return out
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def directory_keys(s: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[int]]:
-    """For each band of the set its keys, and how many of them may be common and left out.
+def _counters(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of every shingle in either row of the table."""
+    return (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), (s & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)
 
-    Two sets whose similarity reaches ``percent`` share a key that is not
-    common, unless in both more are common than may be; then they share a key
-    of all.
-    """
+
+def directory_keys(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The keys of a set: as many of its rarest shingles as the guarantee asks for; none if only an equal set can be similar."""
     n = len(s)
-    if (n + n * 100 / percent) * (100 - percent) / (100 + percent) < 1:
-        return [], []  # too small to be like any other set
-    out, spare = [], []
-    total = np.concatenate([[np.uint64(0)], np.cumsum(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)), dtype=np.uint64)])
-    for band, largest in _bands(n, percent):
-        m = 2 * largest * (100 - percent) // (100 + percent) + 1
-        more = SPARE + m // SPARE_PART
-        m += more
-        edge = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
-        at = np.concatenate([[0], np.searchsorted(s, edge), [n]])
-        full = np.diff(at) > 0
-        empty = m - int(full.sum())
-        if empty > more:
-            full[:] = True
-        with np.errstate(over="ignore"):
-            sig = total[at[1:]] - total[at[:-1]]
-            key = (sig ^ np.uint64((band + 1) * 0x1F123BB5)) * np.uint64(0xD6E8FEB86659FD93) + np.arange(m, dtype=np.uint64) * np.uint64(0xCA5A826395121157)
-            key = key ^ (key >> np.uint64(32))
-        out.append(key[full].view(np.int64))
-        spare.append(more - empty)
-    return out, spare
-
-
-def _points(k: int, percent: int):
-    def run(texts: pd.Series) -> pd.DataFrame:
-        n, node, bands, vec, extra = [], [], [], [], []
-        for text in texts:
-            s = shingle_set(text, k)
-            n.append(len(s))
-            count = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
-            vec.append(np.minimum(count, 255).astype(np.uint8).tobytes())
-            extra.append(int(np.maximum(count - 255, 0).sum()))
-            if len(s):
-                node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                keys, spare = directory_keys(s, percent)
-                bands.append([{"keys": k, "spare": v} for k, v in zip(keys, spare, strict=True)])
-            else:
-                node.append(None)
-                bands.append(None)
-        return pd.DataFrame({"n": n, "node": pd.array(node, "Int64"), "bands": bands, "vec": vec, "extra": extra})
+    if 100 * n < percent * (n + 1):
+        return s[:0]
+    a, b = _counters(s)
+    return s[np.argsort(np.minimum(counts[0, a], counts[1, b]), kind="stable")[: n - -(-percent * n // 100) + 1]]
+
+
+def _points(k: int):
+    """A row for every text, and behind them the task's table of counts, slice by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << COUNTER_BITS), np.int64)
+        for batch in batches:
+            n, node, vec, extra = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text, k)
+                for row, at in zip(counts, _counters(s), strict=True):
+                    np.add.at(row, at, 1)
+                count = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                n.append(len(s))
+                node.append(_node(s) if len(s) else None)
+                vec.append(np.minimum(count, 255).astype(np.uint8).tobytes() if len(s) else None)
+                extra.append(int(np.maximum(count - 255, 0).sum()))
+            none = [None] * len(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("th"), *(pa.array(x, f.type) for x, f in zip((n, node, vec, extra, none, none, none), list(_POINTS)[2:], strict=True))], schema=_POINTS
+            )
+        task, none = TaskContext.get().partitionId(), [None] * SLICES
+        parts = [x.tobytes() for x in counts.reshape(SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((*[none] * 6, [task] * SLICES, range(SLICES), parts), _POINTS, strict=True)], schema=_POINTS)
+
+    return run
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
+    return pd.DataFrame({"task": [int(pdf["task"].iloc[0]) // FAN_IN], "slice": [int(pdf["slice"].iloc[0])], "counts": [total.tobytes()]})
+
+
+def _count_table(found: DataFrame) -> np.ndarray:
+    """Counts over all texts: the tasks' tables added up, ``FAN_IN`` at a time; a table of fixed size reaches the driver."""
+    tables = found.where("slice is not null").select("task", "slice", "counts")
+    tasks = int(tables.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        tables = tables.groupBy("slice", F.expr(f"task div {FAN_IN}")).applyInPandas(_added, "task long, slice long, counts binary")
+        tasks = -(-tasks // FAN_IN)
+        tables = stored(tables) if tasks > 1 else tables
+    out = np.zeros((SLICES, (2 << COUNTER_BITS) // SLICES), np.int64)
+    for r in tables.collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(2, -1)
+
+
+def _keys(k: int, percent: int, counts):
+    """(node, key) of every class that a task meets, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, keys = [], []
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text, k)
+                if len(s) and (node := _node(s)) not in seen:
+                    seen.add(node)
+                    keys.append(directory_keys(s, percent, counts.value))
+                    nodes.append(np.full(len(keys[-1]), node, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "key"])
+
+    return run
+
+
+def _texts_once(k: int):
+    """(node, text) of every class that a task meets, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, at = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                s = shingle_set(text, k)
+                if len(s) and (node := _node(s)) not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text").take(pa.array(at, pa.int64()))], names=["node", "text"])
 
     return run
 
@@ -189,15 +232,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _block_links(percent: int):
+def _block_links(percent: int, every: bool):
+    """Links between two blocks of a family: a spanning forest (a, b) and, if ``every`` pair is verified, (a, null, copies of the classes linked with it)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
         bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        node = pdf["node"].to_numpy(np.int64)
+        node, copies = pdf["node"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         mine = pdf["block"].to_numpy()
         left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-        links: list[tuple[int, int]] = []
+        tree: list[tuple[int, int]] = []
+        linked = np.zeros(len(node), np.int64)
         if len(left) and len(right) and len(node) > 1:
             ta = CountTree([sets[x] for x in left])
             tb = ta if bi == bj else CountTree([sets[x] for x in right])
@@ -213,42 +258,47 @@ def _block_links(percent: int):
                 for at in np.argsort(-bound, kind="stable"):
                     x, y = left[i[at]], right[j[at]]
                     rx, ry = root(x), root(y)
-                    if rx != ry and _reaches(overlap(sets[x], sets[y]), len(sets[x]), len(sets[y]), percent):
-                        up[max(rx, ry)] = min(rx, ry)
-                        links.append((node[x], node[y]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+                    if (every or rx != ry) and _reaches(overlap(sets[x], sets[y]), len(sets[x]), len(sets[y]), percent):
+                        linked[x] += copies[y]
+                        linked[y] += copies[x]
+                        if rx != ry:
+                            up[max(rx, ry)] = min(rx, ry)
+                            tree.append((node[x], node[y]))
+        has = np.flatnonzero(linked) if every else np.empty(0, np.int64)
+        return pd.DataFrame({
+            "a": np.concatenate([np.array([x for x, _ in tree], np.int64), node[has]]), "b": pd.array([y for _, y in tree] + [None] * len(has), "Int64"),
+            "links": np.concatenate([np.zeros(len(tree), np.int64), linked[has]]),
+        })
 
     return run
 
 
-def _families(points: DataFrame, percent: int) -> DataFrame:
-    """(node, root): classes connected by shared keys and bounds that reach the threshold.
+def _families(keys: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(node, root): classes connected by directory keys and bounds that reach the threshold.
 
-    Common passages give keys that many unlike classes share. Each class leaves
-    out as many of its most common keys as the guarantee spares; the rarest key
-    that two similar classes share is never among them. Within the buckets of
-    the other keys the bounds decide.
-
-    The keys are shuffled once, for the aggregate and for the join with it. A
-    class has hundreds of keys, so a key that many classes share stays a small
-    part of all rows. Large buckets are cut into blocks, which meet in pairs.
+    Most keys belong to one class and go with the first aggregate. Copies of a
+    text differ in a few shingles, so most of their keys have the same classes;
+    one key stands for all of those. Large buckets are cut into blocks, which
+    meet in pairs.
     """
     spark = points.sparkSession
-    banded = points.where("size(bands) > 0").select("node", F.posexplode("bands").alias("band", "b"))
-    keyed = banded.select("node", "band", F.col("b.spare").alias("spare"), F.explode("b.keys").alias("key"))
-    packed = keyed.select("node", "key", (F.col("spare") * 2 + F.col("band")).alias("tag")).repartition("key")
-    shared = packed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a < z").select("key", "n")
-    met, met_path = stored_at(packed.join(shared, "key").distinct())
-    common = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("n"), "key"))
-    kept, kept_path = stored_at(met.withColumn("common", common).where(F.col("common") > F.shiftright("tag", 1)).select("node", "key").distinct())
-    buckets = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_POINTS).cast("int").alias("n_blocks"))
+    keys, keys_path = stored_at(keys)
+    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key")
+    met, met_path = stored_at(keys.join(shared, "key"))
+    removed(spark, keys_path)
+    h = F.xxhash64("node")
+    sums = (F.sum(F.shiftright(h, 32)).alias("h1"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("h2"))
+    alike = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("z"), *sums)
+    chosen = alike.groupBy("n", "a", "z", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    kept, kept_path = stored_at(met.join(chosen, "key").distinct())
+    buckets = kept.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK_POINTS).cast("int").alias("n_blocks"))
     slices = max(1, kept.count() // SLICE)
     part = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(slices))).otherwise(F.col("key"))
     placed = kept.join(buckets, "key").withColumns({"part": part, "block": F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")})
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "part", "key", "n_blocks", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     )
-    vectors = points.where("size(bands) > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("extra").alias("extra"))
+    vectors = points.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("extra").alias("extra"))
     near = paired.join(vectors, "node").groupBy("part", F.col("n_blocks") > 1, "bi", "bj").applyInPandas(_bucket_edges(percent), "a long, b long")
     family = connected_components(near)
     removed(spark, met_path, kept_path)
@@ -302,73 +352,89 @@ def _bucket_edges(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+def _joined(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, count_links: bool) -> DataFrame:
+    """(doc_id, th, n_shingles, root, component_id, n_links) for every row.
 
-    Two rows link when the Jaccard similarity of their shingle sets is at least
-    ``percent``/100; component_id is the smallest doc_id that links reach.
-    Null and word-free texts have no shingles, link with nothing and are their
-    own component. Repeated rows stay and share a component. Rows with a null id
-    link like others; the component takes the smallest id that is not null.
-    Other columns are ignored, so their names can't clash. An empty table gives
-    an empty result.
+    th is the digest of the text, root stands for the component (null without
+    shingles), n_links is null unless counted.
     """
+    if not 0 < percent <= 100:
+        raise ValueError("percent lies above 0, up to 100")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(text_col).alias("th"))
-    point = made(F.col("text"), _points(k, percent), "n long, node long, bands array<struct<keys:array<long>,spare:int>>, vec binary, extra long")
-    found, path = stored_at(rows.select("doc_id", "th", point.alias("p")).select("doc_id", "th", "p.*"))
-    points = stored(found.drop("bands", "vec", "extra"))
-    classes = (
-        points.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    )
-    family = _families(found, percent)
-    removed(spark, path)
-    sized = family.join(classes.select("node", "rep", "n"), "node")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("th"))
+    found, path = stored_at(rows.mapInArrow(_points(k), "doc_id long, th string, n long, node long, vec binary, extra long, task long, slice long, counts binary"))
+    counts = spark.sparkContext.broadcast(_count_table(found))
+    points = found.where("slice is null")
+    classes = points.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    texts = docs.select(F.col(text_col).alias("text"))
+    family = _families(texts.mapInArrow(_keys(k, percent, counts), "node long, key long"), points, percent)
+    sized = stored(family.join(classes.select("node", "n", "copies"), "node"))
     blocks = sized.groupBy("root").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_POINTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
     )
-    members = (
-        sized.join(blocks, "root")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-        .select("root", "node", "n_blocks", "block", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
-    )
-    texts = members.join(rows, (F.col("rep_th") == F.col("th")) & F.col("rep_id").eqNullSafe(F.col("doc_id")))
-    sets = texts.select("root", "node", "n_blocks", "block", "text").mapInPandas(
-        _sets(k), "root long, node long, n_blocks int, block int, shingles binary"
-    )
+    members = sized.join(blocks, "root").select("root", "node", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
+    own = ("root", "copies", "n_blocks", "block")
+    first = texts.mapInArrow(_texts_once(k), "node long, text string").join(members, "node").groupBy("node").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in own])
+    sets = first.select("root", "node", "copies", "n_blocks", "block", "text").mapInPandas(_sets(k), "root long, node long, copies long, n_blocks int, block int, shingles binary")
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "root", "node", "block", "shingles", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
+        "root", "node", "copies", "block", "shingles", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     )
-    links = paired.groupBy("root", "bi", "bj").applyInPandas(_block_links(percent), "a long, b long")
-    linked = connected_components(links)
+    links = stored(paired.groupBy("root", "bi", "bj").applyInPandas(_block_links(percent, count_links), "a long, b long, links long"))
+    linked = connected_components(links.where("b is not null").select("a", "b"))
     least = linked.join(classes, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    lone = classes.join(linked, "node", "left_anti").select("node", F.col("least").alias("component_id"))
-    component = linked.join(least, "root").select("node", "component_id").unionByName(lone)
-    return (
-        points.select("doc_id", "n", "node")
-        .join(component, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    others = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    each = classes.join(linked, "node", "left").join(least, "root", "left").join(others, "node", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1 if count_links else F.lit(None).cast("long")
+    each = stored(each.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id"), n_links.alias("n_links")))
+    out = stored(
+        points.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(each, "node", "left").select(
+            "doc_id", "th", "n_shingles", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.when(F.col("node").isNull(), F.lit(0) if count_links else F.lit(None)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        )
+    )
+    removed(spark, path)
+    return out
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest id.
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``; with ``count_links`` also n_links, the number of other rows it links with.
 
-    Texts without words are all kept; of rows that repeat an id and its text one stays.
-    Rows with a null id stay only if their whole group has none.
+    Two rows link when the Jaccard similarity of their shingle sets is at least
+    ``percent``/100, for any percent above 0; component_id is the smallest
+    doc_id that links reach. Null and word-free texts have no shingles, link
+    with nothing and are their own component. Repeated rows stay and share a
+    component. Rows with a null id link like others; the component takes the
+    smallest id that is not null. Texts of any length count in whole; one very
+    long text is a block by itself. Other columns are ignored, so their names
+    can't clash. An empty table gives an empty result.
     """
-    comp = stored(jaccard_components(docs, k, percent, id_col, text_col))
-    gone = (
-        comp.where("n_shingles > 0 and (doc_id <> component_id or doc_id is null and component_id is not null)")
-        .select(F.col("doc_id").alias("_gone"))
-        .distinct()
-    )
-    left = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    often = comp.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_often"))
-    if often.isEmpty():
-        return left
-    many = docs[id_col].eqNullSafe(F.col("_often"))
-    return left.join(often, many, "left_anti").unionByName(left.join(often, many, "left_semi").dropDuplicates([id_col, text_col]))
+    out = _joined(docs, k, percent, id_col, text_col, count_links)
+    return out.select("doc_id", "n_shingles", "component_id", *["n_links"] * count_links)
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id, of several with this id the one whose text has the smallest digest.
+
+    Rows are told apart by id and text, so rows of one id with unlike texts are
+    judged each by its own text. Texts without words are all kept; of rows that
+    repeat an id and its text one stays. Rows with a null id stay only if their
+    whole group has none. Other columns are kept, whatever their names; of
+    repeated rows that differ in other columns any one may stay. An empty table
+    gives an empty result.
+    """
+    comp = _joined(docs, k, percent, id_col, text_col, False).where("n_shingles > 0")
+    row_id, row_th, stay_id, stay_th = unused(docs, "row_id", "row_th", "stay_id", "stay_th")
+    named = (F.col("doc_id").alias(stay_id), F.col("th").alias(stay_th))
+    stays = comp.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("best")).select("best.*").select(*named)
+    often = comp.groupBy("doc_id", "th").agg(F.count("*").alias("rows")).where("rows > 1").select(*named)
+    keyed = docs.withColumns({row_id: F.col(id_col).cast("long"), row_th: F.md5(F.col(text_col))})
+    same = F.col(row_id).eqNullSafe(F.col(stay_id)) & (F.col(row_th) == F.col(stay_th))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    wordless = docs.where(~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    kept = keyed.join(stays, same, "left_semi")
+    if not often.isEmpty():
+        kept = kept.join(often, same, "left_anti").unionByName(kept.join(often, same, "left_semi").dropDuplicates([row_id, row_th]))
+    return kept.select(*columns).unionByName(wordless.select(*columns))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm._shared import connected_components, shingle_set
-from sparkloom.llm.jaccard_join import CountTree, directory_keys, drop_near_copies, jaccard_components, overlap, tree_pairs
+from sparkloom.llm import jaccard_join
+from sparkloom.llm.jaccard_join import COUNTER_BITS, CountTree, _count_table, _keys, _points, directory_keys, drop_near_copies, jaccard_components, overlap, tree_pairs
 
 
 def brute(rows, k, percent):
@@ -60,26 +62,55 @@ def test_equals_brute_force(spark, k, percent, seed):
     assert got == sorted(brute(rows, k, percent))
 
 
-def shared(a, b):
-    """Whether the worst choice of common keys still leaves a shared one: more are shared, in some band, than either may leave out."""
-    return any(np.intersect1d(x, y).size > max(0, min(p, q)) for x, p in zip(*a) for y, q in zip(*b))
+@pytest.mark.parametrize("percent", [30, 50, 63])
+def test_low_thresholds(spark, percent):
+    rows = corpus(9, families=5, size=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_components(df, 3, percent).collect()) == sorted(brute(rows, 3, percent))
+
+
+def test_links_are_counted(spark):
+    rows = [(d, t) for d, t in corpus(4, families=4, size=10)] + [(500, corpus(4)[0][1]), (501, corpus(4)[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_components(df, 3, 80, count_links=True).collect()}
+    sets = [(d, set(shingle_set(t, 3).tolist())) for d, t in rows]
+    for d, s in sets:
+        assert got[d] == sum(bool(s and o) and 100 * len(s & o) >= 80 * len(s | o) for e, o in sets if e != d)
 
 
 def test_keys_guarantee():
+    """Sets within the threshold share a key, whatever the counts that order the shingles."""
     r = np.random.default_rng(3)
     for _ in range(400):
-        n = int(r.integers(9, 400))
+        n = int(r.integers(1, 400))
         a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-        for percent in (80, 90):
+        counts = r.integers(0, 5, (2, 1 << COUNTER_BITS))
+        for percent in (40, 80, 90):
             b = a.copy()
-            for _ in range(int(r.integers(1, n))):
+            for _ in range(int(r.integers(1, n + 1))):
                 c = np.unique(np.concatenate([np.delete(b, r.integers(len(b))), r.integers(0, 1 << 63, int(r.integers(0, 3)), dtype=np.uint64) * np.uint64(2)]))
                 o = overlap(a, c)
-                if 100 * o < percent * (len(a) + len(c) - o):
+                if not len(c) or 100 * o < percent * (len(a) + len(c) - o):
                     break
                 b = c
             if len(a) != overlap(a, b) or len(a) != len(b):
-                assert shared(directory_keys(a, percent), directory_keys(b, percent))
+                assert np.intersect1d(directory_keys(a, percent, counts), directory_keys(b, percent, counts)).size
+
+
+def test_copies_send_their_keys_once(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(i, text) for i in range(10000)], "doc_id long, text string").coalesce(4)
+    keys = df.select("text").mapInArrow(_keys(5, 80, spark.sparkContext.broadcast(np.zeros((2, 1 << COUNTER_BITS), np.int64))), "node long, key long")
+    assert keys.count() <= 4 * (296 - 237 + 1)
+    assert jaccard_components(df).where("component_id = 0 and n_shingles = 296").count() == 10000 and drop_near_copies(df).count() == 1
+
+
+def test_counts_add_up_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FAN_IN", 3)
+    rows = corpus(1)
+    found = spark.createDataFrame(rows, "doc_id long, text string").repartition(11).withColumn("th", F.lit("")).mapInArrow(
+        _points(3), "doc_id long, th string, n long, node long, vec binary, extra long, task long, slice long, counts binary")
+    assert (_count_table(found).sum(1) == sum(len(shingle_set(t, 3)) for _, t in rows)).all()
 
 
 def test_tree_bound_loses_no_pair():
@@ -108,3 +139,18 @@ def test_components(spark):
     random.Random(2).shuffle(chain)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_ids_with_unlike_texts(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(3, a), (5, a), (5, b), (None, b + " x"), (None, "only null ids here"), (None, "only null ids here"), (6, None), (6, "")]
+    df = spark.createDataFrame([(*r, 0, 1, 2) for r in rows], "doc_id long, text string, stay_id int, `_often` int, `Row_TH` int")
+    out = drop_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted([("3", a), ("5", b), ("None", "only null ids here"), ("6", "None"), ("6", "")])
+
+
+def test_very_long_text(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:199_000])), (3, "w1 w2 w3 w4 w5 w6")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(df).collect()) == [(1, 1), (2, 1), (3, 3)]
