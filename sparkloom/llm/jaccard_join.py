@@ -141,22 +141,16 @@ def _keys(k: int, percent: int, counts):
     return run
 
 
-def _texts_once(k: int):
-    """(node, text) of every class that a task meets, once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            nodes, at = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                s = shingle_set(text, k)
-                if len(s) and (node := _node(s)) not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    at.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text").take(pa.array(at, pa.int64()))], names=["node", "text"])
-
-    return run
+def _texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(th, text) of every text that a task meets, once."""
+    seen: set[str] = set()
+    for batch in batches:
+        at = []
+        for i, th in enumerate(batch.column("th").to_pylist()):
+            if th not in seen:
+                seen.add(th)
+                at.append(i)
+        yield batch.take(pa.array(at, pa.int64()))
 
 
 def _sets(k: int):
@@ -299,7 +293,7 @@ def _families(keys: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         "part", "key", "n_blocks", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     )
     vectors = points.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("extra").alias("extra"))
-    near = paired.join(vectors, "node").groupBy("part", F.col("n_blocks") > 1, "bi", "bj").applyInPandas(_bucket_edges(percent), "a long, b long")
+    near = paired.join(vectors.hint("merge"), "node").groupBy("part", F.col("n_blocks") > 1, "bi", "bj").applyInPandas(_bucket_edges(percent), "a long, b long")
     family = connected_components(near)
     removed(spark, met_path, kept_path)
     return family
@@ -365,17 +359,18 @@ def _joined(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
     found, path = stored_at(rows.mapInArrow(_points(k), "doc_id long, th string, n long, node long, vec binary, extra long, task long, slice long, counts binary"))
     counts = spark.sparkContext.broadcast(_count_table(found))
     points = found.where("slice is null")
-    classes = points.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = points.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("th").alias("th"))
     texts = docs.select(F.col(text_col).alias("text"))
     family = _families(texts.mapInArrow(_keys(k, percent, counts), "node long, key long"), points, percent)
-    sized = stored(family.join(classes.select("node", "n", "copies"), "node"))
+    sized = stored(family.join(classes.select("node", "n", "copies", "th"), "node"))
     blocks = sized.groupBy("root").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_POINTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
     )
-    members = sized.join(blocks, "root").select("root", "node", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
-    own = ("root", "copies", "n_blocks", "block")
-    first = texts.mapInArrow(_texts_once(k), "node long, text string").join(members, "node").groupBy("node").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in own])
-    sets = first.select("root", "node", "copies", "n_blocks", "block", "text").mapInPandas(_sets(k), "root long, node long, copies long, n_blocks int, block int, shingles binary")
+    members = sized.join(blocks, "root").select("root", "node", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"), "th")
+    own = ("root", "node", "copies", "n_blocks", "block")
+    once = rows.where("th is not null").select("th", "text").mapInArrow(_texts_once, "th string, text string")
+    first = once.join(members.hint("merge"), "th").groupBy("th").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in own])
+    sets = first.select(*own, "text").mapInPandas(_sets(k), "root long, node long, copies long, n_blocks int, block int, shingles binary")
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "root", "node", "copies", "block", "shingles", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     )
