@@ -14,11 +14,17 @@ Entities are found by one pattern. Each gets a keyed surrogate of its own type:
 
 Equal entities get equal surrogates everywhere, as they depend on the key and
 the entity alone. A corpus-wide check then looks for surrogates that two
-entities share or that are entities of the corpus themselves; such entities are
-drawn again, with the number of the attempt in the key, until none is left.
-Surnames get longer with each attempt, so there are enough of them. The other
-types keep their format; where the corpus itself fills one, so that an entity
-still collides after many attempts, an error names it.
+entities share or that are entities of the corpus themselves, and draws again
+until none is left. What is drawn again is a unit: a surname, which Mr. Smith,
+Dr. SMITH and Mr. John Smith share and so change alike; a given name before one
+surname; or any other entity as a whole. The unit's attempt is in its key. Names
+get longer with each attempt, so there are enough of them. The other types keep
+their format; where the corpus itself fills one, so that an entity still
+collides after many attempts, an error names it.
+
+Repeated groups and runs of the patterns are bounded (64 characters of a mail's
+local part, 11 labels of a host, 16,384 characters of a private key), so that no
+text, whatever its length, exhausts the stack or takes quadratic time.
 
 The main path scans texts twice, shuffles distinct entities only, and replaces
 inside the row. Repeatedly drawn entities, normally none, are joined back by row.
@@ -31,14 +37,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import stored, unused
 
 _FEMALE, _MALE, _EITHER = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Señorita|Г-жа", "Mr|Herr|Monsieur|Señor|Sr|Г-н", "Dr|Prof"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
 #: Type and pattern; of several at one place the first wins.
 TYPES = (
-    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"),
-    ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+"),
+    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]{0,16384}?-----END [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("email", r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?){1,10}"),
     ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/=.]{8,}"),
     ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b"),
     ("hex_key", r"\b(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,128}\b"),
@@ -164,39 +170,64 @@ def _pick(names, number: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in names]), F.pmod(number, F.lit(len(names))).cast("int"))
 
 
+def _longer(base: Column, attempt: Column, more) -> Column:
+    """``more`` of the keys of the second to the last attempt, joined."""
+    return F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.concat(F.lit("-"), more(F.concat_ws("|", base, i.cast("string"))))), "")).otherwise("")
+
+
+def _cased(new: Column, word: Column) -> Column:
+    return _let(new, lambda n: F.when(word == F.upper(word), F.upper(n)).otherwise(n))
+
+
 def _surname(word: Column, script: str, key: Column, attempt: Column) -> Column:
     stems, ends = SURNAME[script]
+    one = lambda k: F.concat(_pick(stems, _number(k)), _pick(ends, _number(k, 13)))
     base = F.concat_ws("|", key, F.lower(word))
-    one = F.concat(_pick(stems, _number(base)), _pick(ends, _number(base, 13)))
-    two = F.concat(_pick(stems, _number(base, 25)), _pick(ends, _number(base, 37)))
+    return _cased(F.concat(one(base), _longer(base, attempt, one)), word)
 
-    def more(i: Column) -> Column:
-        further = F.concat_ws("|", base, i.cast("string"))
-        return F.concat(F.lit("-"), _pick(stems, _number(further)), _pick(ends, _number(further, 13)))
 
-    longer = F.when(attempt > 1, F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(attempt, F.lit(2))), more), "")).otherwise("")
-    return _let(F.when(attempt == 0, one).otherwise(F.concat(one, F.lit("-"), two, longer)), lambda n: F.when(word == F.upper(word), F.upper(n)).otherwise(n))
+def _given(word: Column, script: str, female: Column, key: Column, attempt: Column) -> Column:
+    one = lambda k: _let(_number(k), lambda n: F.when(female, _pick(GIVEN[script, "f"], n)).otherwise(_pick(GIVEN[script, "m"], n)))
+    base = F.concat_ws("|", key, F.lower(word))
+    return _cased(F.concat(one(base), _longer(base, attempt, one)), word)
 
 
 def _name_words(e: Column) -> Column:
     return F.split(F.regexp_replace(e, rf"^(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s", ""), r"\s")
 
 
-def _name(e: Column, key: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(e, r"^\S+\s", 0)
+def _is_name(e: Column) -> Column:
+    return e.rlike(rf"^(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s{_NAME}(?:\s{_NAME})?$")
+
+
+def _one_case(word: Column) -> Column:
+    return F.when(word == F.upper(word), F.initcap(word)).otherwise(word)
+
+
+def units(e: Column) -> Column:
+    """What is drawn again where the surrogate of ``e`` collides: its surname and its given name (or null), or the entity and null."""
+
+    def of_words(words: Column) -> Column:
+        surname, first = _one_case(F.element_at(words, -1)), _one_case(F.get(words, F.lit(0)))
+        return F.array(F.concat(F.lit("s|"), surname), F.when(F.size(words) > 1, F.concat(F.lit("g|"), surname, F.lit("|"), first)))
+
+    return F.when(_is_name(e), _let(_name_words(e), of_words)).otherwise(F.array(F.concat(F.lit("e|"), e), F.lit(None).cast("string")))
+
+
+def _name(e: Column, key: Column, attempt: Column, given_attempt: Column) -> Column:
+    title, between = F.regexp_extract(e, r"^\S+\s", 0), F.regexp_extract(e, r"^\S+\s\S+(\s)", 1)
 
     def of_words(words: Column, script: str) -> Column:
         first = F.get(words, F.lit(0))
-        female = e.rlike(rf"^(?:{_FEMALE})\.?\s") | (~e.rlike(rf"^(?:{_MALE})\.?\s") & first.rlike("[aа]$"))
-        number = _number(F.concat_ws("|", key, first))
-        given = F.when(female, _pick(GIVEN[script, "f"], number)).otherwise(_pick(GIVEN[script, "m"], number))
-        return F.concat(title, F.when(F.size(words) > 1, F.concat(given, F.lit(" "))).otherwise(""), _surname(F.element_at(words, -1), script, key, attempt))
+        female = e.rlike(rf"^(?:{_FEMALE})\.?\s") | (~e.rlike(rf"^(?:{_MALE})\.?\s") & first.rlike("[aAаА]$"))
+        given = F.when(F.size(words) > 1, F.concat(_given(first, script, female, key, given_attempt), between)).otherwise("")
+        return F.concat(title, given, _surname(F.element_at(words, -1), script, key, attempt))
 
     return F.when(e.rlike(r"\p{IsCyrillic}"), _let(_name_words(e), lambda w: of_words(w, "cyrillic"))).otherwise(_let(_name_words(e), lambda w: of_words(w, "latin")))
 
 
-def surrogate(entity: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of ``entity`` at the given attempt."""
+def surrogate(entity: Column, key: str, attempt: Column, given_attempt: Column | None = None) -> Column:
+    """The surrogate of ``entity`` at the given attempts of its units."""
 
     def of(s: Column) -> Column:
         e, kind, k = s["e"], s["kind"], F.concat_ws("|", F.lit(key), s["kind"], s["attempt"].cast("string"))
@@ -207,7 +238,7 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
             .when(kind == "card", _card(e, k))
             .when(kind == "phone", _after(e, r"^(\+[0-9]{1,3}(?=[ .\-(]))?", lambda x: scrambled(x, k)))
             .when(kind == "ipv4", _ipv4(e, k))
-            .when(kind == "name", _name(e, k, s["attempt"]))
+            .when(kind == "name", _name(e, F.lit(f"{key}|name"), s["attempt"], s["given"]))
             .when(kind.isin("hex_key", "ipv6"), scrambled(e, k, hexadecimal=True))
             .when(kind == "access_key", _after(e, r"^(AKIA|ASIA|gh[pousr]_|sk-)", lambda x: scrambled(x, k)))
             .when(kind == "iban", _after(e, r"^[A-Z]{2}", lambda x: scrambled(x, k)))
@@ -216,7 +247,8 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
             .otherwise(scrambled(e, k))
         )
 
-    return _let(F.struct(entity.alias("e"), entity_type(entity).alias("kind"), attempt.alias("attempt")), of)
+    given = F.lit(0) if given_attempt is None else given_attempt
+    return _let(F.struct(entity.alias("e"), entity_type(entity).alias("kind"), attempt.alias("attempt"), given.alias("given")), of)
 
 
 def found_entities(text: Column) -> Column:
@@ -224,31 +256,36 @@ def found_entities(text: Column) -> Column:
 
 
 def drawn_again(docs: DataFrame, key: str, text_col: str, most: int = 100) -> DataFrame:
-    """(entity, attempt): the entities whose first surrogate collides, with an attempt that doesn't; an error if ``most`` attempts leave a collision."""
+    """(unit, attempt): the units of entities whose first surrogate collides, with an attempt that doesn't; an error if ``most`` attempts leave a collision."""
     entities = stored(docs.select(F.explode(found_entities(F.col(text_col))).alias("entity")).distinct())
-    state = entities.withColumn("attempt", F.lit(0))
-    again = None
+    own = units(F.col("entity"))
+    state = entities.select("entity", F.get(own, F.lit(0)).alias("u"), F.get(own, F.lit(1)).alias("v"), F.lit(0).alias("a"), F.lit(0).alias("b"))
     for tried in range(most + 1):
-        drawn = stored(state.withColumn("new", surrogate(F.col("entity"), key, F.col("attempt"))))
-        real = drawn.join(entities.select(F.col("entity").alias("new")), "new", "left_semi").select("entity")
-        kept = drawn.groupBy("new").agg(F.min("entity").alias("keeps"), F.count("*").alias("n")).where("n > 1")
-        shared = drawn.join(kept, "new").where("entity <> keeps").select("entity")
+        drawn = stored(state.withColumn("new", surrogate(F.col("entity"), key, F.col("a"), F.col("b"))))
+        real = drawn.join(entities.select(F.col("entity").alias("new")), "new", "left_semi").select("entity", F.col("u").alias("unit"))
+        kept = drawn.groupBy("new").agg(F.min(F.struct("entity", "u")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
+        # within one surname the given names are drawn again, else the surname or the whole entity
+        again = F.when(F.col("v").isNotNull() & (F.col("u") == F.col("keeps.u")), F.col("v")).otherwise(F.col("u"))
+        shared = drawn.join(kept, "new").where("entity <> keeps.entity").select("entity", again.alias("unit"))
         bad = stored(real.unionByName(shared).distinct())
         if bad.isEmpty():
             break
         if tried == most:
             kinds = sorted(r[0] for r in bad.select(entity_type(F.col("entity"))).distinct().collect())
             raise ValueError(f"no surrogates of their own for some entities after {most} attempts: {', '.join(kinds)}")
-        state = drawn.join(bad.withColumn("bad", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
-        again = state = stored(state)
-    return (again if again is not None else state).where("attempt > 0")
+        more = bad.select("unit").distinct()
+        moved = drawn.join(more.select(F.col("unit").alias("u"), F.lit(1).alias("more_a")), "u", "left").join(more.select(F.col("unit").alias("v"), F.lit(1).alias("more_b")), "v", "left")
+        state = moved.select("entity", "u", "v", (F.col("a") + F.coalesce("more_a", F.lit(0))).alias("a"), (F.col("b") + F.coalesce("more_b", F.lit(0))).alias("b"))
+    both = drawn.select(F.col("u").alias("unit"), F.col("a").alias("attempt")).unionByName(drawn.select(F.col("v").alias("unit"), F.col("b").alias("attempt")))
+    return both.where("attempt > 0").distinct()
 
 
 def replaced(text: Column, attempts: Column, key: str) -> Column:
-    """``text`` with surrogates; ``attempts`` maps entities to attempts over 0, or is null."""
+    """``text`` with surrogates; ``attempts`` maps units to attempts over 0, or is null."""
 
     def of(e: Column) -> Column:
-        return surrogate(e, key, F.coalesce(F.element_at(attempts, e), F.lit(0)))
+        tried = lambda i: F.coalesce(F.element_at(attempts, F.get(units(e), F.lit(i))), F.lit(0))
+        return surrogate(e, key, tried(0), tried(1))
 
     def later(t: Column, e: Column) -> Column:
         name, other = F.element_at(_name_words(e), -1), F.element_at(_name_words(of(e)), -1)
@@ -264,21 +301,21 @@ def replaced(text: Column, attempts: Column, key: str) -> Column:
 
 
 def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns kept, with the entities of ``text_col`` replaced.
+    """``docs``, all columns kept whatever their names, with the entities of ``text_col`` replaced.
 
-    Null and empty texts, and texts without entities, stay as they are.
-    Repeated rows stay and change alike. An empty table gives an empty result.
+    Null and empty texts, and texts without entities, stay as they are. Texts
+    of any length are scanned in whole. Repeated rows stay and change alike. An
+    empty table gives an empty result.
     """
     again = drawn_again(docs, key, text_col)
-    none = F.lit(None).cast("map<string,int>")
     if again.isEmpty():
-        return docs.withColumn(text_col, replaced(F.col(text_col), none, key))
-    hit = (
-        docs.select(F.col(text_col).alias("_text")).where(F.size(found_entities(F.col("_text"))) > 0).select(F.md5("_text").alias("_th"), F.explode(F.array_distinct(found_entities(F.col("_text")))).alias("entity"))
-        .distinct().join(again, "entity").groupBy("_th").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_attempts"))
-    )
-    joined = docs.withColumn("_key", F.md5(F.col(text_col))).join(hit, F.col("_key") == F.col("_th"), "left")
-    return joined.withColumn(text_col, replaced(F.col(text_col), F.col("_attempts"), key)).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return docs.withColumn(text_col, replaced(F.col(text_col), F.lit(None).cast("map<string,int>"), key))
+    digest, own, attempts = unused(docs, "digest", "own_digest", "attempts")
+    found = docs.select(F.md5(F.col(text_col)).alias(own), found_entities(F.col(text_col)).alias("entities")).where(F.size("entities") > 0)
+    each = found.select(own, F.explode(F.array_distinct(F.flatten(F.transform("entities", units)))).alias("unit")).where("unit is not null").distinct()
+    hit = each.join(again, "unit").groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias(attempts))
+    joined = docs.withColumn(digest, F.md5(F.col(text_col))).join(hit, F.col(digest) == F.col(own), "left")
+    return joined.withColumn(text_col, replaced(F.col(text_col), F.col(attempts), key)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -171,3 +171,127 @@ def test_full_format_is_an_error(spark):
     df = spark.range(26).select("id", F.concat(F.chr(F.col("id") + 97), F.lit("@example.com")).alias("text"))
     with pytest.raises(ValueError, match="email"):
         pii.drawn_again(df, "k", "text", most=2)
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 50_000 + "com", "ab" * 50_000, "0123456789abcdef" * 8_000, "1234567890" * 10_000, "a-" * 50_000 + "@b", "x@" + "-" * 100_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 3_000, "+1 " * 30_000, "Mr " * 30_000])
+def test_long_runs_neither_crash_nor_hang(spark, text):
+    df = spark.createDataFrame([(1, text), (2, f"{text} joe@gmail.com")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.with_surrogates(df).collect()}
+    assert "joe@gmail" not in out[2]
+
+
+def test_forms_of_a_name_stay_together(spark):
+    """Many surnames, so that some collide and are drawn again; every form of one gets the same new one, and unlike given names differ."""
+    name = F.initcap(F.translate(F.format_string("%03d", F.col("id")), "0123456789", "abcdefghij"))
+    df = spark.range(900).select("id", F.concat(F.lit("Mr. "), name, F.lit(" and Dr. "), F.upper(name), F.lit(" and Mr. John "), name, F.lit(", Mr. James "), name, F.lit("; "), name, F.lit(" came")).alias("text"))
+    rows = [re.fullmatch(r"Mr\. (\S+) and Dr\. (\S+) and Mr\. (\S+) (\S+), Mr\. (\S+) (\S+); (\S+) came", r.text).groups() for r in pii.with_surrogates(df, text_col="text").collect()]
+    assert len({r[0] for r in rows}) == 900 and any("-" in r[0] for r in rows)
+    assert all(r[0] == r[3] == r[5] == r[6] and r[1] == r[0].upper() and r[2] != r[4] for r in rows)
+
+
+def plain_surrogates(text, key="surrogates"):
+    """A plain version of first attempts, type by type."""
+    import hashlib
+
+    import regex
+
+    sha = lambda x, n=256: hashlib.new(f"sha{n}", x.encode()).hexdigest()
+    num = lambda x, at=1: int(sha(x)[at - 1 : at + 11], 16)
+
+    def shift(part, stream, hexa):
+        out = ""
+        for i, c in enumerate(part):
+            k = int(stream[2 * (i % 32) : 2 * (i % 32) + 2], 16) + i
+            for first, n, of in (("0", 10, "0-9"), ("a", 6 if hexa else 26, "a-f" if hexa else "a-z"), ("A", 6 if hexa else 26, "A-F" if hexa else "A-Z")):
+                if re.fullmatch(f"[{of}]", c):
+                    c = chr(ord(first) + (ord(c) - ord(first) + k) % n)
+                    break
+            out += c
+        return out
+
+    def scramble(e, k, hexa=False):
+        half = -(-len(e) // 2)
+        a, b = e[:half], e[half:]
+        for i in range(1, 5):
+            a, b = b, shift(a, sha(f"{k}|{i}|{b}"), hexa)
+        return a + b
+
+    def luhn(d):
+        return -sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(d[::-1])) % 10
+
+    def card(e, k):
+        plain = lambda x: re.sub("[^0-9]", "", x)
+        off = int(e[-1]) - luhn(plain(e[:-1]))
+        new = scramble(e[:-1], k)
+        return new + str((luhn(plain(new)) + off) % 10)
+
+    def ipv4(e, k):
+        p = [int(x) for x in e.split(".")]
+        a, b = p[0] * 256 + p[1], p[2] * 256 + p[3]
+        for i in range(1, 5):
+            a, b = b, (a + num(f"{k}|{i}|{b}")) % 65536
+        return ".".join(str(x) for v in (a, b) for x in divmod(v, 256))
+
+    def email(e, k):
+        local, domain = e.rsplit("@", 1)[0], e.rsplit("@", 1)[1].lower()
+        kept = re.search(r"(^|\.)example\.(com|net|org)$|\.(test|example|invalid)$", domain)
+        return scramble(local, f"{k}|{domain}") + "@" + (domain if kept else scramble(domain.replace(".", "-"), k) + ".example.com")
+
+    def person(e):
+        k = f"{key}|name"
+        title, *words = re.split(r"\s", e)
+        script = "cyrillic" if regex.search(r"\p{IsCyrillic}", e) else "latin"
+        cased = lambda n, w: n.upper() if w == w.upper() else n
+        female = re.fullmatch(rf"(?:{pii._FEMALE})\.?", title) or (not re.fullmatch(rf"(?:{pii._MALE})\.?", title) and re.search("[aAаА]$", words[0]))
+        stems, ends = pii.SURNAME[script]
+        base = f"{k}|{words[-1].lower()}"
+        out = [cased(stems[num(base) % len(stems)] + ends[num(base, 13) % len(ends)], words[-1])]
+        if len(words) > 1:
+            pool = pii.GIVEN[script, "f" if female else "m"]
+            out = [cased(pool[num(f"{k}|{words[0].lower()}") % len(pool)], words[0]), *out]
+        return [title, *out]
+
+    types = [(t, regex.compile(p)) for t, p in pii.TYPES]
+    whole = regex.compile(pii.PATTERN)
+    found = [m.group() for m in whole.finditer(text)]
+
+    def one(e):
+        kind = next((t for t, p in types if p.fullmatch(e)), "secret")
+        k = f"{key}|{kind}|0"
+        after = lambda head, f: (h := regex.match(head, e).group()) + f(e[len(h) :])
+        keyed = lambda x: scramble(x, k, bool(re.fullmatch("[0-9a-fA-F]+", x)))
+        match kind:
+            case "email": return email(e, k)  # noqa: E701
+            case "card": return card(e, k)  # noqa: E701
+            case "ipv4": return ipv4(e, k)  # noqa: E701
+            case "phone": return after(r"(\+[0-9]{1,3}(?=[ .\-(]))?", lambda x: scramble(x, k))  # noqa: E701
+            case "hex_key" | "ipv6": return scramble(e, k, True)  # noqa: E701
+            case "access_key": return after("(AKIA|ASIA|gh[pousr]_|sk-)", lambda x: scramble(x, k))  # noqa: E701
+            case "iban": return after("[A-Z]{2}", lambda x: scramble(x, k))  # noqa: E701
+            case "secret": return after(r"[^=:]*[=:]\s{0,3}[\"']?", keyed)  # noqa: E701
+            case "private_key": return regex.match("-----BEGIN [A-Z ]*-----", e).group() + "\n" + sha(f"{k}|{e}", 512) + "\n" + regex.search("-----END [A-Z ]*-----$", e).group()  # noqa: E701
+            case "name": return re.match(r"\S+\s", e).group() + "".join(w + s for w, s in zip(person(e)[1:], [*re.findall(r"\s", e)[1:], ""]))  # noqa: E701
+        return scramble(e, k)
+
+    out = whole.sub(lambda m: one(m.group()), text)
+    for e in dict.fromkeys(e for e in found if regex.fullmatch(dict(pii.TYPES)["name"], e)):
+        out = regex.sub(rf"(?<![\p{{L}}\-]){re.split(chr(92) + 's', e)[-1]}(?![\p{{L}}\-])", re.split(r"\s", one(e))[-1], out)
+    return out
+
+
+def test_equals_plain_version(spark, sf_dir):
+    odd = ["Ms Ann LEE met Dr. Мария Иванова; LEE left", "ip 1.2.3.4 and fe80:a:b:c:d:e:f:a, GB12ABCDEFGHIJKL, 4111 1111 1111 1111", "pwd: deadbeefdeadbeef token = 'a_b-c/d+e'", "sk-" + "aBcDe" * 5 + " " + "deadbeef" * 4, "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    assert pii.drawn_again(docs, "surrogates", "text").isEmpty()
+    got = docs.withColumnRenamed("text", "old").join(pii.with_surrogates(docs), "doc_id").collect()
+    assert len(got) == docs.count() and sum(r.old != r.text for r in got) > len(odd)
+    for r in got:
+        assert r.text == plain_surrogates(r.old), r.doc_id
+
+
+def test_surrogates_keep_clashing_columns(spark):
+    schema = "doc_id long, text string, digest int, own_digest int, attempts int, _key int, entity int, unit int"
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr N"), F.translate(F.format_string("%03d", F.col("id")), "0123456789", "abcdefghij")).alias("text"), *[F.lit(i).alias(c.split()[0]) for i, c in enumerate(schema.split(", ")[2:])])
+    out = pii.with_surrogates(df)
+    assert out.columns == df.columns and out.select("text").distinct().count() == 600 and out.where("attempts <> 2 or digest <> 0").count() == 0
+    assert pii.with_surrogates(df.where("false")).count() == 0
