@@ -82,12 +82,35 @@ def test_chat_rotation(spark):
     ann = got[1, "ann", "0.0"]
     assert ann.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo < |im_end|><|im_end|>\n"
     assert [ann.text[m.start : m.end] for m in ann.mask] == ["hi<|im_end|>"]
-    assert {k for k in got if k[0] == 2} == {(2, "unknown", "0.0"), (2, "ann", "0.0"), (2, "unknown", "1.0"), (2, "ann", "1.0")}
+    assert {k for k in got if k[0] == 2} == {(2, "~unknown", "0.0"), (2, "ann", "0.0"), (2, "~unknown", "1.0"), (2, "ann", "1.0")}
     assert not [k for k in got if k[0] == 3] and (None, "x", "0.0") in got
-    hot = spark.createDataFrame([(9, 0, "u", f"t{i % 3000}") for i in range(3500)], "conv_id long, turn long, role string, text string")
-    parts = chat_format.rotated(hot).collect()
-    assert sum(r.n_turns for r in parts) == 3500 and max(r.n_turns for r in parts) < 2000
-    assert chat_format.rotated(hot.where("false")).count() == 0
+    assert chat_format.rotated(df.where("false")).count() == 0
+
+
+def test_speakers_stay_apart(spark):
+    roles = ["a b", "a_b", "a  b", "unknown", None, " ", "~unknown", "A b"]
+    df = spark.createDataFrame([(1, i, r, "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    assert chat_format.rotated(df).count() == 7  # null and blank are one
+
+
+def test_long_dialogues_join_in_order(spark):
+    """Pieces, joined in order, are the rendering of the whole; the SQL says the same."""
+    rows = [(9, i % 3 if i % 7 else None, ["ann", "bob", "system", "c d"][i % 4], f"t{i % 1500}" * (i % 5)) for i in range(5000)] + [(9, 300 + i, "ann", "x") for i in range(600)] + [(None, 1, "ann", "same")] * 2500 + [(4, 1, "ann", "long " * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = chat_format.rotated(df).collect()
+    name = {x: df.limit(1).select(chat_format._speaker(F.lit(x))).first()[0] for x in ("ann", "bob", "system", "c d")}
+    for conv in (9, None, 4):
+        own = sorted(((-1 if t is None else t // 256, t is not None, t or 0, name[r], x) for c, t, r, x in rows if c == conv))
+        for who in {r[3] for r in own} - {"system"}:
+            parts = sorted((r for r in got if r.conv_id == conv and r.perspective == who), key=lambda r: [int(x) for x in r.part.split(".")])
+            want = "".join(f"<|im_start|>{'assistant' if r == who else 'system' if r == 'system' else 'user name=' + r}\n{x}<|im_end|>\n" for _, _, _, r, x in own)
+            assert "".join(r.text for r in parts) == want and max(r.n_turns for r in parts) <= chat_format.PART_ROWS
+            assert [r.text[m.start : m.end] for r in parts for m in r.mask] == [f"{x}<|im_end|>" for _, _, _, r, x in own if r == who]
+    con = connect("/root/testdata/sf0.001")
+    con.execute("drop view conversations")
+    con.register("conversations", df.toPandas().astype({"turn": "Int64", "conv_id": "Int64"}))
+    written = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    same(chat_format.rotated(df).withColumn("mask", written), chat_format.OP4_SQL, con)
 
 
 def test_surrogates(spark):
