@@ -13,12 +13,18 @@ the leaves each shard has its exact quotas; the permuted blocks of a source are
 dealt out in that order, so shards get disjoint blocks. Within a shard
 documents are ordered by a keyed hash.
 
+Rows that repeat id, source and text are copies of one document. They are
+counted, and taken by number: up to ``COPIES`` of them form a unit that goes to
+a block as a whole, so that many copies spread over many blocks, and in the
+block in which the target is met as many copies are taken as still fit.
+
 Every draw of the tree is keyed by its node, so tasks expand their own shards
 from the root without communication and reruns agree. Tables: one row per
 source is all that reaches the driver. Blocks are bounded in words, so a source
 with a third of all documents is many blocks; sums per block are partial
-aggregates, running sums stream over the blocks of a source, and only the
-documents of a source's two last blocks are ordered one by one.
+aggregates, running sums stream over the blocks of a source (a row for every
+million words), and only the documents with words of a source's two last blocks
+are ordered one by one.
 """
 
 from __future__ import annotations
@@ -30,9 +36,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import stored, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Copies of a document that are drawn together, and those that one row unfolds into at once.
+COPIES, UNFOLD = 64, 1 << 16
+#: Words of an output shard, about, and the least number of shards.
+SHARD_WORDS, LEAST_SHARDS = 1 << 27, 16
 
 
 def word_count(text: Column) -> Column:
@@ -82,48 +92,51 @@ def split_quotas(quotas: np.ndarray, shards: int, first: int, last: int, seed: i
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one block, in keyed order, that still fit into ``room`` words."""
-    pdf = pdf.sort_values(["place", "doc_id", "th"], kind="stable", na_position="first")
-    room, take = int(pdf["room"].iloc[0]), np.zeros(len(pdf), bool)
-    for i, size in enumerate(pdf["size"].to_numpy()):
-        if size <= room:
-            take[i] = True
-            room -= size
-    rest = pdf["size"].where(~take)
-    if rest.notna().any() and rest.min() - room < room:  # one more comes nearer than none
-        take[int(np.argmin(rest.fillna(np.inf)))] = True
-    return pdf.assign(take=take)[["row", "round", "take"]]
-
-
-def mix_plan(
-    docs: DataFrame, share: float = 1.5, max_repeat: int = 2, weights=WEIGHTS, shards: int = 16, block_words: int = 1 << 20, seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, shards) for every row of ``docs``.
-
-    taken is copies times size: whole documents are taken, once per pass over
-    their source, never more than ``max_repeat`` times. ``shards`` lists the
-    shard of each copy. Null texts have size 0; documents without words are
-    taken with their block. A null source is a source of its own, ordered last.
-    Rows with equal id, source and text share their fate; a null id counts as
-    an id of its own. An empty table gives an empty result.
-    """
+    """Copies of the units of one block, in keyed order, that still fit into ``room`` words; one more if that comes nearer."""
+    pdf = pdf.sort_values(["place", "doc_id", "th", "chunk"], kind="stable", na_position="first")
+    room, size, held = int(pdf["room"].iloc[0]), pdf["size"].to_numpy(np.int64), pdf["held"].to_numpy(np.int64)
+    take = np.zeros(len(pdf), np.int64)
+    for i in range(len(pdf)):
+        take[i] = min(held[i], room // size[i])
+        room -= int(take[i]) * int(size[i])
+    rest = np.where(take < held, size, np.iinfo(np.int64).max)
+    least = int(np.argmin(rest))
+    if take[least] < held[least] and int(size[least]) - room < room:
+        take[least] += 1
+    return pdf.assign(take=take)[["unit", "round", "take"]]
+
+
+def _units(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, th, size, chunk, held, place): a row for every ``COPIES`` copies of a document; ``held`` of them."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("th"))
+    counted = rows.groupBy("doc_id", "source", "th", "size").agg(F.count("*").alias("copies"))
+    # two steps, so that no row unfolds into very many
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {UNFOLD * COPIES}")))
+    first = F.col("part") * UNFOLD
+    chunks = F.explode(F.sequence(first, F.least(first + UNFOLD - 1, F.expr(f"(copies - 1) div {COPIES}"))))
+    held = F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("chunk") * COPIES)
+    units = counted.withColumn("part", part).withColumn("chunk", chunks).withColumn("held", held)
+    return units.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "th", "chunk")).drop("part", "copies")
+
+
+def _drawn(
+    docs: DataFrame, share: float, max_repeat: int, weights, shards: int | None, block_words: int, seed: int, id_col: str, text_col: str, source_col: str
+) -> tuple[DataFrame, int]:
+    """Units with s, source_size, target and takes, an array of (round, take, shard); and the number of shards."""
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("th"),
-    ).withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "th"))
-    rows = stored(rows)
+    rows = stored(_units(docs, seed, id_col, text_col, source_col))
     sources = sorted(
-        rows.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass"))
+        rows.groupBy("source").agg(F.sum(F.col("size") * F.col("held")).alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass"))
     )
     sizes = [int(r["n"]) for r in sources]
     target = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), max_repeat)
+    shards = shards or max(LEAST_SHARDS, -(-round(sum(target)) // SHARD_WORDS))
     schema = "source string, s int, source_size long, target double, goal long, n_blocks long"
     table = spark.createDataFrame([(r["source"], i, sizes[i], target[i], round(target[i]), max(1, -(-sizes[i] // block_words))) for i, r in enumerate(sources)], schema)
     with_source = rows.withColumnRenamed("source", "_source").join(table, F.col("_source").eqNullSafe(F.col("source")))
     placed = with_source.withColumn("block", F.pmod(F.col("place"), F.col("n_blocks")))
     # permuted blocks of each source, and the words before each
-    blocks = placed.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("goal").alias("goal"), F.first("source_size").alias("source_size"))
+    blocks = placed.groupBy("s", "block").agg(F.sum(F.col("size") * F.col("held")).alias("words"), F.first("goal").alias("goal"), F.first("source_size").alias("source_size"))
     in_order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
     blocks = blocks.withColumn("start", F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
     blocks = blocks.withColumns({"start": F.coalesce("start", F.lit(0)), "at": F.row_number().over(in_order) - 1, "of": F.count("*").over(Window.partitionBy("s"))})
@@ -132,21 +145,44 @@ def mix_plan(
         rounds.where("room > 0").select("s", "block", "round", "words", "room", (F.col("round") * F.col("of") + F.col("at")).alias("turn"), (F.col("words") > F.col("room")).alias("last"))
     )
     shard = drawn_shards(drawn, len(sources), shards, seed)
-    # documents of whole blocks, and those of the last block that fit
-    whole = placed.join(drawn.where("not last").select("s", "block", "round"), ["s", "block"]).select("doc_id", "th", "place", "s", "block", "round", F.lit(True).alias("take"))
-    part = placed.join(drawn.where("last").select("s", "block", "round", "room"), ["s", "block"]).select("doc_id", "th", "place", "size", "s", "block", "round", "room").distinct()
-    part = part.withColumn("row", F.struct("doc_id", "th", "place", "s", "block"))
+    # all copies of whole blocks, and those of the last block that fit
+    unit = F.struct("doc_id", "th", "chunk", "s", "block")
+    whole = placed.join(drawn.where("not last").select("s", "block", "round"), ["s", "block"]).select(unit.alias("unit"), "round", F.col("held").alias("take"))
+    part = placed.where("size > 0").join(drawn.where("last").select("s", "block", "round", "room"), ["s", "block"])
+    part = part.select(unit.alias("unit"), "doc_id", "th", "chunk", "place", "size", "held", "s", "round", "room")
     # one block a source and round
-    fit = part.groupBy("s", "round").applyInPandas(_fill, "row struct<doc_id long, th long, place long, s int, block long>, round int, take boolean").where("take").select("row.*", "round", "take")
-    taken = whole.distinct().unionByName(fit).join(shard, ["s", "block", "round"])
-    taken = taken.groupBy("doc_id", "th", "s").agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    fit = part.groupBy("s", "round").applyInPandas(_fill, "unit struct<doc_id long, th long, chunk long, s int, block long>, round int, take long").where("take > 0")
+    taken = whole.unionByName(fit).select("unit.*", "round", "take").join(shard, ["s", "block", "round"])
+    taken = taken.groupBy("doc_id", "th", "chunk", "s").agg(F.sort_array(F.collect_list(F.struct("round", "take", "shard"))).alias("takes"))
     a, b = placed.alias("a"), taken.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.th").eqNullSafe(F.col("b.th")) & (F.col("a.s") == F.col("b.s"))
-    copies = F.coalesce("b.copies", F.lit(0))
-    return a.join(b, same, "left").select(
-        "a.doc_id", "a.size", "a.source_size", "a.target", (copies * F.col("a.size")).cast("long").alias("taken"), copies.cast("int").alias("copies"),
-        F.coalesce("b.shards", F.array().cast("array<int>")).alias("shards"), F.col("a.th").alias("_th"), F.col("a._source").alias("_source"),
-    )
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.th").eqNullSafe(F.col("b.th")) & (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.s") == F.col("b.s"))
+    takes = F.coalesce("b.takes", F.array().cast("array<struct<round:int,take:bigint,shard:int>>"))
+    return a.join(b, same, "left").select("a.doc_id", "a.th", "a.chunk", "a.held", "a.size", "a._source", "a.source_size", "a.target", takes.alias("takes")), shards
+
+
+def mix_plan(
+    docs: DataFrame, share: float = 1.5, max_repeat: int = 2, weights=WEIGHTS, shards: int | None = None, block_words: int = 1 << 20, seed: int = 17,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, shards) for every row of ``docs``.
+
+    taken is copies times size: whole documents are taken, once per pass over
+    their source, never more than ``max_repeat`` times. ``shards`` lists the
+    shard of each copy; there are ``shards`` of them, or if that is not given
+    as many as the words of the mix need. Null texts have size 0; documents
+    without words go with their block, if that is taken whole. Very long texts
+    are taken whole or not at all. A null source is a source of its own,
+    ordered last. Rows with equal id, source and text are counted and taken one
+    by one, so some of them may be taken and others not; a null id counts as an
+    id of its own. Other columns are ignored. An empty table gives an empty
+    result.
+    """
+    units, _ = _drawn(docs, share, max_repeat, weights, shards, block_words, seed, id_col, text_col, source_col)
+    own = F.filter("takes", lambda t: t["take"] >= F.col("copy"))
+    each = units.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("held")))).withColumn("own", own)
+    return each.select(
+        "doc_id", "size", "source_size", "target", (F.size("own") * F.col("size")).cast("long").alias("taken"), F.size("own").alias("copies"), F.transform("own", lambda t: t["shard"]).alias("shards"), "_source"
+    )
 
 
 def drawn_shards(drawn: DataFrame, n_sources: int, shards: int, seed: int) -> DataFrame:
@@ -172,21 +208,32 @@ def drawn_shards(drawn: DataFrame, n_sources: int, shards: int, seed: int) -> Da
     return turned.join(each, ["s", "k"]).select("s", "block", "round", "shard")
 
 
-def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, repeated as often as taken, shard by shard.
+def mixed(
+    docs: DataFrame, share: float = 1.5, max_repeat: int = 2, weights=WEIGHTS, shards: int | None = None, block_words: int = 1 << 20, seed: int = 17,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: rows of ``docs`` with all their columns, each copy as often as ``mix_plan`` takes it, shard by shard.
 
-    Rows that repeat id, source and text are one document here.
+    Of rows that repeat id, source and text one stands for all, whatever their
+    other columns. Shards are ranges of the output's partitions; within a shard
+    the order is that of a keyed hash. Other columns are kept, whatever their
+    names. An empty table gives an empty result.
     """
-    plan = mix_plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__mix_id"), F.col("_th").alias("__mix_th"), F.col("_source").alias("__mix_source"), F.col("shards").alias("__mix_shards")).distinct()
-    keyed = docs.withColumn("__mix_hash", F.xxhash64(F.col(text_col)))
-    same = keyed[id_col].cast("long").eqNullSafe(plan["__mix_id"]) & keyed["__mix_hash"].eqNullSafe(plan["__mix_th"]) & keyed[source_col].eqNullSafe(plan["__mix_source"])
-    each = Window.partitionBy("__mix_id", "__mix_th", "__mix_source").orderBy(F.lit(0))
+    units, shards = _drawn(docs, share, max_repeat, weights, shards, block_words, seed, id_col, text_col, source_col)
+    m_id, m_th, m_source, d_id, d_th, shard, place, chunk, take, copy = unused(docs, "m_id", "m_th", "m_source", "d_id", "d_th", "shard", "place", "chunk", "take", "copy")
+    plan = units.withColumn("t", F.explode("takes")).select(F.col("doc_id").alias(m_id), F.col("th").alias(m_th), F.col("_source").alias(m_source), F.col("chunk").alias(chunk), F.col("t.round").alias(copy), F.col("t.take").alias(take), F.col("t.shard").alias(shard))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = keyed.join(plan, same).withColumn("__mix_copy", F.row_number().over(each)).where(F.col("__mix_copy") == 1)
-    out = once.select(*columns, "__mix_id", "__mix_th", F.posexplode("__mix_shards").alias("__mix_pass", "__mix_shard"))
-    place = F.xxhash64(F.lit(seed + 2), "__mix_id", "__mix_th", "__mix_pass")
-    return out.repartition(options.get("shards", 16), "__mix_shard").sortWithinPartitions("__mix_shard", place).select(*columns)
+    keyed = docs.withColumns({d_id: F.col(id_col).cast("long"), d_th: F.xxhash64(F.col(text_col))})
+    repeated = keyed.groupBy(d_id, d_th, source_col).agg(F.count("*").alias("n")).where("n > 1").select(d_id, d_th, F.col(source_col).alias(m_source))
+    twice = stored(repeated)
+    same = lambda x: keyed[d_id].eqNullSafe(x[d_id]) & keyed[d_th].eqNullSafe(x[d_th]) & keyed[source_col].eqNullSafe(x[m_source])
+    once = keyed
+    if not twice.isEmpty():
+        once = keyed.join(twice, same(twice), "left_anti").unionByName(keyed.join(twice, same(twice), "left_semi").dropDuplicates([d_id, d_th, source_col]))
+    found = F.col(d_id).eqNullSafe(F.col(m_id)) & F.col(d_th).eqNullSafe(F.col(m_th)) & F.col(source_col).eqNullSafe(F.col(m_source))
+    out = once.join(plan, found).select(*columns, m_id, m_th, chunk, copy, shard, F.explode(F.sequence(F.lit(1).cast("long"), F.col(take))).alias(take))
+    out = out.withColumn(place, F.xxhash64(F.lit(seed + 2), m_id, m_th, chunk, copy, take))
+    return out.repartitionByRange(shards, shard, place).sortWithinPartitions(shard, place).select(*columns)
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:

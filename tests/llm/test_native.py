@@ -171,7 +171,81 @@ def test_mix(spark):
     assert abs(sum(t for _, t, _ in by.values()) - 1.5 * sum(s for s, _, _ in by.values())) < 1e-6
     assert all(abs(taken - target) <= 4 for _, target, taken in by.values()), by
     out = source_mix.mixed(df, block_words=64, shards=5)
-    assert out.columns == df.columns and source_mix.mix_plan(df.where("false")).count() == 0
+    assert out.columns == df.columns and source_mix.mix_plan(df.where("false")).count() == 0 and source_mix.mixed(df.where("false")).count() == 0
+    agree(plan, out)
+
+
+def agree(plan, out):
+    """The mix gives each document as often as the plan takes it."""
+    from collections import Counter
+
+    want = Counter()
+    for r in plan.collect():
+        want[r.doc_id, r.size, r._source] += r.copies
+    got = Counter((r[0], r[1], r[2]) for r in out.select("doc_id", source_mix.word_count(F.col("text")), "source").collect())
+    assert got == +want
+
+
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    rows = [(1, "w " * 10, "a")] * 1000 + [(i, "w " * (1 + i % 9), "b") for i in range(100)] + [(None, None, "a")] * 50 + [(7, "x " * 3, "b")] * 70
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"place": F.lit(1), "Shard": F.lit("s")})
+    for unfold in (source_mix.UNFOLD, 2):
+        monkeypatch.setattr(source_mix, "UNFOLD", unfold)
+        plan = source_mix.mix_plan(df, block_words=500)
+        got = plan.collect()
+        assert len(got) == len(rows) and all(r.copies <= 2 and r.taken == r.copies * r.size and len(r.shards) == r.copies for r in got)
+        for source in "ab":
+            own = [r for r in got if r._source == source]
+            size = sum(len(t.split()) for _, t, s in rows if s == source and t)
+            assert {r.source_size for r in own} == {size} and abs(sum(r.taken for r in own) - own[0].target) <= 5
+        out = source_mix.mixed(df, block_words=500)
+        agree(plan, out)
+        assert out.columns == df.columns and out.where("place <> 1 or Shard <> 's'").count() == 0
+
+
+def test_quotas_and_draws_by_hand(spark):
+    """Blocks, quotas, shards and the last block against a plain version of the plan."""
+    import numpy as np
+
+    rows = [(i, "w " * (1 + i % 5), "ab"[i % 3 == 0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    place = {r.doc_id: r.p for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text"), F.lit(0).cast("long")).alias("p")).collect()}
+    got = {r.doc_id: r for r in source_mix.mix_plan(df, block_words=50, shards=3).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    of = {s: [i for i, _, x in rows if x == s] for s in "ab"}
+    sizes = [sum(size[i] for i in of[s]) for s in "ab"]
+    target = source_mix.water_fill(sizes, [5, 2], 1.5 * sum(sizes), 2)
+    drawn = []
+    for s, (name, total, goal) in enumerate(zip("ab", sizes, target)):
+        n = -(-total // 50)
+        order = [r.b for r in spark.range(n).select(F.col("id").alias("b"), F.xxhash64(F.lit(18), F.lit(s), "id").alias("h")).orderBy("h", "b").collect()]
+        order = [b for b in order if any(place[i] % n == b for i in of[name])]
+        left, turn = round(goal), []
+        for turns in range(2):
+            for b in order:
+                if left > 0:
+                    docs = sorted((i for i in of[name] if place[i] % n == b), key=lambda i: place[i])
+                    words = sum(size[i] for i in docs)
+                    take = []
+                    room = left
+                    for i in docs:
+                        if size[i] <= room:
+                            take.append(i)
+                            room -= size[i]
+                    rest = [i for i in docs if i not in take]
+                    if words > left and rest and (m := min(size[i] for i in rest)) - room < room:
+                        take.append(next(i for i in rest if size[i] == m))
+                    turn.append(take)
+                    left -= words
+        drawn.append(turn)
+    shards = {}
+    for shard, offset, count in source_mix.split_quotas(np.array([len(t) for t in drawn]), 3, 0, 3, 17):
+        for s in range(2):
+            for take in drawn[s][offset[s] : offset[s] + count[s]]:
+                for i in take:
+                    shards.setdefault(i, []).append(shard)
+    for i in size:
+        assert sorted(got[i].shards) == sorted(shards.get(i, [])) and got[i].taken == len(shards.get(i, [])) * size[i]
 
 
 @pytest.mark.parametrize("entity", [
