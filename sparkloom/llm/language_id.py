@@ -8,9 +8,10 @@ map. All landmarks' presence rows and the regression weights multiply into one
 (n-grams x languages) matrix, so texts are scored in batches by one product
 of their presence rows with it.
 
-N-grams are hashed to ``SIZE`` columns. The training rows are a bounded sample
-(``per_language`` rows of each language by a hash of their id, all of them where
-there are fewer); everything else runs over all rows and whole texts.
+N-grams are hashed to ``SIZE`` columns. The training texts are a bounded sample:
+of each of the ``most_languages`` most frequent languages ``per_language``
+distinct texts at most, by a keyed hash of the text; a row of it is 4 KB on the
+driver. Everything else runs over all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import made
+from ._shared import made, unused
 
 #: Columns of a presence row.
 SIZE = 1 << 15
@@ -111,32 +112,44 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": pdf["lang"], "bits": [np.packbits(presence(t)).tobytes() for t in pdf["text"]]})
 
 
-def learn(docs: DataFrame, per_language: int = 400, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> StringKernelModel:
-    """Model of the rows of ``docs`` that aren't held out and have text, letters, id and language."""
+def learn(
+    docs: DataFrame, per_language: int = 400, most_languages: int = 64, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> StringKernelModel:
+    """Model of the rows of ``docs`` that aren't held out and have text, letters, id and language.
+
+    However often a text, an id or a language is repeated, at most
+    ``per_language * most_languages`` rows are gathered. Other columns are
+    ignored. An empty table gives a model without languages.
+    """
     pool = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("id")
     )
-    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return StringKernelModel.fit(np.zeros((0, SIZE), bool), [])
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    sample = pool.where(draw < F.element_at(share, F.col("lang"))).select("text", "lang").mapInPandas(_profiles, "lang string, bits binary").collect()
+    # twice as many as are wanted pass the threshold, so that repeated texts leave enough
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * per_language / n))])
+    drawn = pool.withColumn("draw", F.xxhash64(F.lit(seed), F.col("text"))).where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang")))
+    each = drawn.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw"))
+    sample = each.withColumn("place", first).where(F.col("place") <= per_language).select("text", "lang").mapInPandas(_profiles, "lang string, bits binary").collect()
     sample = sorted(sample, key=lambda r: (r["lang"], bytes(r["bits"])))
     rows = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in sample]) if sample else np.zeros((0, SIZE), bool)
     return StringKernelModel.fit(rows, [r["lang"] for r in sample])
 
 
 def identify(docs: DataFrame, model: StringKernelModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` without its text, with the predicted language and score.
+    """``docs`` without its text, with the predicted language and score; columns of these names give way.
 
     Null texts and texts without a letter get ``und`` and score 0, as do all
     texts of a model without languages. Repeated rows get equal predictions;
-    equal scores go to the first language by code point.
+    equal scores go to the first language by code point. Texts of any length
+    count in whole. An empty table gives an empty result.
     """
     found = _predicted(docs, model, F.col(text_col))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, lang_out, score_out)]
-    return docs.select(*kept, found.alias("_found")).select(*kept, F.col("_found.lang").alias(lang_out), F.col("_found.score").alias(score_out))
+    (name,) = unused(docs, "found")
+    return docs.select(*kept, found.alias(name)).select(*kept, F.col(name)["lang"].alias(lang_out), F.col(name)["score"].alias(score_out))
 
 
 def _predicted(docs: DataFrame, model: StringKernelModel, text: Column) -> Column:
@@ -150,9 +163,13 @@ def _predicted(docs: DataFrame, model: StringKernelModel, text: Column) -> Colum
 
 
 def reject_unknown(docs: DataFrame, model: StringKernelModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text has a language; rows of ``und`` go."""
-    found = docs.withColumn("_found", _predicted(docs, model, F.col(text_col)))
-    return found.where(F.col("_found.lang") != UNKNOWN).drop("_found")
+    """The rows of ``docs``, all columns kept whatever their names, whose text has a language; rows of ``und`` go.
+
+    Repeated rows stay or go together. An empty table gives an empty result.
+    """
+    (name,) = unused(docs, "found")
+    found = docs.withColumn(name, _predicted(docs, model, F.col(text_col)))
+    return found.where(F.col(name)["lang"] != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Statistics of the whole text are binned by quantiles; trees of fixed depth grow
 on gradient histograms and are kept as complete binary trees in flat arrays, so
 that a batch of rows walks all trees at once by array indexing.
 
-Labels are learnt from a bounded sample (``sample_rows`` labelled rows by a hash
-of their id, all where there are fewer); scores are given to all rows.
+Labels are learnt from a bounded sample (``sample_rows`` ids and as many distinct
+texts of them by keyed hashes, all where there are fewer); scores are given to
+all rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import made
+from ._shared import made, unused
 from .language_id import held_out
 
 FEATURES = (
@@ -57,7 +58,10 @@ def statistics(text: str | None) -> np.ndarray:
         out[16:18] = len(code) / w, count.max() / w
         if len(words) > 2:
             m = np.int64(len(code))
-            triple = (at[:-2] * m + at[1:-1]) * m + at[2:] if m < 2_000_000 else at[:-2] * 31 + at[1:-1] * 7 + at[2:]
+            pair = at[:-2] * m + at[1:-1]
+            if m >= 2_000_000:  # else three numbers fit one
+                pair = np.unique(pair, return_inverse=True)[1]
+            triple = pair * m + at[2:]
             out[18] = 1 - len(np.unique(triple)) / len(triple)
         out[19] = (sizes <= 3).mean()
         out[20] = sum(x.isupper() for x in words) / w
@@ -133,26 +137,29 @@ class BoostedTrees:
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"label": pdf["label"], "x": [statistics(t).tobytes() for t in pdf["text"]]})
+        yield pd.DataFrame({"draw": pdf["draw"], "label": pdf["label"], "x": [statistics(t).tobytes() for t in pdf["text"]]})
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> BoostedTrees:
     """Trees from the labelled rows of ``docs`` that aren't held out (fold 0 of 5).
 
     Null ids and labels are left out; an id with several labels takes the larger.
+    Rows that repeat an id and its text count once, so however often ids are
+    repeated ``sample_rows`` rows are gathered at most. Other columns are ignored.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").where(~held_out("id", 5, 0))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     first = known.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(first), "id")  # at most sample_rows rows
-    got = rows.select("label", "text").mapInPandas(_measured, "label int, x binary").collect()
+    each = rows.groupBy("id", "label", F.xxhash64(F.lit(seed), "id", "text").alias("draw")).agg(F.first("text").alias("text"))
+    got = each.select("draw", "label", "text").mapInPandas(_measured, "draw long, label int, x binary").orderBy("draw").limit(sample_rows).collect()
     got = sorted(got, key=lambda r: (r["label"], bytes(r["x"])))
     x = np.stack([np.frombuffer(r["x"]) for r in got]) if got else np.zeros((0, len(FEATURES)))
     return BoostedTrees.fit(x, np.array([r["label"] for r in got], np.float64))
 
 
 def score(docs: DataFrame, model: BoostedTrees, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with score and predicted (1 from ``threshold`` on).
+    """``docs`` without its text, with score and predicted (1 from ``threshold`` on); columns of these names give way.
 
     Null and empty texts are scored by their all-zero statistics. Repeated rows
     get equal scores. An empty table gives an empty result.
@@ -164,7 +171,8 @@ def score(docs: DataFrame, model: BoostedTrees, threshold: float = 0.3, text_col
         return pd.DataFrame({"score": p, "predicted": (p >= threshold).astype(np.int32)})
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "score", "predicted")]
-    return docs.select(*kept, made(F.col(text_col), run, "score double, predicted int").alias("_found")).select(*kept, "_found.*")
+    (name,) = unused(docs, "found")
+    return docs.select(*kept, made(F.col(text_col), run, "score double, predicted int").alias(name)).select(*kept, f"{name}.*")
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
