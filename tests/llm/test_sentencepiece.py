@@ -4,6 +4,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
+from sparkloom.llm import sentencepiece_codec
 from sparkloom.llm.sentencepiece_codec import MODEL, PieceModel, decode_documents, encode_documents, load
 
 
@@ -27,9 +28,19 @@ def noise(seed, n):
 def test_equals_library_on_noise(model, library):
     texts = noise(1, 1500)
     assert [x.tolist() for x in model.encode(texts)] == library.encode(texts)
-    for t in texts:
+    whole = model.encode_batch(texts)[1]
+    for t, w in zip(texts, whole):
         ids = model.encode([t])[0].tolist()
-        assert model.decode(ids) == library.decode(ids)
+        assert model.decode(ids) == library.decode(ids) and w == (model.decode(ids) == t), t
+    decoded = model.decode_batch([x.tolist() for x in model.encode(texts)])
+    assert decoded == [model.decode(x.tolist()) for x in model.encode(texts)]
+
+
+def test_words_are_forgotten(model, library, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 50)
+    texts = noise(4, 300)
+    for a in range(0, len(texts), 20):
+        assert [x.tolist() for x in model.encode(texts[a : a + 20])] == library.encode(texts[a : a + 20])
 
 
 def test_equals_library_on_documents(spark, sf_dir, model, library):
@@ -45,6 +56,9 @@ def test_frames(spark, model):
     assert [(str(r.doc_id), r.n_ids, r.round_trip) for r in rows] == [("1152921504606846976", 0, None), ("2", 2, True), ("2", 2, True), ("None", 0, True)]
     assert {r.text for r in decode_documents(got, model).collect()} == {"", "a b"}
     assert encode_documents(docs.where("false"), model).count() == 0
+    odd = spark.createDataFrame([(1, None, 0), (2, [], 0), (3, [model.ids["a"], None, 10**6, -5], 0)], "doc_id long, ids array<int>, text int")
+    texts = {r.doc_id: r.text for r in decode_documents(odd, model).collect()}
+    assert texts == {1: None, 2: "", 3: "a" + " ⁇ " * 3} and decode_documents(odd.where("false"), model).count() == 0
 
 
 def test_unigram_model(library):
