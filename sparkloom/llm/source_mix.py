@@ -42,7 +42,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Copies of a document that are drawn together, and those that one row unfolds into at once.
 COPIES, UNFOLD = 64, 1 << 16
 #: Words of an output shard, about, and the least number of shards.
-SHARD_WORDS, LEAST_SHARDS = 1 << 27, 16
+SHARD_WORDS, LEAST_SHARDS = 1 << 24, 16
 
 
 def word_count(text: Column) -> Column:
