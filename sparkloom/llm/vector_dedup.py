@@ -1,21 +1,24 @@
 """Near-copies among embeddings from randomised-rotation binary codes.
 
-Unit vectors are turned by random rotations; the signs are their binary code,
-and <code, rotated vector> is stored as a correction factor. Dividing by it
-makes <code of x, rotated y> an unbiased estimate of <x, y>, with an error that
-falls as 1/sqrt(dimension). A pair whose upper confidence bound stays below the
-threshold is dropped; all others are recomputed exactly in double precision.
-
-Which pairs are estimated at all: the sign bits are also cut into many short
-keys, and vectors that share a key meet in a bucket. Keys lengthen with the
-logarithm of the row count, so that unlike vectors rarely meet, and grow in
-number with their length (see ``key_plan``), so that at every row count a pair
-at the threshold is found with probability of about ``FOUND`` or more (simulated:
-0.989 to 0.997), closer pairs more surely.
-
-Skew: equal vectors collapse into one class with a count first; only buckets of
-two classes or more load vectors; large buckets are split into blocks and
-processed in pairs of blocks. A pair is counted in the first bucket that holds
+Unit vectors are turned by random rotations. What is stored of each, once, are
+the signs of the turned coordinates; the correction factor <code, turned vector>
+of the signs of the first rotations, which are its binary code; the spread of
+the estimates it gives; and the coordinates that the code stands for, rounded at
+random to 4 bits. Dividing by the factor makes <code of x, rounded y> an unbiased
+estimate of <x, y>, with an error that falls as 1/sqrt(dimension). A pair whose
+upper confidence bound stays below the threshold is dropped. Vectors that still
+have a partner are fetched, and these are recomputed exactly in double precision.
+
+Which pairs are estimated at all: the signs are also cut into many short keys,
+and codes that share a key meet in a bucket. Keys lengthen with the logarithm of
+the row count, so that unlike vectors rarely meet, and grow in number with their
+length (see ``key_plan``), so that at every row count a pair at the threshold is
+found with probability of about ``FOUND`` or more (simulated: 0.989 to 0.997),
+closer pairs more surely.
+
+Skew: equal vectors collapse into one class with a count first; buckets of one
+class end with their count; the others load codes, and vectors only for what the
+bounds leave. Large buckets are split into blocks and processed in pairs of blocks. A pair is counted in the first bucket that holds
 both, so pairs are never written out; only per-vector counts and a spanning
 forest leave a task.
 """
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, made, stored
+from ._shared import connected_components, made, mixed, stored
 
 BLOCK = 512
 #: Rows of small buckets that share a group, about.
@@ -43,6 +46,8 @@ FOUND = 0.99
 AIM = 0.997
 #: Where more keys were needed for that, they are shortened instead.
 MOST_TABLES = 500
+#: Signs of a code, at least.
+CODE_BITS = 128
 #: Vectors whose sign bits are held at once.
 KEY_ROWS = 1024
 
@@ -73,14 +78,25 @@ def unit(values) -> np.ndarray | None:
 
 
 def _classes(vectors: pd.Series) -> pd.DataFrame:
+    """The class of each vector, and its components as they came: 4 bytes each where that is exact."""
     node, vec = [], []
     for values in vectors:
         x = unit(values)
         node.append(None if x is None else xxhash.xxh3_64_intdigest((x + 0.0).tobytes()) - (1 << 63))
-        vec.append(None if x is None else x.tobytes())
+        if x is None:
+            vec.append(None)
+        else:
+            raw = np.asarray(values, np.float64)
+            small = raw.astype(np.float32)
+            vec.append(b"s" + small.tobytes() if (small == raw).all() else b"d" + raw.tobytes())
     return pd.DataFrame({"node": pd.array(node, "Int64"), "vec": vec})
 
 
+def _units(vecs) -> list[np.ndarray]:
+    """Unit vectors of stored components."""
+    return [unit(np.frombuffer(v[1:], np.float32 if v[:1] == b"s" else np.float64)) for v in vecs]
+
+
 def key_plan(bits: int, threshold: float, tables: int) -> tuple[int, int]:
     """(bits, tables): ``tables`` keys or as many more as a pair at ``threshold`` needs to share one with probability ``AIM`` if bits were independent."""
     agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
@@ -94,43 +110,83 @@ def key_plan(bits: int, threshold: float, tables: int) -> tuple[int, int]:
     return bits, max(tables, int(min(needed(bits), 1e6)))
 
 
+def _key_parts(signs: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """(rows, tables): ``bits`` signs each as a number."""
+    return (signs[:, : tables * bits].reshape(len(signs), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(-1)
+
+
 def bucket_keys(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     """(rows, tables) keys of ``bits`` sign bits each."""
+    return _key_parts(_turned(x, tables, bits, seed) > 0, tables, bits)
+
+
+def _count(dim: int) -> int:
+    """Rotations whose signs make up the code."""
+    return -(-CODE_BITS // dim)
+
+
+def _turned(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     dim = x.shape[1]
-    r = rotations(dim, -(-tables * bits // dim), seed)[:, : tables * bits]
-    sign = (x @ r > 0).reshape(len(x), tables, bits)
-    return (sign * (1 << np.arange(bits, dtype=np.int64))).sum(-1) * 4096 + min(dim, 4095)
+    return x @ rotations(dim, max(_count(dim), -(-tables * bits // dim)), seed)
+
+
+def stored_codes(x: np.ndarray, node: np.ndarray, tables: int, bits: int, seed: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """Packed signs, codes and keys of unit vectors. A code is its factors, the least coordinate, the step of rounding, the spread, and half bytes."""
+    dim, count = x.shape[1], _count(x.shape[1])
+    turned = _turned(x, tables, bits, seed)
+    first = turned[:, : count * dim]
+    factor = np.abs(first).reshape(len(x), count, dim).sum(-1) / math.sqrt(dim)  # <code, turned vector>
+    spread = np.sqrt((1 / factor**2 - 1).mean(1) / max(1, dim - 1) / count)
+    low = first.min(1, keepdims=True)
+    step = np.maximum((first.max(1, keepdims=True) - low) / 15, 1e-12)
+    dither = mixed(node.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(first.shape[1], dtype=np.uint64)[None]) / 2.0**64
+    level = np.clip(np.floor((first - low) / step + dither), 0, 15).astype(np.uint8)
+    if level.shape[1] % 2:
+        level = np.concatenate([level, np.zeros((len(x), 1), np.uint8)], 1)
+    head = np.concatenate([factor, low, step, spread[:, None]], 1).astype(np.float32)
+    half = level[:, ::2] << 4 | level[:, 1::2]
+    signs = turned > 0
+    keys = _key_parts(signs, tables, bits)
+    packed = np.packbits(signs[:, : max(tables * bits, count * dim)], axis=1)
+    t = np.arange(tables, dtype=np.uint64)[None]
+    hashed = mixed(keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + t * np.uint64(0xCA5A826395121157) + np.uint64(dim)).view(np.int64)
+    return [r.tobytes() for r in packed], [a.tobytes() + b.tobytes() for a, b in zip(head, half, strict=True)], hashed
 
 
 def _keys(tables: int, bits: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys: list = [None] * len(pdf)
-            vecs = [np.frombuffer(v) for v in pdf["vec"]]
+            n = len(pdf)
+            keys, signs, codes, dims = [None] * n, [None] * n, [None] * n, np.zeros(n, np.int64)
+            vecs, node = _units(pdf["vec"]), pdf["node"].to_numpy(np.int64)
             for dim in {len(v) for v in vecs}:
                 at = [i for i, v in enumerate(vecs) if len(v) == dim]
                 for a in range(0, len(at), KEY_ROWS):
                     some = at[a : a + KEY_ROWS]
-                    for i, k in zip(some, bucket_keys(np.stack([vecs[i] for i in some]), tables, bits, seed), strict=True):
-                        keys[i] = k
-            yield pdf.assign(keys=keys)
+                    for i, s, c, k in zip(some, *stored_codes(np.stack([vecs[i] for i in some]), node[some], tables, bits, seed), strict=True):
+                        signs[i], codes[i], keys[i], dims[i] = s, c, k, dim
+            yield pd.DataFrame({"node": node, "dim": dims, "signs": signs, "code": codes, "keys": keys})
 
     return run
 
 
 class Codes:
-    """Binary codes of unit vectors with their correction factors."""
-
-    def __init__(self, x: np.ndarray, seed: int, least_bits: int = 128):
-        self.dim = x.shape[1]
-        self.count = -(-least_bits // self.dim)
-        self.turned = x @ rotations(self.dim, self.count, seed + 1)
-        split = self.turned.reshape(len(x), self.count, self.dim)
-        sign = np.where(split > 0, 1.0, -1.0)
-        self.factor = (sign * split).sum(-1) / math.sqrt(self.dim)  # <code, rotated vector>
-        self.scaled = (sign / (math.sqrt(self.dim) * self.factor[..., None])).reshape(len(x), -1) / self.count
-        spread = (1 / self.factor**2 - 1).mean(1) / max(1, self.dim - 1)
-        self.error = np.sqrt(spread / self.count)
+    """What codes of one dimension say: ``scaled`` @ ``turned`` are the estimates, ``error`` and ``rounding`` the standard errors of either side."""
+
+    def __init__(self, dim: int, signs: list[bytes], codes: list[bytes]):
+        count = _count(dim)
+        self.signs = np.unpackbits(np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1), axis=1)
+        raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+        head = raw[:, : 4 * (count + 3)].copy().view(np.float32)
+        half = raw[:, 4 * (count + 3) :]
+        level = np.stack([half >> 4, half & 15], -1).reshape(len(codes), -1)[:, : count * dim]
+        factor, low, step = head[:, :count], head[:, count : count + 1], head[:, count + 1 : count + 2]
+        self.error = head[:, count + 2]
+        sign = np.where(self.signs[:, : count * dim] > 0, np.float32(1), np.float32(-1)).reshape(len(codes), count, dim)
+        self.scaled = (sign / (math.sqrt(dim) * count * factor[..., None])).reshape(len(codes), -1).astype(np.float32)
+        self.turned = low + step * level
+        # a rounding error has a variance of step**2 / 4 at most; factors lie near sqrt(2 / pi)
+        self.rounding = step[:, 0] / (2 * math.sqrt(count) * 0.6)
 
 
 def _near_pairs(codes: Codes, left: list[np.ndarray], right: list[np.ndarray], same: bool, threshold: float, width: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +195,7 @@ def _near_pairs(codes: Codes, left: list[np.ndarray], right: list[np.ndarray], s
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in zip(left, right, strict=True):
         if len(a) * len(b) >= 4096:
-            near = codes.scaled[a] @ codes.turned[b].T + width * codes.error[a][:, None] >= threshold
+            near = codes.scaled[a] @ codes.turned[b].T + width * (codes.error[a][:, None] + codes.rounding[b][None]) >= threshold
             i, j = np.nonzero(np.triu(near, 1) if same else near)
             out.append((a[i], b[j]))
         else:
@@ -148,35 +204,64 @@ def _near_pairs(codes: Codes, left: list[np.ndarray], right: list[np.ndarray], s
     i, j = (np.concatenate(x) if few else np.empty(0, np.int64) for x in (zip(*few, strict=True) if few else ((), ())))
     for at in range(0, len(i), 16384):
         p, q = i[at : at + 16384], j[at : at + 16384]
-        near = np.einsum("ij,ij->i", codes.scaled[p], codes.turned[q]) + width * codes.error[p] >= threshold
+        near = np.einsum("ij,ij->i", codes.scaled[p], codes.turned[q]) + width * (codes.error[p] + codes.rounding[q]) >= threshold
         out.append((p[near], q[near]))
     return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((), ())))
 
 
-def _bucket_links(threshold: float, seed: int, width: float):
+def _new(parts: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that share no key before table ``t``."""
+    for a in range(t):
+        if not len(i):
+            break
+        new = parts[i, a] != parts[j, a]
+        i, j = i[new], j[new]
+    return i, j
+
+
+def _split(order: np.ndarray, bucket: np.ndarray, mine: np.ndarray, bi: int, bj: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of every bucket on either side."""
+    groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+    left = [g[mine[g] == bi] for g in groups]
+    return left, left if bi == bj else [g[mine[g] == bj] for g in groups]
+
+
+def _partnered(threshold: float, tables: int, bits: int, width: float):
+    """The rows of a group that have, by the bounds, a partner whom they meet here first."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, bi, bj = (int(pdf[c].iloc[0]) for c in ("t", "bi", "bj"))
+        node, bucket, mine, dims = (pdf[c].to_numpy(np.int64) for c in ("node", "key", "block", "dim"))
+        has = np.zeros(len(pdf), bool)
+        for dim in np.unique(dims):  # a bucket holds one dimension
+            own = np.flatnonzero(dims == dim)
+            codes = Codes(int(dim), [pdf["signs"].iloc[r] for r in own], [pdf["code"].iloc[r] for r in own])
+            left, right = _split(np.lexsort((node[own], bucket[own])), bucket[own], mine[own], bi, bj)
+            i, j = _new(_key_parts(codes.signs, tables, bits), *_near_pairs(codes, left, right, bi == bj, threshold, width), t)
+            has[own[i]] = has[own[j]] = True
+        return pdf.loc[has, ["t", "part", "key", "n_blocks", "node", "block", "bi", "bj"]]
+
+    return run
+
+
+def _bucket_links(threshold: float, tables: int, bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, bi, bj = (int(pdf[c].iloc[0]) for c in ("t", "bi", "bj"))
         node, copies, bucket, mine = (pdf[c].to_numpy(np.int64) for c in ("node", "copies", "key", "block"))
-        keys = np.stack(pdf["keys"].to_list())
-        dims = np.array([len(v) for v in pdf["vec"]])
+        vecs = _units(pdf["vec"])
+        dims = np.array([len(v) for v in vecs])
         found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for dim in np.unique(dims):  # a bucket holds one dimension
+        for dim in np.unique(dims):
             own = np.flatnonzero(dims == dim)
-            x = np.stack([np.frombuffer(pdf["vec"].iloc[r]) for r in own])
-            order = np.lexsort((node[own], bucket[own]))
-            cuts = np.flatnonzero(np.diff(bucket[own][order])) + 1
-            groups = np.split(order, cuts)
-            left = [g[mine[own[g]] == bi] for g in groups]
-            right = left if bi == bj else [g[mine[own[g]] == bj] for g in groups]
-            i, j = _near_pairs(Codes(x, seed), left, right, bi == bj, threshold, width)
-            exact = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, max(1, len(i)), 65536)])
-            i, j = own[i[exact >= threshold]], own[j[exact >= threshold]]
-            for a in range(t):  # met before in another table
-                if not len(i):
-                    break
-                new = keys[i, a] != keys[j, a]
-                i, j = i[new], j[new]
-            found_i.append(i), found_j.append(j)
+            x = np.stack([vecs[r] for r in own])
+            signs = np.unpackbits(np.frombuffer(b"".join(pdf["signs"].iloc[r] for r in own), np.uint8).reshape(len(own), -1), axis=1)
+            for a, b in zip(*_split(np.lexsort((node[own], bucket[own])), bucket[own], mine[own], bi, bj), strict=True):
+                near = x[a] @ x[b].T >= threshold - 1e-9
+                i, j = np.nonzero(np.triu(near, 1) if bi == bj else near)
+                i, j = a[i], b[j]
+                exact = np.einsum("ij,ij->i", x[i], x[j])  # the same sum whatever else is in the bucket
+                i, j = _new(_key_parts(signs, tables, bits), i[exact >= threshold], j[exact >= threshold], t)
+                found_i.append(own[i]), found_j.append(own[j])
         i, j = np.concatenate(found_i), np.concatenate(found_j)
         links = np.bincount(i, weights=copies[j], minlength=len(node)) + np.bincount(j, weights=copies[i], minlength=len(node))
         up = np.arange(len(node))
@@ -234,24 +319,23 @@ def near_vectors(
     )
     count = classes.count()
     bits, tables = key_plan(bits or max(6, min(40, math.ceil(math.log2(max(2, count))) + 4)), threshold, tables)
-    keyed = stored(classes.select("node", "copies", "vec").mapInPandas(_keys(tables, bits, seed), "node long, copies long, vec binary, keys array<long>"))
+    keyed = stored(classes.select("node", "vec").mapInPandas(_keys(tables, bits, seed), "node long, dim int, signs binary, code binary, keys array<long>"))
     probes = keyed.select("node", F.posexplode("keys").alias("t", "key"))
-    buckets = (
-        probes.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
-    )
-    buckets = stored(buckets)
+    buckets = stored(probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")))
     held = int(buckets.where("n_blocks = 1").agg(F.sum("n")).first()[0] or 0)
     slices = max(1, held // (tables * SLICE))
     # small buckets share a task's group; a large one has groups of its own
     part = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(slices))).otherwise(F.col("key"))
-    met = probes.join(buckets.drop("n"), ["t", "key"]).withColumn("part", part)
+    met = probes.join(buckets.drop("n"), "key").withColumn("part", part)
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    paired = (
-        met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("t", "part", "key", "n_blocks", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-        .join(keyed, "node")
+    paired = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "t", "part", "key", "n_blocks", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     )
-    found = stored(paired.groupBy("t", "part", F.col("n_blocks") > 1, "bi", "bj").applyInPandas(_bucket_links(threshold, seed, width), "a long, b long, links long"))
+    group = ["t", "part", F.col("n_blocks") > 1, "bi", "bj"]
+    with_codes = paired.join(keyed.select("node", "dim", "signs", "code"), "node")
+    left = stored(with_codes.groupBy(*group).applyInPandas(_partnered(threshold, tables, bits, width), "t int, part long, key long, n_blocks int, node long, block int, bi int, bj int"))
+    with_vectors = left.join(keyed.select("node", "signs").join(classes.select("node", "copies", "vec"), "node"), "node")
+    found = stored(with_vectors.groupBy(*group).applyInPandas(_bucket_links(threshold, tables, bits), "a long, b long, links long"))
     linked = connected_components(found.where("b is not null").select("a", "b"))
     least = linked.join(classes, "node").groupBy("root").agg(F.min("least").alias("component"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from sparkloom.llm.vector_dedup import FOUND, Codes, bucket_keys, key_plan, near_vectors
+from sparkloom.llm.vector_dedup import FOUND, Codes, bucket_keys, key_plan, near_vectors, stored_codes
 
 SCHEMA = "vec_id long, embedding array<float>, node string, copies int"
 
@@ -34,15 +35,37 @@ def test_copies_and_null_ids(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dim", [16, 63, 64, 200])
+def test_estimates_are_unbiased_and_bounded(dim):
     r = np.random.default_rng(4)
-    x = r.standard_normal((400, 64))
+    x = r.standard_normal((400, dim))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    c = Codes(x, 7)
+    signs, codes, _ = stored_codes(x, np.arange(400), 40, 20, 7)
+    c = Codes(dim, signs, codes)
     estimate, true = c.scaled @ c.turned.T, x @ x.T
     off = ~np.eye(len(x), dtype=bool)
     assert abs((estimate - true)[off].mean()) < 0.01
-    assert (np.abs(estimate - true) <= 4 * c.error[:, None] + 1e-9)[off].mean() > 0.999
+    assert (np.abs(estimate - true) <= 4 * (c.error[:, None] + c.rounding[None]) + 1e-6)[off].mean() > 0.999
+    assert len(codes[0]) <= 4 * (-(-128 // dim) + 3) + (-(-128 // dim) * dim + 1) // 2
+
+
+def test_recall_at_three_sizes(spark):
+    """Every link within a thousandth of the threshold or closer, against brute force; larger tables have longer keys."""
+    for n, bits in ((300, None), (900, 20), (900, 28)):
+        a, b = pairs_at(0.951, n, 64, n)
+        x = np.float32(np.concatenate([a, b])).astype(float)
+        rows = [(i, [float(v) for v in y], "", 0) for i, y in enumerate(x)]
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        true = (u @ u.T >= 0.95).sum(1) - 1
+        got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, SCHEMA), bits=bits).collect()}
+        assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.98 * true.sum()
+
+
+def test_doubles_stay_doubles(spark):
+    v = [1 / 3, 0.1, 0.7]
+    rows = [(1, v), (2, [x * 2 for x in v]), (3, [float(np.float32(x)) for x in v])]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 2, 2: 2, 3: 2}
 
 
 def pairs_at(cosine, n, dim, seed):
