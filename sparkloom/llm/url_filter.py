@@ -3,13 +3,18 @@
 Urls that a rule fits take the verdict of the longest one. For the others the
 host decides. Links in the pages give host edges. Personalised PageRank carries
 trust from hosts with allowed pages along the links, and distrust from hosts
-with blocked pages against them (who links to blocked hosts is suspect). A host
-starts with the share of its pages that rules allow or block. It is blocked
-when its distrust exceeds its trust by ``margin``.
+with blocked pages against them (who links to blocked hosts is suspect). Trust
+is shared out among the hosts that a host links to; distrust reaches a host by
+the part of its own links that lead to distrusted hosts, so it doesn't thin out
+where many link to one blocked host. A host starts with the share of its pages
+that rules allow or block. It is blocked when its distrust exceeds its trust by
+``margin``.
 
 Scores are whole numbers (``UNIT`` is 1), so sums don't depend on their order
 and reruns agree. Edges and scores are tables throughout; every step is a
-partial aggregate and a join by host, checkpointed in the shared folder.
+partial aggregate and a join by host, checkpointed in the shared folder. Blocked
+hosts are sent to all tasks if they are few, by count; else pages and hosts are
+joined in ``SALTS`` parts a host, so a host with a third of all pages is many tasks.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ RULES = (
 )
 #: Rules up to this many become one expression; more are joined by host suffix.
 INLINE_RULES = 200
+#: Blocked hosts up to this many are broadcast (10 MB or so); parts of a host's pages in the other join.
+FEW_HOSTS, SALTS = 100_000, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^"'\s<>/?#]+)"""
 
@@ -76,9 +83,8 @@ def propagated(start: DataFrame, edges: DataFrame, damping: float, rounds: int)
     """
     edges = stored(edges)
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
     ways = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("share"))
-    back = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("share"))
+    back = edges.join(out, "src").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("share"))
     ways = stored(ways.unionByName(back))
     own = cut(start.withColumn("score", F.floor(F.col("score") * (1 - damping)).cast("long")))
     score = own
@@ -97,9 +103,11 @@ def judge_urls(
     """(page_id, host, path, rule, verdict) for every row of ``pages``.
 
     Null urls and urls without ``://`` have an empty host and path; no rule fits
-    them, and they are allowed. Null pages have no links. Repeated rows are
-    judged alike and count repeatedly in their host's shares. Hosts out of
-    reach of any rule are allowed. Other columns are ignored.
+    them, and they are allowed. Null pages have no links; pages of any length
+    are searched in whole. Repeated rows are judged alike and count repeatedly
+    in their host's shares. Hosts out of reach of any rule are allowed. Of equal
+    rules of unlike verdict allow wins. Other columns are ignored. An empty
+    table gives an empty result.
     """
     frame = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     judged = with_rules(frame.select("page_id", "host", "path"), rules)
@@ -110,8 +118,13 @@ def judge_urls(
     start = start.select("host", "kind", F.floor(F.lit(float(UNIT)) * F.col("m") / F.col("n")).cast("long").alias("score"))
     score = propagated(start, host_edges(frame), damping, rounds)
     signed = F.when(F.col("kind") == "trust", -F.col("score")).otherwise(F.col("score"))
-    bad = score.groupBy("host").agg(F.sum(signed).alias("excess")).where(F.col("excess") > int(margin * UNIT)).select("host", F.lit(True).alias("_bad"))
-    return judged.join(bad, "host", "left").select(
+    bad = stored(score.groupBy("host").agg(F.sum(signed).alias("excess")).where(F.col("excess") > int(margin * UNIT)).select("host", F.lit(True).alias("_bad")))
+    if bad.count() <= FEW_HOSTS:
+        found = judged.join(F.broadcast(bad), "host", "left")
+    else:
+        salted = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = judged.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left")
+    return found.select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("_bad"), "block").otherwise("allow")).alias("verdict")
     )
 
@@ -150,7 +163,7 @@ WITH u AS (
   SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND dst <> '' GROUP BY src, dst
 ), ways AS MATERIALIZED (
   SELECT 'trust' AS kind, src AS host, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
-  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY src) FROM edges
 ), hosts AS (
   SELECT host, count(*) AS n, count(*) FILTER (rule_verdict = 'allow') AS t, count(*) FILTER (rule_verdict = 'block') AS d FROM j WHERE host <> '' GROUP BY host
 ), s0 AS MATERIALIZED (

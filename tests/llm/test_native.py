@@ -75,6 +75,20 @@ def test_distrust_runs_against_links(spark):
     same(url_filter.judge_urls(pages(spark, rows)), url_filter.op1_sql(), con)
 
 
+def test_distrust_does_not_thin_out(spark, monkeypatch):
+    """A farm of hosts that all link to one blocked host; those that mostly link elsewhere stay."""
+    farm = [(f"http://f{i}.org/", '<a href="http://s.net/x">') for i in range(30)]
+    mixed = [(f"http://m{i}.org/", '<a href="http://s.net/x"> <a href="//ok.org/"> <a href="//fine.org/"> <a href="//nice.org/">') for i in range(5)]
+    rows = [("http://s.net/es/1", ""), *farm, *mixed, ("http://ok.org/", "x" * 2_000_000), ("http://ok.org/", None)]
+    got = {r.host: r.verdict for r in url_filter.judge_urls(pages(spark, rows)).collect()}
+    assert all(got[f"f{i}.org"] == "block" for i in range(30)) and all(got[f"m{i}.org"] == "allow" for i in range(5)) and got["ok.org"] == "allow"
+    monkeypatch.setattr(url_filter, "FEW_HOSTS", 0)
+    assert got == {r.host: r.verdict for r in url_filter.judge_urls(pages(spark, rows)).collect()}
+    assert url_filter.judge_urls(pages(spark, rows).where("false")).count() == 0
+    equal = url_filter.judge_urls(pages(spark, [("http://a.de/x", None)]), rules=[("block", "a.de", "/"), ("allow", "a.de", "/")]).collect()
+    assert [r.verdict for r in equal] == ["allow"]
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo <|im_end|>"), (2, 0, None, None), (2, 300, "ann", "late"), (3, 0, "system", "alone"), (None, 0, "x", "y")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
