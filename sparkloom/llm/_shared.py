@@ -25,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not held.isDefined() and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), "checkpoints")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
