@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .durable import cut
 from .functions import text as X
 from .operators import flow, graph, ingest, memory, metrics, search, snapshot, taskchain
 from .sources import files as source_files
@@ -15,6 +19,10 @@ from .sources import logs, parser
 from .sources.store import Store
 
 
+#: Seconds for which an index counts as fresh.
+FRESH_S = 300
+
+
 class Engine:
     """Lazy DataFrames over versioned tables below ``root``; nothing is collected but single ids."""
 
@@ -34,26 +42,91 @@ class Engine:
     def edges(self) -> DataFrame:
         return graph.build_edges(self.calls(), self.symbols())
 
-    def ingest(self, path: str, extensions: tuple[str, ...] = (), scope: str = "", force_full: bool = False, ignored: tuple[str, ...] = ()) -> DataFrame:
+    def project(self, path: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = ()) -> tuple[tuple[str, ...], tuple[str, ...], list[str]]:
+        """(extensions, ignored directories, stacks) that hold for the tree at ``path``: what is given, its ignore file, its stacks."""
+        rules = source_files.ignore_rules(source_files.root_text(self.spark, path, ".gitignore"))
+        ignored = tuple(dict.fromkeys([*ignored, *rules]))
+        stacks, exts, own = source_files.detect_stack(source_files.scan(self.spark, path, (), ignored))
+        chosen = extensions or tuple(e for e in dict.fromkeys([*exts, *source_files.LANGUAGES]) if e in source_files.LANGUAGES)
+        return chosen, tuple(dict.fromkeys([*ignored, *own])), stacks
+
+    def ingest(
+        self, path: str, extensions: tuple[str, ...] = (), scope: str = "", force_full: bool = False, ignored: tuple[str, ...] = (), timeout: float | None = None
+    ) -> DataFrame:
         """Brings the index up to date with the tree at ``path``; gives the number of files by action.
 
-        Contents are read only of files whose size or time changed, parsed only
-        of those whose contents changed. A scope leaves the rest of the index as it is.
+        The tree's ignore file and the directories that its stacks make are left
+        out. Contents are read once, only of files whose size or time changed,
+        and parsed only where they changed. A scope leaves the rest of the index
+        as it is. The three tables change together. After ``timeout`` seconds
+        the jobs are cancelled and the index stays as it was.
         """
-        found = source_files.scan(self.spark, path, extensions or tuple(source_files.LANGUAGES), ignored, scope)
+        began = time.time()
+        self._note("running", path, scope, began)
+        timer = None
+        group = f"ingest-{uuid.uuid4().hex}"
+        if timeout:
+            self.spark.sparkContext.setJobGroup(group, f"ingest {path}", interruptOnCancel=True)
+            timer = threading.Timer(timeout, self.spark.sparkContext.cancelJobGroup, [group])
+            timer.start()
+        try:
+            counts = self._ingest(path, extensions, scope, force_full, ignored)
+        except Exception as e:
+            self._note("failed", path, scope, began, error=str(e).splitlines()[0][:300])
+            raise
+        finally:
+            if timer:
+                timer.cancel()
+                self.spark.sparkContext._jsc.sc().clearJobGroup()
+        self._note("ready", path, scope, began, counts=counts)
+        return self.spark.createDataFrame(sorted(counts.items()), "action string, n long")
+
+    def _note(self, status: str, path: str, scope: str, began: float, **more) -> None:
+        """The state of the index, for ``index_status`` and ``fresh``."""
+        self.store.put_text("_status.json", json.dumps({"status": status, "project_root": path, "scope": scope, "began": began, "at": time.time()} | more))
+
+    def index_status(self) -> dict:
+        """What the last ingest said, or its text if that can't be read; and the bytes of every table."""
+        text = self.store.get_text("_status.json")
+        out: dict = {"tables": self.store.sizes()}
+        try:
+            return out | ({"index_status": json.loads(text)} if text is not None else {"index_status_error": "no ingest yet"})
+        except ValueError:
+            return out | {"index_status_raw": text}
+
+    def fresh(self, ttl: float = FRESH_S) -> bool:
+        """Whether the index is usable and a whole ingest ended within ``ttl`` seconds."""
+        state = self.index_status().get("index_status", {})
+        return state.get("status") == "ready" and not state.get("scope") and time.time() - state.get("at", 0) <= ttl and not self.files().isEmpty()
+
+    def ensure_fresh(self, path: str, ttl: float = FRESH_S, **options) -> bool:
+        """Ingests unless the index is fresh; if a whole ingest fails, once more with the extensions of the tree's stacks alone. Whether it ingested."""
+        if self.fresh(ttl):
+            return False
+        try:
+            self.ingest(path, **options)
+        except Exception:
+            stacks = source_files.detect_stack(source_files.scan(self.spark, path))[1]
+            self.ingest(path, tuple(e for e in stacks if e in source_files.LANGUAGES) or tuple(source_files.LANGUAGES), **{k: v for k, v in options.items() if k != "extensions"})
+        return True
+
+    def _ingest(self, path: str, extensions: tuple[str, ...], scope: str, force_full: bool, ignored: tuple[str, ...]) -> dict[str, int]:
+        extensions, ignored, _ = self.project(path, extensions, ignored)
+        found = source_files.scan(self.spark, path, extensions, ignored, scope)
         old = self.files()
-        meta = found.drop("content").withColumn("file_hash", F.lit(None).cast("string"))
-        quick = ingest.classify(meta, old.where("false") if force_full else old)
-        changed = found.join(quick.where("action <> 'skip_meta'").select("file_path"), "file_path", "left_semi").withColumn("file_hash", F.sha2("content", 256))
-        judged = ingest.classify(changed.drop("content"), old.where("false") if force_full else old)
-        judged = ingest.budgeted(judged, initial=old.isEmpty(), force=force_full).persist()
+        known = old.where("false") if force_full else old
+        quick = ingest.classify(found.withColumn("file_hash", F.lit(None).cast("string")), known)
+        read = source_files.contents(found.join(quick.where("action <> 'skip_meta'").select("file_path"), "file_path", "left_semi"), path)
+        changed = cut(read.withColumn("file_hash", F.sha2("content", 256)))  # the one time that contents are read
+        judged = ingest.classify(changed.drop("content"), known)
+        judged = cut(ingest.budgeted(judged, initial=old.isEmpty(), force=force_full))
         todo = judged.where("action in ('new', 'parse')").select("file_path")
-        parsed = parser.parse(found.join(todo, "file_path", "left_semi")).persist()
+        parsed = cut(parser.parse(changed.join(todo, "file_path", "left_semi")))
 
         now = F.unix_timestamp()
         file_id = F.xxhash64("file_path")
         lines = F.when(F.col("extension").isin(*source_files.LANGUAGES), X.line_count(F.decode("content", "UTF-8"))).otherwise(0)
-        counts = found.join(judged.where("action <> 'skip_meta'").select("file_path"), "file_path", "left_semi").select("file_path", lines.alias("line_count"))
+        counts = changed.select("file_path", lines.alias("line_count"))
         names = F.create_map(*[F.lit(x) for kv in source_files.LANGUAGES.items() for x in kv])
         rows = judged.join(counts, "file_path").select(
             file_id.alias("file_id"), "file_path", "file_hash", "file_size", "file_mtime", F.coalesce(F.element_at(names, F.col("extension")), F.lit("unknown")).alias("language"),
@@ -78,24 +151,44 @@ class Engine:
         before = self.symbols()
         old_callers = before.join(dropped, "file_id", "left_semi").select(F.col("symbol_id").alias("caller_id"))
         all_calls = ingest.replace_children(self.calls(), calls, old_callers, "caller_id")
-        self.store.replace("symbols", ingest.replace_children(before, symbols, dropped, "file_id"))
+        all_symbols = cut(ingest.replace_children(before, symbols, dropped, "file_id"))
         # links are made anew, so none dangles
         order = [f.split()[0] for f in schemas.CALLS.split(", ")]
-        self.store.replace("calls", graph.link_calls(all_calls.drop("callee_id"), self.symbols()).select(*order))
-        self.store.replace("files", ingest.upsert(kept, rows, ["file_path"], keep=("indexed_at",)))
+        self.store.commit({
+            "symbols": all_symbols, "calls": graph.link_calls(all_calls.drop("callee_id"), all_symbols).select(*order),
+            "files": ingest.upsert(kept, rows, ["file_path"], keep=("indexed_at",)),
+        })
         skipped = quick.where("action = 'skip_meta'").select("action")
-        return judged.select("action").unionByName(skipped).unionByName(gone.select(F.lit("removed").alias("action"))).groupBy("action").agg(F.count("*").alias("n"))
+        actions = judged.select("action").unionByName(skipped).unionByName(gone.select(F.lit("removed").alias("action")))
+        return {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
 
     def search(self, query: str, scope: str = "", kind: str = "", limit: int = 5) -> DataFrame:
         rows = self.symbols().join(self.files().select("file_id", "file_path"), "file_id")
         return search.tiered(search.of_type(search.in_scope(rows, scope), kind), query, limit)
 
-    def grep(self, root: str, pattern: str, **options) -> DataFrame:
+    def grep(self, root: str, pattern: str, scope: str = "", **options) -> DataFrame:
         """Matching lines of the tree with their owners; lines outside any symbol belong to ``(global)``."""
-        found = source_files.scan(self.spark, root)
-        texts = found.select(F.xxhash64("file_path").alias("file_id"), "file_path", F.decode("content", "UTF-8").alias("text"))
+        extensions, ignored, _ = self.project(root)
+        found = source_files.contents(source_files.scan(self.spark, root, extensions, ignored, scope), root)
+        texts = found.select(F.xxhash64("file_path").alias("file_id"), "file_path", F.decode(F.col("content"), "UTF-8").alias("text"))
         return search.owners(search.grep(texts, pattern, **options), self.symbols(), "left").withColumn("owner", F.coalesce("owner", F.lit("(global)")))
 
+    def search_all(self, root: str, query: str, scope: str = "", kind: str = "") -> DataFrame:
+        """(section, place, name, file_path, line, text): an exact definition, or else similar symbols and then lines of text with their owners.
+
+        Lines are sought only without an exact definition: 20 at most, three a
+        file of the first ten files, case aside, 80 characters of each.
+        """
+        rows = search.within(self.symbols().join(self.files().select("file_id", "file_path"), "file_id"), scope)
+        hit = search.tiered(search.of_type(rows, "" if kind == "any" else kind), query)
+        section = F.when(F.col("tier") == 0, "exact").otherwise("similar")
+        symbols = hit.select(section.alias("section"), "place", "name", "file_path", F.col("line_start").alias("line"), F.col("match").alias("text"))
+        if not hit.where("tier = 0").isEmpty():
+            return symbols
+        found = self.grep(root, query, scope, ignore_case=True, total=20)
+        lines = search.shown_matches(found).select(F.lit("text").alias("section"), "place", F.col("owner").alias("name"), "file_path", "line", X.cut_chars(F.col("content"), 80).alias("text"))
+        return symbols.unionByName(lines)
+
     def symbol_at(self, path: str, line: int) -> DataFrame:
         point = self.files().where(F.col("file_path") == path).select("file_id", F.lit(line).alias("line"))
         return search.owners(point, self.symbols())
@@ -127,6 +220,23 @@ class Engine:
         scored = flow.flow_scores(self.edges(), self.symbols(), self.calls(), roots)
         return flow.entries(scored, self.symbols(), mode).limit(flow.budget(max_nodes, mode))
 
+    def flow_lists(self, symbol: str = "", path: str = "", direction: str = "both", mode: str = "standard", max_nodes: int = 40) -> DataFrame:
+        """(root, direction, kind, place, node, name, of): the neighbours that a trace lists around its entries, nearest first.
+
+        ``of`` counts all of a kind, so ``of`` less the rows listed are left out.
+        """
+        roots = self.flow_trace(symbol, path, mode, max_nodes).select("root")
+        most = flow.budget(max_nodes, mode)
+        out = None
+        for d in ("backward", "forward") if direction == "both" else (direction,):
+            near = graph.shown(graph.reach(self.edges(), roots, d), self.symbols(), most, most).withColumn("direction", F.lit(d))
+            out = near if out is None else out.unionByName(near)
+        return out.select("root", "direction", "kind", "place", "node", "name", "of")
+
+    def checklist(self, symbol: str, direction: str = "backward") -> DataFrame:
+        near = graph.reach(self.edges(), self._root(symbol), direction, depth=1)
+        return graph.checklist(near, self.symbols(), self.files(), direction)
+
     def critical_paths(self, symbol: str) -> DataFrame:
         return flow.critical_paths(self.edges(), self.symbols(), self._root(symbol))
 
@@ -139,12 +249,43 @@ class Engine:
     def naming(self) -> DataFrame:
         return metrics.naming(self.symbols())
 
-    def briefing(self, task: str, intent: str = "", read_only: bool = False) -> DataFrame:
-        """One row: intent, keywords, guardrails and alerts of a task."""
-        row = self.spark.createDataFrame([(task, intent, read_only)], "task string, explicit string, read_only boolean")
+    def briefing(self, task: str, intent: str = "", read_only: bool = False, symbols: tuple[str, ...] = (), scope: str = "") -> DataFrame:
+        """One row, the first step: what is asked, where it is anchored, what is known of it, how complex it is, what to mind.
+
+        Its task_id names it for ``handoff``, the second step.
+        """
+        row = self.spark.createDataFrame([(f"analyze_{uuid.uuid4().hex[:12]}", task, intent, read_only, list(symbols))], "task_id string, task string, explicit string, read_only boolean, symbols array<string>")
         label = X.intent(F.col("task"), F.col("explicit"), F.col("read_only"))
-        words = X.keywords(F.col("task"), F.array().cast("array<string>"))
-        return row.select("task", label.alias("intent"), words.alias("keywords"), X.guardrails(label, F.col("read_only")).alias("guardrails"), X.alerts(F.col("task"), F.col("read_only")).alias("alerts"))
+        words = row.select(X.keywords(F.col("task"), F.col("symbols"))).first()[0]
+        placed = self.symbols().join(self.files().select("file_id", "file_path"), "file_id")
+        found = [r.asDict() for r in search.anchors(placed, list(symbols), scope).orderBy("place").select("query", "symbol_id", "name", "file_path").collect()]  # ten at most
+        facts = [r["summarize"] for r in memory.recall_facts(self.facts(), " ".join(words), 10).collect()]
+        top = metrics.highest(self.complexity(), list(symbols)).first()
+        known = self.spark.createDataFrame(
+            [(words, found, facts, float(top["score"]), top["level"], top["alerts"])],
+            "keywords array<string>, anchors array<struct<query:string,symbol_id:long,name:string,file_path:string>>, facts array<string>, complexity double, level string, loud array<string>",
+        )
+        out = row.join(F.broadcast(known)).select(  # a row each
+            "task_id", "task", X.cut_chars(F.col("task"), 300).alias("directive"), label.alias("intent"), "keywords", "anchors", "facts", "complexity", "level",
+            X.guardrails(label, F.col("read_only")).alias("guardrails"), F.concat(X.alerts(F.col("task"), F.col("read_only")), "loud").alias("alerts"),
+        )
+        first = out.first()
+        self.save_state(f"briefing:{first['task_id']}", json.dumps(first.asDict(recursive=True), ensure_ascii=False), "briefing")
+        return self.spark.createDataFrame([first], out.schema)
+
+    def handoff(self, task_id: str) -> dict:
+        """The second step of a briefing: all of the first, and the order of work that follows from it. It can be had once."""
+        kept = self.state(f"briefing:{task_id}").collect()
+        if not kept:
+            raise KeyError(f"no first step {task_id}")
+        held = json.loads(kept[0]["value"])
+        steps = ["read the anchors" if held["anchors"] else "search for where to begin"]
+        steps += [f"heed {len(held['facts'])} known facts"] if held["facts"] else []
+        steps += ["check the impact before any change"] if held["level"] == "High" or held["alerts"] else []
+        steps += {"DEBUG": ["reproduce", "locate", "fix", "verify"], "REFACTOR": ["fix a baseline", "refactor", "verify"], "DESIGN": ["map the structure", "design"], "RESEARCH": ["map the structure", "report"]}.get(held["intent"], ["plan", "implement", "verify"])
+        rows = self.store.read("system_state", schemas.STATE).where(F.col("key") != f"briefing:{task_id}")
+        self.store.replace("system_state", rows)
+        return held | {"strategy": steps}
 
     # memory ----------------------------------------------------------------
     def memos(self) -> DataFrame:
@@ -157,7 +298,8 @@ class Engine:
         return memory.hooks(self.store.read("pending_hooks", schemas.HOOKS), status, now)
 
     def _next(self, rows: DataFrame) -> int:
-        return (rows.agg(F.max("id")).first()[0] or 0) + 1
+        """An id above all others, by time, so that two writers don't meet."""
+        return max((rows.agg(F.max("id")).first()[0] or 0) + 1, time.time_ns() // 1000)
 
     def append_memos(self, items: list[dict], now=None) -> None:
         """Adds memos; missing categories, entities and acts get defaults. One session id for all of them."""
@@ -204,5 +346,41 @@ class Engine:
     def append_chain_events(self, events: DataFrame) -> None:
         self.store.append("task_chain_events", events, schemas.CHAIN_EVENTS)
 
+    def chain_events(self) -> DataFrame:
+        return self.store.read("task_chain_events", schemas.CHAIN_EVENTS)
+
     def task_chains(self, protocol: str = "develop") -> DataFrame:
-        return taskchain.replay(self.store.read("task_chain_events", schemas.CHAIN_EVENTS), protocol)
+        """The state of every task; a task whose first event is an ``init`` with a protocol or phases goes by these."""
+        return taskchain.replay(self.chain_events(), protocol)
+
+    def save_chains(self, protocol: str = "develop") -> None:
+        """Writes the state of all tasks to ``task_chains``; the time of their making stays."""
+        times = self.chain_events().groupBy("task_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"))
+        rows = self.task_chains(protocol).join(times, "task_id").withColumn("description", F.lit(None).cast("string"))
+        old = self.chains()
+        new = rows.select(*[f.split()[0] for f in schemas.CHAINS.split(", ")])
+        self.store.replace("task_chains", ingest.upsert(old, new, ["task_id"], keep=("description", "created_at")))
+
+    def chains(self) -> DataFrame:
+        return self.store.read("task_chains", schemas.CHAINS)
+
+    def delete_chains(self, *task_ids: str) -> None:
+        """Tasks go with their events, together."""
+        gone = self.spark.createDataFrame([(x,) for x in task_ids], "task_id string")
+        self.store.commit({"task_chain_events": ingest.without_tasks(self.chain_events(), gone), "task_chains": ingest.without_tasks(self.chains(), gone)})
+
+    # skills ----------------------------------------------------------------
+    def skill(self, root: str, name: str, resource: str = "") -> dict:
+        """A catalog entry: its text and resources, or one resource; for an unknown name the names that hold it."""
+        catalog = logs.read_catalog(self.spark, root)
+        own = catalog.where(F.col("name") == name).limit(1).collect()
+        if not own:
+            near = logs.listed(catalog.where(F.lower("name").contains(name.lower()))).select("name").limit(20).collect()
+            return {"found": False, "suggestions": [r["name"] for r in near]}
+        folder = own[0]["path"].rsplit("/", 1)[0]
+        if resource:
+            return {"found": True, "name": name} | logs.read_resource(self.spark, folder, resource)
+        text = self.spark.read.text(own[0]["path"], wholetext=True).select(F.regexp_replace("value", r"(?s)^---\s*\n.*?\n---\s*\n", "")).first()[0]
+        entry = folder.rsplit("/", 1)[-1]
+        parts = {r["kind"]: r["files"] for r in logs.resources(self.spark, root).where(F.col("entry") == entry).collect()}
+        return {"found": True, "name": name, "description": own[0]["description"], "text": text, "resources": parts}

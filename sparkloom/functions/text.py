@@ -208,3 +208,60 @@ def naming_prefix(name: Column) -> Column:
 def uri_path(uri: Column) -> Column:
     path = F.regexp_replace(uri, "^file://", "")
     return F.try_url_decode(F.regexp_replace(path, "^/(?=[A-Za-z]:)", ""))
+
+
+def normalised_time(raw: Column) -> Column:
+    """Times of either layout as ISO with Z, as they are said; nothing counts as the first of 1970."""
+    plain = F.trim(F.coalesce(raw, F.lit("")))
+    full = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$"
+    return F.when(plain == "", "1970-01-01T00:00:00Z").when(plain.rlike(full), F.concat(F.translate(plain, " ", "T"), F.lit("Z"))).otherwise(plain)
+
+
+def cut_bytes(text: Column, n: int) -> Column:
+    """At most the first ``n`` bytes, marked where something is missing; a character cut in two is dropped."""
+    raw = F.encode(text, "UTF-8")
+    kept = F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, n - k).cast("string")) for k in range(min(4, n))])
+    return F.when(F.length(raw) > n, F.concat(kept, F.lit("..."))).otherwise(text)
+
+
+def union_distinct(*lists: Column) -> Column:
+    """The items of all lists in order, each once, without a leading point; empty ones go."""
+    items = F.transform(F.concat(*lists), lambda x: F.regexp_replace(x, r"^\.", ""))
+    return F.array_distinct(F.filter(items, lambda x: x != ""))
+
+
+def json_list(text: Column) -> Column:
+    """The elements of a JSON list, objects as JSON; null for anything else."""
+    return F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>"))
+
+
+def json_or_raw(text: Column) -> Column:
+    """A struct of what a JSON object holds, by key, or else of the text as it is."""
+    held = F.when(F.trim(text).startswith("{"), F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}))
+    return F.struct(held.alias("held"), F.when(held.isNull(), text).alias("raw"))
+
+
+# The words of a step and the hint that they call for, the first fitting one.
+MAP_WORDS = ("扫描", "map", "结构")
+MAP_HINTS = (
+    (("核对", "审核", "对比", "对齐"), " (用 full 模式查看完整代码)"),
+    (("浏览", "快速"), " (用 overview 模式)"),
+    (("",), " (用 standard 模式)"),
+)
+SEARCH_WORDS = ("搜索", "定位", "查找")
+SEARCH_HINTS = ((("函数", "类"), " (设置 search_type=function)"),)
+IMPACT_WORDS = ("影响", "依赖")
+IMPACT_HINTS = (
+    (("谁调用了", "被哪里"), " (设置 direction=backward)"),
+    (("调用了谁", "会影响"), " (设置 direction=forward)"),
+)
+
+
+def step_hint(name: Column) -> Column:
+    """A step's name with the option that its words call for."""
+    low, hint = F.lower(name), None
+    for words, hints in ((MAP_WORDS, MAP_HINTS), (SEARCH_WORDS, SEARCH_HINTS), (IMPACT_WORDS, IMPACT_HINTS)):
+        for more, text in hints:
+            fits = contains_any(low, words) & contains_any(low, more)
+            hint = F.when(fits, text) if hint is None else hint.when(fits, text)
+    return F.concat(name, hint.otherwise(""))

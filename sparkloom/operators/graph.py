@@ -146,3 +146,24 @@ def random_walks(edges: DataFrame, root: int, walks: int = 1000, steps: int = 10
         at = cut(live.join(lots, F.col("node") == F.col("src")).where((pick >= F.col("lo")) & (pick < F.col("hi"))).select("walk", F.col("dst").alias("node")))
         seen = seen.unionByName(at)
     return seen.groupBy("node").agg(F.count("*").alias("visits"))
+
+
+def shown(near: DataFrame, symbols: DataFrame, direct: int = 10, indirect: int = 20) -> DataFrame:
+    """(root, hop, node, name, place, of): the nearest nodes that an answer lists, by hop and id; ``of`` counts all, direct or not."""
+    kind = F.when(F.col("hop") == 1, "direct").otherwise("indirect")
+    named = near.withColumn("kind", kind).join(symbols.select(F.col("symbol_id").alias("node"), "name"), "node")
+    place = F.row_number().over(Window.partitionBy("root", "kind").orderBy("hop", "node"))
+    ranked = named.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == "direct", direct).otherwise(indirect))
+    all_ = named.groupBy("root", "kind").agg(F.count("*").alias("of"))
+    return ranked.join(all_, ["root", "kind"]).select("root", "kind", "hop", "node", "name", "place", "of")
+
+
+def checklist(near: DataFrame, symbols: DataFrame, files: DataFrame, direction: str = "backward") -> DataFrame:
+    """(root, place, line): the target, then a line for every direct node of a traversal."""
+    where = symbols.join(files.select("file_id", "file_path"), "file_id").select("symbol_id", "name", "qualified_name", "symbol_type", "file_path")
+    roots = near.select("root").distinct().join(where, F.col("root") == F.col("symbol_id"))
+    target = roots.select("root", F.lit(0).alias("place"), F.format_string("Target: %s (%s)", "qualified_name", "file_path").alias("line"))
+    label = "Dependency" if direction == "forward" else "Caller"
+    direct = near.where("hop = 1").join(where, F.col("node") == F.col("symbol_id"))
+    line = F.format_string(f"Check {label}: %s:%s (%s)", "symbol_type", "name", "file_path")
+    return target.unionByName(direct.select("root", F.row_number().over(Window.partitionBy("root").orderBy("node")).alias("place"), line.alias("line")))

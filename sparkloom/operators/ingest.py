@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import extension
+
 THRESHOLD, BUDGET = 50_000, 5_000
 
 
@@ -70,8 +72,8 @@ def by_precedence(levels: list[DataFrame], key: str) -> DataFrame:
     rows = levels[0].withColumn("_level", F.lit(0))
     for i, more in enumerate(levels[1:], 1):
         rows = rows.unionByName(more.withColumn("_level", F.lit(i)))
-    last = Window.partitionBy(key).orderBy(F.desc("_level"))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_level")
+    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*levels[0].columns), "_level").alias("r"))
+    return best.select("r.*")
 
 
 def broken_references(rows: DataFrame, refs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -81,3 +83,31 @@ def broken_references(rows: DataFrame, refs: DataFrame, key: str) -> tuple[DataF
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def relationship_problems(declared: DataFrame, used: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(file, rid, problem) of relationships (file, rid, type) and the elements (file, element, rid) that use them.
+
+    An id declared twice in a file, one that isn't declared, or one whose type
+    isn't the one expected of the element. Files without declarations aren't judged.
+    """
+    kind = F.element_at(F.split("type", "/"), -1)
+    twice = declared.groupBy("file", "rid").agg(F.count("*").alias("n")).where("n > 1").select("file", "rid", F.lit("duplicate").alias("problem"))
+    last = declared.groupBy("file", "rid").agg(F.max(kind).alias("kind"))
+    judged = used.join(declared.select("file").distinct(), "file", "left_semi").join(last, ["file", "rid"], "left")
+    names = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])
+    want = F.element_at(names, F.col("element"))
+    problem = F.when(F.col("kind").isNull(), "missing").when(want.isNotNull() & (F.lower("kind") != F.lower(want)), "type")
+    return twice.unionByName(judged.select("file", "rid", problem.alias("problem")).where("problem is not null").distinct())
+
+
+def undeclared_parts(parts: DataFrame, overrides: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Paths of ``parts(path)`` that neither ``overrides(path)`` names nor ``defaults(extension)`` covers."""
+    named = overrides.select(F.regexp_replace("path", "^/+", "").alias("path"))
+    rows = parts.withColumn("extension", extension(F.col("path"))).join(named, "path", "left_anti")
+    return rows.join(defaults.select(F.lower("extension").alias("extension")).distinct(), "extension", "left_anti").select("path")
+
+
+def without_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Rows, of chains or of their events, whose task isn't deleted."""
+    return rows.join(tasks.select("task_id").distinct(), "task_id", "left_anti")

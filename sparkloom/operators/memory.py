@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import like, split_words
@@ -101,8 +101,39 @@ def overlaps(boxes: DataFrame, group: str, tolerance: float = 0.05) -> DataFrame
 
 
 def sheet_errors(cells: DataFrame, most: int = 20) -> DataFrame:
-    """(error, n, locations) of cells (sheet, cell, value): each cell counts for the first error it holds."""
+    """(error, n, locations) of cells (sheet, cell, value): each cell counts for the first error it holds; the first ``most`` places are listed."""
     kinds = ("#VALUE!", "#DIV/0!", "#REF!", "#NAME?", "#NULL!", "#NUM!", "#N/A")
     first = F.coalesce(*[F.when(F.col("value").contains(k), k) for k in kinds])
     place = F.concat_ws("!", "sheet", "cell")
-    return cells.withColumn("error", first).where("error is not null").groupBy("error").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(place)), 1, most).alias("locations"))
+    found = cells.select(first.alias("error"), place.alias("place")).where("error is not null")
+    few = found.withColumn("k", F.row_number().over(Window.partitionBy("error").orderBy("place"))).where(F.col("k") <= most)
+    return found.groupBy("error").agg(F.count("*").alias("n")).join(few.groupBy("error").agg(F.sort_array(F.collect_list("place")).alias("locations")), "error")
+
+
+def formula_count(cells: DataFrame) -> DataFrame:
+    """One row: the number of cells that hold a formula."""
+    return cells.agg(F.count(F.when(F.col("value").startswith("="), 1)).alias("n_formulas"))
+
+
+def tool_durations(calls: DataFrame) -> DataFrame:
+    """(tool, n, total, longest) of calls (tool, seconds)."""
+    return calls.groupBy("tool").agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.max("seconds").alias("longest"))
+
+
+def banded_order(boxes: DataFrame, group: str, band: float = 0.5) -> DataFrame:
+    """(group, id, band, place): boxes (id, left, top) of a group in rows from top to bottom, from left to right within a row.
+
+    A row holds what lies within ``band`` of its first box, so it needs the
+    boxes of one group in order: a group is one page, folded over in its row.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("band"), F.array().cast("array<struct<band:int,left:double,top:double,id:bigint>>").alias("out"))
+
+    def step(s: Column, b: Column) -> Column:
+        fresh = s["top"].isNull() | (b["top"] - s["top"] > band)
+        at = F.when(fresh, s["band"] + 1).otherwise(s["band"])
+        one = F.struct(at.cast("int").alias("band"), b["left"].alias("left"), b["top"].alias("top"), b["id"].alias("id"))
+        return F.struct(F.when(fresh, b["top"]).otherwise(s["top"]).alias("top"), at.cast("int").alias("band"), F.concat(s["out"], F.array(one)).alias("out"))
+
+    pages = boxes.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("top").cast("double").alias("top"), F.col("left").cast("double").alias("left"), F.col("id").cast("long").alias("id")))).alias("b"))
+    rows = pages.select(group, F.posexplode(F.sort_array(F.aggregate("b", start, step, lambda s: s["out"]))).alias("k", "r"))
+    return rows.select(group, "r.id", "r.band", (F.col("k") + 1).alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import directory, naming_prefix, naming_style, prefixes
+from ..functions.text import complexity_level, directory, naming_prefix, naming_style, prefixes
 
 
 def complexity_buckets(scores: DataFrame) -> DataFrame:
@@ -88,3 +88,31 @@ def common_prefixes(symbols: DataFrame, sample: int | None = 1000, most: int = 5
     per = rows.select(naming_prefix(F.col("name")).alias("prefix")).where("prefix is not null").groupBy("prefix").agg(F.count("*").alias("n"))
     kept = per.join(F.broadcast(total), F.col("n") > F.greatest(F.lit(2), F.col("twentieth")))  # one row
     return kept.select("prefix", "n").orderBy(F.desc("n"), "prefix").limit(most)
+
+
+def counts(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row: n_files, n_symbols of these files."""
+    own = symbols.join(files.select("file_id"), "file_id", "left_semi")
+    one = files.agg(F.count("*").alias("n_files"))
+    return one.join(F.broadcast(own.agg(F.count("*").alias("n_symbols"))))  # a row each
+
+
+def children_by_mean(rolled: DataFrame) -> DataFrame:
+    """(parent, dir, mean_score, place): the directories in each directory, highest mean complexity of their symbols first."""
+    rows = rolled.where("depth > 0").select(
+        F.when(F.col("depth") == 1, ".").otherwise(F.regexp_replace("dir", "/[^/]*$", "")).alias("parent"), "dir",
+        F.when(F.col("n_symbols") > 0, F.col("sum_score") / F.col("n_symbols")).otherwise(0.0).alias("mean_score"),
+    )
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy(F.round("mean_score", 6).desc(), "dir")))
+
+
+def most_complex(scores: DataFrame, most: int = 5) -> DataFrame:
+    return scores.orderBy(F.desc("score"), "name").limit(most)
+
+
+def highest(scores: DataFrame, names: list[str]) -> DataFrame:
+    """One row: the highest score among ``names`` (0 if none is known), its level, and those of 50 and more with their reasons."""
+    own = scores.where(F.col("name").isin(names) if names else F.lit(False))
+    loud = F.sort_array(F.collect_list(F.when(F.col("score") >= 50, F.concat_ws(" ", "name", F.round("score", 1).cast("string"), "reasons"))))  # as many as names at most
+    top = F.coalesce(F.max("score"), F.lit(0.0))
+    return own.agg(top.alias("score"), loud.alias("alerts")).withColumn("level", complexity_level(F.col("score")))

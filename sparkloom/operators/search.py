@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import like
+from ..functions.text import like, slashes
 
 #: Type classes of the filter; each covers its related types.
 TYPE_CLASSES = {"function": ("function", "method"), "class": ("class", "struct", "interface")}
@@ -136,3 +136,33 @@ def shown_matches(matches: DataFrame, files: int = 10, per_file: int = 3) -> Dat
     paths = matches.select("file_path").distinct().orderBy("file_path").limit(files)
     near = matches.join(paths, "file_path", "left_semi")
     return near.withColumn("place", F.row_number().over(Window.partitionBy("file_path").orderBy("line"))).where(F.col("place") <= per_file)
+
+
+def under_path(rows: DataFrame, suffix: str) -> DataFrame:
+    """Rows of files whose path ends with ``suffix``."""
+    return rows.where(slashes(F.col("file_path")).endswith(suffix.replace("\\", "/")))
+
+
+def within(rows: DataFrame, scope: str) -> DataFrame:
+    """Rows of files whose path holds ``scope`` anywhere."""
+    return rows.where(slashes(F.col("file_path")).contains(scope.replace("\\", "/"))) if scope.strip() else rows
+
+
+def same_name(symbols: DataFrame, query: str) -> DataFrame:
+    """Symbols whose name or qualified name equals ``query``, case aside."""
+    return symbols.where((F.lower("name") == query.lower()) | (F.lower("qualified_name") == query.lower()))
+
+
+def anchors(symbols: DataFrame, names: list[str], scope: str = "", most: int = 10) -> DataFrame:
+    """(place, query, symbol_id, name, file_path): the symbols that the first ``most`` names mean, each name once.
+
+    A name means a symbol of exactly that name if there is one, else one that
+    equals it case aside; of several that with the smallest id. Names without a
+    symbol are left out.
+    """
+    wanted = list(dict.fromkeys(names[:most]))
+    asked = symbols.sparkSession.createDataFrame([(i, q, q.lower()) for i, q in enumerate(wanted)], "place int, query string, low string")
+    rows = within(symbols, scope).select("symbol_id", "name", "file_path", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("qualified_name")))).alias("low"))
+    hit = rows.join(F.broadcast(asked), "low")  # at most ``most`` rows
+    best = hit.groupBy("place", "query").agg(F.min(F.struct((F.col("name") != F.col("query")).alias("other"), "symbol_id", "name", "file_path")).alias("s"))
+    return best.select("place", "query", "s.symbol_id", "s.name", "s.file_path")

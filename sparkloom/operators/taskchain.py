@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The phases of the built-in protocols (id, type, on_pass, on_fail, max_retries).
@@ -42,6 +42,22 @@ def template(protocol: str) -> list[dict]:
     return [dict(zip(keys, p, strict=True), status="pending", retry_count=0, summary="", sub_tasks=[]) for p in PROTOCOLS[protocol]]
 
 
+def custom_phases(phases) -> list[dict]:
+    """Phases of a task's own: a list of objects, or its JSON."""
+    given = json.loads(phases) if isinstance(phases, str) else phases
+    out = []
+    for p in given:
+        if not isinstance(p, dict) or not p.get("id"):
+            raise Refused("a phase needs an id")
+        known = {"id": p["id"], "type": p.get("type") or "execute", "on_pass": p.get("on_pass", ""), "on_fail": p.get("on_fail", ""), "max_retries": int(p.get("max_retries") or 0)}
+        if known["type"] not in ("execute", "gate", "loop"):
+            raise Refused(f"no phase type {known['type']}")
+        out.append(known | {"status": "pending", "retry_count": 0, "summary": "", "sub_tasks": []})
+    if not out:
+        raise Refused("no phases")
+    return out
+
+
 class Refused(Exception):
     """An event that the state doesn't admit."""
 
@@ -136,8 +152,8 @@ class TaskChain:
     def reinit(self) -> None:
         if self.reinits >= 1:
             raise Refused("initialised twice already")
-        count = self.reinits + 1
-        self.__init__(self.protocol)
+        count, own = self.reinits + 1, None if self.protocol in PROTOCOLS else [{k: p[k] for k in ("id", "type", "on_pass", "on_fail", "max_retries")} for p in self.phases]
+        self.__init__(self.protocol, own and custom_phases(own))
         self.reinits = count
 
     def apply(self, kind: str, phase: str | None, sub: str | None, payload: dict) -> None:
@@ -181,10 +197,15 @@ class Fold:
         self.task, self.chain, self.events, self.errors, self.last = task, TaskChain(protocol), 0, 0, ""
 
     def add(self, kind, phase, sub, payload) -> None:
+        """One event. A first ``init`` may name its own protocol or list its own phases."""
         self.events += 1
         try:
-            self.chain.apply(kind, phase or None, sub or None, json.loads(payload) if payload else {})
-        except (Refused, ValueError, KeyError) as e:
+            said = json.loads(payload) if isinstance(payload, str) and payload else {}
+            if kind == "init" and self.events == 1 and (said.get("protocol") or said.get("phases")):
+                self.chain = TaskChain(said.get("protocol") or "custom", custom_phases(said["phases"]) if said.get("phases") else None)
+            else:
+                self.chain.apply(kind, phase or None, sub or None, said)
+        except (Refused, ValueError, KeyError, AttributeError, TypeError) as e:
             self.errors, self.last = self.errors + 1, str(e)
 
     def row(self) -> tuple:
@@ -225,3 +246,13 @@ def progress(chains: DataFrame, phases_schema: str) -> DataFrame:
     p = chains.select("task_id", F.explode(F.from_json("phases_json", phases_schema)).alias("p"))
     closed = F.filter("p.sub_tasks", lambda s: s["status"].isin("passed", "failed"))
     return p.select("task_id", F.col("p.id").alias("phase_id"), F.size(closed).alias("done"), F.size("p.sub_tasks").alias("total"), F.forall("p.sub_tasks", lambda s: s["status"].isin("passed", "failed")).alias("all_done"))
+
+
+def first_events(events: DataFrame, most: int = 50) -> DataFrame:
+    """The first events of every task by id, with their place."""
+    return events.withColumn("place", F.row_number().over(Window.partitionBy("task_id").orderBy("id"))).where(F.col("place") <= most)
+
+
+def by_update(chains: DataFrame, most: int = 20) -> DataFrame:
+    """Chains last changed, latest first."""
+    return chains.orderBy(F.desc("updated_at"), "task_id").limit(most)

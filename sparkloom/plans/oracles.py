@@ -178,7 +178,7 @@ ORACLES = {
         "SELECT caller_id, callee_name, (SELECT s2.symbol_id FROM symbols s2 WHERE s2.name = callee_name ORDER BY CASE WHEN s2.file_id = g.file_id THEN 0 ELSE 1 END, s2.symbol_id LIMIT 1) AS callee_id, n FROM (SELECT caller_id, callee_name, file_id, count(*) AS n FROM calls JOIN symbols ON symbol_id = caller_id GROUP BY ALL) g"
     ),
     "unresolved_calls": _with(
-        "SELECT caller_id AS src, symbol_id AS dst, CAST(sum(n) AS BIGINT) AS n FROM (SELECT caller_id, callee_name, count(*) AS n FROM linked WHERE callee_id IS NULL OR callee_id % 2 <> 0 GROUP BY ALL) JOIN symbols ON name = callee_name WHERE file_id % 2 = 0 GROUP BY 1, 2"
+        "SELECT caller_id AS src, symbol_id AS dst, CAST(sum(n) AS BIGINT) AS n FROM (SELECT caller_id, callee_name, count(*) AS n FROM linked WHERE callee_id IS NULL OR callee_id % 2 <> 0 GROUP BY ALL) JOIN symbols ON name = callee_name GROUP BY 1, 2"
     ),
     "callers_of": _with(f"SELECT caller_id, name, call_line FROM linked JOIN symbols ON symbol_id = caller_id WHERE callee_id = 3 OR (callee_id IS NULL AND callee_name = {_Q})"),
     "impact_backward": _with("SELECT node AS symbol_id, hop, edge_count FROM hops", _reach("dst", "src", _ROOT)),
@@ -247,7 +247,12 @@ ORACLES = {
   UNION ALL SELECT root, 2, k, entry || ' -> ' || name FROM down WHERE k <= 3
 )""",
     ),
-    "snapshot": _with("SELECT canonical_id, name, symbol_type, line_start, coalesce(n, 0) AS n_calls FROM shot_a LEFT JOIN calls_a ON caller_id = symbol_id", _SNAP),
+    "snapshot": _with(
+        """SELECT canonical_id, name, symbol_type, line_start, coalesce(n, 0) AS n_calls FROM (
+  SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY symbol_id DESC) AS k FROM (
+    SELECT s.*, CASE WHEN symbol_type = 'class' THEN 'class' ELSE 'func' END || ':' || file_path || '::' || name AS canonical_id FROM symbols s JOIN files USING (file_id))
+) LEFT JOIN (SELECT caller_id, count(*) AS n FROM calls GROUP BY 1) ON caller_id = symbol_id WHERE k = 1"""
+    ),
     "snapshot_diff": _with(
         """SELECT canonical_id, change, CASE WHEN change = 'modified' THEN what ELSE change END AS message FROM (
   SELECT coalesce(a.canonical_id, b.canonical_id) AS canonical_id,
@@ -325,7 +330,7 @@ FROM (SELECT *, trim(CASE WHEN instr(s, '。') > 1 THEN split_part(s, '。', 1)
     "box_overlaps": _with(
         """SELECT a.file_id, a.symbol_id AS first, b.symbol_id AS second, round((least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start)) * CAST(1.5 - abs(a.symbol_id % 3 - b.symbol_id % 3) AS DOUBLE), 2) AS area
 FROM symbols a JOIN symbols b ON a.file_id = b.file_id AND a.symbol_id < b.symbol_id
-WHERE a.file_id < 40 AND least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start) > 0.05 AND 1.5 - abs(a.symbol_id % 3 - b.symbol_id % 3) > 0.05"""
+WHERE least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start) > 0.05 AND 1.5 - abs(a.symbol_id % 3 - b.symbol_id % 3) > 0.05"""
     ),
     "stream_event_counts": _with("SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) || ' 00:00:00' AS day, event_type, count(*) AS n FROM chain_events GROUP BY 1, 2"),
 }

@@ -104,10 +104,9 @@ def link_calls(s, d):
 
 
 def unresolved_calls(s, d):
-    """Calls without a definition, and the namesakes they would reach if only half of the symbols were indexed."""
-    half = V.symbols(s, d).where("file_id % 2 = 0")
+    """Calls without a definition, those whose link to an odd symbol is lost among them, and the namesakes they reach."""
     open_ = graph.link_calls(V.calls(s, d), V.symbols(s, d)).withColumn("callee_id", F.when(F.col("callee_id") % 2 == 0, F.col("callee_id")))
-    return graph.expand_unresolved(open_, half)
+    return graph.expand_unresolved(open_, V.symbols(s, d))
 
 
 def callers_of(s, d):
@@ -228,7 +227,7 @@ def _shot(s, d, target):
 
 
 def snapshot_table(s, d):
-    return _shot(s, d, False).select("canonical_id", "name", "symbol_type", "line_start", F.size("calls").cast("long").alias("n_calls"))
+    return snapshot.snapshot(V.symbols(s, d), V.calls(s, d), V.files(s, d)).select("canonical_id", "name", "symbol_type", "line_start", F.size("calls").cast("long").alias("n_calls"))
 
 
 def snapshot_diff(s, d):
@@ -380,7 +379,7 @@ def log_projection(s, d):
 
 
 def box_overlaps(s, d):
-    boxes = V.symbols(s, d).where("file_id < 40").select(
+    boxes = V.symbols(s, d).select(
         "file_id", F.col("symbol_id").alias("id"), (F.col("line_start") * 1.0).alias("left"), (F.col("symbol_id") % 3 * 1.0).alias("top"),
         (F.col("line_end") - F.col("line_start")).cast("double").alias("width"), F.lit(1.5).alias("height"),
     )

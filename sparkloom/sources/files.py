@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import extension, slashes
 
@@ -19,7 +25,7 @@ LANGUAGES = {
     "py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript",
     "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp",
 }
-#: Stack, marker files, its extensions, its own ignored directories.
+# Stack, marker files, its extensions, its own ignored directories.
 STACKS = (
     ("python", ("requirements.txt", "pyproject.toml"), ("py",), ("site-packages", "htmlcov", ".pytest_cache")),
     ("frontend", ("package.json",), ("js", "jsx", "ts", "tsx", "vue", "svelte", "css", "html"), ("coverage", ".next", ".nuxt", "out")),
@@ -28,38 +34,128 @@ STACKS = (
     ("cpp", ("CMakeLists.txt",), ("c", "h", "cpp", "hpp", "cc"), ("cmake-build-debug", "obj")),
     ("java", ("pom.xml", "build.gradle"), ("java",), (".gradle",)),
 )
-#: Extensions that show a stack without its marker; the others of the stack don't.
+# Extensions that show a stack without its marker; the others of the stack don't.
 SHOWN_BY = {"frontend": ("js", "jsx", "ts", "tsx", "vue", "svelte")}
 
 
+FILES = "file_path string, file_size long, file_mtime long"
+#: Rows of a listing that go to Spark at once.
+CHUNK = 100_000
+
+
+def _walk_local(base: str, drop: set[str]) -> Iterator[tuple[str, int, int]]:
+    for folder, names, files in os.walk(base):
+        names[:] = sorted(x for x in names if x not in drop)
+        for name in files:
+            full = os.path.join(folder, name)
+            if os.path.isfile(full) and not os.path.islink(full):
+                st = os.stat(full)
+                yield os.path.relpath(full, base), st.st_size, int(st.st_mtime)
+
+
+def _walk_remote(spark: SparkSession, base: str, drop: set[str]) -> Iterator[tuple[str, int, int]]:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo = [(root, "")]
+    while todo:
+        at, above = todo.pop()
+        for st in fs.listStatus(at):
+            name = st.getPath().getName()
+            if st.isDirectory():
+                if name not in drop:
+                    todo.append((st.getPath(), f"{above}{name}/"))
+            else:
+                yield above + name, int(st.getLen()), int(st.getModificationTime()) // 1000
+
+
+def _plain(root: str) -> str | None:
+    """The local path that a root means, or None."""
+    return root if "://" not in root and not root.startswith("file:") else re.sub("^file:(//)?", "", root) if root.startswith("file:") else None
+
+
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = (), scope: str = "") -> DataFrame:
-    """(file_path, file_size, file_mtime, extension, content): files below ``root``, paths relative to it.
+    """(file_path, file_size, file_mtime, extension): files below ``root``, paths relative to it.
 
-    Contents are read only by plans that use them. Files and directories whose
-    names start with ``_`` or ``.`` aren't listed by Spark's file sources.
+    Names that start with ``_`` or ``.`` are listed too, which Spark's file
+    sources leave out. Ignored directories aren't entered. Only names, sizes and
+    times are listed, by the driver as Spark's own sources do; see ``contents``.
     """
+    base, drop, below = root.rstrip("/"), set(IGNORED) | set(ignored), scope.strip("/")
+    below = "" if not below.strip("./") else f"{below}/"
+    local = _plain(base)
+    if below and drop & set(below.split("/")):
+        walk = iter(())
+    elif local is not None:
+        walk = _walk_local(os.path.join(local, below) if below else local, drop)
+    else:
+        walk = _walk_remote(spark, f"{base}/{below}", drop)
+    wanted = {e.lower().lstrip(".") for e in extensions}
+    out = None
+    while True:
+        found = [(f"{below}{p}".replace("\\", "/"), n, t) for p, n, t in itertools.islice(walk, CHUNK)]
+        part = spark.createDataFrame([x for x in found if not wanted or os.path.splitext(x[0])[1].lstrip(".").lower() in wanted], FILES)
+        out = part if out is None else out.unionByName(part)
+        if len(found) < CHUNK:
+            return out.withColumn("extension", extension(F.col("file_path")))
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """``files(file_path, ...)`` with their content, read by the tasks; a file that is gone meanwhile is left out."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{base}/{scope.strip('/')}" if scope.strip("./") else base)
-    plain = F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), "^/+", "/")
-    short = F.substring(plain, len(base.split("file:", 1)[-1].rstrip("/")) + 2, 1_000_000)
-    rows = raw.select(slashes(short).alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").cast("long").alias("file_mtime"), "content")
-    rows = rows.withColumn("extension", extension(F.col("file_path")))
-    drop = set(IGNORED) | set(ignored)
-    above = F.slice(F.split("file_path", "/"), F.lit(1), F.size(F.split("file_path", "/")) - 1)
-    rows = rows.where(~F.arrays_overlap(above, F.array(*[F.lit(x) for x in sorted(drop)])))
-    return rows.where(F.col("extension").isin(*[e.lower().lstrip(".") for e in extensions])) if extensions else rows
+    local = _plain(base)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remote, folder = (None, local) if local is not None else pafs.FileSystem.from_uri(base)
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64].copy()
+                data = []
+                for path in part["file_path"]:
+                    try:
+                        with open(f"{folder}/{path}", "rb") if remote is None else remote.open_input_stream(f"{folder}/{path}") as f:
+                            data.append(f.read())
+                    except FileNotFoundError:
+                        data.append(None)
+                yield part.assign(content=data)
+
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+    return files.mapInPandas(run, schema).where("content is not null")
+
+
+def root_text(spark: SparkSession, root: str, name: str) -> str:
+    """The text of a file right below ``root``, or nothing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return ""
+    stream = fs.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+# Endings by which a rule means a file rather than a directory.
+FILE_ENDINGS = (
+    "txt", "md", "json", "yml", "yaml", "toml", "lock", "log", "py", "js", "ts", "rs", "go", "java", "c", "cpp", "h", "hpp", "sql", "db",
+)
 
 
 def ignore_rules(text: str) -> list[str]:
-    """Directory names from the text of an ignore file: comments and negations go, of paths the last part counts."""
+    """Directory names from the text of an ignore file.
+
+    Comments and negations go. A rule means a directory if it ends with a slash,
+    or holds one and doesn't end like a file; its last part counts, as
+    directories are told by name wherever they are.
+    """
     out = []
     for line in text.splitlines():
         rule = line.strip()
-        if not rule or rule[0] in "#!" or any(c in rule for c in "*?["):
+        if not rule or rule[0] in "#!" or "/" not in rule:
             continue
         is_dir = rule.endswith("/")
-        name = rule.rstrip("/").rsplit("/", 1)[-1]
-        if name and (is_dir or os.path.splitext(name.lstrip("."))[1] == ""):
+        name = rule.rstrip("/").rsplit("/", 1)[-1].replace("*", "")
+        if name and (is_dir or not ("." in name and name.rsplit(".", 1)[-1].lower() in FILE_ENDINGS)):
             out.append(name)
     return list(dict.fromkeys(out))
 

@@ -13,7 +13,7 @@ _LOG = r"^- \[(.*)\] \*\*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\*\*: (\S+) \((.*?
 
 def read_archive(spark: SparkSession, path: str, now=None) -> DataFrame:
     """Memos of a JSON-lines archive; blank and malformed lines are skipped, unreadable times become now."""
-    rows = spark.read.schema(ARCHIVE + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    rows = spark.read.schema(ARCHIVE + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where("_bad is null and (content is not null or entity is not null)").drop("_bad").withColumn("timestamp", parsed_time(F.col("timestamp"), now))
 
 
@@ -88,3 +88,27 @@ def read_personas(spark: SparkSession, paths: list[str]) -> DataFrame:
         rows = spark.read.option("multiLine", True).schema(f"personas {item}").json(p).select(F.explode("personas").alias("p")).select("p.*")
         out = rows if out is None else overlay(out, rows, "name")
     return out
+
+
+def listed(catalog: DataFrame, most: int | None = None) -> DataFrame:
+    """A catalog in the order of its names."""
+    rows = catalog.orderBy("name")
+    return rows.limit(most) if most else rows
+
+
+def read_resource(spark: SparkSession, folder: str, resource: str) -> dict:
+    """A file of an entry by its path, or else by its name among references, scripts and assets; paths that lead out are refused."""
+    if resource.startswith("/") or ".." in resource.split("/") or "://" in resource:
+        return {"error": "outside of the entry"}
+    jvm = spark.sparkContext._jvm
+    name = resource.rsplit("/", 1)[-1]
+    for part in (resource, *[f"{kind}/{name}" for kind in ("references", "scripts", "assets")]):
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path) and fs.getFileStatus(path).isFile():
+            stream = fs.open(path)
+            try:
+                return {"resource": part, "text": jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")}
+            finally:
+                stream.close()
+    return {"error": "no such resource"}

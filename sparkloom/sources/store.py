@@ -1,11 +1,16 @@
-"""Versioned Parquet tables: a change is written beside the table and then becomes its newest version.
+"""Versioned Parquet tables: changes are written beside the tables and take effect together.
 
-Readers see a whole version or the one before; a version being read is never
-overwritten. Paths go through Hadoop's file systems, so any store will do.
+A commit is a small file that names the newest version of every table; it is
+written last, so readers see all tables of a change or none. A version being
+read is never overwritten. Paths go through Hadoop's file systems, so any store
+will do. One writer at a time: of two commits with one number the later fails.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,32 +23,93 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _versions(self, name: str) -> list[int]:
-        fs, p = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return []
-        found = [s.getPath() for s in fs.listStatus(p)]
-        jvm = self.spark.sparkContext._jvm
-        done = [x.getName() for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-        return sorted(int(x[1:]) for x in done if x.startswith("v"))
+    def _commits(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/_commits")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(x[:-5]) for x in names if x.endswith(".json"))
+
+    def _state(self) -> tuple[int, dict[str, str]]:
+        """The newest commit's number, and each table's folder."""
+        commits = self._commits()
+        if not commits:
+            return -1, {}
+        fs, p = self._fs(f"{self.root}/_commits/{commits[-1]:012d}.json")
+        stream = fs.open(p)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return commits[-1], json.loads(text)
 
     def read(self, name: str, schema: str) -> DataFrame:
         """The newest version of a table; empty where there is none."""
-        versions = self._versions(name)
-        if not versions:
+        folder = self._state()[1].get(name)
+        if folder is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{versions[-1]}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{folder}")
 
     def replace(self, name: str, df: DataFrame) -> None:
-        versions = self._versions(name)
-        new = versions[-1] + 1 if versions else 0
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{new}")
-        for old in versions[: -self.keep]:
-            fs, p = self._fs(f"{self.root}/{name}/v{old}")
-            fs.delete(p, True)
+        self.commit({name: df})
+
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """New versions of several tables, visible together."""
+        number, state = self._state()
+        new = {name: f"v{number + 1:06d}-{uuid.uuid4().hex[:8]}" for name in tables}
+        for name, df in tables.items():
+            df.write.parquet(f"{self.root}/{name}/{new[name]}")
+        fs, p = self._fs(f"{self.root}/_commits/{number + 1:012d}.json")
+        out = fs.create(p, False)  # fails if another writer was first
+        try:
+            out.write(bytearray(json.dumps(state | new).encode()))
+        finally:
+            out.close()
+        for name in tables:
+            self._tidy(name, new[name])
+        for old in self._commits()[: -self.keep - 1]:
+            self._delete(f"{self.root}/_commits/{old:012d}.json")
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def _tidy(self, name: str, newest: str) -> None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        older = sorted(x for x in (s.getPath().getName() for s in fs.listStatus(p)) if x < newest)
+        for x in older[: -self.keep]:
+            self._delete(f"{self.root}/{name}/{x}")
 
     def append(self, name: str, df: DataFrame, schema: str) -> None:
-        """Rows are added to the newest version in place; appends don't disturb readers."""
-        versions = self._versions(name)
-        target = f"{self.root}/{name}/v{versions[-1] if versions else 0}"
-        df.select(*[f.split()[0] for f in schema.split(", ")]).write.mode("append").parquet(target)
+        """Rows are added to the newest version in place; appends don't disturb readers, nor each other."""
+        rows = df.select(*[f.split()[0] for f in schema.split(", ")])
+        folder = self._state()[1].get(name)
+        if folder is None:
+            self.commit({name: rows})
+        else:
+            rows.write.mode("append").parquet(f"{self.root}/{name}/{folder}")
+
+    def sizes(self) -> dict[str, int]:
+        """Bytes of the newest version of each table."""
+        out = {}
+        for name, folder in self._state()[1].items():
+            fs, p = self._fs(f"{self.root}/{name}/{folder}")
+            out[name] = int(fs.getContentSummary(p).getLength())
+        return out
+
+    def put_text(self, name: str, text: str) -> None:
+        """A small file beside the tables, replaced as a whole."""
+        fs, p = self._fs(f"{self.root}/{name}")
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def get_text(self, name: str) -> str | None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..durable import shared_dir
 from ..operators.taskchain import STATE, Fold, TaskChain
 
 EVENTS = "id long, task_id string, event_type string, created_at timestamp"
@@ -33,14 +34,16 @@ def chain_states(events: DataFrame, protocol: str = "develop") -> DataFrame:
         fold = Fold(key[0], protocol)
         if held.exists:
             got = json.loads(held.get[0])
-            fold.chain = TaskChain(protocol, got["phases"])
+            fold.chain = TaskChain(got["protocol"], got["phases"])
             fold.chain.status, fold.chain.current, fold.chain.reinits = got["status"], got["current"], got["reinits"]
             fold.events, fold.errors, fold.last = got["events"], got["errors"], got["last"]
-        rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
-        for kind in rows["event_type"]:
-            fold.add(kind, None, None, None)
+        rows = pd.concat(list(batches))  # the task's events of one batch; its size is bounded by the source's options
+        rows = rows.sort_values(["created_at", "id"])
+        given = [rows[c] if c in rows else [None] * len(rows) for c in ("phase_id", "sub_id", "payload")]
+        for kind, *more in zip(rows["event_type"], *given, strict=True):
+            fold.add(kind, *[None if x is None or x != x else x for x in more])
         c = fold.chain
-        held.update((json.dumps({"phases": c.phases, "status": c.status, "current": c.current, "reinits": c.reinits, "events": fold.events, "errors": fold.errors, "last": fold.last}),))
+        held.update((json.dumps({"protocol": c.protocol, "phases": c.phases, "status": c.status, "current": c.current, "reinits": c.reinits, "events": fold.events, "errors": fold.errors, "last": fold.last}),))
         yield pd.DataFrame([fold.row()], columns=[f.split()[0] for f in STATE.split(", ")])
 
     return events.groupBy("task_id").applyInPandasWithState(run, STATE, saved, "update", "NoTimeout")
@@ -56,11 +59,17 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 def _collected(df: DataFrame, mode: str) -> DataFrame:
-    """The rows that a stream gives for what is there now."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """The rows that a stream gives for what is there now: each batch is written to the shared folder; of whole results the last one counts."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    kept: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        kept.append(f"{folder}/rows/{number}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(*(kept[-1:] if mode == "complete" else kept)) if kept else spark.createDataFrame([], df.schema)
 
 
 def stream_event_counts(s: SparkSession, d: str) -> DataFrame:

@@ -105,3 +105,133 @@ def test_catalog(spark, tmp_path):
     assert got == {"one-skill": "does one", "two": "Paragraph of two."}
     assert [(r.entry, r.kind, r.files) for r in logs.resources(spark, str(tmp_path / "s")).collect()] == [("one", "scripts", ["run.sh"])]
     assert logs.valid_entries(logs.read_catalog(spark, str(tmp_path / "s"))).where("problem is null").count() == 2
+
+
+def test_every_file_is_seen(spark, tree, tmp_path):
+    (tree / "pkg/__init__.py").write_text("def boot():\n    return price(1)\n")
+    (tree / ".tools").mkdir()
+    (tree / ".tools/run.py").write_text("def run():\n    boot()\n")
+    for folder in ("generated", "bin", "deep/scratch"):
+        (tree / folder).mkdir(parents=True)
+        (tree / folder / "no.py").write_text("def no(): pass\n")
+    (tree / ".gitignore").write_text("generated/\n# note\n!kept/\ndeep/scratch\n*.log\n")
+    (tree / "go.mod").write_text("module x\n")
+    e = Engine(spark, str(tmp_path / "db"))
+    extensions, ignored, stacks = e.project(str(tree))
+    assert stacks == ["python", "go"] and {"generated", "scratch", "bin"} <= set(ignored) and "pkg" not in ignored and extensions[:2] == ("py", "go")
+    e.ingest(str(tree))
+    assert {r.file_path for r in e.files().collect()} == {"pkg/shop.py", "pkg/__init__.py", ".tools/run.py", "main.go"}
+    assert {(r.name, r.hop) for r in e.impact("price").collect()} == {("sell", 1), ("Handle", 1), ("boot", 1), ("run", 2)}
+    assert {r.action: r.n for r in e.ingest(str(tree), scope="pkg").collect()} == {"skip_meta": 2} and e.files().count() == 4
+
+
+def test_status_freshness_and_one_commit(spark, tree, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "db"))
+    assert "index_status_error" in e.index_status() and not e.fresh()
+    assert e.ensure_fresh(str(tree)) and e.fresh() and not e.ensure_fresh(str(tree)) and not e.fresh(ttl=-1)
+    status = e.index_status()
+    assert status["index_status"]["counts"] == {"new": 2} and set(status["tables"]) == {"files", "symbols", "calls"}
+    e.store.put_text("_status.json", "{broken")
+    assert e.index_status()["index_status_raw"] == "{broken" and not e.fresh()
+    # a change that breaks off leaves all three tables as they were
+    before = (e.files().count(), e.symbols().count(), e.calls().count())
+    (tree / "pkg/more.py").write_text("def more():\n    price(2)\n")
+    real, written = e.store.commit, []
+
+    def broken(tables):
+        for name, df in tables.items():
+            df.write.parquet(str(tmp_path / f"half-{name}"))
+            written.append(name)
+            raise OSError("disk gone")
+
+    monkeypatch.setattr(e.store, "commit", broken)
+    with pytest.raises(OSError):
+        e.ingest(str(tree))
+    assert e.index_status()["index_status"]["status"] == "failed" and (e.files().count(), e.symbols().count(), e.calls().count()) == before
+    monkeypatch.setattr(e.store, "commit", real)
+    assert {r.action: r.n for r in e.ingest(str(tree)).collect()} == {"skip_meta": 2, "new": 1}
+    for i in range(4):
+        e.save_state("k", str(i))
+    assert len(os.listdir(tmp_path / "db/system_state")) == 3 and [r.value for r in e.state("k").collect()] == ["3"]
+
+
+def test_ingest_stops_in_time(spark, tree, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    with pytest.raises(Exception):
+        e.ingest(str(tree), timeout=0.2)
+    assert e.files().count() == 0 and e.index_status()["index_status"]["status"] == "failed"
+    assert e.ingest(str(tree), timeout=600).count() == 1
+
+
+def test_answers(spark, tree, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.ingest(str(tree))
+    assert [(r.section, r.name) for r in e.search_all(str(tree), "price").collect()] == [("exact", "price")]
+    rows = e.search_all(str(tree), "len(x)").collect()
+    assert {(r.section, r.name, r.line) for r in rows} == {("text", "helper", 11)}
+    assert e.search_all(str(tree), "pric", kind="class").where("section <> 'text'").count() == 0
+    lists = {(r.direction, r.kind, r.name, r.of) for r in e.flow_lists("price").collect()}
+    assert lists == {("backward", "direct", "sell", 2), ("backward", "direct", "Handle", 2), ("forward", "direct", "helper", 1)}
+    assert {r.direction for r in e.flow_lists("price", direction="forward").collect()} == {"forward"}
+    assert [r.line for r in e.checklist("helper").orderBy("place").collect()] == ["Target: helper (pkg/shop.py)", "Check Caller: function:price (pkg/shop.py)"]
+    e.append_fact("rule", "helper is slow")
+    first = e.briefing("please fix helper", symbols=("HELPER", "nowhere", "HELPER")).first()
+    assert first.intent == "DEBUG" and [(a.query, a.name) for a in first.anchors] == [("HELPER", "helper")] and first.facts == ["helper is slow"] and first.level == "Low"
+    held = e.handoff(first.task_id)
+    assert held["anchors"][0]["name"] == "helper" and "fix" in held["strategy"]
+    with pytest.raises(KeyError):
+        e.handoff(first.task_id)
+
+
+def test_skills_and_status_files(spark, tmp_path):
+    from sparkloom.sources import results
+
+    (tmp_path / "s/one/references").mkdir(parents=True)
+    (tmp_path / "s/one/SKILL.md").write_text("---\nname: one-skill\ndescription: does one\n---\n# One\n")
+    (tmp_path / "s/one/references/more.txt").write_text("more")
+    e = Engine(spark, str(tmp_path / "db"))
+    root = str(tmp_path / "s")
+    assert e.skill(root, "ONE") == {"found": False, "suggestions": ["one-skill"]}
+    got = e.skill(root, "one-skill")
+    assert got["text"].strip() == "# One" and got["resources"] == {"references": ["more.txt"]}
+    assert e.skill(root, "one-skill", "more.txt")["text"] == "more" and "error" in e.skill(root, "one-skill", "../x") and "error" in e.skill(root, "one-skill", "nothing")
+    (tmp_path / "st").mkdir()
+    (tmp_path / "st/a.json").write_text('{"status": "ready", "n": 3}')
+    (tmp_path / "st/b.json").write_text("{broken")
+    rows = {r.path.rsplit("/", 1)[-1]: (r.held, r.raw) for r in results.read_status(spark, str(tmp_path / "st")).collect()}
+    assert rows == {"a.json": ({"status": "ready", "n": "3"}, None), "b.json": (None, "{broken")}
+
+
+def test_chains_of_their_own(spark, tmp_path):
+    import json
+    from datetime import datetime
+
+    from sparkloom import schemas
+
+    e = Engine(spark, str(tmp_path / "db"))
+    own = json.dumps({"phases": [{"id": "look"}, {"id": "check", "type": "gate", "on_fail": "look", "max_retries": 2}]})
+    said = [("a", "init", json.dumps({"protocol": "linear"})), ("a", "start", ""), ("a", "complete", json.dumps({"summary": "done"})), ("b", "init", own), ("b", "start", None), ("b", "complete", None), ("b", "start", None), ("b", "fail", None), ("c", "start", None)]
+    rows = [(i, t, None, None, k, p, datetime(2024, 1, 1, 0, 0, i)) for i, (t, k, p) in enumerate(said)]
+    e.append_chain_events(spark.createDataFrame(rows, schemas.CHAIN_EVENTS))
+    got = {r.task_id: r for r in e.task_chains().collect()}
+    assert (got["a"].protocol, got["a"].status) == ("linear", "finished") and "done" in got["a"].phases_json
+    assert [p["status"] for p in json.loads(got["b"].phases_json)] == ["pending", "pending"] and got["b"].protocol == "custom" and got["c"].protocol == "develop"
+    e.save_chains()
+    assert e.chains().count() == 3
+    e.delete_chains("b", "c")
+    assert {r.task_id for r in e.chains().collect()} == {"a"} == {r.task_id for r in e.chain_events().collect()}
+
+
+def test_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import text as X
+    from sparkloom.operators import search
+
+    row = spark.range(1).select(
+        X.cut_bytes(F.lit("añb"), 2), X.cut_bytes(F.lit("ab"), 2), F.date_format(X.parsed_time(F.lit("2024-01-02T03:04:05+00:00")), "yyyy-MM-dd HH:mm:ss"), X.normalised_time(F.lit(None).cast("string")),
+    ).first()
+    assert tuple(row) == ("a...", "ab", "2024-01-02 03:04:05", "1970-01-01T00:00:00Z")
+    texts = spark.createDataFrame([(1, "a.py", "the cat\nconcat\nThe end")], "file_id long, file_path string, text string")
+    assert [r.line for r in search.grep(texts, "cat", whole_word=True).collect()] == [1]
+    assert [r.line for r in search.grep(texts, "the", whole_word=True, ignore_case=True).orderBy("line").collect()] == [1, 3]
