@@ -41,6 +41,8 @@ from ._shared import stored, unused
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Copies of a document that are drawn together, and those that one row unfolds into at once.
 COPIES, UNFOLD = 64, 1 << 16
+#: Sources up to this many are broadcast, 10 MB at most; more are joined by shuffle.
+FEW_SOURCES = 50_000
 #: Words of an output shard, about, and the least number of shards.
 SHARD_WORDS, LEAST_SHARDS = 1 << 24, 16
 
@@ -133,7 +135,8 @@ def _drawn(
     shards = shards or max(LEAST_SHARDS, -(-round(sum(target)) // SHARD_WORDS))
     schema = "source string, s int, source_size long, target double, goal long, n_blocks long"
     table = spark.createDataFrame([(r["source"], i, sizes[i], target[i], round(target[i]), max(1, -(-sizes[i] // block_words))) for i, r in enumerate(sources)], schema)
-    with_source = rows.withColumnRenamed("source", "_source").join(table, F.col("_source").eqNullSafe(F.col("source")))
+    few = F.broadcast(table) if len(sources) <= FEW_SOURCES else table
+    with_source = rows.withColumnRenamed("source", "_source").join(few, F.col("_source").eqNullSafe(F.col("source")))
     placed = with_source.withColumn("block", F.pmod(F.col("place"), F.col("n_blocks")))
     # permuted blocks of each source, and the words before each
     blocks = placed.groupBy("s", "block").agg(F.sum(F.col("size") * F.col("held")).alias("words"), F.first("goal").alias("goal"), F.first("source_size").alias("source_size"))
