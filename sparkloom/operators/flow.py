@@ -29,12 +29,12 @@ def edge_classes(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def flow_scores(edges: DataFrame, symbols: DataFrame, linked: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, ext_in, ext_out, b_dir, b_ind, f_dir, f_ind, complexity, flow_score) of ``roots(root)``."""
-    out = roots.select("root")
-    for direction, p in (("backward", "b"), ("forward", "f")):
-        near = reach(edges, roots, direction).groupBy("root").agg(
-            F.sum(F.when(F.col("hop") == 1, F.col("edge_count"))).alias(f"{p}_dir"), F.count(F.when(F.col("hop") > 1, 1)).alias(f"{p}_ind")
-        )
-        out = out.join(near, "root", "left")
+    way, direct = F.col("direction"), F.col("hop") == 1
+    near = reach(edges, roots, "both").groupBy("root").agg(
+        F.sum(F.when((way == "backward") & direct, F.col("edge_count"))).alias("b_dir"), F.count(F.when((way == "backward") & ~direct, 1)).alias("b_ind"),
+        F.sum(F.when((way == "forward") & direct, F.col("edge_count"))).alias("f_dir"), F.count(F.when((way == "forward") & ~direct, 1)).alias("f_ind"),
+    )
+    out = roots.select("root").join(near, "root", "left")
     scores = symbols.select("symbol_id", "name").join(complexity(linked, symbols).select("name", "score"), "name").select(F.col("symbol_id").alias("root"), F.col("score").alias("complexity"))
     out = out.join(edge_classes(edges, symbols).withColumnRenamed("symbol_id", "root"), "root", "left").join(scores, "root", "left").fillna(0)
     value = (

@@ -57,9 +57,10 @@ def resolve(symbols: DataFrame, query: str) -> DataFrame:
     return symbols.withColumn("tier", hit).where("tier is not null").orderBy("tier", "symbol_id").limit(1)
 
 
-def _step(edges: DataFrame, direction: str) -> DataFrame:
-    a, b = ("src", "dst") if direction == "forward" else ("dst", "src")
-    return edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "n")
+def _steps(edges: DataFrame, directions: tuple[str, ...]) -> DataFrame:
+    """(direction, node, next, n): where each direction goes on from a node."""
+    ways = [edges.select(F.lit(d).alias("direction"), F.col(a).alias("node"), F.col(b).alias("next"), "n") for d, a, b in (("forward", "src", "dst"), ("backward", "dst", "src")) if d in directions]
+    return reduce(DataFrame.unionByName, ways)
 
 
 def reach(edges: DataFrame, roots: DataFrame, direction: str = "backward", depth: int = 3) -> DataFrame:
@@ -67,24 +68,25 @@ def reach(edges: DataFrame, roots: DataFrame, direction: str = "backward", depth
 
     edge_count is the number of calls between root and node for direct
     neighbours, null beyond. A root is listed only if it calls itself.
-    ``both`` gives either direction with a direction column.
+    ``both`` gives either direction, in one traversal, with a direction column.
     """
-    if direction == "both":
-        one = [reach(edges, roots, d, depth).withColumn("direction", F.lit(d)) for d in ("forward", "backward")]
-        return one[0].unionByName(one[1])
-    step = _step(edges, direction)
-    first = roots.select("root", F.col("root").alias("node")).join(step, "node").select("root", F.col("next").alias("node"), "n")
-    first = cut(first.groupBy("root", "node").agg(F.lit(1).alias("hop"), F.sum("n").alias("edge_count")))
+    directions = ("forward", "backward") if direction == "both" else (direction,)
+    step = _steps(edges, directions)
+    from_ = ["root", "direction"]
+    start = roots.select("root", F.explode(F.array(*[F.lit(d) for d in directions])).alias("direction"), F.col("root").alias("node"))
+    first = start.join(step, ["direction", "node"]).groupBy(*from_, F.col("next").alias("node")).agg(F.lit(1).alias("hop"), F.sum("n").alias("edge_count"))
+    first = cut(first)
     found, frontier = [first], first.where("node <> root")
-    seen = first.select("root", "node").unionByName(roots.select("root", F.col("root").alias("node")))
+    seen = first.select(*from_, "node").unionByName(start)
     for hop in range(2, depth + 1):
-        new = frontier.select("root", "node").join(step.select("node", "next"), "node").select("root", F.col("next").alias("node")).distinct()
-        frontier = new.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("hop"), F.lit(None).cast("long").alias("edge_count"))
+        new = frontier.select(*from_, "node").join(step.select("direction", "node", "next"), ["direction", "node"]).select(*from_, F.col("next").alias("node")).distinct()
+        frontier = new.join(seen, [*from_, "node"], "left_anti").select(*from_, "node", F.lit(hop).alias("hop"), F.lit(None).cast("long").alias("edge_count"))
         if hop < depth:
             frontier = cut(frontier)
         found.append(frontier)
-        seen = seen.unionByName(frontier.select("root", "node"))
-    return reduce(DataFrame.unionByName, found)
+        seen = seen.unionByName(frontier.select(*from_, "node"))
+    out = reduce(DataFrame.unionByName, found)
+    return out.select("root", "node", "hop", "edge_count", "direction") if direction == "both" else out.select("root", "node", "hop", "edge_count")
 
 
 def degrees(linked: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -44,8 +44,9 @@ def stem(symbols: DataFrame, query: str, compat: bool = False) -> DataFrame:
 def tiered(symbols: DataFrame, query: str, limit: int = 5, compat: bool = False) -> DataFrame:
     """Rows of the first tier that finds any, best first, with tier, match label and score.
 
-    One scan: every row gets the first tier it fits, and the least of these is
-    the answer's. The exact tier gives one row, others up to ``limit``.
+    One scan: every row gets the first tier it fits, each tier keeps its best
+    ``limit``, and of what is left the least tier is the answer's. The exact
+    tier gives one row.
     """
     name = F.col("name")
     distance = F.when(F.abs(F.length(name) - len(query)) <= 3, F.levenshtein(F.lower(name), F.lit(query.lower()), 3))
@@ -58,17 +59,15 @@ def tiered(symbols: DataFrame, query: str, limit: int = 5, compat: bool = False)
     if len(query) >= 4:
         tier = tier.when(like(name, query[:4], head="", compat=compat), 4)
     found = symbols.withColumns({"tier": tier, "distance": distance}).where(F.col("tier").isNotNull())
-    best = found.agg(F.min("tier").alias("tier"))
-    rank = Window.orderBy(F.when(F.col("tier") == 3, F.col("distance")).otherwise(0), "symbol_id")
+    rank = Window.partitionBy("tier").orderBy(F.when(F.col("tier") == 3, F.col("distance")).otherwise(0), "symbol_id")
     score = F.when(F.col("tier") == 3, 1 - F.col("distance") / 4.0)
     label = F.when(F.col("tier") == 3, F.concat(F.lit("levenshtein_d"), F.col("distance").cast("string")))
     for number, text, value in TIERS:
         if value is not None:
             score, label = score.when(F.col("tier") == number, value), label.when(F.col("tier") == number, text)
-    shown = found.join(F.broadcast(best), "tier")  # one row
-    few = shown.orderBy(F.when(F.col("tier") == 3, F.col("distance")).otherwise(0), "symbol_id").limit(limit)
-    ranked = few.withColumn("place", F.row_number().over(rank))
-    return ranked.where("tier > 0 or place = 1").withColumns({"score": score.cast("float"), "match": label}).drop("distance")
+    few = found.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= F.when(F.col("tier") == 0, 1).otherwise(limit))
+    ranked = few.withColumn("least", F.min("tier").over(Window.partitionBy(F.lit(0)))).where("tier = least").drop("least")  # five tiers of ``limit`` rows
+    return ranked.withColumns({"score": score.cast("float"), "match": label}).drop("distance")
 
 
 def in_scope(rows: DataFrame, scope: str) -> DataFrame:

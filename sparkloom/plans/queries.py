@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import cut
 from ..functions import text as X
 from ..operators import flow, graph, ingest, memory, metrics, search, snapshot, taskchain
 from ..streaming import jobs
@@ -20,8 +21,8 @@ def _linked(s: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    """The call graph, kept between queries like the index it stands for."""
-    return graph.build_edges(_linked(s, d)).persist()
+    """The call graph, made once for a query."""
+    return cut(graph.build_edges(_linked(s, d)))
 
 
 def _roots(s: SparkSession, *ids: int) -> DataFrame:
@@ -196,14 +197,15 @@ def flow_edges(s, d):
 
 
 def flow_score(s, d):
-    sym = V.symbols(s, d)
-    return flow.flow_scores(_edges(s, d), sym, _linked(s, d), _roots(s, *range(0, 40)))
+    linked = cut(_linked(s, d))
+    return flow.flow_scores(cut(graph.build_edges(linked)), V.symbols(s, d), linked, _roots(s, *range(0, 40)))
 
 
 def flow_entries(s, d):
     sym = V.symbols(s, d)
     picked = flow.candidates(sym, "deep").select(F.col("symbol_id").alias("root"))
-    scored = flow.flow_scores(_edges(s, d), sym, _linked(s, d), picked)
+    linked = cut(_linked(s, d))
+    scored = flow.flow_scores(cut(graph.build_edges(linked)), sym, linked, picked)
     return flow.entries(scored, sym, "deep").select("root", "ext_in", "b_dir", "b_ind", "flow_score", "line_start")
 
 
