@@ -58,6 +58,13 @@ _POINTS = pa.schema(
 )
 
 
+def _texts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[str | None]:
+    """The texts of a batch, few of them in Python's memory at once."""
+    column = batch.column("text")
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -83,7 +90,7 @@ def _points(k: int):
         counts = np.zeros((2, 1 << COUNTER_BITS), np.int64)
         for batch in batches:
             n, node, vec, extra = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in _texts(batch):
                 s = shingle_set(text, k)
                 for row, at in zip(counts, _counters(s), strict=True):
                     np.add.at(row, at, 1)
@@ -129,7 +136,7 @@ def _keys(k: int, percent: int, counts):
         seen: set[int] = set()
         for batch in batches:
             nodes, keys = [], []
-            for text in batch.column("text").to_pylist():
+            for text in _texts(batch):
                 s = shingle_set(text, k)
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)

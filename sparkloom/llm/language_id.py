@@ -68,19 +68,20 @@ class StringKernelModel:
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros((SIZE, 0), np.float32))
-        x = rows.astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        size = np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1)).astype(np.float32)
         y = np.array([languages.index(v) for v in labels])
         rng, chosen = np.random.default_rng(seed), []
         for k in range(len(languages)):
             own = np.flatnonzero(y == k)
             chosen += list(rng.permutation(own)[: max(1, landmarks // len(languages))])
-        z = x[chosen]
+        z = rows[chosen] / size[chosen]
         kmm = (z @ z.T).astype(np.float64)
         value, vector = np.linalg.eigh(kmm)
         keep = value > 1e-6 * value.max()
         nystrom = vector[:, keep] / np.sqrt(value[keep])  # phi(x) = k(x, landmarks) @ nystrom
-        phi = (x @ z.T).astype(np.float64) @ nystrom
+        # a few rows at a time: all of them as numbers would take 200 MB of the driver
+        near = np.concatenate([(rows[a : a + BATCH] / size[a : a + BATCH]) @ z.T for a in range(0, len(rows), BATCH)])
+        phi = near.astype(np.float64) @ nystrom
         weight = 1.0 / np.bincount(y, minlength=len(languages))[y]
         target = np.where(y[:, None] == np.arange(len(languages))[None], 1.0, -1.0)
         gram = (phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1])

@@ -280,24 +280,25 @@ def drawn_again(docs: DataFrame, key: str, text_col: str, most: int = 100) -> Da
     return both.where("attempt > 0").distinct()
 
 
-def replaced(text: Column, attempts: Column, key: str) -> Column:
-    """``text`` with surrogates; ``attempts`` maps units to attempts over 0, or is null."""
+def replaced(text: Column, attempts: Column | None, key: str) -> Column:
+    """``text`` with surrogates, each made once; ``attempts`` maps units to attempts over 0, or is null."""
 
     def of(e: Column) -> Column:
-        tried = lambda i: F.coalesce(F.element_at(attempts, F.get(units(e), F.lit(i))), F.lit(0))
-        return surrogate(e, key, tried(0), tried(1))
+        if attempts is None:
+            return F.struct(e.alias("e"), surrogate(e, key, F.lit(0)).alias("s"))
+        tried = lambda u, i: F.coalesce(F.element_at(attempts, F.get(u, F.lit(i))), F.lit(0))
+        return F.struct(e.alias("e"), _let(units(e), lambda u: surrogate(e, key, tried(u, 0), tried(u, 1))).alias("s"))
 
-    def later(t: Column, e: Column) -> Column:
-        name, other = F.element_at(_name_words(e), -1), F.element_at(_name_words(of(e)), -1)
+    def later(t: Column, p: Column) -> Column:
+        name, other = F.element_at(_name_words(p["e"]), -1), F.element_at(_name_words(p["s"]), -1)
         return F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\-])"), name, F.lit(r"(?![\p{L}\-])")), other)
 
-    def changed(found: Column) -> Column:
-        pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform(found, of), lambda p, s: F.concat(F.coalesce(p, F.lit("")), F.coalesce(s, F.lit(""))))
-        names = F.filter(found, lambda e: e.rlike(rf"^(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s"))
-        whole = F.array_join(pieces, "")
-        return F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, text).when(F.size(names) > 0, F.aggregate(F.array_distinct(names), whole, later)).otherwise(whole)
+    def changed(pairs: Column) -> Column:
+        pieces = F.zip_with(F.split(text, PATTERN, -1), pairs, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x["s"], F.lit(""))))
+        names = F.filter(pairs, lambda p: p["e"].rlike(rf"^(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s"))
+        return F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, text).otherwise(F.aggregate(F.array_distinct(names), F.array_join(pieces, ""), later))
 
-    return _let(found_entities(text), changed)
+    return _let(F.transform(found_entities(text), of), changed)
 
 
 def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "text") -> DataFrame:
@@ -309,7 +310,7 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
     """
     again = drawn_again(docs, key, text_col)
     if again.isEmpty():
-        return docs.withColumn(text_col, replaced(F.col(text_col), F.lit(None).cast("map<string,int>"), key))
+        return docs.withColumn(text_col, replaced(F.col(text_col), None, key))
     digest, own, attempts = unused(docs, "digest", "own_digest", "attempts")
     found = docs.select(F.md5(F.col(text_col)).alias(own), found_entities(F.col(text_col)).alias("entities")).where(F.size("entities") > 0)
     each = found.select(own, F.explode(F.array_distinct(F.flatten(F.transform("entities", units)))).alias("unit")).where("unit is not null").distinct()
