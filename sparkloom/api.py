@@ -63,21 +63,25 @@ class Engine:
         """
         began = time.time()
         self._note("running", path, scope, began)
-        timer = None
-        group = f"ingest-{uuid.uuid4().hex}"
+        context, group, done = self.spark.sparkContext, f"ingest-{uuid.uuid4().hex}", threading.Event()
+
+        def watch() -> None:
+            if not done.wait(timeout):
+                while not done.wait(0.2):  # jobs that begin later are cancelled too
+                    context.cancelJobGroup(group)
+
         if timeout:
-            self.spark.sparkContext.setJobGroup(group, f"ingest {path}", interruptOnCancel=True)
-            timer = threading.Timer(timeout, self.spark.sparkContext.cancelJobGroup, [group])
-            timer.start()
+            context.setJobGroup(group, f"ingest {path}", interruptOnCancel=True)
+            threading.Thread(target=watch, daemon=True).start()
         try:
-            counts = self._ingest(path, extensions, scope, force_full, ignored)
+            counts = self._ingest(path, extensions, scope, force_full, ignored, began + timeout if timeout else None)
         except Exception as e:
             self._note("failed", path, scope, began, error=str(e).splitlines()[0][:300])
             raise
         finally:
-            if timer:
-                timer.cancel()
-                self.spark.sparkContext._jsc.sc().clearJobGroup()
+            done.set()
+            if timeout:
+                context._jsc.sc().clearJobGroup()
         self._note("ready", path, scope, began, counts=counts)
         return self.spark.createDataFrame(sorted(counts.items()), "action string, n long")
 
@@ -110,7 +114,7 @@ class Engine:
             self.ingest(path, tuple(e for e in stacks if e in source_files.LANGUAGES) or tuple(source_files.LANGUAGES), **{k: v for k, v in options.items() if k != "extensions"})
         return True
 
-    def _ingest(self, path: str, extensions: tuple[str, ...], scope: str, force_full: bool, ignored: tuple[str, ...]) -> dict[str, int]:
+    def _ingest(self, path: str, extensions: tuple[str, ...], scope: str, force_full: bool, ignored: tuple[str, ...], until: float | None) -> dict[str, int]:
         extensions, ignored, _ = self.project(path, extensions, ignored)
         found = source_files.scan(self.spark, path, extensions, ignored, scope)
         old = self.files()
@@ -154,6 +158,8 @@ class Engine:
         all_symbols = cut(ingest.replace_children(before, symbols, dropped, "file_id"))
         # links are made anew, so none dangles
         order = [f.split()[0] for f in schemas.CALLS.split(", ")]
+        if until and time.time() > until:
+            raise TimeoutError("the ingest took too long")
         self.store.commit({
             "symbols": all_symbols, "calls": graph.link_calls(all_calls.drop("callee_id"), all_symbols).select(*order),
             "files": ingest.upsert(kept, rows, ["file_path"], keep=("indexed_at",)),
