@@ -36,3 +36,16 @@ def test_run_is_registered(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    names = ("row_id", "row_th", "stay_id", "found", "digest", "own_digest", "attempts", "shard", "place", "copy", "take", "m_id", "entities", "unit")
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit(1) for c in names}).limit(40)
+    for docs in (base.where("false"), base.unionByName(base)):
+        empty = docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, docs, sf_dir))
+            assert out.isEmpty() == empty
+            if name != "sentencepiece":
+                assert out.columns == docs.columns and out.where(" or ".join(f"{c} <> 1" for c in names)).isEmpty()
+            docs = out
