@@ -18,9 +18,11 @@ entities share or that are entities of the corpus themselves, and draws again
 until none is left. What is drawn again is a unit: a surname, which Mr. Smith,
 Dr. SMITH and Mr. John Smith share and so change alike; a given name before one
 surname; or any other entity as a whole. The unit's attempt is in its key. Names
-get longer with each attempt, so there are enough of them. The other types keep
-their format; where the corpus itself fills one, so that an entity still
-collides after many attempts, an error names it.
+get longer with each attempt, so there are enough of them. Mail keeps its format
+for ``MAIL_KEEPS`` attempts and then gets a longer local part, as a large corpus
+holds every short one of a reserved domain. The other types keep their format;
+where the corpus itself fills one, so that an entity still collides after many
+attempts, an error names it.
 
 Repeated groups and runs of the patterns are bounded (64 characters of a mail's
 local part, 11 labels of a host, 16,384 characters of a private key), so that no
@@ -72,6 +74,9 @@ SURNAME = {
     "cyrillic": ("Ал Бар Вол Гор Дан Ерм Зим Кар Лес Мор Ник Ор".split(), "ов ин ский енко ук ев ак ич".split()),
 }
 
+#: Attempts in which mail keeps its format.
+MAIL_KEEPS = 4
+
 
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
@@ -152,11 +157,13 @@ def _ipv4(e: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, turn, written)
 
 
-def _email(e: Column, key: Column) -> Column:
+def _email(e: Column, key: Column, attempt: Column) -> Column:
+    more = F.when(attempt >= MAIL_KEEPS, F.concat(F.lit("."), F.substring(F.sha2(F.concat_ws("|", key, e), 256), 1, 8))).otherwise("")
+
     def at(domain: Column) -> Column:
         kept = domain.rlike(r"(^|\.)example\.(com|net|org)$|\.(test|example|invalid)$")
         home = F.when(kept, domain).otherwise(F.concat(scrambled(F.regexp_replace(domain, r"\.", "-"), key), F.lit(".example.com")))
-        return F.concat(scrambled(F.substring_index(e, "@", 1), F.concat_ws("|", key, domain)), F.lit("@"), home)
+        return F.concat(scrambled(F.substring_index(e, "@", 1), F.concat_ws("|", key, domain)), more, F.lit("@"), home)
 
     return _let(F.lower(F.substring_index(e, "@", -1)), at)
 
@@ -234,7 +241,7 @@ def surrogate(entity: Column, key: str, attempt: Column, given_attempt: Column |
         key_of = lambda x: F.when(x.rlike("^[0-9a-fA-F]+$"), scrambled(x, k, hexadecimal=True)).otherwise(scrambled(x, k))
         whole = F.concat(F.regexp_extract(e, r"^-----BEGIN [A-Z ]*-----", 0), F.lit("\n"), F.sha2(F.concat_ws("|", k, e), 512), F.lit("\n"), F.regexp_extract(e, r"-----END [A-Z ]*-----$", 0))
         return (
-            F.when(kind == "email", _email(e, k))
+            F.when(kind == "email", _email(e, k, s["attempt"]))
             .when(kind == "card", _card(e, k))
             .when(kind == "phone", _after(e, r"^(\+[0-9]{1,3}(?=[ .\-(]))?", lambda x: scrambled(x, k)))
             .when(kind == "ipv4", _ipv4(e, k))

@@ -284,6 +284,13 @@ def test_full_format_is_an_error(spark):
         pii.drawn_again(df, "k", "text", most=2)
 
 
+def test_short_mail_never_runs_out(spark):
+    """Every address of one letter is in the corpus, so all of them get longer."""
+    df = spark.range(26).select("id", F.concat(F.chr(F.col("id") + 97), F.lit("@example.com")).alias("text"))
+    new = [r.text for r in pii.with_surrogates(df, text_col="text").collect()]
+    assert len(set(new)) == 26 and all(re.fullmatch(r"[a-z]\.[0-9a-f]{8}@example\.com", x) for x in new)
+
+
 @pytest.mark.parametrize("text", ["x@" + "a." * 50_000 + "com", "ab" * 50_000, "0123456789abcdef" * 8_000, "1234567890" * 10_000, "a-" * 50_000 + "@b", "x@" + "-" * 100_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 3_000, "+1 " * 30_000, "Mr " * 30_000])
 def test_long_runs_neither_crash_nor_hang(spark, text):
     df = spark.createDataFrame([(1, text), (2, f"{text} joe@gmail.com")], "doc_id long, text string")
