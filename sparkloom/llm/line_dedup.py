@@ -160,7 +160,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     Texts of any length are read whole. Other columns are ignored. An empty
     table gives an empty result.
     """
-    rows = _line_rows(docs, min_chars, id_col, text_col)
+    rows = stored(_line_rows(docs, min_chars, id_col, text_col))  # else texts are cut into lines twice, for the ranges and for the rows
     order = ["h1", "h2", F.desc("doc")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "th", "pos")
     found = stored(ranged.mapInArrow(first_occurrences(min_docs), "kind int, h1 long, h2 long, doc long, th long, pos long"))
