@@ -44,11 +44,23 @@ class Engine:
 
     def project(self, path: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = ()) -> tuple[tuple[str, ...], tuple[str, ...], list[str]]:
         """(extensions, ignored directories, stacks) that hold for the tree at ``path``: what is given, its ignore file, its stacks."""
+        return self._project(path, extensions, ignored)[:3]
+
+    def _project(self, path: str, extensions: tuple[str, ...], ignored: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...], list[str], DataFrame]:
+        """And the files of the tree, listed once."""
         rules = source_files.ignore_rules(source_files.root_text(self.spark, path, ".gitignore"))
-        ignored = tuple(dict.fromkeys([*ignored, *rules]))
-        stacks, exts, own = source_files.detect_stack(source_files.scan(self.spark, path, (), ignored))
+        ignored = tuple(dict.fromkeys([*ignored, *source_files.ARCHIVED, *rules]))
+        found = source_files.scan(self.spark, path, (), ignored)
+        stacks, exts, own = source_files.detect_stack(found)
         chosen = extensions or tuple(e for e in dict.fromkeys([*exts, *source_files.LANGUAGES]) if e in source_files.LANGUAGES)
-        return chosen, tuple(dict.fromkeys([*ignored, *own])), stacks
+        wanted = found.where(F.lower("extension").isin(*chosen))
+        return chosen, tuple(dict.fromkeys([*ignored, *own])), stacks, source_files.outside(wanted, tuple(own))
+
+    def _listed(self, path: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = (), scope: str = "") -> DataFrame:
+        """The files of the tree that belong to the index, or of one part of it."""
+        found = self._project(path, extensions, ignored)[3]
+        below = "/".join(x for x in scope.replace("\\", "/").split("/") if x not in ("", "."))
+        return found.where(F.col("file_path").startswith(f"{below}/")) if below else found
 
     def ingest(
         self, path: str, extensions: tuple[str, ...] = (), scope: str = "", force_full: bool = False, ignored: tuple[str, ...] = (), timeout: float | None = None
@@ -115,8 +127,7 @@ class Engine:
         return True
 
     def _ingest(self, path: str, extensions: tuple[str, ...], scope: str, force_full: bool, ignored: tuple[str, ...], until: float | None) -> dict[str, int]:
-        extensions, ignored, _ = self.project(path, extensions, ignored)
-        found = source_files.scan(self.spark, path, extensions, ignored, scope)
+        found = self._listed(path, extensions, ignored, scope)
         old = self.files()
         known = old.where("false") if force_full else old
         quick = ingest.classify(found.withColumn("file_hash", F.lit(None).cast("string")), known)
@@ -174,8 +185,7 @@ class Engine:
 
     def grep(self, root: str, pattern: str, scope: str = "", **options) -> DataFrame:
         """Matching lines of the tree with their owners; lines outside any symbol belong to ``(global)``."""
-        extensions, ignored, _ = self.project(root)
-        found = source_files.contents(source_files.scan(self.spark, root, extensions, ignored, scope), root)
+        found = source_files.contents(self._listed(root, scope=scope), root)
         texts = found.select(F.xxhash64("file_path").alias("file_id"), "file_path", F.decode(F.col("content"), "UTF-8").alias("text"))
         return search.owners(search.grep(texts, pattern, **options), self.symbols(), "left").withColumn("owner", F.coalesce("owner", F.lit("(global)")))
 

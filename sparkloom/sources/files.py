@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -14,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import extension, slashes
+from ..durable import cut
+from ..functions.text import extension
+from . import ignore
 
 # Directories that are never scanned.
 IGNORED = (
     ".git", "node_modules", "vendor", "dist", "build", "out", "target", "__pycache__", ".venv", "venv",
     "site-packages", ".m2", ".gradle", ".idea", ".vscode", "coverage", "_build", ".next", ".nuxt", ".svelte-kit",
 )
+# Directories that a project's index leaves out as well.
+ARCHIVED = ("release", "releases", "archive", "backup", "old")
 LANGUAGES = {
     "py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript",
     "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp",
@@ -39,33 +44,13 @@ SHOWN_BY = {"frontend": ("js", "jsx", "ts", "tsx", "vue", "svelte")}
 
 
 FILES = "file_path string, file_size long, file_mtime long"
-#: Rows of a listing that go to Spark at once.
-CHUNK = 100_000
-
-
-def _walk_local(base: str, drop: set[str]) -> Iterator[tuple[str, int, int]]:
-    for folder, names, files in os.walk(base):
-        names[:] = sorted(x for x in names if x not in drop)
-        for name in files:
-            full = os.path.join(folder, name)
-            if os.path.isfile(full) and not os.path.islink(full):
-                st = os.stat(full)
-                yield os.path.relpath(full, base), st.st_size, int(st.st_mtime)
-
-
-def _walk_remote(spark: SparkSession, base: str, drop: set[str]) -> Iterator[tuple[str, int, int]]:
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    todo = [(root, "")]
-    while todo:
-        at, above = todo.pop()
-        for st in fs.listStatus(at):
-            name = st.getPath().getName()
-            if st.isDirectory():
-                if name not in drop:
-                    todo.append((st.getPath(), f"{above}{name}/"))
-            else:
-                yield above + name, int(st.getLen()), int(st.getModificationTime()) // 1000
+_FOUND = "path string, kind string, size long, mtime long, rules array<string>"
+#: Entries that a task lists below one directory before it hands the directories left to other tasks.
+SHARE = 5_000
+#: Files of one directory whose size and time its lister reads; those of the rest are read in pages by other tasks.
+PAGE = 20_000
+#: Rows that a task gives at once.
+_ROWS = 4_096
 
 
 def _plain(root: str) -> str | None:
@@ -73,30 +58,148 @@ def _plain(root: str) -> str | None:
     return root if "://" not in root and not root.startswith("file:") else re.sub("^file:(//)?", "", root) if root.startswith("file:") else None
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = (), scope: str = "") -> DataFrame:
+class _Tree:
+    """A source tree as a task sees it: a local folder, or what another file system holds."""
+
+    def __init__(self, base: str):
+        self.local = _plain(base)
+        self.remote, self.root = (None, self.local) if self.local is not None else pafs.FileSystem.from_uri(base)
+
+    def text(self, path: str) -> str:
+        """A small file's text; nothing where it can't be read."""
+        try:
+            with open(f"{self.root}/{path}", "rb") if self.remote is None else self.remote.open_input_stream(f"{self.root}/{path}") as f:
+                return f.read().decode("utf-8", "replace")
+        except OSError:
+            return ""
+
+    def entries(self, folder: str) -> Iterator[tuple[str, bool, Callable[[], tuple[int, int]]]]:
+        """(name, whether a directory, how to learn size and time) of what a directory holds; links are left out."""
+        try:
+            if self.remote is None:
+                with os.scandir(f"{self.root}/{folder}") as found:
+                    for e in found:
+                        if e.is_dir(follow_symlinks=False) or e.is_file(follow_symlinks=False):
+                            yield e.name, e.is_dir(follow_symlinks=False), lambda e=e: ((st := e.stat(follow_symlinks=False)).st_size, int(st.st_mtime))
+            else:
+                for x in self.remote.get_file_info(pafs.FileSelector(f"{self.root}/{folder}".rstrip("/"))):
+                    if x.type in (pafs.FileType.File, pafs.FileType.Directory):
+                        yield x.base_name, x.type == pafs.FileType.Directory, lambda x=x: (x.size, int((x.mtime_ns or 0) // 10**9))
+        except OSError:  # it is gone, or closed to us
+            return
+
+    def stat(self, path: str) -> tuple[int, int] | None:
+        try:
+            st = os.stat(f"{self.root}/{path}", follow_symlinks=False)
+        except OSError:
+            return None
+        return st.st_size, int(st.st_mtime)
+
+
+def _lister(base: str, drop: frozenset[str], heed: bool, share: int, page: int):
+    """Lists directories, and those below them until ``share`` entries are seen; gives files, directories left, and files whose size is still to be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, out = _Tree(base), []
+        columns = [f.split()[0] for f in _FOUND.replace("array<string>", "array").split(", ")]
+
+        def rules_of(above: list[str]) -> list[tuple]:
+            return [(name, at, ignore.cached(tree.text(at + name))) for at in above for name in ignore.NAMES]
+
+        for pdf in batches:
+            for top, rules in pdf[["path", "rules"]].itertuples(index=False):
+                todo, seen = [(top, list(rules))], 0
+                while todo:
+                    folder, above = todo.pop()
+                    if seen >= share:
+                        out.append((folder, "dir", None, None, above))
+                    else:
+                        if heed and any(tree.text(folder + name) for name in ignore.NAMES):
+                            above = [*above, folder]
+                        known, files = rules_of(above), 0
+                        for name, is_dir, stat in tree.entries(folder):
+                            seen += 1
+                            path = folder + name
+                            if is_dir and name in drop or known and ignore.ignored(path, is_dir, known):
+                                continue
+                            if is_dir:
+                                todo.append((path + "/", above))
+                                continue
+                            files += 1
+                            late = files > page and tree.remote is None
+                            try:
+                                out.append((path, "late" if late else "file", *((None, None) if late else stat()), None))
+                            except OSError:
+                                continue
+                            if len(out) >= _ROWS:
+                                yield pd.DataFrame(out, columns=columns).astype({"size": "Int64", "mtime": "Int64"})
+                                out = []
+                    if len(out) >= _ROWS:
+                        yield pd.DataFrame(out, columns=columns).astype({"size": "Int64", "mtime": "Int64"})
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"size": "Int64", "mtime": "Int64"})
+
+    return run
+
+
+def _sizes(base: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = _Tree(base)
+        for pdf in batches:
+            found = [(p, tree.stat(p)) for p in pdf["path"]]
+            yield pd.DataFrame([(p, *st) for p, st in found if st], columns=["file_path", "file_size", "file_mtime"])
+
+    return run
+
+
+def scan(
+    spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = (), scope: str = "", heed: bool = True, share: int = SHARE, page: int = PAGE
+) -> DataFrame:
     """(file_path, file_size, file_mtime, extension): files below ``root``, paths relative to it.
 
+    Tasks list directories, round by round: each takes some, goes down until it
+    has seen ``share`` entries and hands the directories left to the next round,
+    where they are dealt out anew. Of a directory with over ``page`` files the
+    names are listed by one task and sizes read by others. The driver sees how
+    many directories are left.
+
     Names that start with ``_`` or ``.`` are listed too, which Spark's file
-    sources leave out. Ignored directories aren't entered. Only names, sizes and
-    times are listed, by the driver as Spark's own sources do; see ``contents``.
+    sources leave out; links aren't. Ignored directories aren't entered. Ignore
+    files at any depth hold for what lies below them (``heed``), within a scope
+    those above it too. What can't be read is left out.
     """
-    base, drop, below = root.rstrip("/"), set(IGNORED) | set(ignored), scope.strip("/")
-    below = "" if not below.strip("./") else f"{below}/"
-    local = _plain(base)
-    if below and drop & set(below.split("/")):
-        walk = iter(())
-    elif local is not None:
-        walk = _walk_local(os.path.join(local, below) if below else local, drop)
-    else:
-        walk = _walk_remote(spark, f"{base}/{below}", drop)
-    wanted = {e.lower().lstrip(".") for e in extensions}
-    out = None
-    while True:
-        found = [(f"{below}{p}".replace("\\", "/"), n, t) for p, n, t in itertools.islice(walk, CHUNK)]
-        part = spark.createDataFrame([x for x in found if not wanted or os.path.splitext(x[0])[1].lstrip(".").lower() in wanted], FILES)
-        out = part if out is None else out.unionByName(part)
-        if len(found) < CHUNK:
-            return out.withColumn("extension", extension(F.col("file_path")))
+    base, drop, below = root.rstrip("/"), frozenset((*IGNORED, *ignored)), "/".join(x for x in scope.replace("\\", "/").split("/") if x not in ("", "."))
+    below = f"{below}/" if below else ""
+    tree, above = _Tree(base), []
+    inside = not below or not drop & set(below.split("/"))
+    for at in ["", *itertools.accumulate(f"{x}/" for x in below.split("/")[:-1])][:-1] if below and heed else []:
+        if any(tree.text(at + name) for name in ignore.NAMES):
+            above.append(at)
+        here = f"{at}{below[len(at) :].split('/')[0]}"
+        known = [(name, d, ignore.cached(tree.text(d + name))) for d in above for name in ignore.NAMES]
+        inside = inside and not ignore.ignored(here, True, known)
+    frontier, left = spark.createDataFrame([(below, above)] if inside else [], "path string, rules array<string>"), int(inside)
+    parts = []
+    while left:
+        dealt = frontier.repartition(min(left, 4 * spark.sparkContext.defaultParallelism))
+        found = cut(dealt.mapInPandas(_lister(base, drop, heed, share, page), _FOUND))
+        kinds = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        parts.append(found.where("kind = 'file'").selectExpr("path AS file_path", "size AS file_size", "mtime AS file_mtime"))
+        if n := kinds.get("late"):
+            pages = found.where("kind = 'late'").select("path").repartition(min(-(-n // page) + 1, 4 * spark.sparkContext.defaultParallelism))
+            parts.append(cut(pages.mapInPandas(_sizes(base), FILES)))
+        frontier, left = found.where("kind = 'dir'").select("path", "rules"), kinds.get("dir", 0)
+    out = functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FILES)
+    out = out.withColumn("extension", extension(F.col("file_path")))
+    wanted = [e.lower().lstrip(".") for e in extensions]
+    return out.where(F.lower("extension").isin(*wanted)) if wanted else out
+
+
+def outside(files: DataFrame, folders: tuple[str, ...]) -> DataFrame:
+    """``files(file_path)`` that lie in none of ``folders``, told by name at any depth."""
+    parts = F.split("file_path", "/")
+    return files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, folders)))) if folders else files
 
 
 def contents(files: DataFrame, root: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_parsers():
     assert [(s[0], s[3], s[4]) for s in symbols] == [("Handle", 4, 6)] and [c[1] for c in calls] == ["price"]
     symbols, _ = parser.parse_text("impl Foo {\n  fn bar(&self) -> u8 { baz(1) }\n}", "rust")
     assert [s[1] for s in symbols] == ["Foo", "Foo::bar"]
-    assert [s[0] for s in parser.parse_text("class A { go(x: number): void { f(); } }", "typescript")[0]] == ["A"]
+    assert [s[0] for s in parser.parse_text("class A { go(x: number): void { f(); } }", "typescript")[0]] == ["A", "go"]
     assert [s[0] for s in parser.parse_text("int add(int a) {\n return a;\n}", "c")[0]] == ["add"]
     assert [s[0] for s in parser.parse_text("class A { public int run(int x) { return f(x); } }", "java")[0]] == ["A", "run"]
     assert parser.parse_text("def broken(:", "python") == ([], [])
