@@ -13,21 +13,31 @@ from pyspark.sql import functions as F
 from . import schemas
 from .durable import cut
 from .functions import text as X
+from .indexer import EDGES, Refresh
 from .operators import flow, graph, ingest, memory, metrics, search, snapshot, taskchain
 from .sources import files as source_files
-from .sources import logs, parser
-from .sources.store import Store
+from .sources import logs
+from .sources.store import BUCKETS, Part, Store
 
 
 #: Seconds for which an index counts as fresh.
 FRESH_S = 300
 
 
+def _within(scope: str) -> str:
+    """A scope as the beginning of paths; nothing for the whole tree."""
+    parts = [x for x in scope.replace("\\", "/").split("/") if x not in ("", ".")]
+    return "/".join([*parts, ""]) if parts else ""
+
+
 class Engine:
     """Lazy DataFrames over versioned tables below ``root``; nothing is collected but single ids."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, threshold: int = ingest.THRESHOLD, budget: int = ingest.BUDGET):
+        self.spark, self.store, self.threshold, self.budget = spark, Store(spark, root, buckets=buckets), threshold, budget
+
+    def _progress(self, done: int, total: int) -> None:
+        pass
 
     # index -----------------------------------------------------------------
     def files(self) -> DataFrame:
@@ -40,7 +50,15 @@ class Engine:
         return self.store.read("calls", schemas.CALLS)
 
     def edges(self) -> DataFrame:
-        return graph.build_edges(self.calls(), self.symbols())
+        """The call graph, kept with the calls."""
+        return self.store.read("edges", EDGES)
+
+    def _upsert(self, name: str, schema: str, keys: list[str], rows: DataFrame, keep: tuple[str, ...] = (), marks: dict[str, int] | None = None) -> None:
+        """New rows in place of those of equal keys; only the buckets of these keys are written."""
+        rows = cut(rows.select(*[f.split()[0] for f in schema.split(", ")]).withColumn("bucket", self.store.bucket(*keys)))
+        touched = tuple(sorted(r["bucket"] for r in rows.select("bucket").distinct().collect()))
+        old = self.store.read(name, schema, touched).withColumn("bucket", self.store.bucket(*keys))
+        self.store.commit({name: Part(ingest.upsert(old, rows, keys, keep), touched)} if touched else {}, marks)
 
     def project(self, path: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = ()) -> tuple[tuple[str, ...], tuple[str, ...], list[str]]:
         """(extensions, ignored directories, stacks) that hold for the tree at ``path``: what is given, its ignore file, its stacks."""
@@ -59,8 +77,8 @@ class Engine:
     def _listed(self, path: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = (), scope: str = "") -> DataFrame:
         """The files of the tree that belong to the index, or of one part of it."""
         found = self._project(path, extensions, ignored)[3]
-        below = "/".join(x for x in scope.replace("\\", "/").split("/") if x not in ("", "."))
-        return found.where(F.col("file_path").startswith(f"{below}/")) if below else found
+        below = _within(scope)
+        return found.where(F.col("file_path").startswith(below)) if below else found
 
     def ingest(
         self, path: str, extensions: tuple[str, ...] = (), scope: str = "", force_full: bool = False, ignored: tuple[str, ...] = (), timeout: float | None = None
@@ -127,57 +145,21 @@ class Engine:
         return True
 
     def _ingest(self, path: str, extensions: tuple[str, ...], scope: str, force_full: bool, ignored: tuple[str, ...], until: float | None) -> dict[str, int]:
-        found = self._listed(path, extensions, ignored, scope)
-        old = self.files()
-        known = old.where("false") if force_full else old
-        quick = ingest.classify(found.withColumn("file_hash", F.lit(None).cast("string")), known)
-        read = source_files.contents(found.join(quick.where("action <> 'skip_meta'").select("file_path"), "file_path", "left_semi"), path)
-        changed = cut(read.withColumn("file_hash", F.sha2("content", 256)))  # the one time that contents are read
-        judged = ingest.classify(changed.drop("content"), known)
-        judged = cut(ingest.budgeted(judged, initial=old.isEmpty(), force=force_full))
-        todo = judged.where("action in ('new', 'parse')").select("file_path")
-        parsed = cut(parser.parse(changed.join(todo, "file_path", "left_semi")))
-
-        now = F.unix_timestamp()
-        file_id = F.xxhash64("file_path")
-        lines = F.when(F.col("extension").isin(*source_files.LANGUAGES), X.line_count(F.decode("content", "UTF-8"))).otherwise(0)
-        counts = changed.select("file_path", lines.alias("line_count"))
-        names = F.create_map(*[F.lit(x) for kv in source_files.LANGUAGES.items() for x in kv])
-        rows = judged.join(counts, "file_path").select(
-            file_id.alias("file_id"), "file_path", "file_hash", "file_size", "file_mtime", F.coalesce(F.element_at(names, F.col("extension")), F.lit("unknown")).alias("language"),
-            F.col("line_count").cast("int").alias("line_count"), F.when(F.col("action") == "meta", "meta").otherwise("symbol").alias("index_level"), now.alias("indexed_at"), now.alias("updated_at"),
-        )
-        gone = ingest.deleted(old, found)
-        if scope.strip("./"):
-            gone = gone.where(F.col("file_path").startswith(scope.strip("/")))
-        dropped = judged.where("action <> 'skip_hash'").select(file_id.alias("file_id")).unionByName(gone.select("file_id")).distinct()
-        kept = old.join(gone.select("file_id"), "file_id", "left_anti")
-
-        made = parsed.where("kind = 'symbol'")
-        prefix = F.when(F.col("symbol_type") == "class", "class").otherwise("func")
-        symbols = made.select(
-            parser.symbol_id(F.col("file_path"), F.col("ordinal")).alias("symbol_id"), file_id.alias("file_id"), "name", F.col("scope_path").alias("qualified_name"),
-            F.concat(prefix, F.lit(":"), "file_path", F.lit("::"), "name").alias("canonical_id"), "scope_path", "symbol_type", "line_start", "line_end", "signature", F.lit(None).cast("long").alias("parent_id"),
-        )
-        calls = parsed.where("kind = 'call'").select(
-            F.xxhash64("file_path", F.lit("call"), "ordinal").alias("call_id"), parser.symbol_id(F.col("file_path"), F.col("caller")).alias("caller_id"),
-            F.col("name").alias("callee_name"), "call_line", F.lit(None).cast("long").alias("callee_id"),
-        )
-        before = self.symbols()
-        old_callers = before.join(dropped, "file_id", "left_semi").select(F.col("symbol_id").alias("caller_id"))
-        all_calls = ingest.replace_children(self.calls(), calls, old_callers, "caller_id")
-        all_symbols = cut(ingest.replace_children(before, symbols, dropped, "file_id"))
-        # links are made anew, so none dangles
-        order = [f.split()[0] for f in schemas.CALLS.split(", ")]
-        if until and time.time() > until:
-            raise TimeoutError("the ingest took too long")
-        self.store.commit({
-            "symbols": all_symbols, "calls": graph.link_calls(all_calls.drop("callee_id"), all_symbols).select(*order),
-            "files": ingest.upsert(kept, rows, ["file_path"], keep=("indexed_at",)),
-        })
-        skipped = quick.where("action = 'skip_meta'").select("action")
-        actions = judged.select("action").unionByName(skipped).unionByName(gone.select(F.lit("removed").alias("action")))
-        return {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
+        found = cut(self._listed(path, extensions, ignored, scope))
+        step = Refresh(self.store, path, force_full, self.threshold, self.budget, until, self._progress)
+        gone = ingest.deleted(step.old_files(), found)
+        if below := _within(scope):
+            gone = gone.where(F.col("file_path").startswith(below))
+        return step.run(found, gone)
+
+    def refresh(self, path: str, paths: DataFrame, marks: dict[str, int] | None = None) -> dict[str, int]:
+        """Brings the index up to date with the files that ``paths(path)`` names, gone ones included; the number of files by action."""
+        named = cut(paths.select("path").where("path is not null").distinct())
+        found = source_files.stats(named, path).where(F.col("extension").isin(*source_files.LANGUAGES))
+        step = Refresh(self.store, path, threshold=self.threshold, budget=self.budget)
+        gone = step.old_files().join(named.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+        found = cut(found)
+        return step.run(found, gone.join(found.select("file_path"), "file_path", "left_anti"), marks)
 
     def search(self, query: str, scope: str = "", kind: str = "", limit: int = 5) -> DataFrame:
         rows = self.symbols().join(self.files().select("file_id", "file_path"), "file_id")
@@ -299,8 +281,10 @@ class Engine:
         steps += [f"heed {len(held['facts'])} known facts"] if held["facts"] else []
         steps += ["check the impact before any change"] if held["level"] == "High" or held["alerts"] else []
         steps += {"DEBUG": ["reproduce", "locate", "fix", "verify"], "REFACTOR": ["fix a baseline", "refactor", "verify"], "DESIGN": ["map the structure", "design"], "RESEARCH": ["map the structure", "report"]}.get(held["intent"], ["plan", "implement", "verify"])
-        rows = self.store.read("system_state", schemas.STATE).where(F.col("key") != f"briefing:{task_id}")
-        self.store.replace("system_state", rows)
+        key = self.spark.createDataFrame([(f"briefing:{task_id}",)], "key string").withColumn("bucket", self.store.bucket("key"))
+        touched = (key.first()["bucket"],)
+        rows = self.store.read("system_state", schemas.STATE, touched).withColumn("bucket", self.store.bucket("key"))
+        self.store.commit({"system_state": Part(rows.join(key.select("key"), "key", "left_anti"), touched)})
         return held | {"strategy": steps}
 
     # memory ----------------------------------------------------------------
@@ -335,13 +319,12 @@ class Engine:
         df = self.spark.createDataFrame([(hook, description, priority, task_id, tag, hours)], "hook_id string, description string, priority string, related_task_id string, tag string, hours int")
         none = F.lit(None).cast("string")
         df = df.withColumns({"created_at": F.current_timestamp(), "status": F.lit("open"), "context": none, "result_summary": none, "summary": none})
-        self.store.append("pending_hooks", df.withColumn("expires_at", memory.expiry(F.col("created_at"), F.col("hours"))), schemas.HOOKS)
+        self._upsert("pending_hooks", schemas.HOOKS, ["hook_id"], df.withColumn("expires_at", memory.expiry(F.col("created_at"), F.col("hours"))))
         return hook
 
     def release_hook(self, hook_id: str, summary: str = "") -> None:
-        rows, mine = self.store.read("pending_hooks", schemas.HOOKS), F.col("hook_id") == hook_id
-        changed = rows.withColumns({"status": F.when(mine, "closed").otherwise(F.col("status")), "result_summary": F.when(mine, summary).otherwise(F.col("result_summary"))})
-        self.store.replace("pending_hooks", changed)
+        mine = self.store.read("pending_hooks", schemas.HOOKS).where(F.col("hook_id") == hook_id)
+        self._upsert("pending_hooks", schemas.HOOKS, ["hook_id"], mine.withColumns({"status": F.lit("closed"), "result_summary": F.lit(summary)}))
 
     def recall(self, keywords: str, category: str = "", limit: int = 20) -> DataFrame:
         return memory.recall_report(self.memos(), self.facts(), keywords, category, limit)
@@ -351,7 +334,7 @@ class Engine:
 
     def save_state(self, key: str, value: str, category: str = "") -> None:
         new = self.spark.createDataFrame([(key, value, category)], "key string, value string, category string").withColumn("updated_at", F.current_timestamp())
-        self.store.replace("system_state", ingest.upsert(self.store.read("system_state", schemas.STATE), new, ["key"]))
+        self._upsert("system_state", schemas.STATE, ["key"], new)
 
     def state(self, key: str) -> DataFrame:
         return self.store.read("system_state", schemas.STATE).where(F.col("key") == key)
@@ -373,17 +356,17 @@ class Engine:
         """Writes the state of all tasks to ``task_chains``; the time of their making stays."""
         times = self.chain_events().groupBy("task_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"))
         rows = self.task_chains(protocol).join(times, "task_id").withColumn("description", F.lit(None).cast("string"))
-        old = self.chains()
-        new = rows.select(*[f.split()[0] for f in schemas.CHAINS.split(", ")])
-        self.store.replace("task_chains", ingest.upsert(old, new, ["task_id"], keep=("description", "created_at")))
+        self._upsert("task_chains", schemas.CHAINS, ["task_id"], rows, keep=("description", "created_at"))
 
     def chains(self) -> DataFrame:
         return self.store.read("task_chains", schemas.CHAINS)
 
     def delete_chains(self, *task_ids: str) -> None:
         """Tasks go with their events, together."""
-        gone = self.spark.createDataFrame([(x,) for x in task_ids], "task_id string")
-        self.store.commit({"task_chain_events": ingest.without_tasks(self.chain_events(), gone), "task_chains": ingest.without_tasks(self.chains(), gone)})
+        gone = self.spark.createDataFrame([(x,) for x in task_ids], "task_id string").withColumn("bucket", self.store.bucket("task_id"))
+        touched = tuple(sorted({r["bucket"] for r in gone.collect()}))
+        chains = self.store.read("task_chains", schemas.CHAINS, touched).withColumn("bucket", self.store.bucket("task_id"))
+        self.store.commit({"task_chain_events": ingest.without_tasks(self.chain_events(), gone), "task_chains": Part(ingest.without_tasks(chains, gone), touched)})
 
     # skills ----------------------------------------------------------------
     def skill(self, root: str, name: str, resource: str = "") -> dict:

@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from stat import S_ISREG
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -89,11 +90,14 @@ class _Tree:
             return
 
     def stat(self, path: str) -> tuple[int, int] | None:
+        if self.remote is not None:
+            x = self.remote.get_file_info(f"{self.root}/{path}")
+            return (x.size, int((x.mtime_ns or 0) // 10**9)) if x.type == pafs.FileType.File else None
         try:
             st = os.stat(f"{self.root}/{path}", follow_symlinks=False)
         except OSError:
             return None
-        return st.st_size, int(st.st_mtime)
+        return (st.st_size, int(st.st_mtime)) if S_ISREG(st.st_mode) else None
 
 
 def _lister(base: str, drop: frozenset[str], heed: bool, share: int, page: int):
@@ -202,29 +206,42 @@ def outside(files: DataFrame, folders: tuple[str, ...]) -> DataFrame:
     return files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, folders)))) if folders else files
 
 
+def loader(root: str) -> Callable[[str], bytes | None]:
+    """Reads a file below ``root`` by its path, in a task; None for one that is gone."""
+    base, opened = root.rstrip("/"), []
+
+    def load(path: str) -> bytes | None:
+        if not opened:
+            opened.append(_Tree(base))
+        tree = opened[0]
+        try:
+            with open(f"{tree.root}/{path}", "rb") if tree.remote is None else tree.remote.open_input_stream(f"{tree.root}/{path}") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    return load
+
+
 def contents(files: DataFrame, root: str) -> DataFrame:
     """``files(file_path, ...)`` with their content, read by the tasks; a file that is gone meanwhile is left out."""
-    base = root.rstrip("/")
-    local = _plain(base)
+    load = loader(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        remote, folder = (None, local) if local is not None else pafs.FileSystem.from_uri(base)
         for pdf in batches:
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at : at + 64].copy()
-                data = []
-                for path in part["file_path"]:
-                    try:
-                        with open(f"{folder}/{path}", "rb") if remote is None else remote.open_input_stream(f"{folder}/{path}") as f:
-                            data.append(f.read())
-                    except FileNotFoundError:
-                        data.append(None)
-                yield part.assign(content=data)
+                yield part.assign(content=[load(x) for x in part["file_path"]])
 
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
     return files.mapInPandas(run, schema).where("content is not null")
 
 
+def stats(paths: DataFrame, root: str) -> DataFrame:
+    """(file_path, file_size, file_mtime, extension) of the ``paths(path)`` below ``root`` that are files now."""
+    return paths.select("path").mapInPandas(_sizes(root.rstrip("/")), FILES).withColumn("extension", extension(F.col("file_path")))
+
+
 def root_text(spark: SparkSession, root: str, name: str) -> str:
     """The text of a file right below ``root``, or nothing."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")

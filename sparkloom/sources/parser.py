@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import ast
 import bisect
+import hashlib
 import re
 import warnings
 from collections.abc import Iterator
@@ -23,13 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import LANGUAGES
+from .files import LANGUAGES, loader
 from .lexer import Token, pairs, tokens
 
 ROWS = (
     "file_path string, kind string, ordinal int, name string, scope_path string, symbol_type string, line_start int, line_end int, "
     "signature string, caller int, call_line int"
 )
+READ = f"{ROWS}, file_hash string, line_count int"
 #: Words before a round bracket that aren't calls.
 NOT_CALLED = {
     "javascript": "if for while switch catch return typeof function async with do try await yield delete void in of else throw case new class super import instanceof",
@@ -600,25 +602,58 @@ def parse_text(text: str, language: str) -> tuple[list, list]:
     return _python(text) if language == "python" else _braced(text, language) if language in NOT_CALLED else ([], [])
 
 
+def _rows(path: str, text: str, language: str) -> list[tuple]:
+    symbols, calls = parse_text(text, language)
+    out = [(path, "symbol", i, n, s, t, a, b, g, None, None) for i, (n, s, t, a, b, g) in enumerate(symbols)]
+    return out + [(path, "call", i, n, None, None, None, None, None, c, at) for i, (c, n, at) in enumerate(calls)]
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    kinds = dict(f.split() for f in schema.split(", "))
+    return pd.DataFrame(rows, columns=list(kinds)).astype({c: "Int32" for c, kind in kinds.items() if kind == "int"})
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Rows of definitions and calls of ``files(file_path, extension, content)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [f.split()[0] for f in ROWS.split(", ")]
         for pdf in batches:
-            out = []
             for path, ext, content in pdf[["file_path", "extension", "content"]].itertuples(index=False):
-                symbols, calls = parse_text(bytes(content).decode("utf-8", "replace"), LANGUAGES.get(ext, ""))
-                out += [(path, "symbol", i, n, s, t, a, b, g, None, None) for i, (n, s, t, a, b, g) in enumerate(symbols)]
-                out += [(path, "call", i, n, None, None, None, None, None, c, at) for i, (c, n, at) in enumerate(calls)]
-            frame = pd.DataFrame(out, columns=columns)
-            for c in ("ordinal", "line_start", "line_end", "caller", "call_line"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
+                yield _frame(_rows(path, bytes(content).decode("utf-8", "replace"), LANGUAGES.get(ext, "")), ROWS)
 
     return files.select("file_path", "extension", "content").mapInPandas(run, ROWS)
 
 
+def read_changed(files: DataFrame, root: str) -> DataFrame:
+    """Reads ``files(file_path, extension, known_hash)`` below ``root`` once: a row each, and their definitions and calls if the hash isn't the known one.
+
+    kind is ``file``, or ``same`` for one whose content is as known; a file that
+    is gone meanwhile has no row. Contents don't leave the task that reads them.
+    """
+    load = loader(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for pdf in batches:
+            for path, ext, known in pdf[["file_path", "extension", "known_hash"]].itertuples(index=False):
+                content = load(path)
+                if content is None:
+                    continue
+                found = hashlib.sha256(content).hexdigest()
+                text = content.decode("utf-8", "replace")
+                lines = text.count("\n") + (0 if not text or text.endswith("\n") else 1) if ext in LANGUAGES else 0
+                out.append((path, "same" if found == known else "file", *[None] * 9, found, lines))
+                if found != known:
+                    out += [(*r, None, None) for r in _rows(path, text, LANGUAGES.get(ext, ""))]
+                if len(out) > 5000:
+                    yield _frame(out, READ)
+                    out = []
+        if out:
+            yield _frame(out, READ)
+
+    return files.select("file_path", "extension", "known_hash").mapInPandas(run, READ)
+
+
 def symbol_id(path, ordinal):
     """Ids that a file's definitions keep as long as their order does."""
     return F.xxhash64(path, ordinal)

@@ -130,7 +130,7 @@ def test_status_freshness_and_one_commit(spark, tree, tmp_path, monkeypatch):
     assert "index_status_error" in e.index_status() and not e.fresh()
     assert e.ensure_fresh(str(tree)) and e.fresh() and not e.ensure_fresh(str(tree)) and not e.fresh(ttl=-1)
     status = e.index_status()
-    assert status["index_status"]["counts"] == {"new": 2} and set(status["tables"]) == {"files", "symbols", "calls"}
+    assert status["index_status"]["counts"] == {"new": 2} and set(status["tables"]) == {"files", "symbols", "calls", "edges", "names", "callers"}
     e.store.put_text("_status.json", "{broken")
     assert e.index_status()["index_status_raw"] == "{broken" and not e.fresh()
     # a change that breaks off leaves all three tables as they were
@@ -138,9 +138,9 @@ def test_status_freshness_and_one_commit(spark, tree, tmp_path, monkeypatch):
     (tree / "pkg/more.py").write_text("def more():\n    price(2)\n")
     real, written = e.store.commit, []
 
-    def broken(tables):
-        for name, df in tables.items():
-            df.write.parquet(str(tmp_path / f"half-{name}"))
+    def broken(tables, marks=None):
+        for name, part in tables.items():
+            part.rows.write.parquet(str(tmp_path / f"half-{name}"))
             written.append(name)
             raise OSError("disk gone")
 
