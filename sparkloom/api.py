@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schemas
+from . import builds, schemas
 from .durable import cut
 from .functions import text as X
 from .indexer import EDGES, Refresh
@@ -36,9 +36,6 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, threshold: int = ingest.THRESHOLD, budget: int = ingest.BUDGET):
         self.spark, self.store, self.threshold, self.budget = spark, Store(spark, root, buckets=buckets), threshold, budget
 
-    def _progress(self, done: int, total: int) -> None:
-        pass
-
     # index -----------------------------------------------------------------
     def files(self) -> DataFrame:
         return self.store.read("files", schemas.FILES)
@@ -93,24 +90,28 @@ class Engine:
         """
         began = time.time()
         self._note("running", path, scope, began)
-        context, group, done = self.spark.sparkContext, f"ingest-{uuid.uuid4().hex}", threading.Event()
+        context, done = self.spark.sparkContext, threading.Event()
+        outer = context.getLocalProperty("spark.jobGroup.id")
+        group = outer or f"ingest-{uuid.uuid4().hex}"
 
         def watch() -> None:
             if not done.wait(timeout):
                 while not done.wait(0.2):  # jobs that begin later are cancelled too
                     context.cancelJobGroup(group)
 
-        if timeout:
+        if not outer:
             context.setJobGroup(group, f"ingest {path}", interruptOnCancel=True)
+        if timeout:
             threading.Thread(target=watch, daemon=True).start()
         try:
-            counts = self._ingest(path, extensions, scope, force_full, ignored, began + timeout if timeout else None)
+            with builds.Heartbeat(self.store, group) as beat:
+                counts = self._ingest(path, extensions, scope, force_full, ignored, began + timeout if timeout else None, beat)
         except Exception as e:
             self._note("failed", path, scope, began, error=str(e).splitlines()[0][:300])
             raise
         finally:
             done.set()
-            if timeout:
+            if not outer:
                 context._jsc.sc().clearJobGroup()
         self._note("ready", path, scope, began, counts=counts)
         return self.spark.createDataFrame(sorted(counts.items()), "action string, n long")
@@ -121,8 +122,8 @@ class Engine:
 
     def index_status(self) -> dict:
         """What the last ingest said, or its text if that can't be read; and the bytes of every table."""
-        text = self.store.get_text("_status.json")
-        out: dict = {"tables": self.store.sizes()}
+        text, progress = self.store.get_text("_status.json"), self.store.get_text(builds.PROGRESS)
+        out: dict = {"tables": self.store.sizes()} | ({"progress": json.loads(progress)} if progress else {})
         try:
             return out | ({"index_status": json.loads(text)} if text is not None else {"index_status_error": "no ingest yet"})
         except ValueError:
@@ -144,14 +145,18 @@ class Engine:
             self.ingest(path, tuple(e for e in stacks if e in source_files.LANGUAGES) or tuple(source_files.LANGUAGES), **{k: v for k, v in options.items() if k != "extensions"})
         return True
 
-    def _ingest(self, path: str, extensions: tuple[str, ...], scope: str, force_full: bool, ignored: tuple[str, ...], until: float | None) -> dict[str, int]:
+    def _ingest(self, path: str, extensions: tuple[str, ...], scope: str, force_full: bool, ignored: tuple[str, ...], until: float | None, beat: builds.Heartbeat) -> dict[str, int]:
         found = cut(self._listed(path, extensions, ignored, scope))
-        step = Refresh(self.store, path, force_full, self.threshold, self.budget, until, self._progress)
+        step = Refresh(self.store, path, force_full, self.threshold, self.budget, until, beat.files)
         gone = ingest.deleted(step.old_files(), found)
         if below := _within(scope):
             gone = gone.where(F.col("file_path").startswith(below))
         return step.run(found, gone)
 
+    def build(self, path: str, **options) -> builds.Build:
+        """Begins an ``ingest`` in the background; one at a time."""
+        return builds.start(self, path, **options)
+
     def refresh(self, path: str, paths: DataFrame, marks: dict[str, int] | None = None) -> dict[str, int]:
         """Brings the index up to date with the files that ``paths(path)`` names, gone ones included; the number of files by action."""
         named = cut(paths.select("path").where("path is not null").distinct())
@@ -354,13 +359,21 @@ class Engine:
 
     def save_chains(self, protocol: str = "develop") -> None:
         """Writes the state of all tasks to ``task_chains``; the time of their making stays."""
-        times = self.chain_events().groupBy("task_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"))
+        times = self.chain_events().groupBy("task_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.max("id").alias("last_event"))
         rows = self.task_chains(protocol).join(times, "task_id").withColumn("description", F.lit(None).cast("string"))
         self._upsert("task_chains", schemas.CHAINS, ["task_id"], rows, keep=("description", "created_at"))
 
     def chains(self) -> DataFrame:
         return self.store.read("task_chains", schemas.CHAINS)
 
+    def advance_chains(self, events: DataFrame, protocol: str = "develop", marks: dict[str, int] | None = None) -> None:
+        """Writes the state of the tasks of ``events`` through to ``task_chains``, from what it holds of them; other tasks aren't touched."""
+        events = cut(events.where("task_id is not null"))
+        touched = tuple(sorted(r["bucket"] for r in events.select(self.store.bucket("task_id").alias("bucket")).distinct().collect()))
+        times = events.groupBy("task_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"))
+        new = taskchain.advance(self.store.read("task_chains", schemas.CHAINS, touched), events, protocol)
+        self._upsert("task_chains", schemas.CHAINS, ["task_id"], new.join(times, "task_id").withColumn("description", F.lit(None).cast("string")), ("description", "created_at"), marks)
+
     def delete_chains(self, *task_ids: str) -> None:
         """Tasks go with their events, together."""
         gone = self.spark.createDataFrame([(x,) for x in task_ids], "task_id string").withColumn("bucket", self.store.bucket("task_id"))

@@ -211,6 +211,56 @@ class Fold:
     def row(self) -> tuple:
         return _row(self.task, self.chain, self.events, self.errors, self.last)
 
+    @classmethod
+    def resumed(cls, row: tuple) -> Fold:
+        """The state that ``row()`` gave."""
+        task, protocol, status, current, events, errors, last, reinits, phases = row
+        fold = cls(task, "linear")
+        fold.chain = TaskChain(protocol, json.loads(phases))
+        fold.chain.status, fold.chain.current, fold.chain.reinits = status, current, reinits
+        fold.events, fold.errors, fold.last = events, errors, last
+        return fold
+
+
+def advance(held: DataFrame, events: DataFrame, protocol: str = "develop") -> DataFrame:
+    """The state of the tasks of ``events`` after them, from the state that ``held`` (STATE and last_event) has of them.
+
+    Events whose id isn't above the task's last one are left out, so events that
+    are given twice count once. A task's state is the first of its sorted rows;
+    the fold streams over them.
+    """
+    for c in ("phase_id", "sub_id", "payload"):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast("string"))
+    given = events.where("task_id is not null").select("task_id", F.lit(1).alias("turn"), "created_at", "id", F.struct("event_type", "phase_id", "sub_id", "payload").alias("event"), F.lit(None).cast("string").alias("state"))
+    names = [f.split()[0] for f in STATE.split(", ")]
+    state = F.to_json(F.array(*[F.col(c).cast("string") for c in names]), {"ignoreNullFields": "false"})
+    old = held.join(given.select("task_id").distinct(), "task_id", "left_semi").select("task_id", F.lit(0).alias("turn"), F.lit(None).cast("timestamp").alias("created_at"), F.col("last_event").alias("id"), F.lit(None).cast("struct<event_type:string,phase_id:string,sub_id:string,payload:string>").alias("event"), state.alias("state"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold: Fold | None = None
+        newest = -(2**63)
+        for pdf in batches:
+            done = []
+            for task, turn, number, event, kept in pdf[["task_id", "turn", "id", "event", "state"]].itertuples(index=False):
+                if fold is None or fold.task != task:
+                    if fold is not None:
+                        done.append((*fold.row(), newest))
+                    fold, newest = Fold(task, protocol), -(2**63)
+                if turn == 0:
+                    got = json.loads(kept)
+                    fold, newest = Fold.resumed((*got[:4], int(got[4]), int(got[5]), got[6], int(got[7]), got[8])), int(number)
+                elif number > newest:
+                    fold.add(event["event_type"], event["phase_id"], event["sub_id"], event["payload"])
+                    newest = int(number)
+            if done:
+                yield pd.DataFrame(done, columns=[*names, "last_event"])
+        if fold is not None:
+            yield pd.DataFrame([(*fold.row(), newest)], columns=[*names, "last_event"])
+
+    both = old.unionByName(given).repartition("task_id").sortWithinPartitions("task_id", "turn", "id")
+    return both.select("task_id", "turn", "id", "event", "state").mapInPandas(run, f"{STATE}, last_event long")
+
 
 def replay(events: DataFrame, protocol: str = "develop") -> DataFrame:
     """Final state of every task of ``events(id, task_id, event_type, created_at[, phase_id, sub_id, payload])``.

@@ -22,7 +22,7 @@ HOOKS = (
 )
 CHAINS = (
     "task_id string, description string, protocol string, status string, phases_json string, current_phase string, "
-    "created_at timestamp, updated_at timestamp, reinit_count int"
+    "created_at timestamp, updated_at timestamp, reinit_count int, n_events long, n_errors long, last_error string, last_event long"
 )
 CHAIN_EVENTS = "id long, task_id string, phase_id string, sub_id string, event_type string, payload string, created_at timestamp"
 PHASES = (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..durable import shared_dir
-from ..operators.taskchain import STATE, Fold, TaskChain
+from ..operators.taskchain import STATE, Fold
 
 EVENTS = "id long, task_id string, event_type string, created_at timestamp"
 
@@ -33,17 +33,13 @@ def chain_states(events: DataFrame, protocol: str = "develop") -> DataFrame:
     def run(key, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         fold = Fold(key[0], protocol)
         if held.exists:
-            got = json.loads(held.get[0])
-            fold.chain = TaskChain(got["protocol"], got["phases"])
-            fold.chain.status, fold.chain.current, fold.chain.reinits = got["status"], got["current"], got["reinits"]
-            fold.events, fold.errors, fold.last = got["events"], got["errors"], got["last"]
+            fold = Fold.resumed(tuple(json.loads(held.get[0])))
         rows = pd.concat(list(batches))  # the task's events of one batch; its size is bounded by the source's options
         rows = rows.sort_values(["created_at", "id"])
         given = [rows[c] if c in rows else [None] * len(rows) for c in ("phase_id", "sub_id", "payload")]
         for kind, *more in zip(rows["event_type"], *given, strict=True):
             fold.add(kind, *[None if x is None or x != x else x for x in more])
-        c = fold.chain
-        held.update((json.dumps({"protocol": c.protocol, "phases": c.phases, "status": c.status, "current": c.current, "reinits": c.reinits, "events": fold.events, "errors": fold.errors, "last": fold.last}),))
+        held.update((json.dumps(fold.row()),))
         yield pd.DataFrame([fold.row()], columns=[f.split()[0] for f in STATE.split(", ")])
 
     return events.groupBy("task_id").applyInPandasWithState(run, STATE, saved, "update", "NoTimeout")
