@@ -9,24 +9,29 @@ Entities are found by one pattern. Each gets a keyed surrogate of its own type:
   digit is right, internet addresses stay in range, phone numbers keep their
   country code, and mail stays in reserved domains;
 * names after a title keep title, script and capitals; a given name is drawn
-  from those of the title's gender. Later mentions of the name without a title
-  in the same text follow.
+  from those of the title's gender. Later mentions of the surname in the same
+  text, whatever their case and with a possessive or in a compound, follow; what
+  stands before the first titled mention is left alone. All replacements are
+  made in the pieces of the original text, so none meets another's surrogate.
 
 Equal entities get equal surrogates everywhere, as they depend on the key and
-the entity alone. A corpus-wide check then looks for surrogates that two
-entities share or that are entities of the corpus themselves, and draws again
-until none is left. What is drawn again is a unit: a surname, which Mr. Smith,
-Dr. SMITH and Mr. John Smith share and so change alike; a given name before one
-surname; or any other entity as a whole. The unit's attempt is in its key. Names
-get longer with each attempt, so there are enough of them. Mail keeps its format
-for ``MAIL_KEEPS`` attempts and then gets a longer local part, as a large corpus
-holds every short one of a reserved domain. The other types keep their format;
-where the corpus itself fills one, so that an entity still collides after many
-attempts, an error names it.
-
-Repeated groups and runs of the patterns are bounded (64 characters of a mail's
-local part, 11 labels of a host, 16,384 characters of a private key), so that no
-text, whatever its length, exhausts the stack or takes quadratic time.
+the entity alone. Names are made of units, whatever the title: a surname, which
+Mr. Smith, Dr. SMITH and Mr. John Smith share and so change alike, and a given
+name of one gender before one surname; any other entity is a unit as a whole. A
+corpus-wide check holds that the surrogates of all surnames differ, as do those
+of the given names before one surname and those of the other entities, case
+aside; and that no surrogate is itself a surname of the corpus, a given name
+before that surname, or an entity of the corpus. Units that fail are drawn again
+until none is left, by the attempt in their key. Names get longer with each
+attempt, so there are enough of them. Mail keeps its format for ``MAIL_KEEPS``
+attempts and then gets a longer local part, as a large corpus holds every short
+one of a reserved domain. The other types keep their format; where the corpus
+itself fills one, so that an entity still collides after many attempts, an error
+names it.
+
+Runs and groups of the patterns are possessive, and begin where a run begins, so
+no text, whatever its length, exhausts the stack or takes quadratic time, and no
+key, host or local part is too long to be found.
 
 The main path scans texts twice, shuffles distinct entities only, and replaces
 inside the row. Repeatedly drawn entities, normally none, are joined back by row.
@@ -42,14 +47,15 @@ from pyspark.sql import functions as F
 from ._shared import stored, unused
 
 _FEMALE, _MALE, _EITHER = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Señorita|Г-жа", "Mr|Herr|Monsieur|Señor|Sr|Г-н", "Dr|Prof"
-_NAME = r"\p{Lu}[\p{L}'’\-]+"
+#: A capitalised word of two letters or more, with inner hyphens and apostrophes; a possessive isn't part of it.
+_NAME = r"\p{Lu}(?=\p{L}|['’\-]\p{L}{2})\p{L}*+(?:(?:-|['’](?![sS](?!\p{L})))\p{L}++){0,9}+"
 #: Type and pattern; of several at one place the first wins.
 TYPES = (
-    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]{0,16384}?-----END [A-Z ]{0,20}PRIVATE KEY-----"),
-    ("email", r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?){1,10}"),
+    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^\-]++|-(?!----(?:BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9][A-Za-z0-9\-]*+(?:\.[A-Za-z0-9][A-Za-z0-9\-]*+)++"),
     ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/=.]{8,}"),
     ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b"),
-    ("hex_key", r"\b(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,128}\b"),
+    ("hex_key", r"\b(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}+\b"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ("card", r"\b[0-9]{13,19}\b|\b[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}\b"),
@@ -174,7 +180,11 @@ def _after(e: Column, head: str, change) -> Column:
 
 
 def _pick(names, number: Column) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in names]), F.pmod(number, F.lit(len(names))).cast("int"))
+    return F.get(F.split(F.lit(" ".join(names)), " "), F.pmod(number, F.lit(len(names))).cast("int"))
+
+
+def _by_script(word: Column, make) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
 
 
 def _longer(base: Column, attempt: Column, more) -> Column:
@@ -186,15 +196,14 @@ def _cased(new: Column, word: Column) -> Column:
     return _let(new, lambda n: F.when(word == F.upper(word), F.upper(n)).otherwise(n))
 
 
-def _surname(word: Column, script: str, key: Column, attempt: Column) -> Column:
-    stems, ends = SURNAME[script]
-    one = lambda k: F.concat(_pick(stems, _number(k)), _pick(ends, _number(k, 13)))
+def _surname(word: Column, key: Column, attempt: Column) -> Column:
+    one = lambda k: _by_script(word, lambda s: F.concat(_pick(SURNAME[s][0], _number(k)), _pick(SURNAME[s][1], _number(k, 13))))
     base = F.concat_ws("|", key, F.lower(word))
     return _cased(F.concat(one(base), _longer(base, attempt, one)), word)
 
 
-def _given(word: Column, script: str, female: Column, key: Column, attempt: Column) -> Column:
-    one = lambda k: _let(_number(k), lambda n: F.when(female, _pick(GIVEN[script, "f"], n)).otherwise(_pick(GIVEN[script, "m"], n)))
+def _given(word: Column, female: Column, key: Column, attempt: Column) -> Column:
+    one = lambda k: _let(_number(k), lambda n: _by_script(word, lambda s: F.when(female, _pick(GIVEN[s, "f"], n)).otherwise(_pick(GIVEN[s, "m"], n))))
     base = F.concat_ws("|", key, F.lower(word))
     return _cased(F.concat(one(base), _longer(base, attempt, one)), word)
 
@@ -207,16 +216,18 @@ def _is_name(e: Column) -> Column:
     return e.rlike(rf"^(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s{_NAME}(?:\s{_NAME})?$")
 
 
-def _one_case(word: Column) -> Column:
-    return F.when(word == F.upper(word), F.initcap(word)).otherwise(word)
+def _is_female(e: Column, first: Column) -> Column:
+    """By the title, or where it says nothing by the given name's ending."""
+    return e.rlike(rf"^(?:{_FEMALE})\.?\s") | (~e.rlike(rf"^(?:{_MALE})\.?\s") & first.rlike("[aAаАяЯ]$"))
 
 
 def units(e: Column) -> Column:
-    """What is drawn again where the surrogate of ``e`` collides: its surname and its given name (or null), or the entity and null."""
+    """What ``e`` is made of and drawn again by: its surname and its given name (or null), or the entity and null."""
 
     def of_words(words: Column) -> Column:
-        surname, first = _one_case(F.element_at(words, -1)), _one_case(F.get(words, F.lit(0)))
-        return F.array(F.concat(F.lit("s|"), surname), F.when(F.size(words) > 1, F.concat(F.lit("g|"), surname, F.lit("|"), first)))
+        surname, first = F.lower(F.element_at(words, -1)), F.get(words, F.lit(0))
+        given = F.concat(F.lit("g|"), surname, F.lit("|"), F.when(_is_female(e, first), "f").otherwise("m"), F.lit("|"), F.lower(first))
+        return F.array(F.concat(F.lit("s|"), surname), F.when(F.size(words) > 1, given))
 
     return F.when(_is_name(e), _let(_name_words(e), of_words)).otherwise(F.array(F.concat(F.lit("e|"), e), F.lit(None).cast("string")))
 
@@ -224,13 +235,12 @@ def units(e: Column) -> Column:
 def _name(e: Column, key: Column, attempt: Column, given_attempt: Column) -> Column:
     title, between = F.regexp_extract(e, r"^\S+\s", 0), F.regexp_extract(e, r"^\S+\s\S+(\s)", 1)
 
-    def of_words(words: Column, script: str) -> Column:
+    def of_words(words: Column) -> Column:
         first = F.get(words, F.lit(0))
-        female = e.rlike(rf"^(?:{_FEMALE})\.?\s") | (~e.rlike(rf"^(?:{_MALE})\.?\s") & first.rlike("[aAаА]$"))
-        given = F.when(F.size(words) > 1, F.concat(_given(first, script, female, key, given_attempt), between)).otherwise("")
-        return F.concat(title, given, _surname(F.element_at(words, -1), script, key, attempt))
+        given = F.when(F.size(words) > 1, F.concat(_given(first, _is_female(e, first), key, given_attempt), between)).otherwise("")
+        return F.concat(title, given, _surname(F.element_at(words, -1), key, attempt))
 
-    return F.when(e.rlike(r"\p{IsCyrillic}"), _let(_name_words(e), lambda w: of_words(w, "cyrillic"))).otherwise(_let(_name_words(e), lambda w: of_words(w, "latin")))
+    return _let(_name_words(e), of_words)
 
 
 def surrogate(entity: Column, key: str, attempt: Column, given_attempt: Column | None = None) -> Column:
@@ -262,48 +272,85 @@ def found_entities(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0))
 
 
+def _drawn(units_: DataFrame, key: str) -> DataFrame:
+    """``units_(unit, attempt)`` with its surrogate as new, the place within which that is to be its own, and what it stands for as old; case aside."""
+    unit, attempt = F.col("unit"), F.col("attempt")
+    kind, rest = F.substring(unit, 1, 1), F.substring(unit, 3, 1 << 30)
+    part = lambda i: F.get(F.split(unit, r"\|"), F.lit(i))
+    surname = F.lower(_surname(rest, F.lit(f"{key}|name"), attempt))
+    given = F.lower(_given(part(3), part(2) == "f", F.lit(f"{key}|name"), attempt))
+    return units_.select(
+        "unit", "attempt", F.when(kind == "s", surname).when(kind == "g", given).otherwise(surrogate(rest, key, attempt)).alias("new"),
+        F.when(kind == "g", F.concat(F.lit("g|"), part(1))).otherwise(kind).alias("place"), F.when(kind == "g", part(3)).otherwise(rest).alias("old"),
+    )
+
+
 def drawn_again(docs: DataFrame, key: str, text_col: str, most: int = 100) -> DataFrame:
-    """(unit, attempt): the units of entities whose first surrogate collides, with an attempt that doesn't; an error if ``most`` attempts leave a collision."""
-    entities = stored(docs.select(F.explode(found_entities(F.col(text_col))).alias("entity")).distinct())
-    own = units(F.col("entity"))
-    state = entities.select("entity", F.get(own, F.lit(0)).alias("u"), F.get(own, F.lit(1)).alias("v"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    """(unit, attempt): the units whose first surrogate isn't their own, with an attempt that is; an error if ``most`` attempts don't give all of them one."""
+    entities = docs.select(F.explode(found_entities(F.col(text_col))).alias("entity")).distinct()
+    own = stored(entities.select(F.explode(units(F.col("entity"))).alias("unit")).where("unit is not null").distinct())
+    drawn = stored(_drawn(own.withColumn("attempt", F.lit(0)), key))
+    real = drawn.select("place", F.col("old").alias("new"))
     for tried in range(most + 1):
-        drawn = stored(state.withColumn("new", surrogate(F.col("entity"), key, F.col("a"), F.col("b"))))
-        real = drawn.join(entities.select(F.col("entity").alias("new")), "new", "left_semi").select("entity", F.col("u").alias("unit"))
-        kept = drawn.groupBy("new").agg(F.min(F.struct("entity", "u")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
-        # within one surname the given names are drawn again, else the surname or the whole entity
-        again = F.when(F.col("v").isNotNull() & (F.col("u") == F.col("keeps.u")), F.col("v")).otherwise(F.col("u"))
-        shared = drawn.join(kept, "new").where("entity <> keeps.entity").select("entity", again.alias("unit"))
-        bad = stored(real.unionByName(shared).distinct())
+        taken = drawn.join(real, ["place", "new"], "left_semi").select("unit", "attempt")
+        kept = drawn.groupBy("place", "new").agg(F.min("unit").alias("keeps"), F.count("*").alias("n")).where("n > 1")
+        shared = drawn.join(kept, ["place", "new"]).where("unit <> keeps").select("unit", "attempt")
+        bad = stored(taken.unionByName(shared).distinct())
         if bad.isEmpty():
             break
         if tried == most:
-            kinds = sorted(r[0] for r in bad.select(entity_type(F.col("entity"))).distinct().collect())
+            kind = F.when(F.col("unit").startswith("e|"), entity_type(F.substring("unit", 3, 1 << 30))).otherwise("name")
+            kinds = sorted(r[0] for r in bad.select(kind).distinct().collect())
             raise ValueError(f"no surrogates of their own for some entities after {most} attempts: {', '.join(kinds)}")
-        more = bad.select("unit").distinct()
-        moved = drawn.join(more.select(F.col("unit").alias("u"), F.lit(1).alias("more_a")), "u", "left").join(more.select(F.col("unit").alias("v"), F.lit(1).alias("more_b")), "v", "left")
-        state = moved.select("entity", "u", "v", (F.col("a") + F.coalesce("more_a", F.lit(0))).alias("a"), (F.col("b") + F.coalesce("more_b", F.lit(0))).alias("b"))
-    both = drawn.select(F.col("u").alias("unit"), F.col("a").alias("attempt")).unionByName(drawn.select(F.col("v").alias("unit"), F.col("b").alias("attempt")))
-    return both.where("attempt > 0").distinct()
+        anew = _drawn(bad.withColumn("attempt", F.col("attempt") + 1), key)
+        drawn = stored(drawn.join(bad.select("unit"), "unit", "left_anti").unionByName(anew))
+    return drawn.where("attempt > 0").select("unit", "attempt")
+
+
+#: Words with their inner marks, and what is between them; and the same without inner marks.
+_TOKENS, _PARTS = r"\p{L}[\p{L}'’\-]*+|[^\p{L}]++", r"\p{L}++|[^\p{L}]++"
+
+
+def _mentions(piece: Column, known: Column) -> Column:
+    """``piece`` of a text with the surnames of ``known(old, new)`` replaced, whatever their case: whole words, without a possessive, or parts of a compound."""
+
+    def new_of(word: Column) -> Column:
+        hit = F.get(F.filter(known, lambda n: n["old"] == F.lower(word)), F.lit(0))["new"]
+        return F.when(word == F.lower(word), F.lower(hit)).when(word == F.upper(word), F.upper(hit)).otherwise(hit)
+
+    def one(token: Column) -> Column:
+        stem = F.regexp_replace(token, r"['’][sS]?$", "")
+        whole = F.concat(new_of(stem), F.substring(token, F.length(stem) + 1, F.length(token)))
+        parts = F.array_join(F.transform(F.regexp_extract_all(token, F.lit(_PARTS), 0), lambda p: F.coalesce(new_of(p), p)), "")
+        return F.when(token.rlike(r"^\p{L}"), F.coalesce(new_of(token), whole, parts)).otherwise(token)
+
+    near = F.exists(known, lambda n: F.contains(F.lower(piece), n["old"]))
+    return F.when(near, F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(_TOKENS), 0), one), "")).otherwise(piece)
 
 
 def replaced(text: Column, attempts: Column | None, key: str) -> Column:
     """``text`` with surrogates, each made once; ``attempts`` maps units to attempts over 0, or is null."""
+    tried = lambda u: F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, u), F.lit(0))
 
     def of(e: Column) -> Column:
-        if attempts is None:
-            return F.struct(e.alias("e"), surrogate(e, key, F.lit(0)).alias("s"))
-        tried = lambda u, i: F.coalesce(F.element_at(attempts, F.get(u, F.lit(i))), F.lit(0))
-        return F.struct(e.alias("e"), _let(units(e), lambda u: surrogate(e, key, tried(u, 0), tried(u, 1))).alias("s"))
+        def of_units(u: Column) -> Column:
+            surname = F.when(F.get(u, F.lit(0)).startswith("s|"), F.substring(F.get(u, F.lit(0)), 3, 1 << 30))
+            new = F.when(surname.isNotNull(), _surname(surname, F.lit(f"{key}|name"), tried(F.get(u, F.lit(0)))))
+            return F.struct(surrogate(e, key, tried(F.get(u, F.lit(0))), tried(F.get(u, F.lit(1)))).alias("s"), surname.alias("old"), new.alias("new"))
 
-    def later(t: Column, p: Column) -> Column:
-        name, other = F.element_at(_name_words(p["e"]), -1), F.element_at(_name_words(p["s"]), -1)
-        return F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\-])"), name, F.lit(r"(?![\p{L}\-])")), other)
+        return _let(units(e), of_units)
 
     def changed(pairs: Column) -> Column:
-        pieces = F.zip_with(F.split(text, PATTERN, -1), pairs, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x["s"], F.lit(""))))
-        names = F.filter(pairs, lambda p: p["e"].rlike(rf"^(?:{_FEMALE}|{_MALE}|{_EITHER})\.?\s"))
-        return F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, text).otherwise(F.aggregate(F.array_distinct(names), F.array_join(pieces, ""), later))
+        placed = F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("at"), p["old"].alias("old"), p["new"].alias("new"))), lambda n: n["old"].isNotNull())
+        plain = F.zip_with(F.split(text, PATTERN, -1), pairs, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x["s"], F.lit(""))))
+
+        def with_names(names: Column) -> Column:
+            said = F.transform(F.split(text, PATTERN, -1), lambda p, i: _mentions(p, F.filter(names, lambda n: n["at"] < i)))
+            return F.zip_with(said, pairs, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x["s"], F.lit(""))))
+
+        first = F.filter(placed, lambda n, j: F.array_position(F.transform(placed, lambda m: m["old"]), n["old"]) == j + 1)
+        pieces = F.when(F.size(placed) > 0, _let(first, with_names)).otherwise(plain)
+        return F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, text).otherwise(F.array_join(pieces, ""))
 
     return _let(F.transform(found_entities(text), of), changed)
 
@@ -313,7 +360,8 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
 
     Null and empty texts, and texts without entities, stay as they are. Texts
     of any length are scanned in whole. Repeated rows stay and change alike. An
-    empty table gives an empty result.
+    empty table gives an empty result. Different surnames never become one, in
+    one text or in several, and one surname never becomes two.
     """
     again = drawn_again(docs, key, text_col)
     if again.isEmpty():

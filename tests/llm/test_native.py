@@ -358,14 +358,14 @@ def plain_surrogates(text, key="surrogates"):
     def person(e):
         k = f"{key}|name"
         title, *words = re.split(r"\s", e)
-        script = "cyrillic" if regex.search(r"\p{IsCyrillic}", e) else "latin"
+        script = lambda w: "cyrillic" if regex.search(r"\p{IsCyrillic}", w) else "latin"
         cased = lambda n, w: n.upper() if w == w.upper() else n
-        female = re.fullmatch(rf"(?:{pii._FEMALE})\.?", title) or (not re.fullmatch(rf"(?:{pii._MALE})\.?", title) and re.search("[aAаА]$", words[0]))
-        stems, ends = pii.SURNAME[script]
+        female = re.fullmatch(rf"(?:{pii._FEMALE})\.?", title) or (not re.fullmatch(rf"(?:{pii._MALE})\.?", title) and re.search("[aAаАяЯ]$", words[0]))
+        stems, ends = pii.SURNAME[script(words[-1])]
         base = f"{k}|{words[-1].lower()}"
         out = [cased(stems[num(base) % len(stems)] + ends[num(base, 13) % len(ends)], words[-1])]
         if len(words) > 1:
-            pool = pii.GIVEN[script, "f" if female else "m"]
+            pool = pii.GIVEN[script(words[0]), "f" if female else "m"]
             out = [cased(pool[num(f"{k}|{words[0].lower()}") % len(pool)], words[0]), *out]
         return [title, *out]
 
@@ -391,14 +391,25 @@ def plain_surrogates(text, key="surrogates"):
             case "name": return re.match(r"\S+\s", e).group() + "".join(w + s for w, s in zip(person(e)[1:], [*re.findall(r"\s", e)[1:], ""]))  # noqa: E701
         return scramble(e, k)
 
-    out = whole.sub(lambda m: one(m.group()), text)
-    for e in dict.fromkeys(e for e in found if regex.fullmatch(dict(pii.TYPES)["name"], e)):
-        out = regex.sub(rf"(?<![\p{{L}}\-]){re.split(chr(92) + 's', e)[-1]}(?![\p{{L}}\-])", re.split(r"\s", one(e))[-1], out)
-    return out
+    out, at, known = "", 0, {}
+
+    def mention(m):
+        word = m.group()
+        new = known.get(word.lower())
+        return word if new is None else new.lower() if word == word.lower() else new.upper() if word == word.upper() else new
+
+    for m in whole.finditer(text):
+        out += regex.sub(r"\p{L}+", mention, text[at : m.start()]) + one(m.group())
+        at = m.end()
+        if regex.fullmatch(dict(pii.TYPES)["name"], m.group()):
+            title, *words = re.split(r"\s", m.group())
+            known.setdefault(words[-1].lower(), person(f"{title} {words[-1].lower()}")[-1])
+    return out + regex.sub(r"\p{L}+", mention, text[at:])
 
 
 def test_equals_plain_version(spark, sf_dir):
-    odd = ["Ms Ann LEE met Dr. Мария Иванова; LEE left", "ip 1.2.3.4 and fe80:a:b:c:d:e:f:a, GB12ABCDEFGHIJKL, 4111 1111 1111 1111", "pwd: deadbeefdeadbeef token = 'a_b-c/d+e'", "sk-" + "aBcDe" * 5 + " " + "deadbeef" * 4, "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"]
+    odd = ["Ms Ann LEE met Dr. Мария Иванова; LEE left", "ip 1.2.3.4 and fe80:a:b:c:d:e:f:a, GB12ABCDEFGHIJKL, 4111 1111 1111 1111", "pwd: deadbeefdeadbeef token = 'a_b-c/d+e'", "sk-" + "aBcDe" * 5 + " " + "deadbeef" * 4, "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----",
+           "In May Mr. May's friend, Г-н Smith, may go; MAY's and May-like. smith, Smiths"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     assert pii.drawn_again(docs, "surrogates", "text").isEmpty()
     got = docs.withColumnRenamed("text", "old").join(pii.with_surrogates(docs), "doc_id").collect()
@@ -407,6 +418,47 @@ def test_equals_plain_version(spark, sf_dir):
         assert r.text == plain_surrogates(r.old), r.doc_id
 
 
+TITLES = ("Mr.", "Mrs", "Dr.", "Herr", "Señora", "Prof.", "Г-н")
+
+
+def test_surnames_stay_apart_over_all_titles(spark):
+    """5,000 surnames behind any title: as many surrogates, none of them a surname of the corpus, and the same for one surname everywhere."""
+    word = F.initcap(F.translate(F.format_string("%04d", F.col("id")), "0123456789", "abcdefghij"))
+    real = [a + b for a in pii.SURNAME["latin"][0] for b in pii.SURNAME["latin"][1]][:300]
+    name = F.when(F.col("id") < 300, F.get(F.split(F.lit(" ".join(real)), " "), F.col("id").cast("int"))).otherwise(word)
+    title = lambda k: F.get(F.split(F.lit(" ".join(TITLES)), " "), F.pmod(F.col("id") * 31 + k, F.lit(len(TITLES))).cast("int"))
+    df = spark.range(5000).select("id", name.alias("name"), F.concat(title(0), F.lit(" "), name, F.lit("'s. "), title(3), F.lit(" Ann "), F.upper(name), F.lit("; "), name, F.lit(" "), F.lower(name)).alias("text"))
+    old = {r.id: r["name"] for r in df.select("id", "name").collect()}
+    assert len(set(old.values())) == 5000
+    new = {}
+    for r in pii.with_surrogates(df, text_col="text").select("id", "text").collect():
+        first, loud, later, small = re.fullmatch(r"\S+ (\S+)'s\. \S+ \S+ (\S+); (\S+) (\S+)", r.text).groups()
+        assert loud == first.upper() and later == first and small == first.lower(), r.text
+        new[r.id] = first.lower()
+    assert len(set(new.values())) == 5000 and not set(new.values()) & {x.lower() for x in old.values()}
+
+
+def test_people_are_kept_apart_and_together(spark):
+    def of(text):
+        return pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+
+    a, b, c, d = re.fullmatch(r"Mr\. (\S+) met Dr\. (\S+)\. (\S+) left\. (\S+) stayed\.", of("Mr. Smith met Dr. Dalin. Smith left. Dalin stayed.")).groups()
+    assert (a, b) == (c, d) and a != b and not {a, b} & {"Smith", "Dalin"}
+    a, b, c, d, e = re.fullmatch(r"Mr\. (\S+)'s dog\. Mr\. (\S+) came\. (\S+) left\. (\S+)-led, (\S+)’s", of("Mr. Smith's dog. Mr. Smith came. SMITH left. Smith-led, smith’s")).groups()
+    assert a == b == d and c == a.upper() and e == a.lower() and "smith" not in a.lower()
+    assert re.fullmatch(r"We met in May\. Mr\. (\S+) agreed\. \1 I\?", of("We met in May. Mr. May agreed. May I?")) and "Mr. May" not in of("We met in May. Mr. May agreed.")
+    assert re.fullmatch(r"Ms (\S+)'s cat; \1\. \1, Mr (\S+)' bike", of("Ms O'Brien's cat; O'Brien. O'Brien, Mr Jones' bike"))
+    assert of("Smith and Smithson. Mr Smith") .startswith("Smith and Smithson. Mr ") and of("Mr Smith, Smithson, Blacksmith").endswith(", Smithson, Blacksmith")
+
+
+def test_no_secret_is_too_long(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJDREVG\n" * 6000 + "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {key} b {key.replace('QUJ', 'RVZ')} c", "to j@" + "abc." * 30 + "secretfirm.com.", "to " + "head" * 40 + ".tail@gmail.com", "hash " + "deadbeef" * 40, "-----BEGIN RSA PRIVATE KEY-----\nopen " * 2000 + key]
+    out = [r.text for r in pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert "QUJD" not in out[0] and "RVZD" not in out[0] and re.fullmatch(r"a -.*- b -.*- c", out[0], re.S)
+    assert "secretfirm" not in out[1] and "abc." not in out[1] and "head" not in out[2] and "gmail" not in out[2] and "deadbeef" not in out[3] and "QUJD" not in out[4]
+
+
 def test_surrogates_keep_clashing_columns(spark):
     schema = "doc_id long, text string, digest int, own_digest int, attempts int, _key int, entity int, unit int"
     df = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr N"), F.translate(F.format_string("%03d", F.col("id")), "0123456789", "abcdefghij")).alias("text"), *[F.lit(i).alias(c.split()[0]) for i, c in enumerate(schema.split(", ")[2:])])
