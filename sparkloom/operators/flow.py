@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import kind, kind_priority, side_effects, stages
-from .graph import complexity, reach
+from .graph import complexity_of, reach
 
-#: Entries kept and candidates looked at, by mode.
+# Entries kept and candidates looked at, by mode.
 MODES = {"brief": (1, 6), "standard": (2, 8), "deep": (4, 12)}
 
 
-def edge_classes(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(symbol_id, int_in, ext_in, int_out, ext_out): calls within its file and across."""
+def edge_classes(edges: DataFrame, symbols: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(symbol_id, int_in, ext_in, int_out, ext_out): calls within its file and across; of ``wanted(symbol_id)`` alone, if given."""
+    if wanted is not None:
+        near = edges.join(wanted.select(F.col("symbol_id").alias("src")), "src", "left_semi").select("src", "dst", "n")
+        edges = near.unionByName(edges.join(wanted.select(F.col("symbol_id").alias("dst")), "dst", "left_semi").select("src", "dst", "n")).distinct()
     where = symbols.select("symbol_id", "file_id")
     a = where.select(F.col("symbol_id").alias("src"), F.col("file_id").alias("fs"))
     b = where.select(F.col("symbol_id").alias("dst"), F.col("file_id").alias("fd"))
@@ -24,7 +27,8 @@ def edge_classes(edges: DataFrame, symbols: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias(f"int_{side}"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias(f"ext_{side}")
         )
 
-    return symbols.select("symbol_id").join(sums("dst", "in"), "symbol_id", "left").join(sums("src", "out"), "symbol_id", "left").fillna(0)
+    base = symbols.select("symbol_id") if wanted is None else symbols.select("symbol_id").join(wanted, "symbol_id", "left_semi")
+    return base.join(sums("dst", "in"), "symbol_id", "left").join(sums("src", "out"), "symbol_id", "left").fillna(0)
 
 
 def flow_scores(edges: DataFrame, symbols: DataFrame, linked: DataFrame, roots: DataFrame) -> DataFrame:
@@ -35,8 +39,11 @@ def flow_scores(edges: DataFrame, symbols: DataFrame, linked: DataFrame, roots:
         F.sum(F.when((way == "forward") & direct, F.col("edge_count"))).alias("f_dir"), F.count(F.when((way == "forward") & ~direct, 1)).alias("f_ind"),
     )
     out = roots.select("root").join(near, "root", "left")
-    scores = symbols.select("symbol_id", "name").join(complexity(linked, symbols).select("name", "score"), "name").select(F.col("symbol_id").alias("root"), F.col("score").alias("complexity"))
-    out = out.join(edge_classes(edges, symbols).withColumnRenamed("symbol_id", "root"), "root", "left").join(scores, "root", "left").fillna(0)
+    wanted = roots.select(F.col("root").alias("symbol_id")).distinct()
+    own = symbols.join(wanted, "symbol_id", "left_semi")
+    scores = own.select("symbol_id", "name").join(complexity_of(linked, symbols, wanted).select("name", "score"), "name").select(F.col("symbol_id").alias("root"), F.col("score").alias("complexity"))
+    classes = edge_classes(edges, symbols, wanted).withColumnRenamed("symbol_id", "root")
+    out = out.join(classes, "root", "left").join(scores, "root", "left").fillna(0)
     value = (
         50 * F.col("ext_in") + F.col("ext_out") + 8 * F.col("b_dir") + 2 * F.col("b_ind") + 2 * F.col("f_dir") + F.col("f_ind")
         + F.least(F.col("complexity"), F.lit(40.0)) / 8.0
@@ -56,16 +63,19 @@ def entries(scored: DataFrame, symbols: DataFrame, mode: str = "standard") -> Da
     return rows.orderBy(*order).limit(MODES[mode][0])
 
 
-def labels(symbols: DataFrame, related: DataFrame, most: int = 8) -> DataFrame:
+def labels(symbols: DataFrame, related: DataFrame, files: DataFrame, most: int = 8) -> DataFrame:
     """(root, side_effects, stages) from the words of a symbol and of up to ``most`` neighbours each way.
 
-    ``related(root, direction, symbol_id)`` lists the neighbours.
+    ``related(root, direction, symbol_id)`` lists the neighbours. Side effects
+    are told by names, qualified names and file paths, stages by names alone.
     """
     near = related.withColumn("place", F.row_number().over(Window.partitionBy("root", "direction").orderBy("symbol_id"))).where(F.col("place") <= most)
     bag = F.concat_ws(" ", "name", "qualified_name")
     words = near.select("root", "symbol_id").unionByName(near.select("root", F.col("root").alias("symbol_id")).distinct())
-    words = words.join(symbols.select("symbol_id", bag.alias("bag")), "symbol_id").groupBy("root").agg(F.concat_ws(" ", F.sort_array(F.collect_list("bag"))).alias("bag"))
-    return words.select("root", F.concat_ws(",", side_effects(F.col("bag"))).alias("side_effects"), F.concat_ws(",", stages(F.col("bag"))).alias("stages"))
+    placed = words.join(symbols.select("symbol_id", "file_id", bag.alias("bag")), "symbol_id").join(files.select("file_id", "file_path"), "file_id", "left")
+    joined = lambda c: F.concat_ws(" ", F.sort_array(F.collect_list(c)))
+    both = placed.groupBy("root").agg(joined("bag").alias("bag"), joined(F.concat_ws(" ", "bag", "file_path")).alias("with_paths"))
+    return both.select("root", F.concat_ws(",", side_effects(F.col("with_paths"))).alias("side_effects"), F.concat_ws(",", stages(F.col("bag"))).alias("stages"))
 
 
 def critical_paths(edges: DataFrame, symbols: DataFrame, roots: DataFrame, limit: int = 3) -> DataFrame:

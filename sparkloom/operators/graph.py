@@ -99,7 +99,21 @@ def degrees(linked: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def complexity(linked: DataFrame, symbols: DataFrame) -> DataFrame:
     """(name, fan_out, fan_in, score, reasons): the largest degrees among namesakes, weighed 1 and 0.5."""
-    d = degrees(linked, symbols).groupBy("name").agg(F.max("fan_out").alias("fan_out"), F.max("fan_in").alias("fan_in"))
+    return _scored(degrees(linked, symbols).groupBy("name").agg(F.max("fan_out").alias("fan_out"), F.max("fan_in").alias("fan_in")))
+
+
+def complexity_of(linked: DataFrame, symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``complexity`` of the names of ``wanted(symbol_id)`` alone: only calls of and to their namesakes are counted."""
+    names = symbols.join(wanted.select("symbol_id").distinct(), "symbol_id", "left_semi").select("name").distinct()
+    same = symbols.join(names, "name", "left_semi").select("symbol_id", "name")
+    out = linked.join(same.select(F.col("symbol_id").alias("caller_id")), "caller_id", "left_semi")
+    into = linked.join(same.select(F.col("symbol_id").alias("callee_id")), "callee_id", "left_semi")
+    counts = out.groupBy(F.col("caller_id").alias("symbol_id")).agg(F.count("*").alias("fan_out")), into.groupBy(F.col("callee_id").alias("symbol_id")).agg(F.count("*").alias("fan_in"))
+    d = same.join(counts[0], "symbol_id", "left").join(counts[1], "symbol_id", "left").fillna(0, ["fan_out", "fan_in"])
+    return _scored(d.groupBy("name").agg(F.max("fan_out").alias("fan_out"), F.max("fan_in").alias("fan_in")))
+
+
+def _scored(d: DataFrame) -> DataFrame:
     score = F.col("fan_out") * 1.0 + F.col("fan_in") * 0.5
     reasons = F.concat_ws("; ", F.when(F.col("fan_out") > 10, "high fan-out"), F.when(F.col("fan_in") > 20, "high fan-in"))
     return d.withColumns({"score": score.cast("double"), "reasons": reasons})
@@ -155,7 +169,8 @@ def shown(near: DataFrame, symbols: DataFrame, direct: int = 10, indirect: int =
     kind = F.when(F.col("hop") == 1, "direct").otherwise("indirect")
     named = near.withColumn("kind", kind).join(symbols.select(F.col("symbol_id").alias("node"), "name"), "node")
     place = F.row_number().over(Window.partitionBy("root", "kind").orderBy("hop", "node"))
-    ranked = named.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == "direct", direct).otherwise(indirect))
+    few = named.withColumn("place", place).where(F.col("place") <= max(direct, indirect))  # a plain bound, which tasks apply before they shuffle
+    ranked = few.where(F.col("place") <= F.when(F.col("kind") == "direct", direct).otherwise(indirect))
     all_ = named.groupBy("root", "kind").agg(F.count("*").alias("of"))
     return ranked.join(all_, ["root", "kind"]).select("root", "kind", "hop", "node", "name", "place", "of")
 

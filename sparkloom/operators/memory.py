@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import like, split_words
 
+# Categories of memos.
 CATEGORIES = ("开发", "决策", "避坑", "修改", "重构", "修复")
 
 

@@ -60,13 +60,14 @@ def ranked_symbols(symbols: DataFrame, scores: DataFrame) -> DataFrame:
 
 def adaptive_levels(rolled: DataFrame) -> DataFrame:
     """Directories kept at each depth: all of up to 20; of up to 40, 25, 8 and 18; beyond, 20, 6 and 12."""
-    n = F.count("*").over(Window.partitionBy("depth"))
+    counts = rolled.groupBy("depth").agg(F.count("*").alias("n"))  # a row per depth
     place = F.row_number().over(Window.partitionBy("depth").orderBy(F.desc("sum_score"), "dir"))
     cap = F.when(F.col("n") <= 20, F.col("n"))
     for low, values in ((40, (25, 8, 18)), (None, (20, 6, 12))):
         own = F.when(F.col("depth") <= 1, values[0]).when(F.col("depth") == 2, values[1]).otherwise(values[2])
         cap = cap.when(F.col("n") <= low, own) if low else cap.otherwise(own)
-    return rolled.withColumns({"n": n, "place": place}).where(F.col("place") <= cap).drop("n")
+    few = rolled.withColumn("place", place).where(F.col("place") <= 25)  # the largest cap, which tasks apply before they shuffle
+    return few.join(counts, "depth").where(F.col("place") <= cap).select(*rolled.columns, "place")
 
 
 def naming(symbols: DataFrame, sample: int | None = 1000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import like, slashes
 
-#: Type classes of the filter; each covers its related types.
+# Type classes of the filter; each covers its related types.
 TYPE_CLASSES = {"function": ("function", "method"), "class": ("class", "struct", "interface")}
 #: Score of a tier, and its name.
 TIERS = ((0, "exact", 1.0), (1, "prefix_suffix", 0.9), (2, "substring", 0.8), (3, "levenshtein", None), (4, "stem", 0.5))
@@ -65,7 +65,8 @@ def tiered(symbols: DataFrame, query: str, limit: int = 5, compat: bool = False)
     for number, text, value in TIERS:
         if value is not None:
             score, label = score.when(F.col("tier") == number, value), label.when(F.col("tier") == number, text)
-    few = found.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= F.when(F.col("tier") == 0, 1).otherwise(limit))
+    few = found.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= max(limit, 1))  # a plain bound, which tasks apply before they shuffle
+    few = few.where((F.col("tier") > 0) | (F.col("place") == 1)).where(F.col("place") <= F.when(F.col("tier") == 0, 1).otherwise(limit))
     ranked = few.withColumn("least", F.min("tier").over(Window.partitionBy(F.lit(0)))).where("tier = least").drop("least")  # five tiers of ``limit`` rows
     return ranked.withColumns({"score": score.cast("float"), "match": label}).drop("distance")
 

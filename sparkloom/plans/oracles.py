@@ -229,7 +229,7 @@ ORACLES = {
     ),
     "flow_labels": _with(f"SELECT id, {_effects("type || ' ' || body || ' read_file http url exec'")} AS side_effects, {_stages('body')} AS stages FROM facts"),
     "flow_related": _with(
-        f"SELECT root, {_effects('bag')} AS side_effects, {_stages('bag')} AS stages FROM (SELECT root, string_agg(name || ' ' || qualified_name, ' ') AS bag FROM (SELECT root, symbol_id FROM picked WHERE k <= 8 UNION ALL SELECT DISTINCT root, root FROM picked) JOIN symbols USING (symbol_id) GROUP BY 1)",
+        f"SELECT root, {_effects('placed')} AS side_effects, {_stages('bag')} AS stages FROM (SELECT root, string_agg(name || ' ' || qualified_name, ' ') AS bag, string_agg(name || ' ' || qualified_name || coalesce(' ' || file_path, ''), ' ') AS placed FROM (SELECT root, symbol_id FROM picked WHERE k <= 8 UNION ALL SELECT DISTINCT root, root FROM picked) JOIN symbols USING (symbol_id) LEFT JOIN files USING (file_id) GROUP BY 1)",
         f"""picked AS (
   SELECT root, d, node AS symbol_id, row_number() OVER (PARTITION BY root, d ORDER BY node) AS k FROM (
     SELECT r.root, 'f' AS d, dst AS node FROM ({_ROOTS20}) r JOIN edges ON src = r.root UNION ALL SELECT r.root, 'b', src FROM ({_ROOTS20}) r JOIN edges ON dst = r.root)

@@ -216,7 +216,7 @@ def flow_labels(s, d):
 
 def flow_related(s, d):
     near = graph.reach(_edges(s, d), _roots(s, *range(0, 20)), "both", depth=1).select("root", "direction", F.col("node").alias("symbol_id"))
-    return flow.labels(V.symbols(s, d), near)
+    return flow.labels(V.symbols(s, d), near, V.files(s, d))
 
 
 def critical_paths(s, d):

@@ -78,3 +78,42 @@ def test_naming(spark):
     s = spark.createDataFrame([(i, n, "function") for i, n in enumerate(["get_user", "getUser", "Foo_bar", "run"])], "symbol_id long, name string, symbol_type string")
     r = metrics.naming(s).first()
     assert (r.n, r.snake, r.camel, r.style) == (4, 1, 2, "camelCase")
+
+
+def test_labels_read_paths(spark):
+    """A file's path tells a side effect, but no stage."""
+    from sparkloom.operators import flow
+
+    symbols = spark.createDataFrame([(1, 10, "a", "m::a"), (2, 11, "b", "m::b"), (3, 12, "c", "m::c")], "symbol_id long, file_id long, name string, qualified_name string")
+    files = spark.createDataFrame([(10, "x/plain.py"), (11, "lib/db/plain.py")], "file_id long, file_path string")
+    related = spark.createDataFrame([(1, "forward", 2), (3, "forward", 1)], "root long, direction string, symbol_id long")
+    got = {r.root: (r.side_effects, r.stages) for r in flow.labels(symbols, related, files).collect()}
+    assert got[1][0] and not got[3][0] and got[1][1] == got[3][1]
+
+
+def test_limits_reach_the_tasks(spark, sf_dir):
+    """Top rows are kept by every task before the shuffle, not sorted whole by one."""
+    from sparkloom.operators import metrics, search
+    from sparkloom.plans import views as V
+    from sparkloom.plans.queries import _files_map
+
+    near = spark.createDataFrame([(1, 2, 1, 3)], "root long, node long, hop int, edge_count long")
+    plans = [search.tiered(V.symbols(spark, sf_dir), "blue"), graph.shown(near, V.symbols(spark, sf_dir)), metrics.adaptive_levels(metrics.roll_up(_files_map(spark, sf_dir)))]
+    for df in plans:
+        assert "WindowGroupLimit" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_some_equal_scores_of_all(spark, sf_dir):
+    from sparkloom.operators import flow
+    from sparkloom.plans import views as V
+
+    symbols = V.symbols(spark, sf_dir)
+    linked = graph.link_calls(V.calls(spark, sf_dir), symbols)
+    edges = graph.build_edges(linked)
+    wanted = spark.range(0, 60, 7).withColumnRenamed("id", "symbol_id")
+    names = {r.name for r in symbols.join(wanted, "symbol_id").collect()}
+    some = {tuple(r) for r in graph.complexity_of(linked, symbols, wanted).collect()}
+    assert some == {tuple(r) for r in graph.complexity(linked, symbols).collect() if r.name in names}
+    ids = {r.symbol_id for r in wanted.collect()}
+    every = {tuple(r) for r in flow.edge_classes(edges, symbols).collect() if r.symbol_id in ids}
+    assert {tuple(r) for r in flow.edge_classes(edges, symbols, wanted).collect()} == every
