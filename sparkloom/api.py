@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from . import builds, schemas
 from .durable import cut
 from .functions import text as X
-from .indexer import EDGES, Refresh
-from .operators import flow, graph, ingest, memory, metrics, search, snapshot, taskchain
+from .indexer import EDGES, NAMES, Refresh
+from .operators import flow, grams, graph, ingest, memory, metrics, search, snapshot, taskchain
 from .sources import files as source_files
 from .sources import logs
 from .sources.store import BUCKETS, Part, Store
@@ -53,7 +53,7 @@ class Engine:
     def _upsert(self, name: str, schema: str, keys: list[str], rows: DataFrame, keep: tuple[str, ...] = (), marks: dict[str, int] | None = None) -> None:
         """New rows in place of those of equal keys; only the buckets of these keys are written."""
         rows = cut(rows.select(*[f.split()[0] for f in schema.split(", ")]).withColumn("bucket", self.store.bucket(*keys)))
-        touched = tuple(sorted(r["bucket"] for r in rows.select("bucket").distinct().collect()))
+        touched = self._buckets(rows)
         old = self.store.read(name, schema, touched).withColumn("bucket", self.store.bucket(*keys))
         self.store.commit({name: Part(ingest.upsert(old, rows, keys, keep), touched)} if touched else {}, marks)
 
@@ -167,8 +167,27 @@ class Engine:
         return step.run(found, gone.join(found.select("file_path"), "file_path", "left_anti"), marks)
 
     def search(self, query: str, scope: str = "", kind: str = "", limit: int = 5) -> DataFrame:
-        rows = self.symbols().join(self.files().select("file_id", "file_path"), "file_id")
-        return search.tiered(search.of_type(search.in_scope(rows, scope), kind), query, limit)
+        """The best symbols of the first tier with a hit. Names come from the index of their pairs, if the query has any; then only buckets with such names are read."""
+        if not grams.usable(query):
+            rows = self.symbols().join(self.files().select("file_id", "file_path"), "file_id")
+            return search.tiered(search.of_type(search.in_scope(rows, scope), kind), query, limit)
+        found = self._named(query)
+        if not scope and not kind:  # names decide alone, so few symbols are looked up
+            found = cut(search.tiered(found, query, limit).select("symbol_id", "file_id"))
+        touched = self._buckets(found.select(F.pmod("file_id", F.lit(self.store.buckets)).cast("int").alias("bucket")))
+        placed = self.store.read("files", schemas.FILES, touched).select("file_id", "file_path")
+        own = self.store.read("symbols", schemas.SYMBOLS, touched).join(found.select("symbol_id"), "symbol_id", "left_semi").join(placed, "file_id")
+        return search.tiered(search.of_type(search.in_scope(own, scope), kind), query, limit)
+
+    def _buckets(self, rows: DataFrame) -> tuple[int, ...]:
+        return tuple(sorted(r["bucket"] for r in rows.select("bucket").distinct().collect()))
+
+    def _named(self, query: str) -> DataFrame:
+        """(name, file_id, symbol_id) of all symbols whose name may answer ``query``."""
+        asked = self.spark.createDataFrame([(x,) for x in grams.wanted(query)], "gram string")
+        rows = self.store.read("grams", grams.TABLE, self._buckets(asked.select(self.store.bucket("gram").alias("bucket"))))
+        names = cut(grams.candidates(rows, query).withColumn("bucket", self.store.bucket("name")))
+        return cut(self.store.read("names", NAMES, self._buckets(names)).join(names.select("name"), "name", "left_semi"))
 
     def grep(self, root: str, pattern: str, scope: str = "", **options) -> DataFrame:
         """Matching lines of the tree with their owners; lines outside any symbol belong to ``(global)``."""
@@ -369,7 +388,7 @@ class Engine:
     def advance_chains(self, events: DataFrame, protocol: str = "develop", marks: dict[str, int] | None = None) -> None:
         """Writes the state of the tasks of ``events`` through to ``task_chains``, from what it holds of them; other tasks aren't touched."""
         events = cut(events.where("task_id is not null"))
-        touched = tuple(sorted(r["bucket"] for r in events.select(self.store.bucket("task_id").alias("bucket")).distinct().collect()))
+        touched = self._buckets(events.select(self.store.bucket("task_id").alias("bucket")))
         times = events.groupBy("task_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"))
         new = taskchain.advance(self.store.read("task_chains", schemas.CHAINS, touched), events, protocol)
         self._upsert("task_chains", schemas.CHAINS, ["task_id"], new.join(times, "task_id").withColumn("description", F.lit(None).cast("string")), ("description", "created_at"), marks)

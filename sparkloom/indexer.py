@@ -2,7 +2,7 @@
 
 ``files``, ``symbols``, ``calls`` and ``edges`` are cut into buckets by file,
 ``names`` (who defines a name) and ``callers`` (which buckets call a name) by
-name. A change writes the buckets of the changed files. Calls are linked anew
+name, and ``grams`` (the names by their pairs of characters) by pair. A change writes the buckets of the changed files. Calls are linked anew
 only if their file changed, or if their name gained or lost a definition:
 ``callers`` tells which buckets hold such calls, ``names`` what they link to, so
 neither all calls nor all symbols are read. What the driver collects are bucket
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .durable import cut
-from .operators import ingest
+from .operators import grams, ingest
 from .sources import files as source_files
 from .sources import parser
 from .sources.store import Part, Store
@@ -126,6 +126,7 @@ class Refresh:
         names = store.read("names", NAMES, name_buckets).join(lost.select("symbol_id"), "symbol_id", "left_anti").select(*columns)
         names = names.unionByName(symbols.select(*columns)).withColumn("bucket", self.by_name("name")).where(F.col("bucket").isin(*name_buckets))
         out["names"] = Part(names, name_buckets)
+        out["grams"] = self._grams(store.read("names", NAMES, name_buckets), names, moved)
         # calls to link: of changed files, and of such names anywhere
         calls = self._calls(read)
         far = store.read("callers", CALLERS, name_buckets).join(moved.select(F.col("name").alias("callee_name")), "callee_name", "left_semi")
@@ -151,6 +152,16 @@ class Refresh:
         out["callers"] = Part(rows.withColumn("bucket", self.by_name("callee_name")), caller_buckets)
         return out
 
+    def _grams(self, before: DataFrame, after: DataFrame, moved: DataFrame) -> Part:
+        """The index of names, with those that came into being or went."""
+        only = lambda df: df.select("name").distinct().join(moved.select("name"), "name", "left_semi")
+        lost, made = cut(only(before).exceptAll(only(after))), cut(only(after).exceptAll(only(before)))
+        bucket = self.by_name("gram")
+        new = cut(grams.table(made).withColumn("bucket", bucket))
+        touched = _numbers(new, grams.table(lost).select(bucket.alias("bucket")))
+        kept = self.store.read("grams", grams.TABLE, touched).join(lost, "name", "left_anti").withColumn("bucket", bucket)
+        return Part(kept.unionByName(new), touched)
+
     def _files(self, own: tuple[int, ...], judged: DataFrame, gone: DataFrame) -> DataFrame:
         now = F.unix_timestamp()
         names = F.create_map(*[F.lit(x) for kv in source_files.LANGUAGES.items() for x in kv])

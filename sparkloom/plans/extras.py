@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import cut
 from ..functions import text as X
-from ..operators import graph, ingest, memory, metrics, search, snapshot, taskchain
+from ..operators import grams, graph, ingest, memory, metrics, search, snapshot, taskchain
 from ..sources import logs, results
 from . import oracles as O
 from . import views as V
@@ -57,6 +58,18 @@ def dir_children(s, d):
     return metrics.children_by_mean(metrics.roll_up(_files_map(s, d))).select("parent", "dir", "place")
 
 
+def symbol_search_indexed(s, d):
+    """The five searches of ``symbol_search_tiered``, by the index of names: only symbols of the names that it lets pass are ranked."""
+    symbols, n = V.symbols(s, d), _name(s, d)
+    index = cut(grams.table(symbols.select("name").distinct()))
+    out = None
+    for i, q in enumerate((n, n[:4], n[1:6], n[:-2] + "zx", n[:4] + "qqqqqqq")):
+        rows = search.tiered(symbols.join(grams.candidates(index, q), "name", "left_semi"), q)
+        rows = rows.select("symbol_id", "name", "tier", "match", F.col("score").cast("double").alias("score"), F.lit(i).alias("query"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def impact_shown(s, d):
     near = graph.reach(_edges(s, d), _roots(s, *range(0, 20)), "backward")
     return graph.shown(near, V.symbols(s, d)).select("root", "kind", "node", "place", "of")
@@ -234,7 +247,7 @@ def snapshot_written(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    path_suffix, scope_contains, name_ignore_case, briefing_anchors, complexity_highest, complexity_top, counts_scoped, dir_children, impact_shown, impact_checklist,
+    symbol_search_indexed, path_suffix, scope_contains, name_ignore_case, briefing_anchors, complexity_highest, complexity_top, counts_scoped, dir_children, impact_shown, impact_checklist,
     score_levels, catalog_sorted, catalog_rules, chain_first_events, chain_by_update, chain_delete, chain_progress, union_distinct, json_lists, json_or_raw, step_hints,
     times_parsed, times_normalised, keywords_han, keywords_assembled, uri_paths, bytes_cut, qa_scores, tool_durations, last_tag, banded_rows, sheet_errors,
     sheet_formulas, relationship_checks, content_types, grep_regex, snapshot_written,
@@ -259,6 +272,7 @@ _CELL = _pick("symbol_id", "'#REF! and #N/A'", "name", "'=A1+1'", "'see #N/A'",
 _STEP_HINTS = ("扫描结构 (用 standard 模式)", "核对 map 文件 (用 full 模式查看完整代码)", "快速浏览结构 (用 overview 模式)", "搜索函数 (设置 search_type=function)", "定位缓存", "查找类 (设置 search_type=function)", "谁调用了它的依赖 (设置 direction=backward)", "会影响哪些 (设置 direction=forward)", "依赖", "写代码")
 
 ORACLES = {
+    "symbol_search_indexed": O.ORACLES["symbol_search_tiered"],
     "path_suffix": O._with("SELECT file_id, file_path FROM files WHERE file_path LIKE '%7.txt'"),
     "scope_contains": O._with("SELECT file_id, file_path FROM files WHERE contains(file_path, '/en/doc_1')"),
     "name_ignore_case": O._with(f"SELECT symbol_id, name FROM symbols WHERE lower(name) = lower({O._Q}) OR lower(qualified_name) = lower({O._Q})"),

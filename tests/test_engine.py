@@ -130,7 +130,7 @@ def test_status_freshness_and_one_commit(spark, tree, tmp_path, monkeypatch):
     assert "index_status_error" in e.index_status() and not e.fresh()
     assert e.ensure_fresh(str(tree)) and e.fresh() and not e.ensure_fresh(str(tree)) and not e.fresh(ttl=-1)
     status = e.index_status()
-    assert status["index_status"]["counts"] == {"new": 2} and set(status["tables"]) == {"files", "symbols", "calls", "edges", "names", "callers"}
+    assert status["index_status"]["counts"] == {"new": 2} and set(status["tables"]) == {"files", "symbols", "calls", "edges", "names", "callers", "grams"}
     e.store.put_text("_status.json", "{broken")
     assert e.index_status()["index_status_raw"] == "{broken" and not e.fresh()
     # a change that breaks off leaves all three tables as they were
