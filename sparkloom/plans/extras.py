@@ -92,9 +92,11 @@ def catalog_sorted(s, d):
 
 
 def catalog_rules(s, d):
-    name = _of(F.col("id"), F.lit("good-name"), F.lit(""), F.lit("Bad_Name"), F.lit("-edge"), F.lit("two--fold"), F.rpad(F.lit("long"), 70, "g"), F.lit("no-text"), F.lit("brackets"))
-    rows = V.facts(s, d).select("id", name.alias("name"), F.when(F.col("id") % 8 == 6, "").when(F.col("id") % 8 == 7, "a <b>").otherwise("fine").alias("description"))
-    return logs.valid_entries(rows).select("id", "problem")
+    """Names of parts, in the four ways that they can be written, with their kinds as descriptions."""
+    name = F.col("p_name")
+    forms = F.array(F.replace(name, F.lit(" "), F.lit("-")), name, F.replace("p_brand", F.lit("#"), F.lit("--")), F.repeat(F.replace(name, F.lit(" "), F.lit("")), F.lit(6)), F.concat(F.lit("-"), F.lower("p_type")), F.trim(F.replace(name, F.substring_index(name, " ", 1), F.lit(""))))
+    rows = V.table(s, d, "part").select("p_partkey", F.posexplode(forms).alias("form", "name"), F.when(F.col("p_size") < 10, "").when(F.col("p_size") > 40, F.concat(F.lit("<"), "p_type", F.lit(">"))).otherwise(F.col("p_type")).alias("description"))
+    return logs.valid_entries(rows).select("p_partkey", "form", "name", "problem")
 
 
 def chain_first_events(s, d):
@@ -130,24 +132,42 @@ def union_distinct(s, d):
     return f.select("file_id", F.array_join(joined, ",").alias("items"))
 
 
-def _json(d) -> Column:
-    return _of(F.col("id"), F.lit('[{"a":1},{"b":"x"}]'), F.lit('["x","y z"]'), F.lit("not json"), F.lit('{"a":1,"b":"q"}'), F.lit('{"a":'), F.lit("[]"))
+def _json_texts(s, d):
+    """What events hold: an object, a list with the object in it, or neither, as the event's kind goes; and what conversations say."""
+    kind, props = F.col("category"), F.col("content")
+    listed = F.concat(F.lit("["), props, F.lit(', "'), kind, F.lit('"]'))
+    text = F.when(kind.isin("view", "signup"), props).when(kind == "click", listed).when(kind == "error", F.concat(F.lit('["'), "entity", F.lit('"]'))).otherwise(F.concat(kind, F.lit(" "), props))
+    said = V.chat_memos(s, d).select((-F.col("id") - 1).alias("id"), "content")
+    return V.memos(s, d).select("id", text.alias("content")).unionByName(said)
 
 
 def json_lists(s, d):
-    return V.facts(s, d).select("id", F.size(X.json_list(_json(d))).alias("n"), F.get(X.json_list(_json(d)), F.lit(0)).alias("first"))
+    got = X.json_list(F.col("content"))
+    return _json_texts(s, d).select("id", F.size(got).alias("n"), F.get(got, F.lit(0)).alias("first"), F.get(got, F.lit(1)).alias("second"))
 
 
 def json_or_raw(s, d):
-    got = V.facts(s, d).select("id", X.json_or_raw(_json(d)).alias("j"))
-    return got.select("id", F.element_at("j.held", F.lit("b")).alias("b"), F.col("j.raw").alias("raw"))
+    got = _json_texts(s, d).select("id", X.json_or_raw(F.col("content")).alias("j"))
+    return got.select("id", F.element_at("j.held", F.lit("k")).alias("k"), F.col("j.raw").alias("raw"))
 
 
-_STEPS = ("扫描结构", "核对 map 文件", "快速浏览结构", "搜索函数", "定位缓存", "查找类", "谁调用了它的依赖", "会影响哪些", "依赖", "写代码")
+#: Steps of work as events stand for them.
+_STEP_OF = {"view": "快速浏览结构", "click": "搜索函数", "purchase": "谁调用了它的依赖", "error": "核对 map 文件", "signup": "会影响哪些"}
+
+
+def _steps(s, d):
+    """An event's step and what it holds; and all that conversations and pages say."""
+    word = F.element_at(F.create_map(*[F.lit(x) for kv in _STEP_OF.items() for x in kv]), F.col("category"))
+    steps = V.memos(s, d).select(F.lit("event").alias("of"), "id", F.concat(word, F.lit(" "), "content").alias("t"))
+    said = V.chat_memos(s, d).select(F.lit("turn").alias("of"), "id", F.col("content").alias("t"))
+    pages = V.table(s, d, "pages").select(F.lit("page").alias("of"), F.col("page_id").alias("id"), F.col("html").alias("t"))
+    return steps.unionByName(said).unionByName(pages)
 
 
 def step_hints(s, d):
-    return V.facts(s, d).select("id", X.step_hint(_of(F.col("id"), *[F.lit(x) for x in _STEPS])).alias("step"))
+    """The hint that each text gets, and how long it is with it."""
+    rows = _steps(s, d).withColumn("step", X.step_hint(F.col("t")))
+    return rows.select("of", "id", F.substring("step", F.length("t") + 1, F.length("step")).alias("hint"), F.length("step").cast("long").alias("n_chars"))
 
 
 def _time_texts() -> Column:
@@ -173,7 +193,7 @@ def keywords_han(s, d):
 
 def keywords_assembled(s, d):
     symbols = F.array(F.concat(F.lit("sym_"), (F.col("id") % 5).cast("string")), F.lit("缓存"), F.lit("sym_0"))
-    return V.facts(s, d).select("id", F.concat_ws(",", X.keywords(F.concat(F.substring("summarize", 1, 24), F.lit(_HAN)), symbols)).alias("keywords"))
+    return V.facts(s, d).select("id", F.concat_ws(",", X.keywords(F.concat("summarize", F.lit(_HAN)), symbols)).alias("keywords"))
 
 
 def uri_paths(s, d):
@@ -220,8 +240,7 @@ def sheet_formulas(s, d):
 
 def relationship_checks(s, d):
     """Definitions as declared relationships of their file, calls as elements that use them."""
-    sym = V.symbols(s, d).where("file_id % 3 <> 0")
-    declared = sym.select(F.col("file_id").alias("file"), F.col("name").alias("rid"), F.concat(F.lit("http://types/"), "symbol_type").alias("type"))
+    declared = V.symbols(s, d).select(F.col("file_id").alias("file"), F.col("name").alias("rid"), F.concat(F.lit("http://types/"), "symbol_type").alias("type"))
     callers = V.symbols(s, d).select(F.col("symbol_id").alias("caller_id"), F.col("file_id").alias("file"))
     used = V.calls(s, d).join(callers, "caller_id").select("file", _of(F.col("call_line"), F.lit("new"), F.lit("call"), F.lit("any")).alias("element"), F.col("callee_name").alias("rid"))
     return ingest.relationship_problems(declared, used, {"new": "Class", "call": "function"})
@@ -267,9 +286,21 @@ _TIME = _pick("id", "strftime(timestamp, '%Y-%m-%d %H:%M:%S')", "strftime(timest
 _FIRSTS = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
 _HAN_RUNS = "list_transform(regexp_extract_all({t}, '[\\p{{Han}}]{{2,}}'), lambda x: left(x, 4))"
 _ASCII = "list_filter(regexp_extract_all({t}, '[A-Za-z0-9_./-]+'), lambda x: length(x) BETWEEN 3 AND 40 AND lower(x) NOT IN ('http', 'https'))"
-_JSON = _pick("id", """'[{"a":1},{"b":"x"}]'""", """'["x","y z"]'""", "'not json'", """'{"a":1,"b":"q"}'""", """'{"a":'""", "'[]'")
+_JSON = """json_texts AS (
+  SELECT id, CASE WHEN category IN ('view', 'signup') THEN content WHEN category = 'click' THEN '[' || content || ', "' || category || '"]' WHEN category = 'error' THEN '["' || entity || '"]' ELSE category || ' ' || content END AS t FROM memos
+  UNION ALL SELECT -id - 1, content FROM chat_memos
+)"""
 _CELL = _pick("symbol_id", "'#REF! and #N/A'", "name", "'=A1+1'", "'see #N/A'", "'=B2'", "'#DIV/0!'")
-_STEP_HINTS = ("扫描结构 (用 standard 模式)", "核对 map 文件 (用 full 模式查看完整代码)", "快速浏览结构 (用 overview 模式)", "搜索函数 (设置 search_type=function)", "定位缓存", "查找类 (设置 search_type=function)", "谁调用了它的依赖 (设置 direction=backward)", "会影响哪些 (设置 direction=forward)", "依赖", "写代码")
+_STEP_SQL = f"""steps AS (
+  SELECT 'event' AS of, id, CASE category {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STEP_OF.items())} END || ' ' || content AS t FROM memos
+  UNION ALL SELECT 'turn', id, content FROM chat_memos UNION ALL SELECT 'page', page_id, html FROM pages
+), hinted AS (
+  SELECT *, CASE WHEN regexp_matches(l, '扫描|map|结构') THEN CASE WHEN regexp_matches(l, '核对|审核|对比|对齐') THEN ' (用 full 模式查看完整代码)' WHEN regexp_matches(l, '浏览|快速') THEN ' (用 overview 模式)' ELSE ' (用 standard 模式)' END
+    WHEN regexp_matches(l, '搜索|定位|查找') AND regexp_matches(l, '函数|类') THEN ' (设置 search_type=function)'
+    WHEN regexp_matches(l, '影响|依赖') AND regexp_matches(l, '谁调用了|被哪里') THEN ' (设置 direction=backward)'
+    WHEN regexp_matches(l, '影响|依赖') AND regexp_matches(l, '调用了谁|会影响') THEN ' (设置 direction=forward)' ELSE '' END AS hint
+  FROM (SELECT *, lower(t) AS l FROM steps)
+)"""
 
 ORACLES = {
     "symbol_search_indexed": O.ORACLES["symbol_search_tiered"],
@@ -309,9 +340,15 @@ UNION ALL SELECT 3, CAST(row_number() OVER (ORDER BY symbol_id) AS INTEGER), 'Ch
         "SELECT symbol_id, score, CASE WHEN score < 20 THEN 'Simple' WHEN score < 50 THEN 'Medium' WHEN score < 80 THEN 'High' ELSE 'Extreme' END AS level FROM (SELECT symbol_id, CAST(least(100.0, 0.5 * (symbol_id % 150) + 2.0 * fan_out + fan_in) AS DOUBLE) AS score FROM fan)"
     ),
     "catalog_sorted": O._with("SELECT 'entry_' || id AS name, type FROM facts ORDER BY name LIMIT 30"),
-    "catalog_rules": O._with(
-        "SELECT id, " + _pick("id", "NULL", "'name missing'", "'name not hyphenated'", "'hyphens misplaced'", "'hyphens misplaced'", "'name too long'", "'description missing'", "'description holds brackets'") + " AS problem FROM facts"
-    ),
+    "catalog_rules": """WITH forms AS (
+  SELECT p_partkey, unnest([0, 1, 2, 3, 4, 5]) AS form,
+    unnest([replace(p_name, ' ', '-'), p_name, replace(p_brand, '#', '--'), repeat(replace(p_name, ' ', ''), 6), '-' || lower(p_type), trim(replace(p_name, split_part(p_name, ' ', 1), ''))]) AS name,
+    CASE WHEN p_size < 10 THEN '' WHEN p_size > 40 THEN '<' || p_type || '>' ELSE p_type END AS description FROM part
+)
+SELECT p_partkey, CAST(form AS INTEGER) AS form, name, CASE WHEN name = '' THEN 'name missing' WHEN NOT regexp_full_match(name, '[a-z0-9-]+') THEN 'name not hyphenated'
+  WHEN starts_with(name, '-') OR ends_with(name, '-') OR contains(name, '--') THEN 'hyphens misplaced' WHEN length(name) > 64 THEN 'name too long'
+  WHEN description = '' THEN 'description missing' WHEN regexp_matches(description, '[<>]') THEN 'description holds brackets' END AS problem
+FROM forms""",
     "chain_first_events": O._with("SELECT task_id, id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY id) AS place FROM chain_events) WHERE place <= 3"),
     "chain_by_update": O._with("SELECT task_id, n_events FROM (SELECT task_id, max(created_at) AS t, count(*) AS n_events FROM chain_events GROUP BY 1) ORDER BY t DESC, task_id LIMIT 20"),
     "chain_delete": O._with("SELECT task_id, count(*) AS n FROM chain_events WHERE CAST(split_part(task_id, '_', 2) AS BIGINT) % 3 <> 0 GROUP BY 1"),
@@ -319,9 +356,14 @@ UNION ALL SELECT 3, CAST(row_number() OVER (ORDER BY symbol_id) AS INTEGER), 'Ch
         "SELECT task_id, 'implement' AS phase_id, CAST(count(*) FILTER (event_type IN ('complete', 'pass', 'fail')) AS INTEGER) AS done, CAST(count(*) AS INTEGER) AS total, bool_and(event_type IN ('complete', 'pass', 'fail')) AS all_done FROM (SELECT DISTINCT task_id, event_type FROM chain_events) GROUP BY 1"
     ),
     "union_distinct": O._with("SELECT file_id, language || ',txt,go' AS items FROM files"),
-    "json_lists": O._with(f"SELECT id, CASE id % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 5 THEN 0 END AS n, CASE id % 6 WHEN 0 THEN '{{\"a\":1}}' WHEN 1 THEN 'x' END AS first FROM facts"),
-    "json_or_raw": O._with(f"SELECT id, CASE WHEN id % 6 = 3 THEN json_extract_string(t, '$.b') END AS b, CASE WHEN id % 6 <> 3 THEN t END AS raw FROM (SELECT id, {_JSON} AS t FROM facts)"),
-    "step_hints": O._with("SELECT id, " + _pick("id", *[f"'{x}'" for x in _STEP_HINTS]) + " AS step FROM facts"),
+    "json_lists": O._with(
+        "SELECT id, CASE WHEN ok THEN CAST(json_array_length(t) AS INTEGER) END AS n, CASE WHEN ok THEN e0 END AS first, CASE WHEN ok THEN e1 END AS second FROM (SELECT *, starts_with(trim(t), '[') AND json_valid(t) AS ok, CASE WHEN json_valid(t) THEN t ->> '$[0]' END AS e0, CASE WHEN json_valid(t) THEN t ->> '$[1]' END AS e1 FROM json_texts)",
+        _JSON,
+    ),
+    "json_or_raw": O._with(
+        "SELECT id, CASE WHEN ok THEN t ->> '$.k' END AS k, CASE WHEN NOT ok THEN t END AS raw FROM (SELECT *, starts_with(trim(t), '{') AND json_valid(t) AS ok FROM json_texts)", _JSON
+    ),
+    "step_hints": O._with("SELECT of, id, hint, length(t || hint) AS n_chars FROM hinted", _STEP_SQL),
     "times_parsed": O._with(
         f"SELECT id, CASE WHEN id % 5 = 2 THEN t || ' 00:00:00' WHEN id % 5 > 2 THEN '2024-07-01 00:00:00' ELSE replace(t, 'T', ' ') END AS time FROM (SELECT id, {_TIME} AS t FROM memos)"
     ),
@@ -332,7 +374,7 @@ UNION ALL SELECT 3, CAST(row_number() OVER (ORDER BY symbol_id) AS INTEGER), 'Ch
     "keywords_assembled": O._with(
         f"""SELECT id, array_to_string({_FIRSTS.format(l='w')}[1:8], ',') AS keywords FROM (
   SELECT id, list_concat(['sym_' || (id % 5), '缓存', 'sym_0'], list_concat(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i)[1:12], h)) AS w
-  FROM (SELECT id, {_ASCII.format(t='t')} AS a, {_HAN_RUNS.format(t='t')} AS h FROM (SELECT id, left(body, 24) || '{_HAN}' AS t FROM facts)))"""
+  FROM (SELECT id, {_ASCII.format(t='t')} AS a, {_HAN_RUNS.format(t='t')} AS h FROM (SELECT id, body || '{_HAN}' AS t FROM facts)))"""
     ),
     "uri_paths": O._with("SELECT file_id, " + _pick("file_id", "'C:/my dir/'", "'/home/a+b/'", "'/plain/'") + " || file_path AS path FROM files"),
     "bytes_cut": O._with(
@@ -362,10 +404,10 @@ FROM (SELECT id, """ + _pick("id", "'é'", "'登录'", "''") + " || body AS t FR
     ),
     "sheet_formulas": O._with("SELECT count(*) AS n_formulas FROM symbols WHERE symbol_id % 6 IN (2, 4)"),
     "relationship_checks": O._with(
-        """SELECT file_id AS file, name AS rid, 'duplicate' AS problem FROM symbols WHERE file_id % 3 <> 0 GROUP BY 1, 2 HAVING count(*) > 1
+        """SELECT file_id AS file, name AS rid, 'duplicate' AS problem FROM symbols GROUP BY 1, 2 HAVING count(*) > 1
 UNION ALL SELECT DISTINCT file, rid, CASE WHEN kind IS NULL THEN 'missing' ELSE 'type' END FROM (
   SELECT s.file_id AS file, c.callee_name AS rid, c.call_line % 3 AS e, (SELECT max(x.symbol_type) FROM symbols x WHERE x.file_id = s.file_id AND x.name = c.callee_name) AS kind
-  FROM calls c JOIN symbols s ON s.symbol_id = c.caller_id WHERE s.file_id % 3 <> 0
+  FROM calls c JOIN symbols s ON s.symbol_id = c.caller_id
 ) WHERE kind IS NULL OR (e = 0 AND kind <> 'class') OR (e = 1 AND kind <> 'function')"""
     ),
     "content_types": O._with("SELECT file_path AS path FROM files WHERE file_id % 4 > 1 AND file_id % 3 <> 0"),

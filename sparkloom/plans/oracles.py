@@ -142,10 +142,11 @@ def _any(columns: str, words: str) -> str:
 
 
 _INTENT_ROWS = """ir AS (
-  SELECT id, ['fix it', 'refactor', 'analysis', 'design', 'none', 'add feature update', 'migrate'][id % 7 + 1] || ' x' AS t, id % 2 = 0 AS ro, CASE WHEN id % 5 = 0 THEN 'REFLECT' ELSE '' END AS e FROM facts
+  SELECT id, left(content, length(content) // 2) || ' ' || ['fix it', 'refactor', 'analysis', 'design', 'none', 'add feature update', 'migrate'][length(content) % 7 + 1] || ' ' || substr(content, length(content) // 2 + 1) AS t,
+    category = 'user' AS ro, CASE WHEN contains(content, chr(10)) THEN 'REFLECT' ELSE '' END AS e FROM chat_memos
 ), il AS (
-  SELECT *, CASE WHEN e <> '' THEN e WHEN t LIKE '%fix%' OR t LIKE '%debug%' THEN 'DEBUG' WHEN t LIKE '%refactor%' THEN 'REFACTOR' WHEN t LIKE '%analy%' THEN 'RESEARCH'
-                WHEN t LIKE '%design%' THEN 'DESIGN' WHEN ro THEN 'RESEARCH' ELSE '' END AS intent FROM ir
+  SELECT *, CASE WHEN e <> '' THEN e WHEN lower(t) LIKE '%fix%' OR lower(t) LIKE '%debug%' THEN 'DEBUG' WHEN lower(t) LIKE '%refactor%' THEN 'REFACTOR' WHEN lower(t) LIKE '%analy%' THEN 'RESEARCH'
+                WHEN lower(t) LIKE '%design%' THEN 'DESIGN' WHEN ro THEN 'RESEARCH' ELSE '' END AS intent FROM ir
 )"""
 
 ORACLES = {
@@ -294,7 +295,7 @@ ORACLES = {
     ),
     "intent_classify": _with(
         """SELECT id, intent,
-  concat_ws(',', CASE WHEN NOT ro AND (t LIKE '%update%' OR t LIKE '%change%') THEN 'modification' END, CASE WHEN t LIKE '%migrate%' THEN 'migration' END, CASE WHEN NOT ro AND t LIKE '%feature%' THEN 'new_feature' END) AS alerts,
+  concat_ws(',', CASE WHEN NOT ro AND regexp_matches(t, '修改|update|change') THEN 'modification' END, CASE WHEN regexp_matches(t, 'migrate|迁移|升级') THEN 'migration' END, CASE WHEN NOT ro AND regexp_matches(lower(t), '开发|新增|添加|implement|create|feature|module') THEN 'new_feature' END) AS alerts,
   concat_ws(',', CASE WHEN ro THEN 'READ_ONLY' END, CASE intent WHEN 'DESIGN' THEN 'NO_CODE_EDIT,MD_ONLY' WHEN 'RESEARCH' THEN CASE WHEN ro THEN NULL ELSE 'READ_ONLY' END WHEN 'DEBUG' THEN 'VERIFY_FIRST,NO_BLIND_REWRITE' WHEN 'REFACTOR' THEN 'INCREMENTAL,VERIFY_EACH_STEP' WHEN 'REFLECT' THEN CASE WHEN ro THEN 'EVIDENCE_BASED' ELSE 'READ_ONLY,EVIDENCE_BASED' END END) AS guardrails
 FROM il""",
         _INTENT_ROWS,

@@ -308,8 +308,11 @@ def hooks_open(s, d):
 
 
 def intent_classify(s, d):
-    word = F.element_at(F.array(*[F.lit(x) for x in ("fix it", "refactor", "analysis", "design", "none", "add feature update", "migrate")]), (F.col("id") % 7 + 1).cast("int"))
-    rows = V.facts(s, d).select("id", F.concat_ws(" ", word, F.lit("x")).alias("t"), (F.col("id") % 2 == 0).alias("ro"), F.when(F.col("id") % 5 == 0, "reflect").otherwise("").alias("e"))
+    """Requests with a word of work in the midst of what is said; the word goes by the text's length, as invented prose has none."""
+    word = F.element_at(F.array(*[F.lit(x) for x in ("fix it", "refactor", "analysis", "design", "none", "add feature update", "migrate")]), (F.length("content") % 7 + 1).cast("int"))
+    half = (F.length("content") / 2).cast("int")
+    text = F.concat(F.substring("content", F.lit(1), half), F.lit(" "), word, F.lit(" "), F.substring("content", half + 1, F.length("content")))
+    rows = V.chat_memos(s, d).select("id", text.alias("t"), (F.col("category") == "user").alias("ro"), F.when(F.col("content").contains("\n"), "reflect").otherwise("").alias("e"))
     label = X.intent(F.col("t"), F.col("e"), F.col("ro"))
     return rows.select(
         "id", label.alias("intent"), F.concat_ws(",", X.alerts(F.col("t"), F.col("ro"))).alias("alerts"), F.concat_ws(",", X.guardrails(label, F.col("ro"))).alias("guardrails")
