@@ -22,6 +22,8 @@ from .sources.store import BUCKETS, Part, Store
 
 #: Seconds for which an index counts as fresh.
 FRESH_S = 300
+# Bytes up to which an answer's text is given as it is.
+SHOWN_BYTES = 2000
 
 
 def _within(scope: str) -> str:
@@ -363,6 +365,65 @@ class Engine:
     def state(self, key: str) -> DataFrame:
         return self.store.read("system_state", schemas.STATE).where(F.col("key") == key)
 
+    def save_task(self, task_id: str, description: str, **more: str) -> None:
+        """Makes a task, or changes the fields given; the time of its making stays."""
+        names = [f.split()[0] for f in schemas.TASKS.split(", ") if f.endswith("string")]
+        if unknown := set(more) - set(names):
+            raise ValueError(f"no such fields: {', '.join(sorted(unknown))}")
+        said = {"task_id": task_id, "description": description} | more
+        old = self.task(task_id).select(*names).collect()
+        row = (old[0].asDict() if old else {"status": "pending"} | dict.fromkeys(n for n in names if n != "status")) | said
+        df = self.spark.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} string" for n in names))
+        ended = F.when(F.col("status").isin("completed", "failed"), F.current_timestamp())
+        df = df.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp(), "completed_at": ended})
+        self._upsert("tasks", schemas.TASKS, ["task_id"], df, keep=("created_at",))
+
+    def task(self, task_id: str) -> DataFrame:
+        """One task, from the bucket of its id."""
+        key = self.spark.createDataFrame([(task_id,)], "task_id string").select(self.store.bucket("task_id").alias("bucket"))
+        return self.store.read("tasks", schemas.TASKS, self._buckets(key)).where(F.col("task_id") == task_id)
+
+    def tasks(self, keywords: str = "", limit: int = 20) -> DataFrame:
+        """Tasks last changed, with any of the words in their description or summary."""
+        return memory.recall_tasks(self.store.read("tasks", schemas.TASKS), keywords, limit)
+
+    def personas(self, *libraries: str) -> DataFrame:
+        """All personas: the project's own first, then those of the libraries, earlier ones first."""
+        return logs.listed(ingest.overlay(self.store.read("personas", logs.PERSONA), logs.read_personas(self.spark, list(libraries)), "name"))
+
+    def save_persona(self, name: str, **fields) -> None:
+        """Makes a persona of the project's own, or changes one; it covers a library's of that name."""
+        if not name.strip() or not str(fields.get("hard_directive", "")).strip():
+            raise ValueError("a persona needs a name and a directive")
+        kinds = dict(f.split() for f in logs.PERSONA.split(", "))
+        row = {"name": name.strip(), "display_name": fields.get("display_name") or name.strip()} | {k: v for k, v in fields.items() if k != "display_name"}
+        self._upsert("personas", logs.PERSONA, ["name"], self.spark.createDataFrame([tuple(row.get(k) for k in kinds)], logs.PERSONA))
+
+    def drop_persona(self, name: str) -> bool:
+        """Whether the project had a persona of its own of that name; it is gone then."""
+        key = self.spark.createDataFrame([(name,)], "name string").withColumn("bucket", self.store.bucket("name"))
+        touched = self._buckets(key)
+        rows = self.store.read("personas", logs.PERSONA, touched)
+        if rows.where(F.col("name") == name).isEmpty():
+            return False
+        self.store.commit({"personas": Part(rows.where(F.col("name") != name).withColumn("bucket", self.store.bucket("name")), touched)})
+        return True
+
+    def activate_persona(self, key: str, *libraries: str) -> dict:
+        """Notes the persona that a name, display name or alias means as the active one; for an unknown key the names that there are."""
+        found = logs.persona(self.personas(*libraries), key).collect()
+        if not found:
+            return {"found": False, "names": [r["name"] for r in self.personas(*libraries).select("name").limit(100).collect()]}
+        self.save_state("active_persona", found[0]["name"], "persona")
+        return {"found": True} | found[0].asDict(recursive=True)
+
+    def shown(self, name: str, text: str, most: int = SHOWN_BYTES) -> str:
+        """An answer's text; one of more than ``most`` bytes goes to a file of the store, whose path the answer then is."""
+        if len(text.encode()) <= most:
+            return text
+        self.store.put_text(f"_shown/{name}", text)
+        return f"{self.store.root}/_shown/{name}"
+
     def archive(self, path: str) -> None:
         logs.append_archive(self.memos(), path)
 

@@ -35,6 +35,14 @@ def recall_facts(facts: DataFrame, keywords: str = "", limit: int = 20, compat:
     return facts.orderBy(F.desc("id")).limit(limit)
 
 
+def recall_tasks(tasks: DataFrame, keywords: str = "", limit: int = 20, compat: bool = False) -> DataFrame:
+    """Tasks last changed in whose description or summary any word occurs; all of them without words."""
+    words = split_words(keywords)
+    if words:
+        tasks = tasks.where(_hit(("description", "summary"), words, compat))
+    return tasks.orderBy(F.desc("updated_at"), "task_id").limit(limit)
+
+
 def recall_report(memos: DataFrame, facts: DataFrame, keywords: str, category: str = "", limit: int = 20) -> DataFrame:
     """(section, id, kind, content): facts first, then memos."""
     f = recall_facts(facts, keywords, limit).select(F.lit("fact").alias("section"), "id", F.col("type").alias("kind"), F.col("summarize").alias("content"))

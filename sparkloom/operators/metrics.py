@@ -107,6 +107,34 @@ def children_by_mean(rolled: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy(F.round("mean_score", 6).desc(), "dir")))
 
 
+# First-level directories shown, and of these those opened by two levels and by one, for trees of up to 20, of up to 40, and beyond.
+TREE = ((20, (20, 20, 20)), (40, (25, 8, 18)), (None, (20, 6, 12)))
+# Second-level directories of one opened by one level, of one opened by two; third-level directories.
+TREE_SECOND, TREE_SECOND_OPEN, TREE_THIRD = 3, 100, 5
+
+
+def adaptive_tree(rolled: DataFrame) -> DataFrame:
+    """(dir, depth, place, of): the directories that a map of the tree shows, to the third level; ``of`` counts all beside it.
+
+    Directories go by the mean complexity of their symbols within their parent.
+    How many of the first level are shown and opened depends on how many there
+    are; one opened by one level shows three below it, one opened by two all
+    (100), each with five of its own.
+    """
+    depth = F.when(F.col("dir") == ".", 0).otherwise(F.size(F.split("dir", "/")))
+    placed = children_by_mean(rolled).withColumn("depth", depth).where("depth <= 3").select("parent", "dir", "depth", "place")
+    counts = placed.groupBy("parent").agg(F.count("*").alias("of"))
+    few = placed.where(F.col("place") <= TREE_SECOND_OPEN).join(counts, "parent")  # the largest bound, which tasks apply before they shuffle
+    n = F.col("of")
+    rule = lambda i: F.when(n <= 20, F.lit(TREE[0][1][i])).when(n <= 40, F.lit(TREE[1][1][i])).otherwise(F.lit(TREE[2][1][i]))
+    top = few.where("depth = 1").withColumns({"two": F.col("place") <= rule(1), "one": F.col("place") <= rule(2)}).where(F.col("place") <= rule(0))
+    opened = top.where("one").select(F.col("dir").alias("parent"), "two")
+    second = few.where("depth = 2").join(opened, "parent").where(F.col("place") <= F.when(F.col("two"), TREE_SECOND_OPEN).otherwise(TREE_SECOND))
+    third = few.where("depth = 3").join(second.where("two").select(F.col("dir").alias("parent")), "parent").where(F.col("place") <= TREE_THIRD)
+    columns = ("dir", "depth", "place", "of")
+    return top.select(*columns).unionByName(second.select(*columns)).unionByName(third.select(*columns))
+
+
 def most_complex(scores: DataFrame, most: int = 5) -> DataFrame:
     return scores.orderBy(F.desc("score"), "name").limit(most)
 

@@ -70,6 +70,31 @@ def symbol_search_indexed(s, d):
     return out
 
 
+def recall_tasks(s, d):
+    rows = memory.recall_tasks(V.tasks(s, d), "urgent, customer 7", 40)
+    return rows.select("task_id", "description", F.date_format("updated_at", "yyyy-MM-dd").alias("day"))
+
+
+def recent_tasks(s, d):
+    return memory.recall_tasks(V.tasks(s, d), limit=30).select("task_id", "summary")
+
+
+def match_records(s, d):
+    """Lines with a word, as a search tool reports them among other messages, read back from its JSON."""
+    found = search.grep(V.text_files(s, d), "tion")
+    at = F.instr("content", "tion") - 1
+    sub = F.array(F.struct(F.struct(F.lit("tion").alias("text")).alias("match"), at.cast("int").alias("start"), (at + 4).cast("int").alias("end")))
+    data = F.struct(F.struct(F.replace("file_path", F.lit("/"), F.lit("\\")).alias("text")).alias("path"), F.struct(F.concat("content", F.lit("\r\n")).alias("text")).alias("lines"), F.col("line").alias("line_number"), sub.alias("submatches"))
+    said = lambda kind: found.select(F.to_json(F.struct(F.lit(kind).alias("type"), data.alias("data"))).alias("value"))
+    every = said("match").unionByName(said("context")).unionByName(found.select(F.col("content").alias("value")))
+    got = every.select(results.matches(F.col("value")).alias("m")).where("m is not null")
+    return got.select("m.file_path", "m.line", F.length("m.content").cast("long").alias("n_chars"), F.get("m.spans", F.lit(0)).alias("first"), F.size("m.spans").alias("n_ends"))
+
+
+def map_tree(s, d):
+    return metrics.adaptive_tree(metrics.roll_up(_files_map(s, d))).select("dir", "depth", "place", "of")
+
+
 def impact_shown(s, d):
     near = graph.reach(_edges(s, d), _roots(s, *range(0, 20)), "backward")
     return graph.shown(near, V.symbols(s, d)).select("root", "kind", "node", "place", "of")
@@ -266,7 +291,7 @@ def snapshot_written(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    symbol_search_indexed, path_suffix, scope_contains, name_ignore_case, briefing_anchors, complexity_highest, complexity_top, counts_scoped, dir_children, impact_shown, impact_checklist,
+    symbol_search_indexed, recall_tasks, recent_tasks, match_records, map_tree, path_suffix, scope_contains, name_ignore_case, briefing_anchors, complexity_highest, complexity_top, counts_scoped, dir_children, impact_shown, impact_checklist,
     score_levels, catalog_sorted, catalog_rules, chain_first_events, chain_by_update, chain_delete, chain_progress, union_distinct, json_lists, json_or_raw, step_hints,
     times_parsed, times_normalised, keywords_han, keywords_assembled, uri_paths, bytes_cut, qa_scores, tool_durations, last_tag, banded_rows, sheet_errors,
     sheet_formulas, relationship_checks, content_types, grep_regex, snapshot_written,
@@ -304,6 +329,23 @@ _STEP_SQL = f"""steps AS (
 
 ORACLES = {
     "symbol_search_indexed": O.ORACLES["symbol_search_tiered"],
+    "recall_tasks": O._with(
+        "SELECT task_id, description, strftime(updated_at, '%Y-%m-%d') AS day FROM tasks WHERE " + " OR ".join(f"{c} ILIKE '%{w}%'" for w in ("urgent", "customer", "7") for c in ("description", "summary")) + " ORDER BY updated_at DESC, task_id LIMIT 40"
+    ),
+    "recent_tasks": O._with("SELECT task_id, summary FROM tasks ORDER BY updated_at DESC, task_id LIMIT 30"),
+    "match_records": O._with(
+        "SELECT file_path, CAST(line AS BIGINT) AS line, length(t) AS n_chars, CAST(instr(t, 'tion') - 1 AS INTEGER) AS first, 2 AS n_ends FROM (SELECT file_path, line, trim(content, ' ') AS t FROM lines WHERE contains(content, 'tion'))"
+    ),
+    "map_tree": O._with(
+        """SELECT dir, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place, of FROM kids WHERE depth = 1 AND place <= CASE WHEN of <= 20 THEN 20 WHEN of <= 40 THEN 25 ELSE 20 END
+UNION ALL
+SELECT k.dir, CAST(k.depth AS INTEGER), CAST(k.place AS INTEGER), k.of FROM kids k JOIN kids p ON p.dir = k.parent WHERE k.depth = 2 AND p.place <= CASE WHEN p.of <= 20 THEN 20 WHEN p.of <= 40 THEN 18 ELSE 12 END
+  AND k.place <= CASE WHEN p.place <= CASE WHEN p.of <= 20 THEN 20 WHEN p.of <= 40 THEN 8 ELSE 6 END THEN 100 ELSE 3 END""",
+        O._ROLLED + """, kids AS (
+  SELECT *, row_number() OVER (PARTITION BY parent ORDER BY round(CASE WHEN n_symbols > 0 THEN sum_score / n_symbols ELSE 0 END, 6) DESC, dir) AS place, count(*) OVER (PARTITION BY parent) AS of
+  FROM (SELECT *, CASE WHEN depth = 1 THEN '.' ELSE regexp_replace(dir, '/[^/]*$', '') END AS parent FROM rolled WHERE depth > 0)
+)""",
+    ),
     "path_suffix": O._with("SELECT file_id, file_path FROM files WHERE file_path LIKE '%7.txt'"),
     "scope_contains": O._with("SELECT file_id, file_path FROM files WHERE contains(file_path, '/en/doc_1')"),
     "name_ignore_case": O._with(f"SELECT symbol_id, name FROM symbols WHERE lower(name) = lower({O._Q}) OR lower(qualified_name) = lower({O._Q})"),

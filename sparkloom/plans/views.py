@@ -76,6 +76,14 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("bench").alias("type"), F.col("text").alias("summarize"))
 
 
+def tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tasks: what is asked is their priority, how they went their state and sum."""
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("task_id"), F.col("o_orderpriority").alias("description"),
+        F.concat(F.lit("state "), F.col("o_orderstatus"), F.lit(" of customer "), F.col("o_custkey").cast("string")).alias("summary"), F.col("o_orderdate").cast("timestamp").alias("updated_at"),
+    )
+
+
 def chain_events(spark: SparkSession, d: str) -> DataFrame:
     names = {"view": "start", "click": "complete", "purchase": "pass", "error": "fail", "signup": "init"}
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("event_type"))
@@ -160,6 +168,8 @@ files AS (
          CASE WHEN file_id % 13 = 0 OR file_id % 7 = 0 THEN file_mtime - 60 ELSE file_mtime END AS file_mtime, index_level
   FROM files WHERE file_id % 17 <> 0
   UNION ALL SELECT -file_id - 1, 'gone/' || file_path, file_hash, file_size, file_mtime, index_level FROM files WHERE file_id % 19 = 0
+), tasks AS (
+  SELECT 'order_' || o_orderkey AS task_id, o_orderpriority AS description, 'state ' || o_orderstatus || ' of customer ' || o_custkey AS summary, CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM orders
 ), lines AS (
   SELECT doc_id AS file_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS file_path, CAST(i AS INTEGER) AS line, string_split(text, chr(10))[i] AS content
   FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)

@@ -78,18 +78,33 @@ def resources(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("entry", "kind").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
+PERSONA = (
+    "name string, display_name string, avatar string, hard_directive string, style_must array<string>, style_signature array<string>, style_taboo array<string>, "
+    "aliases array<string>, triggers array<string>"
+)
+
+
 def read_personas(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(name, display_name, aliases) of the persona libraries, earlier ones winning."""
+    """The personas of all libraries, of equal names the earlier one's; a library that isn't there or can't be read is left out."""
     from ..operators.ingest import overlay
 
-    item = "array<struct<name:string,display_name:string,aliases:array<string>,hard_directive:string>>"
-    out = None
+    item = "array<struct<" + ",".join(f.replace(" ", ":", 1) for f in PERSONA.split(", ")) + ">>"
+    out = spark.createDataFrame([], PERSONA)
     for p in paths:
-        rows = spark.read.option("multiLine", True).schema(f"personas {item}").json(p).select(F.explode("personas").alias("p")).select("p.*")
-        out = rows if out is None else overlay(out, rows, "name")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            rows = spark.read.text(p, wholetext=True).select(F.explode(F.from_json("value", f"personas {item}")["personas"]).alias("p")).select("p.*")
+            out = overlay(out, rows.where("name is not null"), "name")
     return out
 
 
+def persona(library: DataFrame, key: str) -> DataFrame:
+    """The persona that a name, a display name or an alias means, case and outer blanks aside; one at most, by name."""
+    same = lambda c: F.lower(F.trim(c)) == key.strip().lower()
+    hit = same(F.col("name")) | same(F.col("display_name")) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), same)
+    return library.where(hit).orderBy("name").limit(1) if key.strip() else library.where("false")
+
+
 def listed(catalog: DataFrame, most: int | None = None) -> DataFrame:
     """A catalog in the order of its names."""
     rows = catalog.orderBy("name")

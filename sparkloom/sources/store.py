@@ -172,6 +172,7 @@ class Store:
         over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
         over[0] = hadoop.Options.Rename.OVERWRITE
         at = fs.makeQualified(hadoop.Path(f"{self.root}/{name}"))
+        fs.mkdirs(at.getParent())
         hadoop.FileContext.getFileContext(at.toUri(), conf).rename(fs.makeQualified(aside), at, over)
 
     def make_text(self, name: str, text: str) -> bool:
