@@ -17,9 +17,13 @@ in a table of fixed size; a count that is too high through hash collisions
 changes the cost, never the result. Classes with a directory key in common meet
 in a bucket; of keys that the very same classes share one is enough. Those whose
 bound reaches the threshold belong to one family, so links never leave a family.
-Each family is indexed and joined by itself, large ones in pairs of blocks of
-bounded size. Unless links are to be counted, pairs that are already connected
-are not verified again.
+Each family is indexed and joined by itself, large ones in blocks of bounded
+size. Unless links are to be counted, pairs that are already connected are not
+verified again: the members of a large family are first verified against a few
+of them, its pivots, then against a few of those that no pivot reached; most of
+a family of copies is one component after that. Only members outside a family's
+largest component meet all others in pairs of blocks, so a family costs about as
+many rows as it has, and every pair that could connect two components is seen.
 
 Signatures and shingles are 64-bit hashes; apart from collisions of these the
 join is exact. Skew: each task sends the keys of a class once, however many of
@@ -37,7 +41,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, removed, shingle_set, stored, stored_at, unused
@@ -52,6 +56,8 @@ SLICE = 2000
 FANOUT = 16
 #: Points and shingles of a block at most (a single point may exceed the latter).
 BLOCK_POINTS, BLOCK_SHINGLES = 512, 1 << 21
+#: Members of a large family that all others are verified against in a round, and rounds.
+PIVOTS, PIVOT_ROUNDS = 24, 2
 
 _POINTS = pa.schema(
     [("doc_id", pa.int64()), ("th", pa.string()), ("n", pa.int64()), ("node", pa.int64()), ("vec", pa.binary()), ("extra", pa.int64()), ("task", pa.int64()), ("slice", pa.int64()), ("counts", pa.binary())]
@@ -248,6 +254,9 @@ def _block_links(percent: int, every: bool):
             ta = CountTree([sets[x] for x in left])
             tb = ta if bi == bj else CountTree([sets[x] for x in right])
             up = np.arange(len(node))
+            if "comp" in pdf:  # members of a component are connected already
+                _, first, of = np.unique(pdf["comp"].to_numpy(np.int64), return_index=True, return_inverse=True)
+                up = first[of]
 
             def root(x: int) -> int:
                 while up[x] != x:
@@ -274,6 +283,58 @@ def _block_links(percent: int, every: bool):
     return run
 
 
+def _pivot_links(percent: int):
+    """Links (a, b) of the members of a block with the pivots of their family; of pivots already connected one is enough."""
+
+    def run(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
+        found = []
+        if len(pivots) and len(sets):
+            leads = [np.frombuffer(x, np.uint64) for x in pivots["shingles"]]
+            for p, lead in zip(pivots["node"].tolist(), leads, strict=True):
+                for m, own in zip(members["node"].tolist(), sets, strict=True):
+                    if m != p and _reaches(min(len(own), len(lead)), len(own), len(lead), percent) and _reaches(overlap(own, lead), len(own), len(lead), percent):
+                        found.append((m, p))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _by_pivots(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the large families' ``sets`` with pivots, and ``sets`` with comp, the component that those make, and whether it is its family's largest (main)."""
+    size = sets.groupBy("root").agg(F.max("n_blocks").alias("of"))
+    links, state = None, sets.select("root", "node", F.col("node").alias("comp"), F.lit(False).alias("main"))
+    for _ in range(PIVOT_ROUNDS):
+        place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node"), "node"))
+        chosen = state.where("not main").withColumn("place", place).where(F.col("place") <= PIVOTS).select("root", "node")
+        chosen = stored(sets.select("root", "node", "shingles").join(chosen, ["root", "node"]).join(size, "root"))
+        pivots = chosen.select("root", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("block"), "node", "shingles")
+        asked = sets.join(chosen.select("root").distinct(), "root", "left_semi")
+        found = asked.select("root", "block", "node", "shingles").groupBy("root", "block").cogroup(pivots.groupBy("root", "block")).applyInPandas(_pivot_links(percent), "a long, b long")
+        links = stored(found if links is None else links.unionByName(found))
+        comp = sets.select("root", "node").join(connected_components(links).select("node", F.col("root").alias("comp")), "node", "left")
+        comp = comp.select("root", "node", F.coalesce("comp", "node").alias("comp"))
+        main = comp.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("largest"))
+        state = stored(comp.join(main, "root").select("root", "node", "comp", (F.col("comp") == F.col("largest")).alias("main")))
+        if state.where("not main").isEmpty():
+            break
+    return links, sets.join(state, ["root", "node"])
+
+
+def _pairs_left(sets: DataFrame) -> DataFrame:
+    """The rows of the pairs of blocks that may still connect components: members outside their family's largest one against all others.
+
+    Those outside have blocks of their own before the others' blocks.
+    """
+    outside = sets.where("not main")
+    counts = outside.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_POINTS), F.ceil(F.sum(F.length("shingles")) / 8 / BLOCK_SHINGLES)).cast("int").alias("u"))
+    both = sets.join(counts, "root")  # families that are one component are done
+    block = F.when(F.col("main"), F.col("u") + F.col("block")).otherwise(F.pmod(F.xxhash64(F.lit(1), "node"), F.col("u"))).cast("int")
+    last = F.when(F.col("main"), F.col("u") - 1).otherwise(F.col("u") + F.col("n_blocks") - 1)
+    own = both.withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), last))})
+    return own.select("root", "node", "copies", "comp", "block", "shingles", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+
+
 def _families(keys: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """(node, root): classes connected by directory keys and bounds that reach the threshold.
 
@@ -378,10 +439,18 @@ def _joined(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
     once = rows.where("th is not null").select("th", "text").mapInArrow(_texts_once, "th string, text string")
     first = once.join(members.hint("merge"), "th").groupBy("th").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in own])
     sets = first.select(*own, "text").mapInPandas(_sets(k), "root long, node long, copies long, n_blocks int, block int, shingles binary")
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+    by_pairs = count_links or blocks.where("n_blocks > 1").isEmpty()
+    sets = sets if by_pairs else stored(sets)
+    pairs = lambda x: x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "root", "node", "copies", "block", "shingles", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     )
-    links = stored(paired.groupBy("root", "bi", "bj").applyInPandas(_block_links(percent, count_links), "a long, b long, links long"))
+    joined = lambda x: x.groupBy("root", "bi", "bj").applyInPandas(_block_links(percent, count_links), "a long, b long, links long")
+    if by_pairs:
+        links = stored(joined(pairs(sets)))
+    else:
+        near, known = _by_pivots(sets.where("n_blocks > 1"), percent)
+        links = joined(pairs(sets.where("n_blocks = 1"))).unionByName(joined(_pairs_left(known)))
+        links = stored(links.unionByName(near.withColumn("links", F.lit(0).cast("long"))))
     linked = connected_components(links.where("b is not null").select("a", "b"))
     least = linked.join(classes, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     others = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -154,3 +154,55 @@ def test_very_long_text(spark):
     words = [f"w{i}" for i in range(200_000)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:199_000])), (3, "w1 w2 w3 w4 w5 w6")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in jaccard_components(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def drifting(r, n, step=2):
+    """Texts of which each differs from the one before by a few words: neighbours link, distant ones don't."""
+    t = [f"d{r.randrange(10**6)}" for _ in range(90)]
+    out = []
+    for i in range(n):
+        for _ in range(step):
+            t[r.randrange(len(t))] = f"d{r.randrange(10**6)}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_large_families_by_pivots(spark, monkeypatch, rounds):
+    """Copies of one text, a chain, and two groups that a single text joins, in blocks of 16: the same components as by all pairs."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", rounds)
+    r = random.Random(rounds)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for _ in range(r.choice([0, 1, 2, 3])):
+            t[r.randrange(len(t))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += drifting(r, 70)
+    far = list(base)
+    for i in range(0, 200, 9):  # neither linked with the copies, but by a text in between
+        far[i] = f"y{i}"
+    for i in range(40):
+        t = list(far)
+        t[r.randrange(len(t))] = f"z{i}"
+        texts.append(" ".join(t))
+    texts += [" ".join(base[:100] + far[100:]), *texts[:5]]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in jaccard_components(df, 3, 80).collect()) == sorted(brute(rows, 3, 80))
+
+
+def test_copies_hardly_meet_in_pairs(spark, monkeypatch):
+    """20,000 near copies of one text: the rows sent to pairs of blocks are few, not a multiple of all by the number of blocks."""
+    sent, real = [], jaccard_join._pairs_left
+    monkeypatch.setattr(jaccard_join, "_pairs_left", lambda sets: sent.append((out := real(sets)).count()) or out)
+    word = F.concat(F.lit("n"), F.col("id").cast("string"))
+    base = F.array(*[F.lit(f"w{i}") for i in range(60)])
+    text = F.array_join(F.transform(base, lambda w, i: F.when(i == F.col("id") % 60, word).otherwise(w)), " ")
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = jaccard_components(df, 5, 80)
+    assert got.where("component_id = 0").count() == 20_000 and sent and sum(sent) <= 20_000
