@@ -118,19 +118,22 @@ def learn(
 ) -> StringKernelModel:
     """Model of the rows of ``docs`` that aren't held out and have text, letters, id and language.
 
-    However often a text, an id or a language is repeated, at most
-    ``per_language * most_languages`` rows are gathered. Other columns are
+    The sample holds ``per_language`` distinct texts of each of the
+    ``most_languages`` languages with the most rows, or all that a language has,
+    however often a text, an id or a language is repeated. Other columns are
     ignored. An empty table gives a model without languages.
     """
     pool = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("id")
     )
-    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    hashed = pool.withColumn("draw", F.xxhash64(F.lit(seed), F.col("text")))
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw", 0.02).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return StringKernelModel.fit(np.zeros((0, SIZE), bool), [])
-    # twice as many as are wanted pass the threshold, so that repeated texts leave enough
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * per_language / n))])
-    drawn = pool.withColumn("draw", F.xxhash64(F.lit(seed), F.col("text"))).where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang")))
+    # about twice as many distinct texts as are wanted pass the threshold, so enough do whatever the estimate's error
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * per_language / max(n, 1)))])
+    drawn = hashed.where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang")))
     each = drawn.groupBy("lang", "draw").agg(F.first("text").alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw"))
     sample = each.withColumn("place", first).where(F.col("place") <= per_language).select("text", "lang").mapInPandas(_profiles, "lang string, bits binary").collect()
@@ -143,7 +146,8 @@ def identify(docs: DataFrame, model: StringKernelModel, text_col: str = "text",
     """``docs`` without its text, with the predicted language and score; columns of these names give way.
 
     Null texts and texts without a letter get ``und`` and score 0, as do all
-    texts of a model without languages. Repeated rows get equal predictions;
+    texts of a model without languages. Only languages of the model are ever
+    predicted, so none beyond the most frequent ones that ``learn`` takes. Repeated rows get equal predictions;
     equal scores go to the first language by code point. Texts of any length
     count in whole. An empty table gives an empty result.
     """

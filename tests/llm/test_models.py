@@ -159,3 +159,15 @@ def test_folds(spark):
     got = spark.range(50).select("id", language_id.held_out("id").alias("h"), language_id.held_out("id", 5, 0).alias("q")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) and r.q == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
     assert spark.range(1).select(F.lit(None).cast("long").alias("i")).select(language_id.held_out("i")).first()[0] is False
+
+
+def test_sample_goes_by_distinct_texts(spark, monkeypatch):
+    """A text that fills most of a language leaves the sample as large as other languages' samples."""
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    many = spark.range(60_000).select("id", F.lit("the one text that is said over and over").alias("text"), F.lit("en").alias("lang"))
+    some = lambda lang, first: spark.range(first, first + 900).select("id", F.concat(F.lit(f"{lang} words "), letters).alias("text"), F.lit(lang).alias("lang"))
+    docs = many.unionByName(some("en", 100_000)).unionByName(some("de", 200_000)).withColumnRenamed("id", "doc_id")
+    seen, real = [], StringKernelModel.fit
+    monkeypatch.setattr(StringKernelModel, "fit", lambda rows, names, *more: seen.append(list(names)) or real(rows, names, *more))
+    language_id.learn(docs)
+    assert {x: seen[0].count(x) for x in set(seen[0])} == {"en": 400, "de": 400}
