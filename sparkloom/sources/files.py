@@ -12,7 +12,7 @@ from stat import S_ISREG
 
 import pandas as pd
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -280,16 +280,24 @@ def ignore_rules(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+# Markers that count in directories below the root too, and down to which depth.
+DEEP_MARKERS = {"Cargo.toml": 6}
+
+
 def detect_stack(files: DataFrame, depth: int = 8) -> tuple[list[str], list[str], list[str]]:
-    """(stacks, extensions, ignored directories) from the names of ``files(file_path)`` down to a depth.
+    """(stacks, extensions, ignored directories) from the names of ``files(file_path)``.
 
-    What reaches the driver is the set of distinct extensions and markers.
+    Extensions count down to a depth of directories, markers in the root and
+    some down to a depth of their own. What reaches the driver is the set of
+    distinct extensions and markers.
     """
     markers = sorted({m for _, ms, _, _ in STACKS for m in ms})
-    near = files.where(F.size(F.split("file_path", "/")) <= depth + 1)
+    folders = F.size(F.split("file_path", "/")) - 1
+    near = files.where(folders <= depth)
     name = F.element_at(F.split("file_path", "/"), -1)
     known = sorted({e for _, _, es, _ in STACKS for e in es})
-    seen = near.select(F.when(name.isin(*markers), name).when(extension(F.col("file_path")).isin(*known), extension(F.col("file_path"))).alias("x")).where("x is not null").distinct()
+    deep = functools.reduce(Column.__or__, [(name == m) & (folders <= n) for m, n in DEEP_MARKERS.items()])
+    seen = near.select(F.when((name.isin(*markers) & (folders == 0)) | deep, name).when(extension(F.col("file_path")).isin(*known), extension(F.col("file_path"))).alias("x")).where("x is not null").distinct()
     found = {r["x"] for r in seen.collect()}
     stacks, exts, ignored = [], [], []
     for stack, marks, es, own in STACKS:

@@ -200,3 +200,14 @@ def test_driver_sees_counts_only(spark, tmp_path, monkeypatch):
 def test_outside(spark):
     df = spark.createDataFrame([("a/b/c",), ("bin/x",), ("a/bin/x",), ("bin",), ("binx/y",)], "file_path string")
     assert {r.file_path for r in source_files.outside(df, ("bin",)).collect()} == {"a/b/c", "bin", "binx/y"} and source_files.outside(df, ()).count() == 5
+
+
+@pytest.mark.parametrize(
+    "paths, stacks",
+    [
+        (["Cargo.toml"], ["rust"]), (["a/b/c/d/e/f/Cargo.toml"], ["rust"]), (["a/b/c/d/e/f/g/Cargo.toml"], []), (["go.mod"], ["go"]), (["sub/go.mod"], []), (["sub/package.json", "x.PY"], ["python"]),
+        (["1/2/3/4/5/6/7/8/x.rs"], ["rust"]), (["1/2/3/4/5/6/7/8/9/x.rs"], []), (["pom.xml", "CMakeLists.txt", "a/x.vue"], ["frontend", "cpp", "java"]), (["x.css", "y.html", "readme"], []),
+    ],
+)
+def test_markers_and_extensions(spark, paths, stacks):
+    assert source_files.detect_stack(spark.createDataFrame([(p,) for p in paths], "file_path string"))[0] == stacks

@@ -121,3 +121,29 @@ def test_states_of_a_small_event_table(spark, tmp_path):
     for name in ("task_chain_state", "stream_task_chain"):
         got = {r.task_id: (r.status, [p["status"] for p in json.loads(r.phases_json)], r.n_events, r.n_errors, r.reinit_count) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == want, name
+
+
+def test_recovery_takes_the_first_source_that_holds_anything(spark, tmp_path):
+    from sparkloom import schemas
+
+    e = Engine(spark, str(tmp_path / "db"))
+    (tmp_path / "log.md").write_text("# Log\n- [from the log] **2024-01-02 03:04:05**: fix (core) patch x\n")
+    (tmp_path / "archive").mkdir()
+    log, archive = logs.read_log(spark, str(tmp_path / "log.md")), spark.createDataFrame([], schemas.MEMOS)
+    assert [r.content for r in logs.recovered(e.memos(), archive, log).collect()] == ["from the log"]
+    other = Engine(spark, str(tmp_path / "other"))
+    other.append_memos([{"content": "from the archive", "entity": "x"}])
+    assert [r.content for r in logs.recovered(e.memos(), other.memos(), log).collect()] == ["from the archive"]
+    e.append_memos([{"content": "own", "entity": "x"}])
+    assert [r.content for r in logs.recovered(e.memos(), other.memos(), log).collect()] == ["own"]
+    assert logs.recovered(archive, archive, log.where("false")).count() == 0
+
+
+def test_events_are_appended(spark, tmp_path):
+    from sparkloom import schemas
+
+    e = Engine(spark, str(tmp_path / "db"))
+    for i, kind in enumerate(("start", "complete")):
+        e.append_chain_events(spark.createDataFrame([(i, "t", None, None, kind, None, datetime(2024, 1, 1, 0, 0, i))], schemas.CHAIN_EVENTS))
+    assert [(r.id, r.event_type) for r in e.chain_events().orderBy("id").collect()] == [(0, "start"), (1, "complete")]
+    assert e.task_chains().first().n_events == 2 and len(e.store.paths("task_chain_events")) == 1

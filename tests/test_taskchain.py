@@ -55,3 +55,12 @@ def test_replay(spark):
     assert (got["t"].status, got["t"].n_events, got["t"].n_errors) == ("finished", 3, 1)
     assert (got["u"].status, got["u"].n_errors) == ("running", 1)
     assert set(PROTOCOLS) == {"linear", "develop", "debug", "refactor"}
+
+
+def test_sub_tasks_get_ids_by_number():
+    c = TaskChain("develop")
+    for p in c.phases[:2]:
+        p["status"] = "passed"
+    c.start("implement")
+    c.spawn("implement", [{"name": "x"}, {"name": "y", "id": "own"}, {"name": "z"}])
+    assert [s["id"] for s in c.phase("implement")["sub_tasks"]] == ["sub_001", "own", "sub_003"]
