@@ -45,6 +45,17 @@ def build_edges(linked: DataFrame, symbols: DataFrame | None = None) -> DataFram
     return edges.unionByName(expand_unresolved(linked, symbols)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
+def edges_at(calls: DataFrame, symbols: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src, dst, n): the edges that begin or end at ``roots(root)``; only calls by them or of their names are linked."""
+    ids = roots.select("root").distinct()
+    names = symbols.join(ids.withColumnRenamed("root", "symbol_id"), "symbol_id", "left_semi").select("name").distinct()
+    by = calls.join(ids.select(F.col("root").alias("caller_id"), F.lit(True).alias("_by")), "caller_id", "left")
+    near = by.join(names.select(F.col("name").alias("callee_name"), F.lit(True).alias("_of")), "callee_name", "left").where("_by or _of").drop("_by", "_of")
+    edges = build_edges(link_calls(near.select(calls.columns), symbols))
+    either = edges.join(ids.select(F.col("root").alias("src"), F.lit(True).alias("_s")), "src", "left").join(ids.select(F.col("root").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
+    return either.where("_s or _d").select("src", "dst", "n")
+
+
 def callers_of(linked: DataFrame, symbols: DataFrame, symbol_id: int, name: str) -> DataFrame:
     """Calls of a symbol: resolved to it, or unresolved with its name."""
     hit = linked.where((F.col("callee_id") == symbol_id) | (F.col("callee_id").isNull() & (F.col("callee_name") == name)))

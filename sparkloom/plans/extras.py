@@ -101,7 +101,7 @@ def impact_shown(s, d):
 
 
 def impact_checklist(s, d):
-    near = graph.reach(_edges(s, d), _roots(s), "backward", depth=1)
+    near = graph.reach(cut(graph.edges_at(V.calls(s, d), V.symbols(s, d), _roots(s))), _roots(s), "backward", depth=1)
     return graph.checklist(near, V.symbols(s, d), V.files(s, d))
 
 

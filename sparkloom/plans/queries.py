@@ -215,12 +215,14 @@ def flow_labels(s, d):
 
 
 def flow_related(s, d):
-    near = graph.reach(_edges(s, d), _roots(s, *range(0, 20)), "both", depth=1).select("root", "direction", F.col("node").alias("symbol_id"))
+    roots = _roots(s, *range(0, 20))
+    near = graph.reach(cut(graph.edges_at(V.calls(s, d), V.symbols(s, d), roots)), roots, "both", depth=1).select("root", "direction", F.col("node").alias("symbol_id"))
     return flow.labels(V.symbols(s, d), near, V.files(s, d))
 
 
 def critical_paths(s, d):
-    return flow.critical_paths(_edges(s, d), V.symbols(s, d), _roots(s, *range(0, 20)))
+    roots = _roots(s, *range(0, 20))
+    return flow.critical_paths(cut(graph.edges_at(V.calls(s, d), V.symbols(s, d), roots)), V.symbols(s, d), roots)
 
 
 def _shot(s, d, target):

@@ -117,3 +117,12 @@ def test_scores_of_some_equal_scores_of_all(spark, sf_dir):
     ids = {r.symbol_id for r in wanted.collect()}
     every = {tuple(r) for r in flow.edge_classes(edges, symbols).collect() if r.symbol_id in ids}
     assert {tuple(r) for r in flow.edge_classes(edges, symbols, wanted).collect()} == every
+
+
+def test_edges_at_some_equal_all_edges_there(spark, sf_dir):
+    from sparkloom.plans import views as V
+
+    calls, symbols, roots = V.calls(spark, sf_dir), V.symbols(spark, sf_dir), spark.range(0, 50, 9).withColumnRenamed("id", "root")
+    ids = {r.root for r in roots.collect()}
+    every = {tuple(r) for r in graph.build_edges(graph.link_calls(calls, symbols)).collect() if r.src in ids or r.dst in ids}
+    assert {tuple(r) for r in graph.edges_at(calls, symbols, roots).collect()} == every
