@@ -194,7 +194,7 @@ class Engine:
     def grep(self, root: str, pattern: str, scope: str = "", **options) -> DataFrame:
         """Matching lines of the tree with their owners; lines outside any symbol belong to ``(global)``."""
         found = source_files.contents(self._listed(root, scope=scope), root)
-        texts = found.select(F.xxhash64("file_path").alias("file_id"), "file_path", F.decode(F.col("content"), "UTF-8").alias("text"))
+        texts = found.select(F.xxhash64("file_path").alias("file_id"), "file_path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         return search.owners(search.grep(texts, pattern, **options), self.symbols(), "left").withColumn("owner", F.coalesce("owner", F.lit("(global)")))
 
     def search_all(self, root: str, query: str, scope: str = "", kind: str = "") -> DataFrame:

@@ -235,3 +235,14 @@ def test_text_functions(spark):
     texts = spark.createDataFrame([(1, "a.py", "the cat\nconcat\nThe end")], "file_id long, file_path string, text string")
     assert [r.line for r in search.grep(texts, "cat", whole_word=True).collect()] == [1]
     assert [r.line for r in search.grep(texts, "the", whole_word=True, ignore_case=True).orderBy("line").collect()] == [1, 3]
+
+
+def test_files_of_other_encodings(spark, tree, tmp_path):
+    """A file that isn't UTF-8 is indexed and searched with its odd bytes replaced."""
+    (tree / "latin.py").write_bytes("def café_open():\n    # naïve\n    helper(1)\n\n\ndef plain_one():\n    helper(2)\n".encode("latin-1"))
+    (tree / "bytes.py").write_bytes(b"\x00\xff\xfe\x00")
+    (tree / "empty.py").write_bytes(b"")
+    e = Engine(spark, str(tmp_path / "db"))
+    assert {r.action: r.n for r in e.ingest(str(tree)).collect()} == {"new": 5}
+    assert e.search("plain_one").first().file_path == "latin.py" and {r.file_path: r.line_count for r in e.files().collect()}["empty.py"] == 0
+    assert {(r.file_path, r.owner) for r in e.grep(str(tree), "helper(2)").collect()} == {("latin.py", "plain_one")}
