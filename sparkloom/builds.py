@@ -107,8 +107,14 @@ class Build:
             self.engine.store.put_text(LOCK, json.dumps({"id": self.id, "path": self.path, "at": time.time()}))
 
     def cancel(self) -> None:
-        """Stops the build's jobs; the index stays as it was."""
-        self.engine.spark.sparkContext.cancelJobGroup(self.id)
+        """Stops the build's jobs, those that begin later too; the index stays as it was."""
+
+        def stop() -> None:
+            while self.thread.is_alive():
+                self.engine.spark.sparkContext.cancelJobGroup(self.id)
+                self.thread.join(0.1)
+
+        threading.Thread(target=stop, daemon=True).start()
 
     def wait(self, timeout: float | None = None) -> bool:
         """Whether the build has ended, within ``timeout`` seconds; an error of the build is raised."""

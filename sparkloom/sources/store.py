@@ -13,6 +13,7 @@ will do. One writer at a time: of two commits with one number the later fails.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -191,7 +192,15 @@ class Store:
         return True
 
     def get_text(self, name: str) -> str | None:
-        return self._text(f"{self.root}/{name}")
+        """A small file's text, or None; one that is being replaced is tried again, as a local disk replaces text and checksum in turn."""
+        for pause in (0.02, 0.05, 0.1, 0.2, None):
+            try:
+                return self._text(f"{self.root}/{name}")
+            except Py4JJavaError:
+                if pause is None:
+                    raise
+                time.sleep(pause)
+        return None
 
     def drop_text(self, name: str) -> None:
         self._delete(f"{self.root}/{name}")
