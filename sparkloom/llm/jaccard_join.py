@@ -20,8 +20,7 @@ bound reaches the threshold belong to one family, so links never leave a family.
 Each family is indexed and joined by itself, large ones in blocks of bounded
 size. Unless links are to be counted, pairs that are already connected are not
 verified again: the members of a large family are first verified against a few
-of them, its pivots, then against a few of those that no pivot reached; most of
-a family of copies is one component after that. Only members outside a family's
+of them, its pivots; most of a family of copies is one component after that. Only members outside a family's
 largest component meet all others in pairs of blocks, so a family costs about as
 many rows as it has, and every pair that could connect two components is seen.
 
@@ -56,8 +55,8 @@ SLICE = 2000
 FANOUT = 16
 #: Points and shingles of a block at most (a single point may exceed the latter).
 BLOCK_POINTS, BLOCK_SHINGLES = 512, 1 << 21
-#: Members of a large family that all others are verified against in a round, and rounds.
-PIVOTS, PIVOT_ROUNDS = 24, 2
+#: Members of a large family that all others are verified against first.
+PIVOTS = 24
 
 _POINTS = pa.schema(
     [("doc_id", pa.int64()), ("th", pa.string()), ("n", pa.int64()), ("node", pa.int64()), ("vec", pa.binary()), ("extra", pa.int64()), ("task", pa.int64()), ("slice", pa.int64()), ("counts", pa.binary())]
@@ -284,41 +283,56 @@ def _block_links(percent: int, every: bool):
 
 
 def _pivot_links(percent: int):
-    """Links (a, b) of the members of a block with the pivots of their family; of pivots already connected one is enough."""
+    """Links (root, a, b) of the members a of a block with the pivots b of their family; a pivot has one with itself."""
 
     def run(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
+        leads = [np.frombuffer(x, np.uint64) for x in pivots["shingles"]]
         found = []
-        if len(pivots) and len(sets):
-            leads = [np.frombuffer(x, np.uint64) for x in pivots["shingles"]]
-            for p, lead in zip(pivots["node"].tolist(), leads, strict=True):
-                for m, own in zip(members["node"].tolist(), sets, strict=True):
-                    if m != p and _reaches(min(len(own), len(lead)), len(own), len(lead), percent) and _reaches(overlap(own, lead), len(own), len(lead), percent):
-                        found.append((m, p))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        for p, lead in zip(pivots["node"].tolist(), leads, strict=True):
+            for m, own in zip(members["node"].tolist(), sets, strict=True):
+                near = _reaches(min(len(own), len(lead)), len(own), len(lead), percent)
+                if m == p or (near and _reaches(overlap(own, lead), len(own), len(lead), percent)):
+                    found.append((m, p))
+        out = pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        out.insert(0, "root", np.int64(members["root"].iloc[0]) if len(members) else np.int64(0))
+        return out
 
     return run
 
 
+def _joined_pivots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(root, pivot, comp) of one family from its edges (x, y) between pivots: PIVOTS * PIVOTS at most."""
+    up = {v: v for v in [*pdf["x"].tolist(), *pdf["y"].tolist()]}
+
+    def root(v: int) -> int:
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True):
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return pd.DataFrame({"root": pdf["root"].iloc[0], "pivot": list(up), "comp": [root(v) for v in up]})
+
+
 def _by_pivots(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links of the large families' ``sets`` with pivots, and ``sets`` with comp, the component that those make, and whether it is its family's largest (main)."""
-    size = sets.groupBy("root").agg(F.max("n_blocks").alias("of"))
-    links, state = None, sets.select("root", "node", F.col("node").alias("comp"), F.lit(False).alias("main"))
-    for _ in range(PIVOT_ROUNDS):
-        place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node"), "node"))
-        chosen = state.where("not main").withColumn("place", place).where(F.col("place") <= PIVOTS).select("root", "node")
-        chosen = stored(sets.select("root", "node", "shingles").join(chosen, ["root", "node"]).join(size, "root"))
-        pivots = chosen.select("root", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("block"), "node", "shingles")
-        asked = sets.join(chosen.select("root").distinct(), "root", "left_semi")
-        found = asked.select("root", "block", "node", "shingles").groupBy("root", "block").cogroup(pivots.groupBy("root", "block")).applyInPandas(_pivot_links(percent), "a long, b long")
-        links = stored(found if links is None else links.unionByName(found))
-        comp = sets.select("root", "node").join(connected_components(links).select("node", F.col("root").alias("comp")), "node", "left")
-        comp = comp.select("root", "node", F.coalesce("comp", "node").alias("comp"))
-        main = comp.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("largest"))
-        state = stored(comp.join(main, "root").select("root", "node", "comp", (F.col("comp") == F.col("largest")).alias("main")))
-        if state.where("not main").isEmpty():
-            break
-    return links, sets.join(state, ["root", "node"])
+    place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node"), "node"))
+    chosen = sets.select("root", "node", "n_blocks").withColumn("place", place).where(F.col("place") <= PIVOTS).select("root", "node")
+    chosen = stored(sets.select("root", "node", "n_blocks", "shingles").join(chosen, ["root", "node"]))
+    pivots = chosen.select("root", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "node", "shingles")
+    found = sets.select("root", "block", "node", "shingles").groupBy("root", "block").cogroup(pivots.groupBy("root", "block")).applyInPandas(_pivot_links(percent), "root long, a long, b long")
+    found = stored(found)
+    near = found.groupBy("root", F.col("a").alias("node")).agg(F.sort_array(F.collect_set("b")).alias("ps"))  # PIVOTS at most
+    steps = F.transform("ps", lambda p, i: F.struct(F.get("ps", F.greatest(i - 1, F.lit(0))).alias("x"), p.alias("y")))
+    edges = near.select("root", F.inline(steps)).distinct()
+    label = edges.groupBy("root").applyInPandas(_joined_pivots, "root long, pivot long, comp long")
+    linked = near.select("root", "node", F.get("ps", F.lit(0)).alias("pivot")).join(label, ["root", "pivot"]).select("root", "node", "comp")
+    comp = sets.select("root", "node").join(linked, ["root", "node"], "left").select("root", "node", F.coalesce("comp", "node").alias("comp"))
+    main = comp.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("largest"))
+    state = stored(comp.join(main, "root").select("root", "node", "comp", (F.col("comp") == F.col("largest")).alias("main")))
+    return found.where("a <> b").select("a", "b"), sets.join(state, ["root", "node"])
 
 
 def _pairs_left(sets: DataFrame) -> DataFrame:

@@ -167,13 +167,12 @@ def drifting(r, n, step=2):
     return out
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_large_families_by_pivots(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("pivots", [1, 6])
+def test_large_families_by_pivots(spark, monkeypatch, pivots):
     """Copies of one text, a chain, and two groups that a single text joins, in blocks of 16: the same components as by all pairs."""
     monkeypatch.setattr(jaccard_join, "BLOCK_POINTS", 16)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
-    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", rounds)
-    r = random.Random(rounds)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    r = random.Random(pivots)
     base = [f"w{i}" for i in range(200)]
     texts = []
     for _ in range(90):
