@@ -126,3 +126,29 @@ def test_edges_at_some_equal_all_edges_there(spark, sf_dir):
     ids = {r.root for r in roots.collect()}
     every = {tuple(r) for r in graph.build_edges(graph.link_calls(calls, symbols)).collect() if r.src in ids or r.dst in ids}
     assert {tuple(r) for r in graph.edges_at(calls, symbols, roots).collect()} == every
+
+
+def test_unresolved_calls_meet_all_namesakes_in_tiles(spark):
+    """Callers and symbols of a name are more than a tile of either; an id stands twice, or under two names; some values are null."""
+    from collections import Counter
+
+    symbols = [(i, "ab"[i % 2]) for i in range(23)] + [(4, "a"), (5, "a"), (None, "a"), (None, "b"), (50, None), (51, "c")]
+    calls = [(i % 17, "abcx"[i % 4], None if i % 5 else 1) for i in range(120)] + [(None, "a", None), (3, None, None)]
+    linked, table = spark.createDataFrame(calls, "caller_id long, callee_name string, callee_id long"), spark.createDataFrame(symbols, "symbol_id long, name string")
+    want = Counter()
+    for caller, name, callee in calls:
+        for i, own in symbols:
+            if callee is None and name is not None and name == own:
+                want[caller, i] += 1
+    for tile in (2, 5, 4096):
+        got = [tuple(r) for r in graph.expand_unresolved(linked, table, tile).collect()]
+        assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
+def test_pairs_of_unresolved_calls_are_made_last(spark):
+    """There are callers times namesakes of them, so they must not be shuffled; nor are the rows that they are made of broadcast."""
+    linked = spark.range(3000).selectExpr("id AS caller_id", "'f' AS callee_name", "CAST(NULL AS long) AS callee_id")
+    df = graph.expand_unresolved(linked, spark.range(700).selectExpr("id AS symbol_id", "'f' AS name"))
+    assert df.count() == 3000 * 700
+    top = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert "SortMergeJoin" in next(x for x in top if "Project" not in x)
